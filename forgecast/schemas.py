@@ -51,6 +51,7 @@ MODEL_TABLE = T.StructType([
     T.StructField("tree", T.ArrayType(T.IntegerType())),
     T.StructField("feature", T.ArrayType(T.IntegerType())),
     T.StructField("threshold", T.ArrayType(T.DoubleType())),
+    T.StructField("missing_left", T.ArrayType(T.BooleanType())),
     T.StructField("left", T.ArrayType(T.IntegerType())),
     T.StructField("right", T.ArrayType(T.IntegerType())),
     T.StructField("value", T.ArrayType(T.DoubleType())),

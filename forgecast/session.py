@@ -26,6 +26,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ensure_workers_can_import(spark)
     return spark
 
 
@@ -54,3 +55,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "forgecast-tables", name)
+
+
+_PKG_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ensure_workers_can_import(spark: SparkSession) -> None:
+    """Let Python workers import this package.
+
+    Local mode: prepend the package root to the workers' ``PYTHONPATH``. On a
+    cluster the package is shipped the usual way (``--py-files`` / installed
+    on the executors) and this is a no-op.
+    """
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        return
+    cur = sc.environment.get("PYTHONPATH", "")
+    parts = [p for p in cur.split(os.pathsep) if p]
+    if _PKG_ROOT not in parts:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([_PKG_ROOT, *parts])

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 
-_NULL_STR = F.lit(None).cast("string")
-_NULL_DBL = F.lit(None).cast("double")
+
+
+def _null(t: str):
+    return F.lit(None).cast(t)
 
 
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,15 +67,15 @@ def price_history_from_lineitem(lineitem: DataFrame) -> DataFrame:
         daily.join(F.broadcast(months), F.trunc(daily["date"], "month") == months["month"], "left")
         .select(
             "nsn",
-            _NULL_STR.alias("item_description"),
+            _null("string").alias("item_description"),
             "date",
             _ratio(F.col("amount"), F.col("demand_quantity")).alias("unit_price"),
             "demand_quantity",
             "market_index",
             "supplier_id",
-            _NULL_STR.alias("contract_id"),
+            _null("string").alias("contract_id"),
             density.alias("data_density_class"),
-            _NULL_STR.alias("recommended_modeling_approach"),
+            _null("string").alias("recommended_modeling_approach"),
         )
     )
 
@@ -93,11 +95,11 @@ def supplier_shipping_from_orders(lineitem: DataFrame, orders: DataFrame) -> Dat
             n.cast("int").alias("shipments_completed"),
         )
         .select(
-            "supplier_id", _NULL_STR.alias("supplier_name"), "report_month",
-            "avg_lead_time_days", _NULL_DBL.alias("on_time_delivery_rate"),
-            _NULL_DBL.alias("defect_rate"), _NULL_STR.alias("primary_shipping_code"),
-            _NULL_STR.alias("region"), "shipments_completed", "expedite_rate",
-            _NULL_DBL.alias("avg_freight_cost"), _NULL_DBL.alias("risk_score"),
+            "supplier_id", _null("string").alias("supplier_name"), "report_month",
+            "avg_lead_time_days", _null("double").alias("on_time_delivery_rate"),
+            _null("double").alias("defect_rate"), _null("string").alias("primary_shipping_code"),
+            _null("string").alias("region"), "shipments_completed", "expedite_rate",
+            _null("double").alias("avg_freight_cost"), _null("double").alias("risk_score"),
         )
     )
 
