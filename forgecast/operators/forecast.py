@@ -129,18 +129,20 @@ def _forecast_batches(it: Iterator[pd.DataFrame], n_lags: int) -> Iterator[pd.Da
 
 
 def recursive_forecast(state: DataFrame, models: DataFrame, horizon=C.DEFAULT_HORIZON,
-                       n_lags: int = C.N_LAGS) -> DataFrame:
-    """Multi-step forecast for every item that has a model and a full lag vector.
+                       n_lags: int = C.N_LAGS, model_on: str = "nsn") -> DataFrame:
+    """Multi-step forecast for every state row that has a model and a full lag vector.
 
-    ``state``: (nsn, lags, complete, last_date, last_demand, last_market[, horizon]).
-    ``models``: model table keyed by ``model_key`` = nsn. Step h predicts from
-    the last ``n_lags`` values (observed, then predicted), the carried-forward
+    ``state``: (nsn, lags, complete, last_date, last_demand, last_market[, horizon])
+    where ``nsn`` keys the output rows and ``model_on`` names the column that
+    selects the model (``model_key`` of ``models``). Step h predicts from the
+    last ``n_lags`` values (observed, then predicted), the carried-forward
     demand and market index, and the calendar month of ``last_date + h months``.
     """
     if "horizon" not in state.columns:
         state = state.withColumn("horizon", F.lit(int(horizon)))
+    m = models.withColumnRenamed("model_key", "_mk")
     j = (state.where(F.col("complete"))
-         .join(models.withColumnRenamed("model_key", "nsn"), "nsn", "inner")
+         .join(m, F.col(model_on) == F.col("_mk"), "inner")
          .select("nsn", "lags", "last_date", "last_demand", "last_market", "horizon",
                  *_MODEL_COLS))
     fc = j.mapInPandas(lambda it: _forecast_batches(it, n_lags), FORECAST_SCHEMA)
