@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,44 +36,84 @@ MODEL_COLUMNS = ["model_key", "baseline", "n_trees", "tree", "feature", "thresho
                  "missing_left", "left", "right", "value"]
 
 
-def _empty_model_row(key):
-    return dict(model_key=key, baseline=None, n_trees=0, tree=[], feature=[], threshold=[],
-                missing_left=[], left=[], right=[], value=[])
+def _arrow_schema(schema: T.StructType):
+    import pyarrow as pa
+    conv = {T.StringType: pa.string(), T.DoubleType: pa.float64(), T.LongType: pa.int64(),
+            T.IntegerType: pa.int32(), T.BooleanType: pa.bool_()}
+
+    def one(dt):
+        if isinstance(dt, T.ArrayType):
+            return pa.list_(one(dt.elementType))
+        return conv[type(dt)]
+    return pa.schema([(f.name, one(f.dataType)) for f in schema.fields])
 
 
 def fit_dense_per_item(split_features: DataFrame, params: dict | None = None,
                        min_rows: int = C.DENSE_MIN_ROWS) -> DataFrame:
     """One row per item: its model (flattened trees), split sizes and hold-out MAE.
 
-    Input: ``features.dense_split`` output. Items with fewer than ``min_rows``
-    usable rows get ``status = 'insufficient_history'`` and no trees.
+    Input: ``features.dense_split`` output (already hash-partitioned by item,
+    so neither path below shuffles again).
+
+    * items with fewer than ``min_rows`` usable rows: ``insufficient_history``;
+    * items whose training part is below ``2 * min_samples_leaf`` rows: no
+      split is legal, every tree is a zero leaf, so the model *is* the training
+      mean -- computed JVM-side with a window mean and a grouped MAE;
+    * all other items: the boosting kernel per item in ``applyInArrow``.
     """
     params = dict(C.DENSE_PARAMS if params is None else params)
     feats = list(C.DENSE_FEATURES)
-
-    def fit_item(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        nsn = pdf["nsn"].iloc[0]
-        n_usable = int(pdf["n_usable"].iloc[0])
-        n_train = int(pdf["n_train"].iloc[0])
-        row = dict(nsn=nsn, n_usable=n_usable, n_train=n_train,
-                   n_holdout=n_usable - n_train, holdout_mae=None)
-        if n_usable < min_rows or n_train < 1:
-            row.update(_empty_model_row(nsn), status="insufficient_history")
-            return pd.DataFrame([row])
-        X = pdf[feats].to_numpy(dtype=np.float64, na_value=np.nan)
-        y = pdf["target"].to_numpy(dtype=np.float64)
-        train = pdf["is_train"].to_numpy(bool)
+    can_split = F.col("n_train") >= 2 * params["min_samples_leaf"]
+    enough = F.col("n_usable") >= min_rows
+    no_trees = F.array().cast("array<int>")
+
+    # --- status-only and constant-mean items (built-in expressions)
+    per_item = Window.partitionBy("nsn")
+    simple = (split_features.where(~(enough & can_split))
+              .withColumn("_mean", F.avg(F.when(F.col("is_train"), F.col("target"))).over(per_item))
+              .groupBy("nsn")
+              .agg(F.first("n_usable").alias("n_usable"), F.first("n_train").alias("n_train"),
+                   F.first("_mean").alias("_mean"),
+                   F.avg(F.when(~F.col("is_train"), F.abs(F.col("target") - F.col("_mean"))))
+                   .alias("_mae")))
+    ok = (F.col("n_usable") >= min_rows) & (F.col("n_train") >= 1)
+    simple = simple.select(
+        "nsn", F.col("nsn").alias("model_key"),
+        F.when(ok, F.col("_mean")).alias("baseline"),
+        F.when(ok, F.lit(params["max_iter"])).otherwise(F.lit(0)).cast("int").alias("n_trees"),
+        no_trees.alias("tree"), no_trees.alias("feature"),
+        F.array().cast("array<double>").alias("threshold"),
+        F.array().cast("array<boolean>").alias("missing_left"),
+        no_trees.alias("left"), no_trees.alias("right"),
+        F.array().cast("array<double>").alias("value"),
+        "n_usable", "n_train", (F.col("n_usable") - F.col("n_train")).alias("n_holdout"),
+        F.when(ok, F.col("_mae")).alias("holdout_mae"),
+        F.when(ok, F.lit("ok")).otherwise(F.lit("insufficient_history")).alias("status"))
+
+    # --- items with room for splits: the kernel, one Arrow table per item
+    arrow_schema = _arrow_schema(DENSE_FIT_SCHEMA)
+
+    def fit_item(tbl):
+        import pyarrow as pa
+        order = np.argsort(tbl.column("pos").to_numpy(), kind="stable")
+        col = (lambda c: tbl.column(c).to_numpy(zero_copy_only=False)[order])
+        nsn = tbl.column("nsn")[0].as_py()
+        X = np.column_stack([col(c).astype(np.float64) for c in feats])
+        y = col("target").astype(np.float64)
+        train = col("is_train").astype(bool)
+        n_usable, n_train = int(col("n_usable")[0]), int(col("n_train")[0])
         model = B.fit(X[train], y[train], **params)
+        mae = None
         if (~train).any():
-            pred = B.predict(model, X[~train])
-            row["holdout_mae"] = float(np.mean(np.abs(y[~train] - pred)))
-        row.update(model.to_row(nsn), status="ok")
-        return pd.DataFrame([row])
+            mae = float(np.mean(np.abs(y[~train] - B.predict(model, X[~train]))))
+        row = dict(nsn=nsn, n_usable=n_usable, n_train=n_train, n_holdout=n_usable - n_train,
+                   holdout_mae=mae, status="ok", **model.to_row(nsn))
+        return pa.Table.from_pylist([row], schema=arrow_schema)
 
     cols = ["nsn", "pos", "n_usable", "n_train", "is_train", *feats, "target"]
-    return (split_features.select(*cols).groupBy("nsn")
-            .applyInPandas(fit_item, DENSE_FIT_SCHEMA))
+    boosted = (split_features.where(enough & can_split).select(*cols).groupBy("nsn")
+               .applyInArrow(fit_item, DENSE_FIT_SCHEMA))
+    return simple.select(*DENSE_FIT_SCHEMA.fieldNames()).unionByName(boosted)
 
 
 def model_table(fits: DataFrame) -> DataFrame:
