@@ -59,6 +59,13 @@ def map_bins(X: np.ndarray, thresholds: list[np.ndarray], missing_bin: int) -> n
     return out
 
 
+def split_threshold(thresholds: list[np.ndarray], feature: int, bin_idx: int) -> float:
+    """Raw-value threshold of a split at ``bin_idx``; a split after the last
+    non-missing bin separates only NaN (all values go left): +inf."""
+    thr = thresholds[feature]
+    return float(np.inf) if bin_idx >= len(thr) else float(thr[bin_idx])
+
+
 # --------------------------------------------------------------- split finder
 @dataclass
 class Split:
@@ -288,8 +295,8 @@ def _grow_tree(Xb, g, thresholds, nb_non_missing, has_missing, max_bins, *, max_
         else:
             lch, rch = children[id(nd)]
             s = nd.split
-            flat.append((s.feature, float(thresholds[s.feature][s.bin]), bool(s.missing_left),
-                         lch.nid, rch.nid, 0.0))
+            flat.append((s.feature, split_threshold(thresholds, s.feature, s.bin),
+                         bool(s.missing_left), lch.nid, rch.nid, 0.0))
     return flat, row_value
 
 

@@ -337,7 +337,8 @@ def _trees_to_model(trees, thresholds, baseline, n_trees) -> B.Model:
             leaf = nd["feature"] < 0
             cols["tree"].append(t)
             cols["feature"].append(-1 if leaf else nd["feature"])
-            cols["threshold"].append(0.0 if leaf else float(thresholds[nd["feature"]][nd["bin"]]))
+            cols["threshold"].append(0.0 if leaf else B.split_threshold(thresholds, nd["feature"],
+                                                                        nd["bin"]))
             cols["missing_left"].append(False if leaf else bool(nd["missing_left"]))
             cols["left"].append(-1 if leaf else nd["left"] + off)
             cols["right"].append(-1 if leaf else nd["right"] + off)
