@@ -176,23 +176,43 @@ def sparse_filter(frame: DataFrame, density: str = C.SPARSE_CLASS) -> DataFrame:
     return frame.where(F.col("density") == density).dropna("any", subset=C.SPARSE_FRAME_COLUMNS)
 
 
+def latest_pair(price: DataFrame) -> DataFrame:
+    """The last two observations of every item with at least two, as one row.
+
+    Ranked with ``row_number() <= 2`` so Spark keeps a per-item top-2 on the
+    map side (WindowGroupLimit) and shuffles two rows per item, not its history.
+    """
+    cols = ("date", "unit_price", "demand_quantity", "market_index", "supplier_id")
+    top = (price.select("nsn", *cols, F.row_number().over(series_window(descending=True)).alias("rk"))
+           .where(F.col("rk") <= 2))
+    pick = (lambda k: F.max(F.when(F.col("rk") == k, F.struct(*[F.col(c) for c in cols]))))
+    return (top.groupBy("nsn")
+            .agg(pick(1).alias("cur"), pick(2).alias("prev"), F.count(F.lit(1)).alias("n_top"))
+            .where(F.col("n_top") == 2)
+            .select("nsn",
+                    F.datediff("cur.date", "prev.date").alias("gap_days"),
+                    F.col("prev.unit_price").cast("double").alias("prev_price"),
+                    F.col("cur.market_index").cast("double").alias("market_index"),
+                    F.col("cur.demand_quantity").cast("double").alias("demand_quantity"),
+                    (F.col("cur.market_index") - F.col("prev.market_index")).alias("delta_market"),
+                    F.col("cur.unit_price").cast("double").alias("last_observed_price"),
+                    F.col("cur.supplier_id").alias("supplier_id"))
+            .withColumn("log_gap", F.log1p(F.col("gap_days").cast("double"))))
+
+
 def sparse_serving_features(price: DataFrame, shipping: DataFrame) -> DataFrame:
     """Latest pair of each item, scored against the rollup of its *last* supplier.
 
-    Items with fewer than two rows get ``status = 'need sparse history'``.
-    A supplier with no reports at all gets the fallback lead/expedite values;
-    a supplier whose latest reports are null keeps NULL.
+    Items with fewer than two rows have no row (the request layer reports
+    ``need sparse history``). A supplier with no reports at all gets the
+    fallback lead/expedite values; a supplier whose latest reports are null
+    keeps NULL.
     """
-    pairs = price_pairs(price)
-    latest = (pairs.where(F.col("rn") == F.col("n_obs"))
-              .select("nsn", "gap_days", "log_gap", "prev_price", "market_index",
-                      F.col("demand_quantity").cast("double").alias("demand_quantity"),
-                      "delta_market", F.col("target_price").alias("last_observed_price"),
-                      F.col("cur_supplier_id").alias("supplier_id")))
+    latest = latest_pair(price)
     rollup = supplier_rollup(shipping)
     j = latest.join(rollup, "supplier_id", "left")
     has_reports = F.col("n_reports").isNotNull()
-    feats = j.select(
+    return j.select(
         "nsn", "supplier_id", "gap_days", "log_gap", "prev_price", "market_index",
         "demand_quantity", "delta_market",
         F.when(has_reports, F.col("supplier_avg_lead_3m"))
@@ -200,7 +220,6 @@ def sparse_serving_features(price: DataFrame, shipping: DataFrame) -> DataFrame:
         F.when(has_reports, F.col("supplier_expedite_3m"))
          .otherwise(F.lit(C.SERVE_DEFAULT_EXPEDITE)).alias("supplier_expedite_3m"),
         "last_observed_price")
-    return feats
 
 
 def min_history_status(price: DataFrame, n_lags: int = C.N_LAGS) -> DataFrame:

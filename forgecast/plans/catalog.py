@@ -35,6 +35,13 @@ def _tables(spark: SparkSession, sf_dir: str):
     return A.load_driver_tables(spark, sf_dir)
 
 
+def _stored(spark: SparkSession, sf_dir: str):
+    """Derived tables written once, bucketed by their keys (many-consumer plans)."""
+    ensure_workers_can_import(spark)
+    ensure_checkpoint_dir(spark)
+    return A.store_driver_tables(spark, sf_dir)
+
+
 def _orders(spark, sf_dir):
     return A.read_driver_table(spark, sf_dir, "orders")
 
@@ -155,7 +162,7 @@ def sparse_serving_features(spark, sf_dir):
 
 def sparse_fit_score(spark, sf_dir):
     """Pooled model fitted on the sparse class, scoring every item's latest pair (rows only)."""
-    price, ship = _tables(spark, sf_dir)
+    price, ship = _stored(spark, sf_dir)
     res = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship))
     feats = FE.sparse_serving_features(price, ship)
     return score_pooled(feats, res.model, list(C.SPARSE_FEATURES), "forecast_next_purchase_price"
@@ -199,7 +206,7 @@ def requests_per_action(spark, sf_dir):
 
 
 def dense_request_forecast(spark, sf_dir):
-    price, _ = _tables(spark, sf_dir)
+    price, _ = _stored(spark, sf_dir)
     models = TR.model_table(_fits(price))
     routed = SV.route_requests(_requests(spark, sf_dir), price, models)
     d = SV.dense_responses(routed, price, models)
@@ -223,7 +230,7 @@ def health(spark, sf_dir):
 
 def responses(spark, sf_dir):
     """Full response table (dense, sparse, health, errors) for the request batch (rows only)."""
-    price, ship = _tables(spark, sf_dir)
+    price, ship = _stored(spark, sf_dir)
     models = TR.model_table(_fits(price))
     pooled = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship))
     return SV.respond(_requests(spark, sf_dir), price, ship, models, pooled.model)
@@ -231,14 +238,14 @@ def responses(spark, sf_dir):
 
 # -------------------------------------------------------------- runs
 def run_summary(spark, sf_dir):
-    price, ship = _tables(spark, sf_dir)
+    price, ship = _stored(spark, sf_dir)
     out = scratch_path(spark, f"models-{uuid.uuid4().hex}")
     s = TP.run_training(spark, price, ship, out, log_runs=False)
     return TP.summary_df(spark, s)
 
 
 def run_compare(spark, sf_dir):
-    price, ship = _tables(spark, sf_dir)
+    price, ship = _stored(spark, sf_dir)
     out = scratch_path(spark, f"runs-{uuid.uuid4().hex}")
     for label in C.EXPERIMENT_LABELS:
         TP.run_training(spark, price, ship, os.path.join(out, label), experiment_name=label,
@@ -250,7 +257,7 @@ def run_compare(spark, sf_dir):
 
 def stream_scoring(spark, sf_dir):
     from ..streaming.scoring import request_stream_from_orders, score_stream
-    price, ship = _tables(spark, sf_dir)
+    price, ship = _stored(spark, sf_dir)
     models = TR.model_table(_fits(price))
     pooled = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship))
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
