@@ -152,4 +152,5 @@ def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models:
         "gap_days_between_last_observations",
         F.when(is_health, F.lit("ok")).alias("status"),
         F.when(is_health, F.lit(bool(models_loaded))).alias("models_loaded"),
-        "error")
+        "error",
+        F.current_timestamp().alias("prediction_timestamp"))

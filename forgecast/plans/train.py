@@ -158,3 +158,25 @@ def compare_runs(history: DataFrame) -> DataFrame:
     return (metrics.groupBy("run_name")
             .pivot("key", ["dense_gbm_mae_holdout", "sparse_gbm_mae_holdout"])
             .agg(F.first(F.col("value").cast("double"))))
+
+
+def load_models(spark: SparkSession, models_dir: str) -> tuple[DataFrame, Model]:
+    """Read both persisted models: the per-item model table (fitted items only)
+    and the pooled model (one bounded row)."""
+    dense = (spark.read.parquet(os.path.join(models_dir, "dense_gbm"))
+             .where(F.col("status") == "ok").select(*TR.MODEL_COLUMNS))
+    row = spark.read.parquet(os.path.join(models_dir, "sparse_gbm")).first()
+    if row is None:
+        raise ValueError(f"no pooled model under {models_dir}")
+    return dense, Model.from_row(row.asDict())
+
+
+def health_from_dir(spark: SparkSession, models_dir: str) -> DataFrame:
+    """Load the models first; a missing or empty model folder is an error row."""
+    try:
+        dense, _ = load_models(spark, models_dir)
+        loaded, err = not dense.isEmpty(), None
+    except Exception as e:  # a health check reports, it does not raise
+        loaded, err = False, str(e)
+    return spark.createDataFrame([("ok" if err is None else None, loaded, err)],
+                                 "status string, models_loaded boolean, error string")

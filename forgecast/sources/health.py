@@ -36,3 +36,11 @@ def table_row_counts(spark: SparkSession, database: str = C.DEFAULT_DATABASE) ->
 def zero_diagnostics(spark: SparkSession, database: str = C.DEFAULT_DATABASE) -> DataFrame:
     """``SHOW TABLES IN db`` (used when every count is zero)."""
     return spark.sql(f"SHOW TABLES IN {database}")
+
+
+def check_tables(spark: SparkSession, database: str = C.DEFAULT_DATABASE
+                 ) -> tuple[DataFrame, DataFrame | None]:
+    """Row counts, plus the database listing when every count is zero."""
+    counts = table_row_counts(spark, database)
+    total = counts.agg(F.sum("row_count")).first()[0] or 0
+    return counts, (zero_diagnostics(spark, database) if total == 0 else None)

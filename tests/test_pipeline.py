@@ -112,3 +112,21 @@ def test_run_training_writes_all_sinks(spark, price, ship, tmp_path):
     assert cmp.run_name == "baseline"
     with pytest.raises(ValueError, match="No rows for dense NSN"):
         TP.run_training(spark, price, ship, out, dense_nsn="nope")
+
+
+def test_models_round_trip_and_health(spark, price, ship, tmp_path):
+    out = str(tmp_path / "m")
+    TP.run_training(spark, price, ship, out, log_runs=False)
+    dense, pooled = TP.load_models(spark, out)
+    assert dense.count() == 1 and len(pooled.tree) > 0
+    h = TP.health_from_dir(spark, out).first()
+    assert h.status == "ok" and h.models_loaded
+    bad = TP.health_from_dir(spark, str(tmp_path / "missing")).first()
+    assert bad.status is None and not bad.models_loaded and bad.error
+
+
+def test_table_check_lists_database_when_empty(spark):
+    from forgecast.sources import health
+    spark.sql("CREATE DATABASE IF NOT EXISTS forgecast_empty_db")
+    counts, listing = health.check_tables(spark, "forgecast_empty_db")
+    assert {r.row_count for r in counts.collect()} == {0} and listing is not None
