@@ -42,6 +42,16 @@ def _stored(spark: SparkSession, sf_dir: str):
     return A.store_driver_tables(spark, sf_dir)
 
 
+def _trained(spark: SparkSession, sf_dir: str, pooled: bool = True):
+    """Stored tables plus models fitted once: the per-item model table is
+    written (bucketed by item) before any serving branch reads it."""
+    from ..sources.storage import store_table
+    price, ship = _stored(spark, sf_dir)
+    models = store_table(TR.model_table(_fits(price)), "dense_models", "model_key")
+    model = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship)).model if pooled else None
+    return price, ship, models, model
+
+
 def _orders(spark, sf_dir):
     return A.read_driver_table(spark, sf_dir, "orders")
 
@@ -206,8 +216,7 @@ def requests_per_action(spark, sf_dir):
 
 
 def dense_request_forecast(spark, sf_dir):
-    price, _ = _stored(spark, sf_dir)
-    models = TR.model_table(_fits(price))
+    price, _, models, _ = _trained(spark, sf_dir, pooled=False)
     routed = SV.route_requests(_requests(spark, sf_dir), price, models)
     d = SV.dense_responses(routed, price, models)
     return (d.select("request_id", "nsn", F.explode("forecast").alias("s"))
@@ -230,10 +239,8 @@ def health(spark, sf_dir):
 
 def responses(spark, sf_dir):
     """Full response table (dense, sparse, health, errors) for the request batch (rows only)."""
-    price, ship = _stored(spark, sf_dir)
-    models = TR.model_table(_fits(price))
-    pooled = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship))
-    return SV.respond(_requests(spark, sf_dir), price, ship, models, pooled.model)
+    price, ship, models, pooled = _trained(spark, sf_dir)
+    return SV.respond(_requests(spark, sf_dir), price, ship, models, pooled)
 
 
 # -------------------------------------------------------------- runs
@@ -257,11 +264,9 @@ def run_compare(spark, sf_dir):
 
 def stream_scoring(spark, sf_dir):
     from ..streaming.scoring import request_stream_from_orders, score_stream
-    price, ship = _stored(spark, sf_dir)
-    models = TR.model_table(_fits(price))
-    pooled = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship))
+    price, ship, models, pooled = _trained(spark, sf_dir)
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    q = score_stream(request_stream_from_orders(spark, sf_dir), price, ship, models, pooled.model,
+    q = score_stream(request_stream_from_orders(spark, sf_dir), price, ship, models, pooled,
                      os.path.join(base, "sink"), os.path.join(base, "checkpoint"))
     q.awaitTermination()
     return spark.read.parquet(os.path.join(base, "sink"))
