@@ -130,3 +130,28 @@ def test_table_check_lists_database_when_empty(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS forgecast_empty_db")
     counts, listing = health.check_tables(spark, "forgecast_empty_db")
     assert {r.row_count for r in counts.collect()} == {0} and listing is not None
+
+
+def test_all_items_restricted_to_one_equals_single_item_run(spark, price):
+    everything = {r.nsn: r for r in TP.dense_fits(price).collect()}
+    alone = TP.dense_fits(price.where(F.col("nsn") == C.DENSE_DEMO_NSN)).first()
+    assert everything[C.DENSE_DEMO_NSN].asDict() == alone.asDict()
+
+
+def test_arrow_fit_path_equals_kernel_on_same_rows(spark):
+    import numpy as np
+    from forgecast.operators import boosting as B
+    rng = np.random.default_rng(11)
+    n = 90
+    prices = 50 + np.cumsum(rng.normal(size=n))
+    rows = [("K", str(dt.date(2019, 1, 1) + dt.timedelta(days=7 * i)), float(prices[i]), 5 + i % 9,
+             1.0 + 0.001 * i, "S1", C.DENSE_CLASS) for i in range(n)]
+    p = make_price(spark, rows)
+    fit = TP.dense_fits(p).first()
+    feats = FE.dense_split(FE.dense_lag_features(p)).orderBy("pos").toPandas()
+    X = feats[C.DENSE_FEATURES].to_numpy(np.float64)
+    y = feats["target"].to_numpy(np.float64)
+    tr = feats["is_train"].to_numpy(bool)
+    m = B.fit(X[tr], y[tr], **C.DENSE_PARAMS)
+    assert fit.holdout_mae == float(np.mean(np.abs(y[~tr] - B.predict(m, X[~tr]))))
+    assert list(fit.value) == m.value.tolist()
