@@ -75,3 +75,26 @@ def ensure_workers_can_import(spark: SparkSession) -> None:
     parts = [p for p in cur.split(os.pathsep) if p]
     if _PKG_ROOT not in parts:
         sc.environment["PYTHONPATH"] = os.pathsep.join([_PKG_ROOT, *parts])
+
+
+def recommended_cluster_conf(shuffle_bytes: float, cores: int,
+                             target_partition_bytes: float = 256 * 1024 ** 2) -> dict[str, str]:
+    """Starting configuration for a cluster run, sized from the expected
+    largest shuffle (bytes) and the executor cores.
+
+    Shuffle partitions are sized so a partition is about ``target_partition_bytes``
+    (and at least 2 waves of tasks); AQE coalesces small ones and splits skewed
+    join partitions at run time.
+    """
+    parts = max(2 * cores, int(shuffle_bytes // target_partition_bytes) + 1)
+    mb = int(target_partition_bytes // 1024 ** 2)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{mb}m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": f"{mb}m",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.sql.session.timeZone": "UTC",
+    }
