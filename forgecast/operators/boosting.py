@@ -300,46 +300,106 @@ def _grow_tree(Xb, g, thresholds, nb_non_missing, has_missing, max_bins, *, max_
     return flat, row_value
 
 
+def validation_split(n: int, seed: int, fraction: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """(train, validation) row indices: a permutation drawn from ``seed``; the
+    first ``ceil(fraction * n)`` rows of it validate, the rest train."""
+    n_val = int(np.ceil(fraction * n))
+    perm = np.random.RandomState(seed).permutation(n)
+    return perm[n_val:], perm[:n_val]
+
+
+def derived_seed(random_state: int) -> int:
+    """The seed used for the validation split and the binning subsample."""
+    return int(np.random.RandomState(random_state).randint(np.iinfo(np.uint32).max, dtype="u8"))
+
+
+def should_stop(scores: list[float], n_iter_no_change: int, tol: float) -> bool:
+    """Stop when none of the last ``n_iter_no_change`` scores beats the score
+    just before them by more than ``tol`` (scores: higher is better)."""
+    ref_pos = n_iter_no_change + 1
+    if len(scores) < ref_pos:
+        return False
+    ref = scores[-ref_pos] + tol
+    return not any(sc > ref for sc in scores[-n_iter_no_change:])
+
+
+def _half_squared(y: np.ndarray, raw: np.ndarray) -> float:
+    return float(np.mean(0.5 * (raw - y) ** 2))
+
+
 def fit(X: np.ndarray, y: np.ndarray, *, max_depth=None, learning_rate=0.1, max_iter=100,
-        min_samples_leaf=20, l2_regularization=0.0, max_leaf_nodes=31, max_bins=255) -> Model:
-    """Fit a boosted regressor on a (rows x features) float matrix."""
+        min_samples_leaf=20, l2_regularization=0.0, max_leaf_nodes=31, max_bins=255,
+        early_stopping="auto", validation_fraction=0.1, n_iter_no_change=10, tol=1e-7,
+        random_state=42, subsample_rows=200_000) -> Model:
+    """Fit a boosted regressor on a (rows x features) float matrix.
+
+    ``early_stopping="auto"`` turns on above 10,000 rows: a validation part
+    (``validation_fraction``) is held out and boosting stops once the
+    validation loss has not improved by ``tol`` for ``n_iter_no_change`` rounds.
+    Bin thresholds come from at most ``subsample_rows`` training rows.
+    """
     X = np.asarray(X, dtype=np.float64)
     y = np.asarray(y, dtype=np.float64)
-    n = X.shape[0]
-    if n == 0:
+    n_all = X.shape[0]
+    if n_all == 0:
         raise ValueError("no training rows")
+    seed = derived_seed(random_state)
+    do_es = (n_all > 10_000) if early_stopping == "auto" else bool(early_stopping)
+    X_val = y_val = None
+    if do_es:
+        tr, va = validation_split(n_all, seed, validation_fraction)
+        X, y, X_val, y_val = X[tr], y[tr], X[va], y[va]
+    n = X.shape[0]
     baseline = float(np.mean(y))
     params = dict(max_depth=max_depth, learning_rate=learning_rate,
                   min_samples_leaf=min_samples_leaf, l2_regularization=l2_regularization,
                   max_leaf_nodes=max_leaf_nodes)
-    model = Model(baseline, max_iter)
     if n < 2 * min_samples_leaf:
-        return model  # every tree is a single leaf of value 0
-    thresholds = [bin_thresholds(X[:, j], max_bins) for j in range(X.shape[1])]
+        return Model(baseline, max_iter)  # every tree is a single leaf of value 0
+    Xs = X
+    if n > subsample_rows:
+        Xs = X[np.random.RandomState(seed).choice(n, subsample_rows, replace=False)]
+    thresholds = [bin_thresholds(Xs[:, j], max_bins) for j in range(X.shape[1])]
     Xb = map_bins(X, thresholds, max_bins)
     nb_non_missing = np.array([len(t) + 1 for t in thresholds])
     has_missing = np.isnan(X).any(axis=0)
     raw = np.full(n, baseline, dtype=np.float64)
+    raw_val = None if X_val is None else np.full(len(y_val), baseline, dtype=np.float64)
+    scores = [] if raw_val is None else [-_half_squared(y_val, raw_val)]
     cols = {k: [] for k in ("tree", "feature", "threshold", "missing_left", "left", "right", "value")}
     offset = 0
+    n_iter = 0
     for it in range(max_iter):
+        n_iter = it + 1
         g = (raw - y).astype(G_DTYPE)
         flat, row_value = _grow_tree(Xb, g, thresholds, nb_non_missing, has_missing, max_bins,
                                      **params)
         raw += row_value
-        if len(flat) == 1 and flat[0][5] == 0.0:
-            continue  # a lone zero leaf adds nothing
-        for (f, thr, ml, lc, rc, v) in flat:
-            cols["tree"].append(it)
-            cols["feature"].append(f)
-            cols["threshold"].append(thr)
-            cols["missing_left"].append(ml)
-            cols["left"].append(lc + offset if lc >= 0 else -1)
-            cols["right"].append(rc + offset if rc >= 0 else -1)
-            cols["value"].append(v)
-        offset += len(flat)
-    return Model(baseline, max_iter,
+        if not (len(flat) == 1 and flat[0][5] == 0.0):  # a lone zero leaf adds nothing
+            for (f, thr, ml, lc, rc, v) in flat:
+                cols["tree"].append(it)
+                cols["feature"].append(f)
+                cols["threshold"].append(thr)
+                cols["missing_left"].append(ml)
+                cols["left"].append(lc + offset if lc >= 0 else -1)
+                cols["right"].append(rc + offset if rc >= 0 else -1)
+                cols["value"].append(v)
+            if raw_val is not None:
+                raw_val += predict(_single_tree(flat), X_val)
+            offset += len(flat)
+        if raw_val is not None:
+            scores.append(-_half_squared(y_val, raw_val))
+            if should_stop(scores, n_iter_no_change, tol):
+                break
+    return Model(baseline, n_iter,
                  np.asarray(cols["tree"], np.int32), np.asarray(cols["feature"], np.int32),
                  np.asarray(cols["threshold"], np.float64), np.asarray(cols["missing_left"], bool),
                  np.asarray(cols["left"], np.int32), np.asarray(cols["right"], np.int32),
                  np.asarray(cols["value"], np.float64))
+
+
+def _single_tree(flat) -> Model:
+    """One grown tree as a zero-baseline model (for incremental validation scores)."""
+    f, thr, ml, lc, rc, v = (np.asarray(c) for c in zip(*flat))
+    return Model(0.0, 1, np.zeros(len(flat), np.int32), f.astype(np.int32), thr.astype(np.float64),
+                 ml.astype(bool), lc.astype(np.int32), rc.astype(np.int32), v.astype(np.float64))

@@ -139,7 +139,7 @@ def fit_pooled(train: DataFrame, features: list[str], target: str, order_col: st
     if n == 0:
         raise ValueError("no training rows")
     if n > local_max_rows:
-        return fit_distributed(train, features, target, params)
+        return fit_distributed(train, features, target, params, order_col=order_col)
 
     def fit_all(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order_col, kind="stable")
@@ -155,7 +155,9 @@ def fit_pooled(train: DataFrame, features: list[str], target: str, order_col: st
 
 # ------------------------------------------------------- distributed trainer
 def fit_distributed(train: DataFrame, features: list[str], target: str, params: dict,
-                    sample_rows: int = 200_000, seed: int = 42) -> B.Model:
+                    sample_rows: int = 200_000, seed: int = 42, order_col: str | None = None,
+                    early_stopping="auto", validation_fraction: float = 0.1,
+                    n_iter_no_change: int = 10, tol: float = 1e-7) -> B.Model:
     """Histogram boosting with Spark doing the per-row work.
 
     * bin thresholds from at most ``sample_rows`` rows, one grouped task per
@@ -164,6 +166,9 @@ def fit_distributed(train: DataFrame, features: list[str], target: str, params:
       (node, feature, bin) -> (sum of gradients, count) histograms, summed by a
       ``groupBy``; the driver only sees nodes x features x bins numbers;
     * after each tree, per-row predictions are updated and checkpointed.
+    * early stopping (above 10,000 rows with ``"auto"``): the first
+      ``ceil(validation_fraction * n)`` rows in a seeded hash order validate;
+      their loss is one aggregation per round on the checkpointed state.
 
     Nodes are split level by level. This equals best-first growth while
     ``2 ** max_depth <= max_leaf_nodes`` (no leaf cap can bind), which is
@@ -179,8 +184,21 @@ def fit_distributed(train: DataFrame, features: list[str], target: str, params:
     p = len(features)
     spark = train.sparkSession
 
-    base = train.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)],
-                        F.col(target).cast("double").alias("y"))
+    n_all = train.count()
+    do_es = (n_all > 10_000) if early_stopping == "auto" else bool(early_stopping)
+    key = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    rows = train.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)],
+                        F.col(target).cast("double").alias("y"), key.alias("_key"))
+    if do_es:
+        from .splits import global_positions
+        n_val = int(np.ceil(validation_fraction * n_all))
+        ranked = global_positions(rows.withColumn("_h", F.xxhash64(F.col("_key"), F.lit(seed))),
+                                  [F.col("_h"), F.col("_key")], name="_vpos")
+        rows = ranked.withColumn("is_val", F.col("_vpos") < n_val).drop("_h", "_vpos", "n_total")
+    else:
+        rows = rows.withColumn("is_val", F.lit(False))
+    rows = rows.drop("_key")
+    base = rows.where(~F.col("is_val"))
     n = base.count()
     stats = base.agg(F.avg("y").alias("mean"),
                      *[F.max(F.isnan(f"x{j}") | F.col(f"x{j}").isNull()).alias(f"m{j}")
@@ -210,13 +228,20 @@ def fit_distributed(train: DataFrame, features: list[str], target: str, params:
             out = pd.DataFrame({f"b{j}": Xb[:, j] for j in range(p)})
             out["y"] = pdf["y"].to_numpy(np.float64)
             out["raw"] = baseline
+            out["is_val"] = pdf["is_val"].to_numpy(bool)
             yield out
 
-    bin_schema = ", ".join([f"b{j} int" for j in range(p)] + ["y double", "raw double"])
-    state = cut_lineage(base.mapInPandas(bin_fn, bin_schema))
+    bin_schema = ", ".join([f"b{j} int" for j in range(p)]
+                           + ["y double", "raw double", "is_val boolean"])
+    state = cut_lineage(rows.mapInPandas(bin_fn, bin_schema))
+    val_loss = (lambda st: st.where("is_val").agg(
+        F.avg(0.5 * (F.col("raw") - F.col("y")) ** 2)).first()[0])
+    scores = [-val_loss(state)] if do_es else []
+    n_iter = 0
 
     all_trees = []
     for it_no in range(params["max_iter"]):
+        n_iter = it_no + 1
         # nodes of the tree being grown: dicts with split info; rows are routed
         # by walking the splits made so far
         nodes = [dict(g=None, h=None, n=None, value=0.0, depth=0, feature=-1, bin=-1,
@@ -229,6 +254,9 @@ def fit_distributed(train: DataFrame, features: list[str], target: str, params:
 
             def hist_fn(it, tree=tree_snapshot, want=want):
                 for pdf in it:
+                    pdf = pdf[~pdf["is_val"].to_numpy(bool)]
+                    if pdf.empty:
+                        continue
                     Xb = pdf[[f"b{j}" for j in range(p)]].to_numpy(np.int64)
                     g = (pdf["raw"].to_numpy(np.float64) - pdf["y"].to_numpy(np.float64)
                          ).astype(B.G_DTYPE).astype(np.float64)
@@ -291,6 +319,10 @@ def fit_distributed(train: DataFrame, features: list[str], target: str, params:
                 nd["value"] = lr * nd["value"] if nd is not nodes[0] else 0.0
         all_trees.append(nodes)
         if len(nodes) == 1:
+            if do_es:
+                scores.append(scores[-1])
+                if B.should_stop(scores, n_iter_no_change, tol):
+                    break
             continue
         tree_final = _tree_arrays(nodes)
 
@@ -303,7 +335,11 @@ def fit_distributed(train: DataFrame, features: list[str], target: str, params:
                 yield pdf
 
         state = cut_lineage(state.mapInPandas(upd_fn, state.schema))
-    return _trees_to_model(all_trees, thresholds, baseline, params["max_iter"])
+        if do_es:
+            scores.append(-val_loss(state))
+            if B.should_stop(scores, n_iter_no_change, tol):
+                break
+    return _trees_to_model(all_trees, thresholds, baseline, n_iter)
 
 
 def _tree_arrays(nodes) -> dict:

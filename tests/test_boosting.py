@@ -109,3 +109,41 @@ def test_distributed_trainer_equals_local_kernel(spark, with_missing):
     dist = fit_distributed(spark.createDataFrame(pdf).repartition(3), ["a", "b", "c"], "y", params)
     Xt = rng.normal(size=(50, 3))
     np.testing.assert_allclose(B.predict(dist, Xt), B.predict(local, Xt), rtol=1e-9, atol=1e-9)
+
+
+def test_should_stop_rule():
+    assert not B.should_stop([1, 2, 3], 10, 1e-7)
+    flat = [0.0] + [1.0] * 11
+    assert B.should_stop(flat, 10, 1e-7)
+    assert not B.should_stop(flat[:-1] + [1.5], 10, 1e-7)
+
+
+def test_validation_split_sizes_and_determinism():
+    tr, va = B.validation_split(10_001, B.derived_seed(42))
+    assert len(va) == 1001 and len(tr) == 9000 and len(set(tr) | set(va)) == 10_001
+    tr2, va2 = B.validation_split(10_001, B.derived_seed(42))
+    assert np.array_equal(va, va2)
+
+
+def test_auto_early_stopping_above_ten_thousand_rows():
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(12_000, 3))
+    y = X[:, 0] + rng.normal(scale=2.0, size=len(X))  # mostly noise: validation loss plateaus
+    params = dict(C.SPARSE_PARAMS)
+    m = B.fit(X, y, **params)
+    assert 11 <= m.n_trees < params["max_iter"]
+    small = B.fit(X[:500], y[:500], **params)
+    assert small.n_trees == params["max_iter"]  # no early stopping at 500 rows
+
+
+def test_distributed_trainer_early_stops(spark):
+    from forgecast.operators.training import fit_distributed
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(400, 2))
+    y = 0.1 * X[:, 0] + rng.normal(scale=3.0, size=400)
+    pdf = pd.DataFrame({"a": X[:, 0], "b": X[:, 1], "y": y, "pos": np.arange(400)})
+    params = dict(max_depth=2, learning_rate=0.3, max_iter=25, min_samples_leaf=20,
+                  l2_regularization=0.0, max_leaf_nodes=31, max_bins=255)
+    m = fit_distributed(spark.createDataFrame(pdf), ["a", "b"], "y", params, order_col="pos",
+                        early_stopping=True, n_iter_no_change=3)
+    assert m.n_trees < 25
