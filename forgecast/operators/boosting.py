@@ -87,58 +87,59 @@ def find_split(hist_g: np.ndarray, hist_n: np.ndarray, g_node: float, h_node: fl
                has_missing: np.ndarray, min_samples_leaf: int, l2: float) -> Split | None:
     """Best split of one node from its (features x bins) gradient / count histograms.
 
-    Features are scanned in order and bins left to right (missing values to the
-    right); features with missing values are also scanned right to left
-    (missing values to the left). Only a strictly larger gain replaces the best.
+    Bins are scanned left to right (missing values to the right) for all
+    features at once; features with missing values are also scanned right to
+    left (missing values to the left). Within a feature the first best bin
+    wins, a right-to-left candidate only if strictly better, and across
+    features the first feature with the largest gain.
     """
+    p, nbins = hist_g.shape
     loss_node = g_node * value_node
+    nb = np.asarray(n_bins_non_missing, dtype=np.int64)
+    miss = np.asarray(has_missing, dtype=bool)
+    # left to right, all features: prefix sums along the bins
+    gl = np.cumsum(hist_g, axis=1)
+    nl = np.cumsum(hist_n, axis=1)
+    hl = nl.astype(np.float64)
+    nr, hr, gr = n_node - nl, h_node - hl, g_node - gl
+    end = nb - 1 + miss
+    ok = ((np.arange(nbins)[None, :] < end[:, None])
+          & (nl >= min_samples_leaf) & (nr >= min_samples_leaf)
+          & (hl >= MIN_HESSIAN_TO_SPLIT) & (hr >= MIN_HESSIAN_TO_SPLIT))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = loss_node - gl * _node_value(gl, hl, l2) - gr * _node_value(gr, hr, l2)
+    gain = np.where(ok & (gain > 0), gain, -np.inf)
+    fbin = np.argmax(gain, axis=1)
+    rows = np.arange(p)
+    fgain = gain[rows, fbin]
+    cand = [None] * p
+    for j in np.flatnonzero(fgain > -1.0):
+        b = int(fbin[j])
+        cand[j] = Split(float(fgain[j]), int(j), b, False, float(gl[j, b]), float(hl[j, b]),
+                        int(nl[j, b]))
+    # right to left for features with missing values: bins nb-1 .. 1 go right
+    for j in np.flatnonzero(miss & (nb >= 2)):
+        k = int(nb[j])
+        idx = np.arange(k - 2, -1, -1)
+        grr = np.cumsum(hist_g[j, idx + 1])
+        nrr = np.cumsum(hist_n[j, idx + 1])
+        hrr = nrr.astype(np.float64)
+        nll, hll, gll = n_node - nrr, h_node - hrr, g_node - grr
+        okr = ((nll >= min_samples_leaf) & (nrr >= min_samples_leaf)
+               & (hll >= MIN_HESSIAN_TO_SPLIT) & (hrr >= MIN_HESSIAN_TO_SPLIT))
+        if not okr.any():
+            continue
+        gr_ = loss_node - gll * _node_value(gll, hll, l2) - grr * _node_value(grr, hrr, l2)
+        gr_ = np.where(okr & (gr_ > 0), gr_, -np.inf)
+        t = int(np.argmax(gr_))
+        best_j = cand[j].gain if cand[j] is not None else -1.0
+        if gr_[t] > best_j:
+            cand[j] = Split(float(gr_[t]), int(j), int(idx[t]), True, float(gll[t]), float(hll[t]),
+                            int(nll[t]))
     best: Split | None = None
-    best_gain = -1.0
-    for j in range(hist_g.shape[0]):
-        nb = int(n_bins_non_missing[j])
-        miss = bool(has_missing[j])
-        fbest_gain = -1.0
-        fbest = None
-        # left to right
-        end = nb - 1 + (1 if miss else 0)
-        if end > 0:
-            gl = np.cumsum(hist_g[j, :end])
-            nl = np.cumsum(hist_n[j, :end])
-            hl = nl.astype(np.float64)
-            nr = n_node - nl
-            hr = h_node - hl
-            gr = g_node - gl
-            ok = ((nl >= min_samples_leaf) & (nr >= min_samples_leaf)
-                  & (hl >= MIN_HESSIAN_TO_SPLIT) & (hr >= MIN_HESSIAN_TO_SPLIT))
-            if ok.any():
-                gain = loss_node - gl * _node_value(gl, hl, l2) - gr * _node_value(gr, hr, l2)
-                gain = np.where(ok & (gain > 0), gain, -np.inf)
-                b = int(np.argmax(gain))
-                if gain[b] > fbest_gain:
-                    fbest_gain = float(gain[b])
-                    fbest = Split(fbest_gain, j, b, False, float(gl[b]), float(hl[b]), int(nl[b]))
-        if miss and nb >= 2:
-            # right to left: bins nb-1 .. 1 accumulate into the right child
-            idx = np.arange(nb - 2, -1, -1)
-            gr = np.cumsum(hist_g[j, idx + 1])
-            nr = np.cumsum(hist_n[j, idx + 1])
-            hr = nr.astype(np.float64)
-            nl = n_node - nr
-            hl = h_node - hr
-            gl = g_node - gr
-            ok = ((nl >= min_samples_leaf) & (nr >= min_samples_leaf)
-                  & (hl >= MIN_HESSIAN_TO_SPLIT) & (hr >= MIN_HESSIAN_TO_SPLIT))
-            if ok.any():
-                gain = loss_node - gl * _node_value(gl, hl, l2) - gr * _node_value(gr, hr, l2)
-                gain = np.where(ok & (gain > 0), gain, -np.inf)
-                k = int(np.argmax(gain))
-                if gain[k] > fbest_gain:
-                    fbest_gain = float(gain[k])
-                    fbest = Split(fbest_gain, j, int(idx[k]), True, float(gl[k]), float(hl[k]),
-                                  int(nl[k]))
-        if fbest is not None and fbest.gain > best_gain:
-            best_gain = fbest.gain
-            best = fbest
+    for c in cand:
+        if c is not None and c.gain > (best.gain if best is not None else -1.0):
+            best = c
     return best
 
 
