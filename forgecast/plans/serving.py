@@ -91,18 +91,21 @@ def requests_per_action(requests: DataFrame) -> DataFrame:
 
 
 def dense_responses(routed: DataFrame, price: DataFrame, models: DataFrame) -> DataFrame:
-    """nsn, model, forecast (steps in order), last_history_month per dense request."""
+    """nsn, model, forecast (steps in order), last_history_month per dense request.
+
+    The recursion runs once per requested *item*, up to the largest horizon
+    asked for it (a pre-aggregation that collapses hot items map-side); each
+    request then takes the first ``horizon`` steps, which are identical to a
+    forecast run with that horizon.
+    """
     dense = routed.where(F.col("route") == "forecast_dense").select(
         "request_id", "nsn", F.col("horizon_months").alias("horizon"))
-    state = FE.last_lag_vector(price)
+    need = dense.groupBy("nsn").agg(F.max("horizon").alias("horizon"))
+    state = FE.last_lag_vector(price).join(need, "nsn", "inner")
+    fc = recursive_forecast(state, models)
     last = FE.last_observation(price).select("nsn", "last_history_month")
-    per_req = dense.join(state, "nsn", "inner").withColumnRenamed("nsn", "item")
-    # one recursion state per request (horizons differ between requests)
-    fc = recursive_forecast(per_req.withColumnRenamed("request_id", "nsn")
-                            .select("nsn", "lags", "complete", "last_date", "last_demand",
-                                    "last_market", "horizon", "item"),
-                            models, model_on="item")
-    steps = (fc.groupBy(F.col("nsn").alias("request_id"))
+    steps = (dense.join(fc, "nsn", "inner").where(F.col("step") <= F.col("horizon"))
+             .groupBy("request_id")
              .agg(F.sort_array(F.collect_list(F.struct("step", "forecast_price",
                                                         "reference_month"))).alias("forecast")))
     return (dense.join(steps, "request_id", "left").join(last, "nsn", "left")

@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 ** 2))
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -96,5 +97,7 @@ def recommended_cluster_conf(shuffle_bytes: float, cores: int,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.files.maxPartitionBytes": f"{mb}m",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        # model arrays ride along with item rows: cap Arrow batches by bytes too
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 ** 2),
         "spark.sql.session.timeZone": "UTC",
     }
