@@ -30,10 +30,6 @@ def clean_key(c: Column) -> Column:
     return F.trim(c)
 
 
-def config_word(c: Column) -> Column:
-    return F.lower(F.trim(c))
-
-
 def price_display(c: Column) -> Column:
     """Four-decimal display of a price (missing -> 0)."""
     return F.format_string("%.4f", F.coalesce(c.cast("double"), F.lit(0.0)))

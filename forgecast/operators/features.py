@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.columns import log_gap, month_number
 
 _TIE_BREAK = ("unit_price", "demand_quantity", "market_index", "supplier_id")
 
@@ -55,7 +56,7 @@ def dense_lag_features(price: DataFrame, n_lags: int = C.N_LAGS) -> DataFrame:
         *lags,
         F.col("demand_quantity").cast("double").alias("demand_quantity"),
         F.col("market_index").cast("double").alias("market_index"),
-        F.month("date").cast("double").alias("month"),
+        month_number(F.col("date")).alias("month"),
         F.col("unit_price").cast("double").alias("target"),
     )
     return (rows.where(F.col("rn") > n_lags)
@@ -155,7 +156,7 @@ def price_pairs(price: DataFrame) -> DataFrame:
                 (F.col("market_index") - F.lag("market_index").over(w)).alias("delta_market"),
                 F.col("unit_price").cast("double").alias("target_price"))
             .where(F.col("rn") > 1)
-            .withColumn("log_gap", F.log1p(F.col("gap_days").cast("double"))))
+            .withColumn("log_gap", log_gap(F.col("gap_days"))))
 
 
 def sparse_training_frame(price: DataFrame, shipping: DataFrame) -> DataFrame:
@@ -197,7 +198,7 @@ def latest_pair(price: DataFrame) -> DataFrame:
                     (F.col("cur.market_index") - F.col("prev.market_index")).alias("delta_market"),
                     F.col("cur.unit_price").cast("double").alias("last_observed_price"),
                     F.col("cur.supplier_id").alias("supplier_id"))
-            .withColumn("log_gap", F.log1p(F.col("gap_days").cast("double"))))
+            .withColumn("log_gap", log_gap(F.col("gap_days"))))
 
 
 def sparse_serving_features(price: DataFrame, shipping: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..functions.columns import iso_date, months_after
 from .boosting import Model, predict
 
 _MODEL_COLS = ("baseline", "n_trees", "tree", "feature", "threshold", "missing_left", "left",
@@ -89,7 +90,7 @@ def model_from_pandas_row(r) -> Model:
 
 
 # ------------------------------------------------------------------- dense
-FORECAST_SCHEMA = ("nsn string, step int, forecast_price double, reference_date date")
+FORECAST_SCHEMA = ("nsn string, step int, forecast_price double, last_date date")
 
 
 def _month_after(last_month: np.ndarray, h: int) -> np.ndarray:
@@ -112,6 +113,7 @@ def _forecast_batches(it: Iterator[pd.DataFrame], n_lags: int) -> Iterator[pd.Da
         horizon = pdf["horizon"].fillna(0).to_numpy(np.int64)
         h_max = int(horizon.max()) if n else 0
         out_nsn, out_step, out_price, out_date = [], [], [], []
+        last_dates = pdf["last_date"].to_numpy()
         for h in range(1, h_max + 1):
             active = horizon >= h
             X = np.column_stack([window, demand, market, _month_after(last_month, h)])
@@ -120,12 +122,12 @@ def _forecast_batches(it: Iterator[pd.DataFrame], n_lags: int) -> Iterator[pd.Da
             out_nsn.append(pdf["nsn"].to_numpy()[idx])
             out_step.append(np.full(len(idx), h, dtype=np.int32))
             out_price.append(pred[idx])
-            out_date.append((last_date.iloc[idx] + pd.DateOffset(months=h)).dt.date.to_numpy())
+            out_date.append(last_dates[idx])
             window = np.column_stack([window[:, 1:], pred])
         if out_nsn:
             yield pd.DataFrame({"nsn": np.concatenate(out_nsn), "step": np.concatenate(out_step),
                                 "forecast_price": np.concatenate(out_price),
-                                "reference_date": np.concatenate(out_date)})
+                                "last_date": np.concatenate(out_date)})
 
 
 def recursive_forecast(state: DataFrame, models: DataFrame, horizon=C.DEFAULT_HORIZON,
@@ -146,8 +148,9 @@ def recursive_forecast(state: DataFrame, models: DataFrame, horizon=C.DEFAULT_HO
          .select("nsn", "lags", "last_date", "last_demand", "last_market", "horizon",
                  *_MODEL_COLS))
     fc = j.mapInPandas(lambda it: _forecast_batches(it, n_lags), FORECAST_SCHEMA)
+    # step h is dated h months after the fixed last date (day clamped to month end)
     return fc.select("nsn", "step", "forecast_price",
-                     F.date_format("reference_date", "yyyy-MM-dd").alias("reference_month"))
+                     iso_date(months_after(F.col("last_date"), F.col("step"))).alias("reference_month"))
 
 
 # ------------------------------------------------------------------ sparse

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.columns import clean_key, iso_date, price_display
 from ..operators import features as FE
 from ..operators.boosting import Model
 from ..operators.forecast import recursive_forecast, score_pooled
@@ -51,7 +52,7 @@ def request_defaults(requests: DataFrame) -> DataFrame:
         F.lit(C.DENSE_DEMO_NSN))
     return requests.select(
         "request_id", action.alias("action"),
-        F.coalesce(F.col("nsn"), default_nsn).alias("nsn"),
+        F.coalesce(clean_key(F.col("nsn")), default_nsn).alias("nsn"),
         F.coalesce(F.col("horizon_months").cast("int"), F.lit(C.DEFAULT_HORIZON)).alias("horizon_months"))
 
 
@@ -113,7 +114,7 @@ def dense_responses(routed: DataFrame, price: DataFrame, models: DataFrame) -> D
                     F.coalesce(F.col("forecast"), F.array().cast(
                         "array<struct<step:int,forecast_price:double,reference_month:string>>"))
                     .alias("forecast"),
-                    F.date_format("last_history_month", "yyyy-MM-dd").alias("last_history_month")))
+                    iso_date(F.col("last_history_month")).alias("last_history_month")))
 
 
 def sparse_responses(routed: DataFrame, price: DataFrame, shipping: DataFrame, model: Model
@@ -152,6 +153,7 @@ def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models:
          .alias("model"),
         "forecast", "last_history_month", "last_observed_price",
         F.col("fnp").alias("forecast_next_purchase_price"),
+        F.when(F.col("fnp").isNotNull(), price_display(F.col("fnp"))).alias("forecast_display"),
         "gap_days_between_last_observations",
         F.when(is_health, F.lit("ok")).alias("status"),
         F.when(is_health, F.lit(bool(models_loaded))).alias("models_loaded"),

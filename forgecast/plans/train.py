@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.columns import abs_error
 from ..operators import features as FE
 from ..operators import splits as SP
 from ..operators import training as TR
@@ -55,7 +56,7 @@ def sparse_pooled_fit(frame: DataFrame, density: str = C.SPARSE_CLASS,
                           "gpos", params=params, local_max_rows=local_max_rows, n_rows=n_train)
     holdout = split.where(~F.col("is_train"))
     scored = score_pooled(holdout, model, list(C.SPARSE_FEATURES))
-    mae = scored.agg(F.avg(F.abs(F.col("target_price") - F.col("prediction")))).first()[0]
+    mae = scored.agg(F.avg(abs_error(F.col("target_price"), F.col("prediction")))).first()[0]
     return PooledResult(model, n_rows, n_train, 0.0 if mae is None else float(mae), scored)
 
 
