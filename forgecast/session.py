@@ -41,7 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not d:
-        d = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="forgecast-ckpt-")
+        d = sc.getCheckpointDir()
+    if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (lineage cuts and "
+                               "intermediate tables go there)")
+        d = tempfile.mkdtemp(prefix="forgecast-ckpt-")  # local runs / tests only
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
