@@ -118,6 +118,13 @@ def dense_forecast(spark, sf_dir):
     return fc.select("nsn", "step", _r("forecast_price"), "reference_month")
 
 
+def dense_forecast_single_model(spark, sf_dir):
+    """Single-model mode: the busiest item's dense model forecasts every item."""
+    price, _ = _tables(spark, sf_dir)
+    fc = TP.single_model_forecast(price, TP.busiest_item(price))
+    return fc.select("nsn", "step", _r("forecast_price"), "reference_month")
+
+
 def forecast_chart_rows(spark, sf_dir):
     fc = _dense_forecast_long(_tables(spark, sf_dir)[0])
     nested = fc.groupBy("nsn").agg(F.sort_array(F.collect_list(
@@ -282,6 +289,7 @@ QUERIES = {
     "dense_points": dense_points,
     "dense_holdout_mae": dense_holdout_mae,
     "dense_forecast": dense_forecast,
+    "dense_forecast_single_model": dense_forecast_single_model,
     "forecast_chart_rows": forecast_chart_rows,
     "price_pairs": price_pairs,
     "supplier_rollup_3": supplier_rollup_3,

@@ -181,3 +181,23 @@ def health_from_dir(spark: SparkSession, models_dir: str) -> DataFrame:
         loaded, err = False, str(e)
     return spark.createDataFrame([("ok" if err is None else None, loaded, err)],
                                  "status string, models_loaded boolean, error string")
+
+
+def busiest_item(price: DataFrame) -> str:
+    """The item with the most observations (ties: smallest key) -- a one-row answer."""
+    row = (price.groupBy("nsn").agg(F.count(F.lit(1)).alias("n"))
+           .orderBy(F.col("n").desc(), F.col("nsn").asc()).first())
+    if row is None:
+        raise ValueError("empty price history")
+    return row["nsn"]
+
+
+def single_model_forecast(price: DataFrame, dense_nsn: str, horizon: int = C.DEFAULT_HORIZON
+                          ) -> DataFrame:
+    """Single-model mode: one dense model, fitted on ``dense_nsn`` only, forecasts
+    every item that has a full lag vector (items with fewer rows get none)."""
+    from ..operators.forecast import recursive_forecast
+    fits = dense_fits(price.where(F.col("nsn") == dense_nsn))
+    model = TR.model_table(fits)  # one row: bounded
+    state = FE.last_lag_vector(price).withColumn("_model_item", F.lit(dense_nsn))
+    return recursive_forecast(state, model, horizon=horizon, model_on="_model_item")

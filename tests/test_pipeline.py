@@ -155,3 +155,21 @@ def test_arrow_fit_path_equals_kernel_on_same_rows(spark):
     m = B.fit(X[tr], y[tr], **C.DENSE_PARAMS)
     assert fit.holdout_mae == float(np.mean(np.abs(y[~tr] - B.predict(m, X[~tr]))))
     assert list(fit.value) == m.value.tolist()
+
+
+def test_single_model_mode_scores_every_item_with_one_model(spark, price):
+    assert TP.busiest_item(price) == C.DENSE_DEMO_NSN
+    fc = TP.single_model_forecast(price, C.DENSE_DEMO_NSN).collect()
+    assert {r.nsn for r in fc} == {C.DENSE_DEMO_NSN}  # sparse items have 5 rows < 6 lags
+    assert len({r.forecast_price for r in fc}) == 1
+
+
+def test_settings_from_environment(monkeypatch):
+    from forgecast.plans import settings
+    monkeypatch.setenv("LOGISTICS_DATA_SOURCE", "csv")
+    monkeypatch.setenv("EXPERIMENT_NAME", "scenario_b")
+    monkeypatch.setenv("MLFLOW_DISABLE", "yes")
+    r, s = settings.reader_settings(), settings.run_settings()
+    assert r["source"] == "csv" and r["database"] == C.DEFAULT_DATABASE
+    assert s["run_name"] == "scenario_b" and s["experiment"] == C.DEFAULT_EXPERIMENT
+    assert TP.log_run(None, {}, "/nowhere", disabled=s["disabled"]) is False
