@@ -137,25 +137,25 @@ def health(spark, models: DataFrame | None) -> DataFrame:
 
 def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models: DataFrame,
             sparse_model: Model, models_loaded: bool = True) -> DataFrame:
-    """One response row per request (dense, sparse, health or error)."""
+    """One response row per request (dense, sparse, health or error).
+
+    Routes are disjoint and every routed request appears in its part, so the
+    parts are stacked with ``unionByName`` -- no join on the request id.
+    """
     routed = route_requests(requests, price, models)
-    d = dense_responses(routed, price, models)
-    s = sparse_responses(routed, price, shipping, sparse_model)
-    base = routed.select("request_id", "action", "route", "error")
-    out = (base.join(d.drop("nsn"), "request_id", "left")
-           .join(s.drop("nsn", "model").withColumnRenamed("forecast_next_purchase_price", "fnp"),
-                 "request_id", "left")
-           .join(routed.select("request_id", "nsn"), "request_id", "left"))
+    d = dense_responses(routed, price, models).withColumn("action", F.lit("forecast_dense"))
+    s = sparse_responses(routed, price, shipping, sparse_model).withColumn(
+        "action", F.lit("forecast_sparse"))
     is_health = F.col("route") == "health"
-    return out.select(
-        "request_id", "action", "nsn",
-        F.when(F.col("route").isin("forecast_dense", "forecast_sparse"), F.lit(C.MODEL_NAME))
-         .alias("model"),
-        "forecast", "last_history_month", "last_observed_price",
-        F.col("fnp").alias("forecast_next_purchase_price"),
-        F.when(F.col("fnp").isNotNull(), price_display(F.col("fnp"))).alias("forecast_display"),
-        "gap_days_between_last_observations",
+    other = routed.where(~F.col("route").isin("forecast_dense", "forecast_sparse")).select(
+        "request_id", "action", "nsn", "error",
         F.when(is_health, F.lit("ok")).alias("status"),
-        F.when(is_health, F.lit(bool(models_loaded))).alias("models_loaded"),
-        "error",
+        F.when(is_health, F.lit(bool(models_loaded))).alias("models_loaded"))
+    out = d.unionByName(s, allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
+    fnp = F.col("forecast_next_purchase_price")
+    return out.select(
+        "request_id", "action", "nsn", "model", "forecast", "last_history_month",
+        "last_observed_price", fnp.alias("forecast_next_purchase_price"),
+        F.when(fnp.isNotNull(), price_display(fnp)).alias("forecast_display"),
+        "gap_days_between_last_observations", "status", "models_loaded", "error",
         F.current_timestamp().alias("prediction_timestamp"))
