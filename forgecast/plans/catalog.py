@@ -48,7 +48,8 @@ def _trained(spark: SparkSession, sf_dir: str, pooled: bool = True):
     from ..sources.storage import store_table
     price, ship = _stored(spark, sf_dir)
     models = store_table(TR.model_table(_fits(price)), "dense_models", "model_key")
-    model = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship)).model if pooled else None
+    model = (TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship), holdout=False).model
+             if pooled else None)
     return price, ship, models, model
 
 
@@ -180,7 +181,7 @@ def sparse_serving_features(spark, sf_dir):
 def sparse_fit_score(spark, sf_dir):
     """Pooled model fitted on the sparse class, scoring every item's latest pair (rows only)."""
     price, ship = _stored(spark, sf_dir)
-    res = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship))
+    res = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship), holdout=False)
     feats = FE.sparse_serving_features(price, ship)
     return score_pooled(feats, res.model, list(C.SPARSE_FEATURES), "forecast_next_purchase_price"
                         ).select("nsn", "last_observed_price", "forecast_next_purchase_price")
