@@ -170,14 +170,13 @@ def fit_distributed(train: DataFrame, features: list[str], target: str, params:
       ``ceil(validation_fraction * n)`` rows in a seeded hash order validate;
       their loss is one aggregation per round on the checkpointed state.
 
-    Nodes are split level by level. This equals best-first growth while
-    ``2 ** max_depth <= max_leaf_nodes`` (no leaf cap can bind), which is
-    required here.
+    Every tree is grown level by level with all positive-gain splits, then the
+    best-first order of the single-task kernel is replayed on it (same heap,
+    same leaf cap), so the kept splits are exactly the ones best-first growth
+    would make.
     """
     max_depth = params["max_depth"]
     max_leaf = params.get("max_leaf_nodes")
-    if max_leaf is not None and 2 ** max_depth > max_leaf:
-        raise ValueError("distributed trainer needs 2**max_depth <= max_leaf_nodes")
     max_bins = params.get("max_bins", 255)
     n_bins = max_bins + 1
     msl, l2, lr = params["min_samples_leaf"], params["l2_regularization"], params["learning_rate"]
@@ -307,13 +306,14 @@ def fit_distributed(train: DataFrame, features: list[str], target: str, params:
                              depth=nd["depth"] + 1, feature=-1, bin=-1, missing_left=False,
                              left=-1, right=-1)
                 ml = s.missing_left if has_missing[s.feature] else (left["n"] > right["n"])
-                nd.update(feature=s.feature, bin=s.bin, missing_left=ml,
+                nd.update(feature=s.feature, bin=s.bin, missing_left=ml, gain=s.gain,
                           left=len(nodes), right=len(nodes) + 1)
                 nodes += [left, right]
                 if left["depth"] < max_depth:
                     next_open += [nd["left"], nd["right"]]
             open_ids = [k for k in next_open if nodes[k]["n"] >= 2 * msl]
             level += 1
+        nodes = _best_first_prune(nodes, max_leaf, max_depth, msl)
         for nd in nodes:
             if nd["feature"] < 0:
                 nd["value"] = lr * nd["value"] if nd is not nodes[0] else 0.0
@@ -342,6 +342,55 @@ def fit_distributed(train: DataFrame, features: list[str], target: str, params:
     return _trees_to_model(all_trees, thresholds, baseline, n_iter)
 
 
+def _best_first_prune(nodes: list[dict], max_leaf: int | None, max_depth: int | None,
+                      msl: int) -> list[dict]:
+    """Replay best-first growth on a level-wise grown tree; drop the splits a
+    leaf cap would not reach and renumber the remaining nodes."""
+    import heapq
+    heap, counter, n_leaves, kept = [], 0, 0, set()
+
+    def push(i):
+        nonlocal counter, n_leaves
+        if nodes[i]["feature"] >= 0:
+            heapq.heappush(heap, (-nodes[i]["gain"], counter, i))
+            counter += 1
+        else:
+            n_leaves += 1
+
+    push(0)
+    while heap:
+        _, _, i = heapq.heappop(heap)
+        kept.add(i)
+        lch, rch = nodes[i]["left"], nodes[i]["right"]
+        if max_leaf is not None and n_leaves + len(heap) + 2 == max_leaf:
+            break  # both children and every queued node stay leaves
+        if max_depth is not None and nodes[lch]["depth"] == max_depth:
+            n_leaves += 2
+            continue
+        for ch in (lch, rch):
+            if nodes[ch]["n"] < 2 * msl:
+                n_leaves += 1
+            else:
+                push(ch)
+    # keep the nodes reachable through kept splits, renumbered in creation order
+    reach, stack = [], [0]
+    while stack:
+        i = stack.pop()
+        reach.append(i)
+        if i in kept:
+            stack += [nodes[i]["left"], nodes[i]["right"]]
+    new_id = {old: k for k, old in enumerate(sorted(reach))}
+    out = []
+    for old in sorted(reach):
+        nd = dict(nodes[old])
+        if old in kept:
+            nd["left"], nd["right"] = new_id[nd["left"]], new_id[nd["right"]]
+        else:
+            nd.update(feature=-1, bin=-1, left=-1, right=-1, missing_left=False)
+        out.append(nd)
+    return out
+
+
 def _tree_arrays(nodes) -> dict:
     """Node dicts -> numpy arrays, so rows are routed with vectorised lookups."""
     return {k: np.array([nd[k] for nd in nodes]) for k in

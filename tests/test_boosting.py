@@ -147,3 +147,19 @@ def test_distributed_trainer_early_stops(spark):
     m = fit_distributed(spark.createDataFrame(pdf), ["a", "b"], "y", params, order_col="pos",
                         early_stopping=True, n_iter_no_change=3)
     assert m.n_trees < 25
+
+
+def test_distributed_trainer_respects_a_binding_leaf_cap(spark):
+    from forgecast.operators.training import fit_distributed
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(300, 3)).round(2)
+    y = X[:, 0] * 2 + np.sin(3 * X[:, 1]) + X[:, 2] ** 2 + rng.normal(scale=0.05, size=300)
+    params = dict(max_depth=4, learning_rate=0.2, max_iter=3, min_samples_leaf=5,
+                  l2_regularization=0.0, max_leaf_nodes=5, max_bins=255)
+    local = B.fit(X, y, **params)
+    assert all((local.tree == t).sum() == 9 for t in range(3))  # cap binds: 5 leaves
+    pdf = pd.DataFrame({"a": X[:, 0], "b": X[:, 1], "c": X[:, 2], "y": y})
+    dist = fit_distributed(spark.createDataFrame(pdf).repartition(2), ["a", "b", "c"], "y", params)
+    assert len(dist.tree) == len(local.tree)
+    Xt = rng.normal(size=(40, 3))
+    np.testing.assert_allclose(B.predict(dist, Xt), B.predict(local, Xt), rtol=1e-9, atol=1e-9)
