@@ -19,7 +19,8 @@ from ..plans import serving as SV
 
 def request_stream_from_orders(spark: SparkSession, folder: str, file_name: str = "orders.parquet",
                                max_files: int = 1) -> DataFrame:
-    """Streaming request table derived from order files in ``folder``."""
+    """Streaming request table derived from order files in ``folder`` whose
+    names match ``file_name`` (a glob); ``max_files`` files per micro-batch."""
     schema = spark.read.parquet(os.path.join(folder, file_name)).schema
     orders = (spark.readStream.schema(schema).option("pathGlobFilter", file_name)
               .option("maxFilesPerTrigger", max_files).parquet(folder))

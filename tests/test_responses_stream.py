@@ -68,3 +68,26 @@ def test_entry_contract(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
     for name in ("request_routing", "price_pairs", "requests_per_action"):
         assert E.queries()[name](spark, SF).count() > 0
+
+
+def test_stream_answers_each_request_once_over_several_batches(spark, tmp_path):
+    from forgecast.plans import catalog as Q
+    from forgecast.streaming.scoring import request_stream_from_orders, score_stream
+    src = str(tmp_path / "in")
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    for i, part in enumerate(orders.randomSplit([1.0, 1.0, 1.0], seed=3)):
+        part.coalesce(1).write.parquet(os.path.join(src, f"batch{i}"))
+    os.makedirs(os.path.join(src, "flat"))
+    for i in range(3):
+        f = [x for x in os.listdir(os.path.join(src, f"batch{i}")) if x.endswith(".parquet")][0]
+        os.link(os.path.join(src, f"batch{i}", f), os.path.join(src, "flat", f"orders-{i}.parquet"))
+    price, ship = Q._tables(spark, SF)
+    models = TR.model_table(TP.dense_fits(price))
+    pooled = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship), holdout=False)
+    stream = request_stream_from_orders(spark, os.path.join(src, "flat"), "orders-*.parquet")
+    q = score_stream(stream, price, ship, models, pooled.model, str(tmp_path / "sink"),
+                     str(tmp_path / "ckpt"))
+    q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "sink"))
+    assert out.select("batch_id").distinct().count() == 3
+    assert out.count() == orders.count() == out.select("request_id").distinct().count()
