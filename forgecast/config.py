@@ -56,7 +56,7 @@ ERR_NEED_SPARSE = "need sparse history"
 ERR_UNKNOWN_ACTION = "unknown action {action}"
 
 # Run log.
-DEFAULT_EXPERIMENT = "Supply Chain Forecasting"
+DEFAULT_EXPERIMENT = "price-forecasting"
 EXPERIMENT_LABELS = ("baseline", "scenario_b")
 DISABLE_FLAG_VALUES = ("1", "true", "yes")
 MODEL_FILES = ("dense_gbm", "sparse_gbm")
