@@ -49,7 +49,8 @@ def _arrow_schema(schema: T.StructType):
 
 
 def fit_dense_per_item(split_features: DataFrame, params: dict | None = None,
-                       min_rows: int = C.DENSE_MIN_ROWS) -> DataFrame:
+                       min_rows: int = C.DENSE_MIN_ROWS, large_items: list[str] | None = None
+                       ) -> DataFrame:
     """One row per item: its model (flattened trees), split sizes and hold-out MAE.
 
     Input: ``features.dense_split`` output (already hash-partitioned by item,
@@ -59,7 +60,9 @@ def fit_dense_per_item(split_features: DataFrame, params: dict | None = None,
     * items whose training part is below ``2 * min_samples_leaf`` rows: no
       split is legal, every tree is a zero leaf, so the model *is* the training
       mean -- computed JVM-side with a window mean and a grouped MAE;
-    * all other items: the boosting kernel per item in ``applyInArrow``.
+    * all other items: the boosting kernel per item in ``applyInArrow``,
+      except ``large_items`` (too big for one task; see ``oversized_items``),
+      which go through the distributed trainer one by one.
     """
     params = dict(C.DENSE_PARAMS if params is None else params)
     feats = list(C.DENSE_FEATURES)
@@ -111,9 +114,35 @@ def fit_dense_per_item(split_features: DataFrame, params: dict | None = None,
         return pa.Table.from_pylist([row], schema=arrow_schema)
 
     cols = ["nsn", "pos", "n_usable", "n_train", "is_train", *feats, "target"]
-    boosted = (split_features.where(enough & can_split).select(*cols).groupBy("nsn")
+    large = list(large_items or [])
+    small = ~F.col("nsn").isin(large) if large else F.lit(True)
+    boosted = (split_features.where(enough & can_split & small).select(*cols).groupBy("nsn")
                .applyInArrow(fit_item, DENSE_FIT_SCHEMA))
-    return simple.select(*DENSE_FIT_SCHEMA.fieldNames()).unionByName(boosted)
+    out = simple.select(*DENSE_FIT_SCHEMA.fieldNames()).unionByName(boosted)
+    for nsn in large:
+        out = out.unionByName(_fit_large_item(split_features.where(F.col("nsn") == nsn), nsn,
+                                              params, feats))
+    return out
+
+
+def oversized_items(price: DataFrame, max_rows: int) -> list[str]:
+    """Items with more than ``max_rows`` observations (a partial-aggregate count;
+    the list is bounded by total rows / ``max_rows``)."""
+    return [r["nsn"] for r in price.groupBy("nsn").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > max_rows).select("nsn").collect()]
+
+
+def _fit_large_item(rows: DataFrame, nsn: str, params: dict, feats: list[str]) -> DataFrame:
+    """One item too large for a single task: distributed fit, distributed hold-out."""
+    from .forecast import score_pooled
+    stats = rows.agg(F.first("n_usable").alias("n_usable"), F.first("n_train").alias("n_train")).first()
+    model = fit_distributed(rows.where("is_train"), feats, "target", params, order_col="pos")
+    scored = score_pooled(rows.where(~F.col("is_train")), model, feats)
+    mae = scored.agg(F.avg(F.abs(F.col("target") - F.col("prediction")))).first()[0]
+    row = dict(nsn=nsn, n_usable=int(stats["n_usable"]), n_train=int(stats["n_train"]),
+               n_holdout=int(stats["n_usable"]) - int(stats["n_train"]),
+               holdout_mae=None if mae is None else float(mae), status="ok", **model.to_row(nsn))
+    return rows.sparkSession.createDataFrame([row], DENSE_FIT_SCHEMA)
 
 
 def model_table(fits: DataFrame) -> DataFrame:

@@ -61,8 +61,13 @@ def sparse_pooled_fit(frame: DataFrame, density: str = C.SPARSE_CLASS,
     return PooledResult(model, n_rows, n_train, 0.0 if mae is None else float(mae), scored)
 
 
-def dense_fits(price: DataFrame, params: dict | None = None) -> DataFrame:
-    return TR.fit_dense_per_item(FE.dense_split(FE.dense_lag_features(price)), params)
+def dense_fits(price: DataFrame, params: dict | None = None,
+               max_group_rows: int = 200_000) -> DataFrame:
+    """Per-item fits; items above ``max_group_rows`` rows (checked with a
+    partial-aggregate count) are fitted by the distributed trainer."""
+    large = TR.oversized_items(price, max_group_rows)
+    return TR.fit_dense_per_item(FE.dense_split(FE.dense_lag_features(price)), params,
+                                 large_items=large)
 
 
 def run_training(spark: SparkSession, price: DataFrame, shipping: DataFrame, models_dir: str,

@@ -173,3 +173,24 @@ def test_settings_from_environment(monkeypatch):
     assert r["source"] == "csv" and r["database"] == C.DEFAULT_DATABASE
     assert s["run_name"] == "scenario_b" and s["experiment"] == C.DEFAULT_EXPERIMENT
     assert TP.log_run(None, {}, "/nowhere", disabled=s["disabled"]) is False
+
+
+def test_oversized_items_use_the_distributed_trainer(spark):
+    import numpy as np
+    rng = np.random.default_rng(9)
+    n = 70
+    prices = 30 + np.cumsum(rng.normal(size=n))
+    rows = [("H", str(dt.date(2020, 1, 1) + dt.timedelta(days=i)), float(prices[i]), 3 + i % 5,
+             1.0 + 0.002 * i, "S1", C.DENSE_CLASS) for i in range(n)]
+    rows += [("Z", str(dt.date(2020, 1, 1) + dt.timedelta(days=i)), 1.0 + i, 1, 1.0, "S1",
+              C.DENSE_CLASS) for i in range(20)]
+    p = make_price(spark, rows)
+    assert TR.oversized_items(p, 50) == ["H"]
+    params = dict(C.DENSE_PARAMS, max_iter=8)
+    normal = {r.nsn: r for r in TP.dense_fits(p, params).collect()}
+    routed = {r.nsn: r for r in TP.dense_fits(p, params, max_group_rows=50).collect()}
+    assert set(routed) == {"H", "Z"}
+    h1, h2 = normal["H"], routed["H"]
+    assert len(h1.tree) == len(h2.tree) > 0
+    assert h2.holdout_mae == pytest.approx(h1.holdout_mae, rel=1e-9)
+    assert routed["Z"].asDict() == normal["Z"].asDict()
