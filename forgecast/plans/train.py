@@ -62,10 +62,12 @@ def sparse_pooled_fit(frame: DataFrame, density: str = C.SPARSE_CLASS,
 
 
 def dense_fits(price: DataFrame, params: dict | None = None,
-               max_group_rows: int = 200_000) -> DataFrame:
+               max_group_rows: int | None = 200_000) -> DataFrame:
     """Per-item fits; items above ``max_group_rows`` rows (checked with a
-    partial-aggregate count) are fitted by the distributed trainer."""
-    large = TR.oversized_items(price, max_group_rows)
+    partial-aggregate count) are fitted by the distributed trainer.
+    ``None`` skips the check, for inputs whose (item, date) grain already bounds
+    every item by its number of dates (e.g. the adapters' output)."""
+    large = [] if max_group_rows is None else TR.oversized_items(price, max_group_rows)
     return TR.fit_dense_per_item(FE.dense_split(FE.dense_lag_features(price)), params,
                                  large_items=large)
 
