@@ -272,11 +272,10 @@ def fit_distributed(train: DataFrame, features: list[str], target: str, params:
         n_iter = it_no + 1
         # nodes of the tree being grown: dicts with split info; rows are routed
         # by walking the splits made so far
-        nodes = [dict(g=None, h=None, n=None, value=0.0, depth=0, feature=-1, bin=-1,
-                      missing_left=False, left=-1, right=-1)]
+        nodes = [_node(None, None, None, 0.0, 0)]
         open_ids = [0]
-        level = 0
-        while open_ids and level < max_depth:
+        deeper = (lambda d: max_depth is None or d < max_depth)
+        while open_ids and deeper(nodes[open_ids[0]]["depth"]):
             tree_snapshot = _tree_arrays(nodes)
             want = set(open_ids)
 
@@ -328,20 +327,16 @@ def fit_distributed(train: DataFrame, features: list[str], target: str, params:
                 if s is None or s.gain <= 0:
                     continue
                 gr, hr = nd["g"] - s.g_left, nd["h"] - s.h_left
-                left = dict(g=s.g_left, h=s.h_left, n=s.n_left, value=-s.g_left / (s.h_left + l2 + B.EPS),
-                            depth=nd["depth"] + 1, feature=-1, bin=-1, missing_left=False,
-                            left=-1, right=-1)
-                right = dict(g=gr, h=hr, n=nd["n"] - s.n_left, value=-gr / (hr + l2 + B.EPS),
-                             depth=nd["depth"] + 1, feature=-1, bin=-1, missing_left=False,
-                             left=-1, right=-1)
+                left = _node(s.g_left, s.h_left, s.n_left, -s.g_left / (s.h_left + l2 + B.EPS),
+                             nd["depth"] + 1)
+                right = _node(gr, hr, nd["n"] - s.n_left, -gr / (hr + l2 + B.EPS), nd["depth"] + 1)
                 ml = s.missing_left if has_missing[s.feature] else (left["n"] > right["n"])
                 nd.update(feature=s.feature, bin=s.bin, missing_left=ml, gain=s.gain,
                           left=len(nodes), right=len(nodes) + 1)
                 nodes += [left, right]
-                if left["depth"] < max_depth:
+                if deeper(left["depth"]):
                     next_open += [nd["left"], nd["right"]]
             open_ids = [k for k in next_open if nodes[k]["n"] >= 2 * msl]
-            level += 1
         nodes = _best_first_prune(nodes, max_leaf, max_depth, msl)
         for nd in nodes:
             if nd["feature"] < 0:
@@ -371,6 +366,12 @@ def fit_distributed(train: DataFrame, features: list[str], target: str, params:
     return _trees_to_model(all_trees, thresholds, baseline, n_iter)
 
 
+def _node(g, h, n, value, depth) -> dict:
+    """A tree node of the distributed trainer (a leaf until it is split)."""
+    return dict(g=g, h=h, n=n, value=value, depth=depth, feature=-1, bin=-1,
+                missing_left=False, left=-1, right=-1)
+
+
 def _best_first_prune(nodes: list[dict], max_leaf: int | None, max_depth: int | None,
                       msl: int) -> list[dict]:
     """Replay best-first growth on a level-wise grown tree; drop the splits a
