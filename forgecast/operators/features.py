@@ -16,6 +16,7 @@ from .. import config as C
 from ..functions.columns import log_gap, month_number
 
 _TIE_BREAK = ("unit_price", "demand_quantity", "market_index", "supplier_id")
+SERIES_COLUMNS = ("date", *_TIE_BREAK)  # the total order of a series, ascending, nulls last
 
 
 def series_order(descending: bool = False) -> list[Column]:
@@ -38,14 +39,20 @@ def series_window(descending: bool = False) -> Window:
 
 
 # ---------------------------------------------------------------- dense path
-def dense_lag_features(price: DataFrame, n_lags: int = C.N_LAGS) -> DataFrame:
+def dense_lag_features(price: DataFrame, n_lags: int = C.N_LAGS,
+                       large_items: list[str] | None = None) -> DataFrame:
     """One row per item observation after the first ``n_lags`` (positional lags).
 
     ``lag_1`` is the *oldest* price of the window (t - n_lags) and ``lag_n`` the
     newest (t - 1). ``demand_quantity``, ``market_index`` and ``month`` belong
     to the target row. ``pos`` is the 1-based position of the row in its item
-    and ``n_usable`` the number of rows the item contributes.
+    and ``n_usable`` the number of rows the item contributes. Items listed in
+    ``large_items`` are computed split across tasks (``operators/series.py``).
     """
+    if large_items:
+        big = F.col("nsn").isin(list(large_items))
+        return (dense_lag_features(price.where(~big), n_lags)
+                .unionByName(_dense_lags_split(price.where(big), n_lags)))
     w = series_window()
     lags = [F.lag("unit_price", n_lags - k + 1).over(w).cast("double").alias(f"lag_{k}")
             for k in range(1, n_lags + 1)]
@@ -66,6 +73,20 @@ def dense_lag_features(price: DataFrame, n_lags: int = C.N_LAGS) -> DataFrame:
                     "demand_quantity", "market_index", "month", "target"))
 
 
+def _dense_lags_split(price: DataFrame, n_lags: int) -> DataFrame:
+    from .series import split_series
+    s = split_series(price, "nsn", list(SERIES_COLUMNS), {"unit_price": n_lags})
+    return (s.where(F.col("rn") > n_lags)
+            .select("nsn", "date", (F.col("rn") - n_lags).alias("pos"),
+                    (F.col("n_obs") - n_lags).alias("n_usable"),
+                    *[F.col(f"unit_price_lag{n_lags - k + 1}").cast("double").alias(f"lag_{k}")
+                      for k in range(1, n_lags + 1)],
+                    F.col("demand_quantity").cast("double").alias("demand_quantity"),
+                    F.col("market_index").cast("double").alias("market_index"),
+                    month_number(F.col("date")).alias("month"),
+                    F.col("unit_price").cast("double").alias("target")))
+
+
 def dense_split(features: DataFrame) -> DataFrame:
     """Per-item chronological split: first ``floor(n * 4 / 5)`` usable rows train."""
     n_train = F.floor(F.col("n_usable") * C.DENSE_TRAIN_NUM / C.DENSE_TRAIN_DEN)
@@ -132,12 +153,16 @@ def supplier_rollup(shipping: DataFrame, k: int = C.ROLLUP_REPORTS) -> DataFrame
                  F.count(F.lit(1)).alias("n_reports")))
 
 
-def price_pairs(price: DataFrame) -> DataFrame:
+def price_pairs(price: DataFrame, large_items: list[str] | None = None) -> DataFrame:
     """Consecutive observations (prev, cur) within an item, one row per cur.
 
     Also carries the item's *first* density class and supplier (training
-    semantics) and its *last* supplier (serving semantics).
+    semantics) and its *last* supplier (serving semantics). Items listed in
+    ``large_items`` are computed split across tasks.
     """
+    if large_items:
+        big = F.col("nsn").isin(list(large_items))
+        return price_pairs(price.where(~big)).unionByName(_pairs_split(price.where(big)))
     w = series_window()
     whole = Window.partitionBy("nsn")
     prev_date = F.lag("date").over(w)
@@ -159,14 +184,34 @@ def price_pairs(price: DataFrame) -> DataFrame:
             .withColumn("log_gap", log_gap(F.col("gap_days"))))
 
 
-def sparse_training_frame(price: DataFrame, shipping: DataFrame) -> DataFrame:
+def _pairs_split(price: DataFrame) -> DataFrame:
+    from .series import split_series
+    s = split_series(price, "nsn", list(SERIES_COLUMNS),
+                     {"date": 1, "unit_price": 1, "market_index": 1},
+                     firsts=("data_density_class", "supplier_id"))
+    return (s.where(F.col("rn") > 1)
+            .select("nsn", "date", "rn", "n_obs",
+                    F.col("data_density_class_first").alias("density"),
+                    F.col("supplier_id_first").alias("first_supplier_id"),
+                    F.col("supplier_id").alias("cur_supplier_id"),
+                    F.datediff("date", "date_lag1").alias("gap_days"),
+                    F.col("unit_price_lag1").cast("double").alias("prev_price"),
+                    F.col("market_index").cast("double").alias("market_index"),
+                    F.col("demand_quantity").alias("demand_quantity"),
+                    (F.col("market_index") - F.col("market_index_lag1")).alias("delta_market"),
+                    F.col("unit_price").cast("double").alias("target_price"))
+            .withColumn("log_gap", log_gap(F.col("gap_days"))))
+
+
+def sparse_training_frame(price: DataFrame, shipping: DataFrame,
+                          large_items: list[str] | None = None) -> DataFrame:
     """Pair rows of every item with >= 2 observations, joined to the rollup of
     the item's first supplier (no match -> NULL features).
 
     The rollup has one row per supplier; Spark broadcasts it when its measured
     size is under the broadcast threshold (AQE), else it shuffles.
     """
-    pairs = price_pairs(price)
+    pairs = price_pairs(price, large_items)
     rollup = supplier_rollup(shipping)
     j = pairs.join(rollup, pairs["first_supplier_id"] == rollup["supplier_id"], "left")
     return j.select(*C.SPARSE_FRAME_COLUMNS, "date")

@@ -68,13 +68,14 @@ def dense_fits(price: DataFrame, params: dict | None = None,
     ``None`` skips the check, for inputs whose (item, date) grain already bounds
     every item by its number of dates (e.g. the adapters' output)."""
     large = [] if max_group_rows is None else TR.oversized_items(price, max_group_rows)
-    return TR.fit_dense_per_item(FE.dense_split(FE.dense_lag_features(price)), params,
-                                 large_items=large)
+    return TR.fit_dense_per_item(FE.dense_split(FE.dense_lag_features(price, large_items=large)),
+                                 params, large_items=large)
 
 
 def run_training(spark: SparkSession, price: DataFrame, shipping: DataFrame, models_dir: str,
                  dense_nsn: str | None = None, experiment_name: str | None = None,
-                 run_name: str | None = None, log_runs: bool = True) -> dict:
+                 run_name: str | None = None, log_runs: bool = True,
+                 max_group_rows: int = 200_000) -> dict:
     """Train and persist both model kinds; return the run summary.
 
     ``dense_nsn`` restricts the dense model to one item (the single-item
@@ -84,7 +85,7 @@ def run_training(spark: SparkSession, price: DataFrame, shipping: DataFrame, mod
     points = dense_price.count()
     if points == 0:
         raise ValueError(f"No rows for dense NSN {dense_nsn}")
-    fits = dense_fits(dense_price)
+    fits = dense_fits(dense_price, max_group_rows=max_group_rows)
     fits.write.mode("overwrite").parquet(os.path.join(models_dir, "dense_gbm"))
     fits = spark.read.parquet(os.path.join(models_dir, "dense_gbm"))
     ok = fits.where(F.col("status") == "ok")
@@ -96,7 +97,8 @@ def run_training(spark: SparkSession, price: DataFrame, shipping: DataFrame, mod
     ).first()
 
     frame_path = os.path.join(models_dir, "sparse_training_frame")
-    FE.sparse_training_frame(price, shipping).write.mode("overwrite").parquet(frame_path)
+    large = TR.oversized_items(price, max_group_rows)
+    FE.sparse_training_frame(price, shipping, large).write.mode("overwrite").parquet(frame_path)
     frame = spark.read.parquet(frame_path)
     pooled = sparse_pooled_fit(frame)
     spark.createDataFrame([pooled.model.to_row("pooled")], "model_key string, baseline double, "
