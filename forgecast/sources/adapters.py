@@ -8,8 +8,11 @@
 * supplier shipping: one report per (supplier, ship month) from lineitem ⋈ orders:
   mean absolute order-to-ship days, share of urgent orders, shipment count.
 
-Sums of prices run in DECIMAL(18,2) and are turned into DOUBLE once, so the
-values do not depend on the order in which rows are summed.
+Prices are rounded per line to DECIMAL(18,2) and summed as whole cents in a
+BIGINT (exact, so the values do not depend on the order in which rows are
+summed, and the hot per-line aggregate keeps fixed-width long buffers instead
+of wide-decimal objects). Cents become DOUBLE once, through an exact decimal.
+Group keys stay numeric through the shuffles and become strings afterwards.
 """
 
 from __future__ import annotations
@@ -33,29 +36,39 @@ def _ratio(amount, qty):
     return F.try_divide(amount.cast("double"), qty.cast("double"))
 
 
+def _cents(price):
+    """Whole cents of a price rounded to 2 decimals (the DECIMAL(18,2) rounding)."""
+    return (price.cast("decimal(18,2)") * 100).cast("bigint")
+
+
+def _amount(cents):
+    """Σ cents as the exact DECIMAL amount (converted to DOUBLE by ``_ratio``)."""
+    return cents.cast("decimal(38,0)") / F.lit(100).cast("decimal(38,0)")
+
+
 def price_history_from_lineitem(lineitem: DataFrame) -> DataFrame:
     li = lineitem.select(
-        F.col("l_partkey").cast("string").alias("nsn"),
-        F.to_date("l_shipdate").alias("date"),
-        "l_suppkey", "l_quantity", "l_extendedprice",
-    ).where(F.col("nsn").isNotNull())
+        "l_partkey", F.to_date("l_shipdate").alias("date"), "l_suppkey",
+        F.col("l_quantity").cast("bigint").alias("qty"), _cents(F.col("l_extendedprice")).alias("cents"),
+    ).where(F.col("l_partkey").isNotNull())
     # Map-side partial aggregation collapses a hot part to one row per day
     # before the shuffle, so skew in lineitem does not reach the windows.
-    daily = li.groupBy("nsn", "date").agg(
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount"),
-        F.sum(F.col("l_quantity").cast("bigint")).cast("bigint").alias("demand_quantity"),
-        F.min("l_suppkey").cast("string").alias("supplier_id"),
-    )
+    daily = li.groupBy("l_partkey", "date").agg(
+        F.sum("cents").alias("cents"),
+        F.sum("qty").alias("demand_quantity"),
+        F.min("l_suppkey").alias("l_suppkey"),
+    ).select(F.col("l_partkey").cast("string").alias("nsn"), "date", "cents", "demand_quantity",
+             F.col("l_suppkey").cast("string").alias("supplier_id"))
     # One row per calendar month (bounded by the time span, not the data
     # volume), aggregated straight from lineitem: its partial aggregation
     # leaves a few hundred rows per task, so this costs a pruned scan and no
-    # large shuffle, and the daily aggregate is shuffled only once.
+    # large shuffle, and the daily aggregate is shuffled only once. Only these
+    # month rows go through decimals (exact totals past 2^53 cents).
     everything = Window.partitionBy()
     months = (
-        lineitem.where(F.col("l_partkey").isNotNull())
-        .groupBy(F.trunc(F.to_date("l_shipdate"), "month").alias("month"))
-        .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("m_amount"),
-             F.sum(F.col("l_quantity").cast("bigint")).alias("m_qty"))
+        li.groupBy(F.trunc("date", "month").alias("month"))
+        .agg(F.sum("cents").alias("m_cents"), F.sum("qty").alias("m_qty"))
+        .select("month", _amount(F.col("m_cents")).alias("m_amount"), "m_qty")
         .select(
             "month",
             F.try_divide(_ratio(F.col("m_amount"), F.col("m_qty")),
@@ -63,6 +76,7 @@ def price_history_from_lineitem(lineitem: DataFrame) -> DataFrame:
                                 F.sum("m_qty").over(everything))).alias("market_index"),
         )
     )
+    # per-item window on the string key: every later series window reuses it
     per_item = Window.partitionBy("nsn")
     n_obs = F.count(F.lit(1)).over(per_item)
     density = (F.when(n_obs >= C.ADAPTER_DENSE_MIN_OBS, F.lit(C.DENSE_CLASS))
@@ -74,7 +88,10 @@ def price_history_from_lineitem(lineitem: DataFrame) -> DataFrame:
             "nsn",
             _null("string").alias("item_description"),
             "date",
-            _ratio(F.col("amount"), F.col("demand_quantity")).alias("unit_price"),
+            # one part-day's cents are far below 2^53: exact as a double, so
+            # this single division is the correctly rounded Σ price / Σ qty
+            F.try_divide(F.col("cents").cast("double") / F.lit(100.0),
+                         F.col("demand_quantity").cast("double")).alias("unit_price"),
             "demand_quantity",
             "market_index",
             "supplier_id",
@@ -92,15 +109,15 @@ def supplier_shipping_from_orders(lineitem: DataFrame, orders: DataFrame) -> Dat
     urgent = F.when(F.col("o_orderpriority") == C.URGENT_PRIORITY, 1).otherwise(0)
     n = F.count(F.lit(1))
     return (
-        j.groupBy(F.col("l_suppkey").cast("string").alias("supplier_id"),
-                  F.trunc("ship_day", "month").alias("report_month"))
+        j.groupBy("l_suppkey", F.trunc("ship_day", "month").alias("report_month"))
         .agg(
             F.avg(F.abs(F.datediff("ship_day", "order_day"))).cast("double").alias("avg_lead_time_days"),
             (F.sum(urgent).cast("double") / n.cast("double")).alias("expedite_rate"),
             n.cast("int").alias("shipments_completed"),
         )
         .select(
-            "supplier_id", _null("string").alias("supplier_name"), "report_month",
+            F.col("l_suppkey").cast("string").alias("supplier_id"),
+            _null("string").alias("supplier_name"), "report_month",
             "avg_lead_time_days", _null("double").alias("on_time_delivery_rate"),
             _null("double").alias("defect_rate"), _null("string").alias("primary_shipping_code"),
             _null("string").alias("region"), "shipments_completed", "expedite_rate",
