@@ -101,9 +101,15 @@ def _forecast_batches(it: Iterator[pd.DataFrame], n_lags: int) -> Iterator[pd.Da
     for pdf in it:
         if pdf.empty:
             continue
-        models = [model_from_pandas_row(r) for r in pdf.to_dict("records")]
-        forest = PackedForest(models)
         n = len(pdf)
+        # Models without tree nodes (constant means: most short series) predict
+        # their baseline at every step; only models with trees are unpacked.
+        n_nodes = np.fromiter((0 if t is None else len(t) for t in pdf["tree"]), np.int64, n)
+        with_trees = np.flatnonzero(n_nodes > 0)
+        baseline = pdf["baseline"].to_numpy(np.float64)
+        forest = (PackedForest([model_from_pandas_row(r) for r in
+                                pdf.iloc[with_trees].to_dict("records")])
+                  if len(with_trees) else None)
         window = np.array([np.asarray(v, dtype=np.float64) for v in pdf["lags"]], dtype=np.float64
                           ).reshape(n, n_lags)
         demand = pdf["last_demand"].to_numpy(np.float64)
@@ -117,7 +123,9 @@ def _forecast_batches(it: Iterator[pd.DataFrame], n_lags: int) -> Iterator[pd.Da
         for h in range(1, h_max + 1):
             active = horizon >= h
             X = np.column_stack([window, demand, market, _month_after(last_month, h)])
-            pred = forest.predict(X, active)
+            pred = baseline.copy()
+            if forest is not None:
+                pred[with_trees] = forest.predict(X[with_trees], active[with_trees])
             idx = np.flatnonzero(active)
             out_nsn.append(pdf["nsn"].to_numpy()[idx])
             out_step.append(np.full(len(idx), h, dtype=np.int32))

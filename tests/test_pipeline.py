@@ -53,6 +53,43 @@ def test_dense_boosted_path_matches_kernel(spark):
     assert fits.status == "ok" and len(fits.tree) > 0 and fits.n_train == (n - 6) * 4 // 5
 
 
+def test_forecast_mixes_tree_and_constant_models_like_a_plain_recursion(spark):
+    """Tree models recurse in Arrow batches, empty forests take the built-in
+    path; both equal a step-by-step recursion with the kernel's predict."""
+    import numpy as np
+
+    from forgecast.operators import boosting as B
+    rng = np.random.default_rng(11)
+    rows = []
+    for item, n in (("T", 90), ("C", 20), ("Z", 3)):  # trees / constant mean / too short
+        p = 50 + np.cumsum(rng.normal(size=n))
+        rows += [(item, str(dt.date(2019, 1, 15) + dt.timedelta(days=31 * i)), float(p[i]),
+                  5 + i % 7, 1.0 + 0.002 * i, "S1", C.DENSE_CLASS) for i in range(n)]
+    price = make_price(spark, rows)
+    models = TR.model_table(TP.dense_fits(price))
+    state = FE.last_lag_vector(price).withColumn(
+        "horizon", F.when(F.col("nsn") == "C", F.lit(0)).otherwise(F.lit(4)))
+    got = {(r.nsn, r.step): r.forecast_price
+           for r in recursive_forecast(state, models).collect()}
+    assert {k[0] for k in got} == {"T"}  # C asked for 0 steps, Z has no full lag vector
+    state2 = FE.last_lag_vector(price).where(F.col("nsn") == "C")
+    got_c = {(r.nsn, r.step): r.forecast_price
+             for r in recursive_forecast(state2, models, horizon=3).collect()}
+    got.update(got_c)
+    for m in models.collect():
+        model = B.Model.from_row(m.asDict())
+        st = FE.last_lag_vector(price).where(F.col("nsn") == m.model_key).first()
+        window = list(st.lags)
+        steps = 4 if m.model_key == "T" else 3
+        assert (len(model.tree) > 0) == (m.model_key == "T")
+        for h in range(1, steps + 1):
+            month = float((st.last_date.month - 1 + h) % 12 + 1)
+            x = np.array([window + [st.last_demand, st.last_market, month]], dtype=np.float64)
+            want = float(B.predict(model, x)[0])
+            assert got[(m.model_key, h)] == want, (m.model_key, h)
+            window = window[1:] + [want]
+
+
 def test_recursive_forecast_and_month_end_dates(spark, price):
     dense = price.where(F.col("nsn") == C.DENSE_DEMO_NSN)
     models = TR.model_table(TP.dense_fits(dense))
