@@ -9,6 +9,8 @@ fail the job).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +58,65 @@ def request_defaults(requests: DataFrame) -> DataFrame:
         F.coalesce(F.col("horizon_months").cast("int"), F.lit(C.DEFAULT_HORIZON)).alias("horizon_months"))
 
 
-def route_requests(requests: DataFrame, price: DataFrame, models: DataFrame | None = None
-                   ) -> DataFrame:
+@dataclass
+class ServingState:
+    """Everything a response needs from the history, one row per item and
+    independent of the requests:
+
+    * ``stats``: nsn, n_obs, last_history_month;
+    * ``lags``: the recursion state (``features.last_lag_vector``);
+    * ``sparse``: nsn, last_observed_price, forecast_next_purchase_price,
+      gap_days -- the pooled model's score of each item's latest pair
+      (None when no pooled model is given).
+
+    A batch job builds it lazily inside its own plan. A stream (or any caller
+    answering many request batches) stores it once, bucketed by item, so a
+    micro-batch is a lookup join plus the recursion of the requested items,
+    never a window over the whole history.
+    """
+    stats: DataFrame
+    lags: DataFrame
+    sparse: DataFrame | None = None
+
+
+def serving_state(price: DataFrame, shipping: DataFrame | None = None,
+                  sparse_model: Model | None = None) -> ServingState:
+    stats = price.groupBy("nsn").agg(F.count(F.lit(1)).alias("n_obs"),
+                                     F.max("date").alias("last_history_month"))
+    sparse = None
+    if shipping is not None and sparse_model is not None:
+        feats = FE.sparse_serving_features(price, shipping)
+        sparse = score_pooled(feats, sparse_model, list(C.SPARSE_FEATURES),
+                              "forecast_next_purchase_price").select(
+            "nsn", "last_observed_price", "forecast_next_purchase_price", "gap_days")
+    return ServingState(stats, FE.last_lag_vector(price), sparse)
+
+
+def store_serving_state(state: ServingState) -> ServingState:
+    """Write the state once (bucketed by item) and read it back."""
+    from ..sources.storage import store_table
+    return ServingState(store_table(state.stats, "serving_stats", "nsn"),
+                        store_table(state.lags, "serving_lags", "nsn"),
+                        None if state.sparse is None else
+                        store_table(state.sparse, "serving_sparse", "nsn"))
+
+
+def _state(price_or_state) -> ServingState:
+    if isinstance(price_or_state, ServingState):
+        return price_or_state
+    return serving_state(price_or_state)
+
+
+def route_requests(requests: DataFrame, price: DataFrame | ServingState,
+                   models: DataFrame | None = None) -> DataFrame:
     """Resolve defaults and decide each request's route and error message.
 
-    ``models`` (dense model table) is optional: when given, a dense request for
-    an item without a model is an error; without it only history length counts.
+    ``price`` is the price history or a ``ServingState``. ``models`` (dense
+    model table) is optional: when given, a dense request for an item without
+    a model is an error; without it only history length counts.
     """
     req = request_defaults(requests)
-    stats = price.groupBy("nsn").agg(F.count(F.lit(1)).alias("n_obs"))
+    stats = _state(price).stats.select("nsn", "n_obs")
     j = req.join(stats, "nsn", "left")
     if models is not None:
         has_model = models.select(F.col("model_key").alias("nsn"), F.lit(True).alias("has_model"))
@@ -91,7 +143,8 @@ def requests_per_action(requests: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_requests")))
 
 
-def dense_responses(routed: DataFrame, price: DataFrame, models: DataFrame) -> DataFrame:
+def dense_responses(routed: DataFrame, price: DataFrame | ServingState, models: DataFrame
+                    ) -> DataFrame:
     """nsn, model, forecast (steps in order), last_history_month per dense request.
 
     The recursion runs once per requested *item*, up to the largest horizon
@@ -102,9 +155,9 @@ def dense_responses(routed: DataFrame, price: DataFrame, models: DataFrame) -> D
     dense = routed.where(F.col("route") == "forecast_dense").select(
         "request_id", "nsn", F.col("horizon_months").alias("horizon"))
     need = dense.groupBy("nsn").agg(F.max("horizon").alias("horizon"))
-    state = FE.last_lag_vector(price).join(need, "nsn", "inner")
-    fc = recursive_forecast(state, models)
-    last = FE.last_observation(price).select("nsn", "last_history_month")
+    st = _state(price)
+    fc = recursive_forecast(st.lags.join(need, "nsn", "inner"), models)
+    last = st.stats.select("nsn", "last_history_month")
     steps = (dense.join(fc, "nsn", "inner").where(F.col("step") <= F.col("horizon"))
              .groupBy("request_id")
              .agg(F.sort_array(F.collect_list(F.struct("step", "forecast_price",
@@ -117,12 +170,12 @@ def dense_responses(routed: DataFrame, price: DataFrame, models: DataFrame) -> D
                     iso_date(F.col("last_history_month")).alias("last_history_month")))
 
 
-def sparse_responses(routed: DataFrame, price: DataFrame, shipping: DataFrame, model: Model
-                     ) -> DataFrame:
+def sparse_responses(routed: DataFrame, price: DataFrame | ServingState,
+                     shipping: DataFrame | None = None, model: Model | None = None) -> DataFrame:
     """nsn, model, last observed price, next purchase price, last gap per sparse request."""
     sparse = routed.where(F.col("route") == "forecast_sparse").select("request_id", "nsn")
-    feats = FE.sparse_serving_features(price, shipping)
-    scored = score_pooled(feats, model, list(C.SPARSE_FEATURES), "forecast_next_purchase_price")
+    scored = (price.sparse if isinstance(price, ServingState) and price.sparse is not None
+              else serving_state(price, shipping, model).sparse)
     return sparse.join(scored, "nsn", "inner").select(
         "request_id", "nsn", F.lit(C.MODEL_NAME).alias("model"),
         F.col("last_observed_price"), "forecast_next_purchase_price",
@@ -136,15 +189,19 @@ def health(spark, models: DataFrame | None) -> DataFrame:
 
 
 def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models: DataFrame,
-            sparse_model: Model, models_loaded: bool = True) -> DataFrame:
+            sparse_model: Model, models_loaded: bool = True, state: ServingState | None = None
+            ) -> DataFrame:
     """One response row per request (dense, sparse, health or error).
 
+    ``state`` (e.g. a stored ``ServingState``) replaces the per-item work on
+    the history; without it the state is built inside this plan.
     Routes are disjoint and every routed request appears in its part, so the
     parts are stacked with ``unionByName`` -- no join on the request id.
     """
-    routed = route_requests(requests, price, models)
-    d = dense_responses(routed, price, models).withColumn("action", F.lit("forecast_dense"))
-    s = sparse_responses(routed, price, shipping, sparse_model).withColumn(
+    st = state if state is not None else serving_state(price, shipping, sparse_model)
+    routed = route_requests(requests, st, models)
+    d = dense_responses(routed, st, models).withColumn("action", F.lit("forecast_dense"))
+    s = sparse_responses(routed, st, shipping, sparse_model).withColumn(
         "action", F.lit("forecast_sparse"))
     is_health = F.col("route") == "health"
     other = routed.where(~F.col("route").isin("forecast_dense", "forecast_sparse")).select(

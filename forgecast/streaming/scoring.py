@@ -4,6 +4,11 @@ The stream is read with ``readStream`` (file source); every micro-batch is
 answered by the same batch job as a request table (``foreachBatch``), and the
 answers are appended to a Parquet sink keyed by batch id, so a replayed batch
 overwrites its own output instead of duplicating it.
+
+The per-item serving state (history counts, lag vectors, pooled scores) does
+not change between micro-batches: it is computed and stored once, bucketed by
+item, before the stream starts. A micro-batch then joins its requests to it
+and runs the recursion for the requested items only.
 """
 
 from __future__ import annotations
@@ -28,11 +33,14 @@ def request_stream_from_orders(spark: SparkSession, folder: str, file_name: str
 
 
 def score_stream(requests: DataFrame, price: DataFrame, shipping: DataFrame, models: DataFrame,
-                 sparse_model: Model, sink: str, checkpoint: str, available_now: bool = True):
+                 sparse_model: Model, sink: str, checkpoint: str, available_now: bool = True,
+                 state: SV.ServingState | None = None):
     """Start the streaming query; returns the ``StreamingQuery``."""
+    if state is None:
+        state = SV.store_serving_state(SV.serving_state(price, shipping, sparse_model))
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        out = SV.respond(batch, price, shipping, models, sparse_model)
+        out = SV.respond(batch, price, shipping, models, sparse_model, state=state)
         (out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .parquet(os.path.join(sink, f"batch_id={batch_id}")))
 

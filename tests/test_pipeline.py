@@ -54,8 +54,9 @@ def test_dense_boosted_path_matches_kernel(spark):
 
 
 def test_forecast_mixes_tree_and_constant_models_like_a_plain_recursion(spark):
-    """Tree models recurse in Arrow batches, empty forests take the built-in
-    path; both equal a step-by-step recursion with the kernel's predict."""
+    """Tree models and empty forests (constant means, which skip the packed
+    forest) share one Arrow batch; both equal a step-by-step recursion with
+    the kernel's predict."""
     import numpy as np
 
     from forgecast.operators import boosting as B
@@ -231,3 +232,20 @@ def test_oversized_items_use_the_distributed_trainer(spark):
     assert len(h1.tree) == len(h2.tree) > 0
     assert h2.holdout_mae == pytest.approx(h1.holdout_mae, rel=1e-9)
     assert routed["Z"].asDict() == normal["Z"].asDict()
+
+
+def test_stored_serving_state_answers_like_the_history(spark, price, ship):
+    """A stored per-item state (what streams use) gives the same responses as
+    building it from the history inside the plan."""
+    models = TR.model_table(TP.dense_fits(price))
+    pooled = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship)).model
+    reqs = _requests(spark, [(str(i), a, n, h) for i, (a, n, h) in enumerate([
+        ("forecast_dense", None, 4), ("forecast_sparse", None, None), ("forecast_sparse", "1680-01-444-5555", None),
+        ("forecast_dense", "0000", 3), ("health", None, None), ("forecast_dense", C.DENSE_DEMO_NSN, 0),
+        (None, None, None), ("bogus", "x", 1)])])
+    stored = SV.store_serving_state(SV.serving_state(price, ship, pooled))
+    drop = "prediction_timestamp"
+    want = sorted(map(str, SV.respond(reqs, price, ship, models, pooled).drop(drop).collect()))
+    got = sorted(map(str, SV.respond(reqs, price, ship, models, pooled, state=stored)
+                     .drop(drop).collect()))
+    assert got == want and len(got) == 8
