@@ -2,6 +2,12 @@
 
 Each query is planned and fully executed into Spark's no-op sink (no driver
 collect). Prints one JSON line.
+
+Warm-up: every headline query first runs once on the smallest driver scale
+(``$BENCH_WARMUP_DIR``, default sf0.001 -- a different, 100x smaller data set),
+so JVM class loading, Python worker start-up and code generation are not
+billed to the first timed queries. The timed pass then runs each query once
+on ``$BENCH_SF_DIR``; nothing is cached between queries.
 """
 
 from __future__ import annotations
@@ -34,8 +40,12 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", "16")),
                           app="forgecast-bench")
-    # warm-up: JVM, Python workers, parquet footers
-    Q.dense_points(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    if os.path.isdir(warm_dir) and os.path.abspath(warm_dir) != os.path.abspath(sf_dir):
+        for name in HEADLINE:
+            Q.QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+    else:  # no separate small data set: warm the JVM and Python workers only
+        Q.dense_points(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         t0 = time.perf_counter()
