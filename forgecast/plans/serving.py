@@ -158,15 +158,19 @@ def dense_responses(routed: DataFrame, price: DataFrame | ServingState, models:
     st = _state(price)
     fc = recursive_forecast(st.lags.join(need, "nsn", "inner"), models)
     last = st.stats.select("nsn", "last_history_month")
-    steps = (dense.join(fc, "nsn", "inner").where(F.col("step") <= F.col("horizon"))
-             .groupBy("request_id")
-             .agg(F.sort_array(F.collect_list(F.struct("step", "forecast_price",
-                                                        "reference_month"))).alias("forecast")))
-    return (dense.join(steps, "request_id", "left").join(last, "nsn", "left")
-            .select("request_id", "nsn", F.lit(C.MODEL_NAME).alias("model"),
-                    F.coalesce(F.col("forecast"), F.array().cast(
-                        "array<struct<step:int,forecast_price:double,reference_month:string>>"))
-                    .alias("forecast"),
+    # One left join keeps every dense request (no forecast / horizon 0 -> no
+    # match); the grouped collect skips the no-match nulls, so a request
+    # needs no second join on its id. Grouping by the request id alone
+    # re-shuffles the join output, which lets AQE split a hot item's join
+    # partition (a group is one request: at most its horizon of steps).
+    f = fc.select(F.col("nsn").alias("_f_nsn"), "step", "forecast_price", "reference_month")
+    hit = (F.col("nsn") == F.col("_f_nsn")) & (F.col("step") <= F.col("horizon"))
+    step = F.when(F.col("step").isNotNull(), F.struct("step", "forecast_price", "reference_month"))
+    answers = (dense.join(f, hit, "left")
+               .groupBy("request_id")
+               .agg(F.min("nsn").alias("nsn"), F.sort_array(F.collect_list(step)).alias("forecast")))
+    return (answers.join(last, "nsn", "left")
+            .select("request_id", "nsn", F.lit(C.MODEL_NAME).alias("model"), "forecast",
                     iso_date(F.col("last_history_month")).alias("last_history_month")))
 
 
