@@ -9,7 +9,7 @@ fail the job).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +78,11 @@ class ServingState:
     lags: DataFrame
     sparse: DataFrame | None = None
 
+    def restricted(self, keys: list[str]) -> "ServingState":
+        """The rows of the listed items only (filters, pushed into the scans)."""
+        keep = (lambda df: None if df is None else df.where(F.col("nsn").isin(keys)))
+        return ServingState(keep(self.stats), keep(self.lags), keep(self.sparse))
+
 
 def serving_state(price: DataFrame, shipping: DataFrame | None = None,
                   sparse_model: Model | None = None) -> ServingState:
@@ -107,23 +112,42 @@ def _state(price_or_state) -> ServingState:
     return serving_state(price_or_state)
 
 
+def hot_items(requests: DataFrame, min_rows: int, max_items: int) -> list[str]:
+    """Items asked for by at least ``min_rows`` requests (the ``max_items``
+    busiest of them). A partial-aggregate count, so a hot item collapses
+    map-side; the list is bounded by ``max_items``."""
+    n = F.count(F.lit(1))
+    rows = (request_defaults(requests).groupBy("nsn").agg(n.alias("n"))
+            .where(F.col("n") >= min_rows).orderBy(F.col("n").desc(), F.col("nsn"))
+            .limit(max_items).collect())
+    return [r["nsn"] for r in rows]
+
+
+def _bcast(df: DataFrame, on: bool) -> DataFrame:
+    return F.broadcast(df) if on else df
+
+
 def route_requests(requests: DataFrame, price: DataFrame | ServingState,
-                   models: DataFrame | None = None) -> DataFrame:
+                   models: DataFrame | None = None, broadcast_items: bool = False) -> DataFrame:
     """Resolve defaults and decide each request's route and error message.
 
     ``price`` is the price history or a ``ServingState``. ``models`` (dense
     model table) is optional: when given, a dense request for an item without
     a model is an error; without it only history length counts.
+    ``broadcast_items`` (only for a state restricted to a bounded list of
+    items) answers the requests in place, without a shuffle on the item key.
     """
     req = request_defaults(requests)
-    stats = _state(price).stats.select("nsn", "n_obs")
-    j = req.join(stats, "nsn", "left")
+    items = _state(price).stats.select("nsn", "n_obs")
     if models is not None:
+        # item-side lookups are joined first (unique keys on both sides), so
+        # the request table takes a single join
         has_model = models.select(F.col("model_key").alias("nsn"), F.lit(True).alias("has_model"))
-        j = j.join(has_model, "nsn", "left")
+        items = items.join(has_model, "nsn", "left")
         dense_ok = F.col("has_model").isNotNull()
     else:
         dense_ok = (F.col("n_obs") - C.N_LAGS) >= C.DENSE_MIN_ROWS
+    j = req.join(_bcast(items, broadcast_items), "nsn", "left")
     a = F.col("action")
     err = (F.when(a == "forecast_dense",
                   F.when(F.col("n_obs").isNull(),
@@ -143,8 +167,8 @@ def requests_per_action(requests: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_requests")))
 
 
-def dense_responses(routed: DataFrame, price: DataFrame | ServingState, models: DataFrame
-                    ) -> DataFrame:
+def dense_responses(routed: DataFrame, price: DataFrame | ServingState, models: DataFrame,
+                    broadcast_items: bool = False) -> DataFrame:
     """nsn, model, forecast (steps in order), last_history_month per dense request.
 
     The recursion runs once per requested *item*, up to the largest horizon
@@ -166,21 +190,22 @@ def dense_responses(routed: DataFrame, price: DataFrame | ServingState, models:
     f = fc.select(F.col("nsn").alias("_f_nsn"), "step", "forecast_price", "reference_month")
     hit = (F.col("nsn") == F.col("_f_nsn")) & (F.col("step") <= F.col("horizon"))
     step = F.when(F.col("step").isNotNull(), F.struct("step", "forecast_price", "reference_month"))
-    answers = (dense.join(f, hit, "left")
+    answers = (dense.join(_bcast(f, broadcast_items), hit, "left")
                .groupBy("request_id")
                .agg(F.min("nsn").alias("nsn"), F.sort_array(F.collect_list(step)).alias("forecast")))
-    return (answers.join(last, "nsn", "left")
+    return (answers.join(_bcast(last, broadcast_items), "nsn", "left")
             .select("request_id", "nsn", F.lit(C.MODEL_NAME).alias("model"), "forecast",
                     iso_date(F.col("last_history_month")).alias("last_history_month")))
 
 
 def sparse_responses(routed: DataFrame, price: DataFrame | ServingState,
-                     shipping: DataFrame | None = None, model: Model | None = None) -> DataFrame:
+                     shipping: DataFrame | None = None, model: Model | None = None,
+                     broadcast_items: bool = False) -> DataFrame:
     """nsn, model, last observed price, next purchase price, last gap per sparse request."""
     sparse = routed.where(F.col("route") == "forecast_sparse").select("request_id", "nsn")
     scored = (price.sparse if isinstance(price, ServingState) and price.sparse is not None
               else serving_state(price, shipping, model).sparse)
-    return sparse.join(scored, "nsn", "inner").select(
+    return sparse.join(_bcast(scored, broadcast_items), "nsn", "inner").select(
         "request_id", "nsn", F.lit(C.MODEL_NAME).alias("model"),
         F.col("last_observed_price"), "forecast_next_purchase_price",
         F.col("gap_days").cast("int").alias("gap_days_between_last_observations"))
@@ -193,19 +218,43 @@ def health(spark, models: DataFrame | None) -> DataFrame:
 
 
 def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models: DataFrame,
-            sparse_model: Model, models_loaded: bool = True, state: ServingState | None = None
+            sparse_model: Model, models_loaded: bool = True, state: ServingState | None = None,
+            hot_rows: int | None = C.HOT_ITEM_ROWS, max_hot_items: int = C.MAX_HOT_ITEMS
             ) -> DataFrame:
     """One response row per request (dense, sparse, health or error).
 
     ``state`` (e.g. a stored ``ServingState``) replaces the per-item work on
     the history; without it the state is built inside this plan.
-    Routes are disjoint and every routed request appears in its part, so the
-    parts are stacked with ``unionByName`` -- no join on the request id.
+
+    Hot items: the item-side tables may be bucketed scans, which AQE cannot
+    split, so a hot item is isolated explicitly. Items with at least
+    ``hot_rows`` requests (at most ``max_hot_items`` of them) are answered
+    against a broadcast of just their state -- bounded by that list -- where
+    their requests already are, with no shuffle on the item key. All other
+    requests take the shuffle joins.
     """
     st = state if state is not None else serving_state(price, shipping, sparse_model)
-    routed = route_requests(requests, st, models)
-    d = dense_responses(routed, st, models).withColumn("action", F.lit("forecast_dense"))
-    s = sparse_responses(routed, st, shipping, sparse_model).withColumn(
+    if st.sparse is None and shipping is not None and sparse_model is not None:
+        st = replace(st, sparse=serving_state(price, shipping, sparse_model).sparse)
+    req = request_defaults(requests)
+    hot = hot_items(req, hot_rows, max_hot_items) if hot_rows else []
+    if not hot:
+        return _respond(req, st, models, models_loaded)
+    is_hot = F.col("nsn").isin(hot)
+    cold = _respond(req.where(~is_hot), st, models, models_loaded)
+    warm = _respond(req.where(is_hot), st.restricted(hot),
+                    models.where(F.col("model_key").isin(hot)), models_loaded, broadcast_items=True)
+    return cold.unionByName(warm)
+
+
+def _respond(requests: DataFrame, st: ServingState, models: DataFrame, models_loaded: bool,
+             broadcast_items: bool = False) -> DataFrame:
+    """Routes are disjoint and every routed request appears in its part, so the
+    parts are stacked with ``unionByName`` -- no join on the request id."""
+    routed = route_requests(requests, st, models, broadcast_items)
+    d = dense_responses(routed, st, models, broadcast_items).withColumn(
+        "action", F.lit("forecast_dense"))
+    s = sparse_responses(routed, st, broadcast_items=broadcast_items).withColumn(
         "action", F.lit("forecast_sparse"))
     is_health = F.col("route") == "health"
     other = routed.where(~F.col("route").isin("forecast_dense", "forecast_sparse")).select(

@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 ** 2))
@@ -100,6 +101,9 @@ def recommended_cluster_conf(shuffle_bytes: float, cores: int,
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{mb}m",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a hot key's join partition even where that costs one more
+        # exchange (joins chained on the same key, grouped outputs)
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.files.maxPartitionBytes": f"{mb}m",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
         # model arrays ride along with item rows: cap Arrow batches by bytes too

@@ -249,3 +249,24 @@ def test_stored_serving_state_answers_like_the_history(spark, price, ship):
     got = sorted(map(str, SV.respond(reqs, price, ship, models, pooled, state=stored)
                      .drop(drop).collect()))
     assert got == want and len(got) == 8
+
+
+def test_hot_items_are_answered_like_the_rest(spark, price, ship):
+    """Requests of a hot item take the broadcast path; the answers equal the
+    plain shuffle plan's, and the hot list is bounded."""
+    models = TR.model_table(TP.dense_fits(price))
+    pooled = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship)).model
+    rows = [(f"d{i}", "forecast_dense", C.DENSE_DEMO_NSN, 1 + i % 6) for i in range(40)]
+    rows += [(f"s{i}", "forecast_sparse", None, None) for i in range(30)]
+    rows += [("x1", "forecast_dense", "0000", 2), ("x2", "health", None, None),
+             ("x3", "forecast_sparse", "1680-01-444-5555", None), ("x4", "bogus", "q", 1)]
+    reqs = _requests(spark, rows)
+    assert SV.hot_items(reqs, 25, 5) == [C.DENSE_DEMO_NSN, C.SPARSE_DEMO_NSN]
+    assert SV.hot_items(reqs, 25, 1) == [C.DENSE_DEMO_NSN]
+    drop = "prediction_timestamp"
+    plain = sorted(map(str, SV.respond(reqs, price, ship, models, pooled, hot_rows=None)
+                       .drop(drop).collect()))
+    for max_hot in (1, 5):
+        hot = SV.respond(reqs, price, ship, models, pooled, hot_rows=25, max_hot_items=max_hot)
+        assert sorted(map(str, hot.drop(drop).collect())) == plain
+    assert len(plain) == len(rows)
