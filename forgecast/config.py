@@ -68,10 +68,11 @@ TABLE_MODES = ("warehouse", "impala", "dw", "hive")
 # Response unwrapping keys, in lookup order.
 UNWRAP_KEYS = ("prediction", "result", "data", "output")
 
-# Serving skew guard (ours): an item with at least this many requests in one
-# batch is answered against a broadcast of its own state (at most this many items).
-HOT_ITEM_ROWS = 1_000_000
-MAX_HOT_ITEMS = 1_000
+# Skew guard (ours): a join key (requested item, supplier) with at least this
+# many rows is joined against a broadcast of its own lookup row (at most this
+# many keys; the rest take the shuffle join).
+HOT_KEY_ROWS = 1_000_000
+MAX_HOT_KEYS = 1_000
 
 # Adapter rule (ours, not the application's): density class by observation count.
 ADAPTER_DENSE_MIN_OBS = 30

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import log_gap, month_number
+from .joins import hot_keys, lookup_join
 
 _TIE_BREAK = ("unit_price", "demand_quantity", "market_index", "supplier_id")
 SERIES_COLUMNS = ("date", *_TIE_BREAK)  # the total order of a series, ascending, nulls last
@@ -203,17 +204,32 @@ def _pairs_split(price: DataFrame) -> DataFrame:
             .withColumn("log_gap", log_gap(F.col("gap_days"))))
 
 
+def hot_suppliers(price: DataFrame, min_rows: int = C.HOT_KEY_ROWS,
+                  max_keys: int = C.MAX_HOT_KEYS) -> list[str]:
+    """Suppliers on at least ``min_rows`` price rows: the likely hot keys of
+    the rollup joins (counted on the price table, not the pair frame; the list
+    only picks the join strategy, never the answer)."""
+    return hot_keys(price, "supplier_id", min_rows, max_keys)
+
+
+def _hot(price: DataFrame, hot) -> list:
+    return hot_suppliers(price) if hot == "auto" else list(hot or [])
+
+
 def sparse_training_frame(price: DataFrame, shipping: DataFrame,
-                          large_items: list[str] | None = None) -> DataFrame:
+                          large_items: list[str] | None = None, hot="auto") -> DataFrame:
     """Pair rows of every item with >= 2 observations, joined to the rollup of
     the item's first supplier (no match -> NULL features).
 
     The rollup has one row per supplier; Spark broadcasts it when its measured
-    size is under the broadcast threshold (AQE), else it shuffles.
+    size is under the broadcast threshold (AQE), else it shuffles. Hot
+    suppliers (``hot``: a list, or "auto" to count them) are joined against a
+    broadcast of their own rollup rows, so one supplier's pairs are not
+    gathered into one task.
     """
     pairs = price_pairs(price, large_items)
-    rollup = supplier_rollup(shipping)
-    j = pairs.join(rollup, pairs["first_supplier_id"] == rollup["supplier_id"], "left")
+    rollup = supplier_rollup(shipping).withColumnRenamed("supplier_id", "first_supplier_id")
+    j = lookup_join(pairs, rollup, "first_supplier_id", "left", _hot(price, hot))
     return j.select(*C.SPARSE_FRAME_COLUMNS, "date")
 
 
@@ -246,17 +262,17 @@ def latest_pair(price: DataFrame) -> DataFrame:
             .withColumn("log_gap", log_gap(F.col("gap_days"))))
 
 
-def sparse_serving_features(price: DataFrame, shipping: DataFrame) -> DataFrame:
+def sparse_serving_features(price: DataFrame, shipping: DataFrame, hot="auto") -> DataFrame:
     """Latest pair of each item, scored against the rollup of its *last* supplier.
 
     Items with fewer than two rows have no row (the request layer reports
     ``need sparse history``). A supplier with no reports at all gets the
     fallback lead/expedite values; a supplier whose latest reports are null
-    keeps NULL.
+    keeps NULL. Hot suppliers are joined as in ``sparse_training_frame``.
     """
     latest = latest_pair(price)
     rollup = supplier_rollup(shipping)
-    j = latest.join(rollup, "supplier_id", "left")
+    j = lookup_join(latest, rollup, "supplier_id", "left", _hot(price, hot))
     has_reports = F.col("n_reports").isNotNull()
     return j.select(
         "nsn", "supplier_id", "gap_days", "log_gap", "prev_price", "market_index",

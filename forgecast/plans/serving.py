@@ -19,6 +19,7 @@ from ..functions.columns import clean_key, iso_date, price_display
 from ..operators import features as FE
 from ..operators.boosting import Model
 from ..operators.forecast import recursive_forecast, score_pooled
+from ..operators.joins import hot_keys
 
 
 def requests_from_orders(orders: DataFrame) -> DataFrame:
@@ -116,11 +117,7 @@ def hot_items(requests: DataFrame, min_rows: int, max_items: int) -> list[str]:
     """Items asked for by at least ``min_rows`` requests (the ``max_items``
     busiest of them). A partial-aggregate count, so a hot item collapses
     map-side; the list is bounded by ``max_items``."""
-    n = F.count(F.lit(1))
-    rows = (request_defaults(requests).groupBy("nsn").agg(n.alias("n"))
-            .where(F.col("n") >= min_rows).orderBy(F.col("n").desc(), F.col("nsn"))
-            .limit(max_items).collect())
-    return [r["nsn"] for r in rows]
+    return hot_keys(request_defaults(requests), "nsn", min_rows, max_items)
 
 
 def _bcast(df: DataFrame, on: bool) -> DataFrame:
@@ -219,7 +216,7 @@ def health(spark, models: DataFrame | None) -> DataFrame:
 
 def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models: DataFrame,
             sparse_model: Model, models_loaded: bool = True, state: ServingState | None = None,
-            hot_rows: int | None = C.HOT_ITEM_ROWS, max_hot_items: int = C.MAX_HOT_ITEMS
+            hot_rows: int | None = C.HOT_KEY_ROWS, max_hot_items: int = C.MAX_HOT_KEYS
             ) -> DataFrame:
     """One response row per request (dense, sparse, health or error).
 

@@ -124,3 +124,20 @@ def test_results_do_not_depend_on_input_order(spark, price, ship):
     a = FE.sparse_training_frame(price, ship)
     b = FE.sparse_training_frame(price.orderBy(F.rand(7)).repartition(5), ship.repartition(3))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_hot_supplier_joins_equal_the_plain_joins(spark, price, ship):
+    """A hot-supplier list only changes the join strategy, never the rows."""
+    rows = lambda df: sorted(map(str, df.collect()))
+    sups = [r.supplier_id for r in price.select("supplier_id").distinct().collect()]
+    assert FE.hot_suppliers(price, min_rows=36, max_keys=5) == ["SUP-005"]
+    assert FE.hot_suppliers(price, min_rows=5, max_keys=2) == ["SUP-005", "SUP-008"]
+    with_null = price.unionByName(make_price(spark, [
+        ("N1", "2024-01-01", 5.0, 1, 1.0, None, C.SPARSE_CLASS),
+        ("N1", "2024-03-01", 6.0, 2, 1.1, None, C.SPARSE_CLASS)]))
+    for p in (price, with_null):
+        plain = rows(FE.sparse_training_frame(p, ship, hot=[]))
+        serve = rows(FE.sparse_serving_features(p, ship, hot=[]))
+        for hot in (sups[:1], sups, "auto"):
+            assert rows(FE.sparse_training_frame(p, ship, hot=hot)) == plain
+            assert rows(FE.sparse_serving_features(p, ship, hot=hot)) == serve
