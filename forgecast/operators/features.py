@@ -208,7 +208,9 @@ def hot_suppliers(price: DataFrame, min_rows: int = C.HOT_KEY_ROWS,
                   max_keys: int = C.MAX_HOT_KEYS) -> list[str]:
     """Suppliers on at least ``min_rows`` price rows: the likely hot keys of
     the rollup joins (counted on the price table, not the pair frame; the list
-    only picks the join strategy, never the answer)."""
+    only picks the join strategy, never the answer). Meant for a stored price
+    table, where it is a one-column partial aggregate; on a lazily derived one
+    it would re-derive the table."""
     return hot_keys(price, "supplier_id", min_rows, max_keys)
 
 
@@ -217,15 +219,15 @@ def _hot(price: DataFrame, hot) -> list:
 
 
 def sparse_training_frame(price: DataFrame, shipping: DataFrame,
-                          large_items: list[str] | None = None, hot="auto") -> DataFrame:
+                          large_items: list[str] | None = None, hot=None) -> DataFrame:
     """Pair rows of every item with >= 2 observations, joined to the rollup of
     the item's first supplier (no match -> NULL features).
 
     The rollup has one row per supplier; Spark broadcasts it when its measured
     size is under the broadcast threshold (AQE), else it shuffles. Hot
-    suppliers (``hot``: a list, or "auto" to count them) are joined against a
-    broadcast of their own rollup rows, so one supplier's pairs are not
-    gathered into one task.
+    suppliers (``hot``: a list, or "auto" to count them on ``price`` -- for
+    stored tables) are joined against a broadcast of their own rollup rows,
+    so one supplier's pairs are not gathered into one task.
     """
     pairs = price_pairs(price, large_items)
     rollup = supplier_rollup(shipping).withColumnRenamed("supplier_id", "first_supplier_id")
@@ -262,7 +264,7 @@ def latest_pair(price: DataFrame) -> DataFrame:
             .withColumn("log_gap", log_gap(F.col("gap_days"))))
 
 
-def sparse_serving_features(price: DataFrame, shipping: DataFrame, hot="auto") -> DataFrame:
+def sparse_serving_features(price: DataFrame, shipping: DataFrame, hot=None) -> DataFrame:
     """Latest pair of each item, scored against the rollup of its *last* supplier.
 
     Items with fewer than two rows have no row (the request layer reports

@@ -48,8 +48,8 @@ def _trained(spark: SparkSession, sf_dir: str, pooled: bool = True):
     from ..sources.storage import store_table
     price, ship = _stored(spark, sf_dir)
     models = store_table(TR.model_table(_fits(price)), "dense_models", "model_key")
-    model = (TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship), holdout=False).model
-             if pooled else None)
+    model = (TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship, hot="auto"),
+                                  holdout=False).model if pooled else None)
     return price, ship, models, model
 
 
@@ -182,8 +182,9 @@ def sparse_serving_features(spark, sf_dir):
 def sparse_fit_score(spark, sf_dir):
     """Pooled model fitted on the sparse class, scoring every item's latest pair (rows only)."""
     price, ship = _stored(spark, sf_dir)
-    res = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship), holdout=False)
-    feats = FE.sparse_serving_features(price, ship)
+    hot = FE.hot_suppliers(price)  # stored table: a one-column partial aggregate
+    res = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship, hot=hot), holdout=False)
+    feats = FE.sparse_serving_features(price, ship, hot=hot)
     return score_pooled(feats, res.model, list(C.SPARSE_FEATURES), "forecast_next_purchase_price"
                         ).select("nsn", "last_observed_price", "forecast_next_purchase_price")
 
@@ -249,7 +250,7 @@ def health(spark, sf_dir):
 def responses(spark, sf_dir):
     """Full response table (dense, sparse, health, errors) for the request batch (rows only)."""
     price, ship, models, pooled = _trained(spark, sf_dir)
-    return SV.respond(_requests(spark, sf_dir), price, ship, models, pooled)
+    return SV.respond(_requests(spark, sf_dir), price, ship, models, pooled, hot_suppliers="auto")
 
 
 # -------------------------------------------------------------- runs

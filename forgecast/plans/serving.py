@@ -86,12 +86,13 @@ class ServingState:
 
 
 def serving_state(price: DataFrame, shipping: DataFrame | None = None,
-                  sparse_model: Model | None = None) -> ServingState:
+                  sparse_model: Model | None = None, hot_suppliers=None) -> ServingState:
+    """``hot_suppliers``: see ``features.sparse_serving_features``."""
     stats = price.groupBy("nsn").agg(F.count(F.lit(1)).alias("n_obs"),
                                      F.max("date").alias("last_history_month"))
     sparse = None
     if shipping is not None and sparse_model is not None:
-        feats = FE.sparse_serving_features(price, shipping)
+        feats = FE.sparse_serving_features(price, shipping, hot_suppliers)
         sparse = score_pooled(feats, sparse_model, list(C.SPARSE_FEATURES),
                               "forecast_next_purchase_price").select(
             "nsn", "last_observed_price", "forecast_next_purchase_price", "gap_days")
@@ -216,12 +217,13 @@ def health(spark, models: DataFrame | None) -> DataFrame:
 
 def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models: DataFrame,
             sparse_model: Model, models_loaded: bool = True, state: ServingState | None = None,
-            hot_rows: int | None = C.HOT_KEY_ROWS, max_hot_items: int = C.MAX_HOT_KEYS
-            ) -> DataFrame:
+            hot_rows: int | None = C.HOT_KEY_ROWS, max_hot_items: int = C.MAX_HOT_KEYS,
+            hot_suppliers=None) -> DataFrame:
     """One response row per request (dense, sparse, health or error).
 
     ``state`` (e.g. a stored ``ServingState``) replaces the per-item work on
-    the history; without it the state is built inside this plan.
+    the history; without it the state is built inside this plan
+    (``hot_suppliers`` as in ``features.sparse_serving_features``).
 
     Hot items: the item-side tables may be bucketed scans, which AQE cannot
     split, so a hot item is isolated explicitly. Items with at least
@@ -230,9 +232,10 @@ def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models:
     their requests already are, with no shuffle on the item key. All other
     requests take the shuffle joins.
     """
-    st = state if state is not None else serving_state(price, shipping, sparse_model)
+    st = (state if state is not None
+          else serving_state(price, shipping, sparse_model, hot_suppliers))
     if st.sparse is None and shipping is not None and sparse_model is not None:
-        st = replace(st, sparse=serving_state(price, shipping, sparse_model).sparse)
+        st = replace(st, sparse=serving_state(price, shipping, sparse_model, hot_suppliers).sparse)
     req = request_defaults(requests)
     hot = hot_items(req, hot_rows, max_hot_items) if hot_rows else []
     if not hot:

@@ -98,7 +98,8 @@ def run_training(spark: SparkSession, price: DataFrame, shipping: DataFrame, mod
 
     frame_path = os.path.join(models_dir, "sparse_training_frame")
     large = TR.oversized_items(price, max_group_rows)
-    FE.sparse_training_frame(price, shipping, large).write.mode("overwrite").parquet(frame_path)
+    hot = FE.hot_suppliers(price)
+    FE.sparse_training_frame(price, shipping, large, hot).write.mode("overwrite").parquet(frame_path)
     frame = spark.read.parquet(frame_path)
     pooled = sparse_pooled_fit(frame)
     spark.createDataFrame([pooled.model.to_row("pooled")], "model_key string, baseline double, "

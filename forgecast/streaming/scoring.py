@@ -37,7 +37,8 @@ def score_stream(requests: DataFrame, price: DataFrame, shipping: DataFrame, mod
                  state: SV.ServingState | None = None):
     """Start the streaming query; returns the ``StreamingQuery``."""
     if state is None:
-        state = SV.store_serving_state(SV.serving_state(price, shipping, sparse_model))
+        state = SV.store_serving_state(SV.serving_state(price, shipping, sparse_model,
+                                                        hot_suppliers="auto"))
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         out = SV.respond(batch, price, shipping, models, sparse_model, state=state)
