@@ -58,7 +58,11 @@ def price_history_from_lineitem(lineitem: DataFrame) -> DataFrame:
         F.sum("qty").alias("demand_quantity"),
         F.min("l_suppkey").alias("l_suppkey"),
     ).select(F.col("l_partkey").cast("string").alias("nsn"), "date", "cents", "demand_quantity",
-             F.col("l_suppkey").cast("string").alias("supplier_id"))
+             F.col("l_suppkey").cast("string").alias("supplier_id")
+    # Same rows; it states the filter that joins on ``nsn`` infer, so every
+    # consumer of this table pushes the same scan filter and the exchanges
+    # stay reusable across them.
+    ).where(F.col("nsn").isNotNull())
     # One row per calendar month (bounded by the time span, not the data
     # volume), aggregated straight from lineitem: its partial aggregation
     # leaves a few hundred rows per task, so this costs a pruned scan and no
