@@ -2,10 +2,10 @@
 
 1. ``shingle_classes``: texts with equal sets form one class, keyed by a hash
    of the set; copies cost one row each from here on.
-2. ``document frequencies``: each task packs its classes' shingle hashes by
-   hash range; one task per range sorts them, counts in how many classes each
-   shingle occurs and returns to each class its shared shingles only. A shingle
-   of a single class can't be part of an overlap, so its number is enough.
+2. Document frequencies: each task packs its classes' shingle hashes by hash
+   range; one task per range sorts them, counts in how many classes each shingle
+   occurs and returns to each class its shared shingles only, packed by class. A
+   shingle of a single class can't be part of an overlap, so its number is enough.
 3. Rare-first prefix: with u unshared shingles first and the shared ones by
    (frequency, hash), only the prefix of n - ceil(0.8 n) + 1 is indexed. The
    first u places hold no candidates.
@@ -115,67 +115,111 @@ def _sets_in_slices(t: K.Texts) -> tuple[K.Shingles, np.ndarray]:
         np.concatenate([k for _, _, k in found])
 
 
-def _count_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packs of one hash range: shared shingles and their frequencies, by class."""
-    parts, nodes, sizes, hashes = [], [], [], []
+def _read_packs(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+    """Range number, class key, set size and hash of every entry of a partition's packs."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
     for batch in batches:
         for i in range(batch.num_rows):
             part, node, size, run, raw = (batch.column(j)[i].as_py() for j in range(5))
-            parts.append(part)
             run = np.frombuffer(run, np.int32)
-            nodes.append(np.repeat(np.frombuffer(node, np.uint64), run))
-            sizes.append(np.repeat(np.frombuffer(size, np.int32), run))
             wide = np.zeros((len(raw) // HASH_BYTES, 8), dtype=np.uint8)
             wide[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
-            hashes.append(wide.view(np.uint64).reshape(-1)
-                          | (_U(part) << _U(8 * HASH_BYTES)))
-    if not parts:
-        return
-    h, node, size = (np.concatenate(x) for x in (hashes, nodes, sizes))
-    del hashes, nodes, sizes
-    order = np.argsort(h)
-    hs = h[order]
-    same = np.zeros(len(hs) + 1, dtype=bool)
-    same[1:-1] = hs[1:] == hs[:-1]
-    order = order[same[1:] | same[:-1]]  # shingles that occur twice at least
-    h, node, size = h[order], node[order], size[order]
-    order = np.lexsort((node, h))
-    h, node, size = h[order], node[order], size[order]
-    if not len(h):
-        return
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
-    h, node, size = h[new], node[new], size[new]  # one entry per class, however many packs
-    start = np.concatenate([[True], h[1:] != h[:-1]])
-    df = np.diff(np.append(np.flatnonzero(start), len(h)))[np.cumsum(start) - 1]
-    keep = df > 1
-    h, node, size, df = h[keep], node[keep], size[keep], df[keep].astype(np.int32)
-    order = np.argsort(node, kind="stable")
-    h, node, size, df = h[order], node[order], size[order], df[order]
-    head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(h) else []
-    for lo in range(0, len(head), 4096):
-        at = np.append(head[lo:lo + 4097], len(h))[:len(head[lo:lo + 4096]) + 1]
-        a, b, run = at[0], at[-1], np.diff(at)
+            for into, x in zip(out, (np.full(len(wide), part, dtype=np.int64),
+                                     np.repeat(np.frombuffer(node, np.uint64), run),
+                                     np.repeat(np.frombuffer(size, np.int32), run),
+                                     wide.view(np.uint64).reshape(-1)), strict=True):
+                into.append(x)
+    return [np.concatenate(x) for x in out] if out[0] else None
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Positions at which a run of equal rows begins (columns sorted together)."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _counter(ranges: int):
+    """All packs of one hash range: shared shingles with frequencies, packed by class range."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _read_packs(batches)
+        if read is None:
+            return
+        part, node, size, h = read
+        h = h | (part.astype(np.uint64) << _U(8 * HASH_BYTES))
+        order = np.argsort(h)
+        hs = h[order]
+        same = np.zeros(len(hs) + 1, dtype=bool)
+        same[1:-1] = hs[1:] == hs[:-1]
+        order = order[same[1:] | same[:-1]]  # shingles that occur twice at least
+        del hs, part
+        h, node, size = h[order], node[order], size[order]
+        order = np.lexsort((node, h))
+        h, node, size = h[order], node[order], size[order]
+        one = _heads(h, node)  # one entry per class, however many packs
+        h, node, size = h[one], node[one], size[one]
+        start = _heads(h)
+        df = np.repeat(np.diff(np.append(start, len(h))), np.diff(np.append(start, len(h))))
+        keep = df > 1
+        h, node, size, df = h[keep], node[keep], size[keep], df[keep].astype(np.int32)
+        if not len(h):
+            return
+        to = _range_of(K.mix(node), ranges)
+        order = np.lexsort((node, to))
+        h, node, size, df, to = (x[order] for x in (h, node, size, df, to))
+        head = _heads(to, node)
+        run = np.diff(np.append(head, len(h))).astype(np.int32)
+        used, at = np.unique(to[head], return_index=True)
+        classes = np.diff(np.append(at, len(head)))
+        entries = np.add.reduceat(run, at)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(K.signed(node[at[:-1]])), pa.array(size[at[:-1]].astype(np.int64)),
-             pa.array(run.astype(np.int64)), K.binary_column(h[a:b], run * 8),
-             K.binary_column(df[a:b], run * 4)], names=["node", "n", "found", "hashes", "dfs"])
-
-
-def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class: shared shingles rarest first, unshared count, suffix-filter bitmap."""
-    for batch in batches:
-        packs = batch.column(2).to_pylist()
-        n = batch.column(1).to_numpy()
-        values = [np.frombuffer(b"".join(p["hashes"] for p in row), np.uint64) for row in packs]
-        dfs = [np.frombuffer(b"".join(p["dfs"] for p in row), np.int32) for row in packs]
-        ranked = [h[np.lexsort((h, d))] for h, d in zip(values, dfs, strict=True)]
-        sizes = np.array([len(x) for x in ranked], dtype=np.int64)
-        flat = np.concatenate(ranked) if ranked else np.zeros(0, np.uint64)
-        s = K.Shingles(flat, np.repeat(np.arange(len(sizes)), sizes), sizes)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n - sizes),
-             K.list_column(K.signed(flat), sizes), *longs(K.parity_sketch(s, SKETCH_LONGS))],
-            names=["node", "n", "u", "elements", *_SKETCH])
+            [pa.array(used, pa.int32()), K.binary_column(node[head], classes * 8),
+             K.binary_column(size[head], classes * 4), K.binary_column(run, classes * 4),
+             K.binary_column(h, entries * 8), K.binary_column(df, entries * 4)],
+            names=["part", "nodes", "sizes", "runs", "hashes", "dfs"])
+    return count
+
+
+def _gatherer(sim: Similarity):
+    """All packs of one class range: per class with enough shared shingles, these rarest
+    first, the number of the unshared ones and the suffix-filter bitmap."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                node, size, run, h, df = (batch.column(j)[i].as_py() for j in range(1, 6))
+                run = np.frombuffer(run, np.int32)
+                for into, x in zip(cols, (np.repeat(np.frombuffer(node, np.uint64), run),
+                                          np.repeat(np.frombuffer(size, np.int32), run),
+                                          np.frombuffer(h, np.uint64),
+                                          np.frombuffer(df, np.int32)), strict=True):
+                    into.append(x)
+        if not cols[0]:
+            return
+        node, size, h, df = (np.concatenate(x) for x in cols)
+        order = np.argsort(node, kind="stable")
+        node, size, h, df = node[order], size[order], h[order], df[order]
+        head = _heads(node)
+        run = np.diff(np.append(head, len(node)))
+        n = size[head].astype(np.int64)
+        enough = run >= (n * sim.num + sim.den - 1) // sim.den
+        keep = np.repeat(enough, run)
+        node, h, df = node[keep], h[keep], df[keep]
+        order = np.lexsort((h, df, node))
+        h = h[order]
+        key, n, run = K.signed(node[_heads(node)]), n[enough], run[enough]
+        ends = np.concatenate([[0], np.cumsum(run)])
+        for lo in range(0, len(key), 1024):
+            hi = min(lo + 1024, len(key))
+            flat, sizes = h[ends[lo]:ends[hi]], run[lo:hi]
+            s = K.Shingles(flat, np.repeat(np.arange(hi - lo), sizes), sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[lo:hi]), pa.array(n[lo:hi]), pa.array(n[lo:hi] - sizes),
+                 K.list_column(K.signed(flat), sizes), *longs(K.parity_sketch(s, SKETCH_LONGS))],
+                names=["node", "n", "u", "elements", *_SKETCH])
+    return gather
 
 
 _SKETCH = [f"s_{i}" for i in range(SKETCH_LONGS)]
@@ -187,15 +231,10 @@ def ranked_sets(rows: DataFrame, sim: Similarity) -> DataFrame:
     packs = rows.select("text").mapInArrow(
         _packer(ranges), "part int, nodes binary, sizes binary, runs binary, hashes binary")
     shared = (packs.repartitionById(ranges, F.col("part"))
-              .mapInArrow(_count_range,
-                          "node bigint, n bigint, found bigint, hashes binary, dfs binary"))
-    enough = F.col("found") >= F.floor((F.col("n") * sim.num + sim.den - 1) / sim.den)
-    gathered = (shared.groupBy("node", "n")
-                .agg(F.collect_list(F.struct("hashes", "dfs")).alias("packs"),
-                     F.sum("found").alias("found"))
-                .where(enough).select("node", "n", "packs"))
-    return gathered.mapInArrow(
-        _class_rows, "node bigint, n bigint, u bigint, elements array<bigint>, "
+              .mapInArrow(_counter(ranges), "part int, nodes binary, sizes binary, runs binary, "
+                                            "hashes binary, dfs binary"))
+    return shared.repartitionById(ranges, F.col("part")).mapInArrow(
+        _gatherer(sim), "node bigint, n bigint, u bigint, elements array<bigint>, "
         + ", ".join(f"{c} bigint" for c in _SKETCH))
 
 
