@@ -169,17 +169,18 @@ class Similarity:
         return self.den * shared >= self.num * (n1 + n2 - shared)
 
 
-def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim: Similarity,
-         scratch: Scratch, name: str = "link") -> tuple[DataFrame, DataFrame]:
+def link(postings: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
+         sim: Similarity, scratch: Scratch, name: str = "link") -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and the components (node, root) they make.
 
     ``postings`` (stored): key, node, n (set size), u (elements in no other
-    set), optionally pos and sketch columns s_*. ``sets_of(nodes)`` gives
-    (node, n, elements) for a table of unique nodes. Links are complete up to
-    components: a pair of sets that share a key and pass the threshold is a
-    link or lies inside one component already.
+    set), optionally pos. ``sketches``: node and parity bitmaps s_*.
+    ``sets_of(nodes)`` gives (node, n, elements) for a table of unique nodes.
+    Links are complete up to components: a pair of sets that share a key and
+    pass the threshold is a link or lies inside one component already.
     """
     cols = postings.columns
+    marks = [c for c in sketches.columns if c != "node"]
     rest = [c for c in cols if c != "key"]
     centre = postings.groupBy("key").agg(
         F.min(F.struct("u", *(c for c in rest if c != "u"))).alias("c"),
@@ -187,7 +188,13 @@ def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim: Si
     centre = scratch.store(centre.select("key", "c.*"), f"{name}-centre")
     near = (postings.alias("l").join(centre.alias("r"), F.col("l.key") == F.col("r.key"))
             .where((F.col("l.node") != F.col("r.node")) & sim.possible("l", "r", cols)))
-    links1 = _verify(near, sets_of, sim, scratch, f"{name}-1")
+    ends = [F.struct(f"{side}.node", f"{side}.n", f"{side}.u") for side in "lr"]
+    pairs = near.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
+    for side in "ab":
+        pairs = (pairs.withColumn("node", F.col(f"{side}.node")).join(sketches, "node")
+                 .withColumn(side, F.struct(f"{side}.*", *marks)).select("a", "b"))
+    pairs = pairs.where(sim.possible("a", "b", ["n", "u", *marks])).select("a.node", "b.node")
+    links1 = _verify(pairs.toDF("a", "b"), sets_of, sim, scratch, f"{name}-1")
     root1 = components(links1, scratch, f"{name}-c1")
 
     # keys whose members lie in several components
@@ -199,15 +206,17 @@ def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim: Si
             .groupBy("key").agg(F.max_by("comp", "members").alias("main"),
                                 F.count("*").alias("comps")).where("comps > 1"))
     main = scratch.store(main.select("key", "main"), f"{name}-main")
-    open_ = scratch.store(at.join(main, "key"), f"{name}-open")
+    open_ = scratch.store(at.join(main, "key").join(sketches, "node"), f"{name}-open")
     # every pair across components has a member outside the key's main component
     left = open_.where("comp <> main").alias("l")
     cross = left.join(open_.alias("r"), (F.col("l.key") == F.col("r.key"))
                       & (F.col("l.comp") != F.col("r.comp"))
                       & ((F.col("r.comp") == F.col("r.main"))
                          | (F.col("l.node") < F.col("r.node")))
-                      & sim.possible("l", "r", cols))
-    links2 = _verify(cross, sets_of, sim, scratch, f"{name}-2")
+                      & sim.possible("l", "r", [*cols, *marks]))
+    links2 = _verify(cross.select(F.least("l.node", "r.node").alias("a"),
+                                  F.greatest("l.node", "r.node").alias("b")).distinct(),
+                     sets_of, sim, scratch, f"{name}-2")
     links = links1.union(links2)
     root = components(root1.select(F.col("node").alias("a"), F.col("root").alias("b"))
                       .union(links2), scratch, f"{name}-c2")
@@ -217,10 +226,8 @@ def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim: Si
 
 def _verify(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim: Similarity,
             scratch: Scratch, name: str) -> DataFrame:
-    """Each candidate pair once against both whole sets."""
-    pairs = scratch.store(
-        pairs.select(F.least("l.node", "r.node").alias("a"),
-                     F.greatest("l.node", "r.node").alias("b")).distinct(), f"{name}-pairs")
+    """Each candidate pair (a, b) once against both whole sets."""
+    pairs = scratch.store(pairs, f"{name}-pairs")
     nodes = scratch.store(pairs.select(F.col("a").alias("node"))
                           .union(pairs.select("b")).distinct(), f"{name}-nodes")
     sets = scratch.store(sets_of(nodes).select("node", "n", "elements"), f"{name}-sets")

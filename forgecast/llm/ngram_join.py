@@ -68,8 +68,16 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
 
 
+def _narrow(run: np.ndarray) -> np.ndarray:
+    return run.astype(np.uint16 if len(run) and run.max() < 65536 else np.int32)
+
+
+def _runs(raw: bytes, classes: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * classes else np.int32).astype(np.int64)
+
+
 def _packer(ranges: int):
-    """Per batch and hash range: class keys, set sizes, shingles per class, hash bytes."""
+    """Per batch and hash range: class keys, shingles per class, hash bytes."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, t in K.slices(batch.column(0), PACK_BYTES):
@@ -89,18 +97,17 @@ def _packer(ranges: int):
                 # runs of one class inside one range
                 head = np.flatnonzero(np.concatenate(
                     [[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]))
-                run = np.diff(np.append(head, len(h))).astype(np.int32)
+                run = _narrow(np.diff(np.append(head, len(h))))
                 used, at = np.unique(part[head], return_index=True)
                 classes = np.diff(np.append(at, len(head)))
-                entries = np.add.reduceat(run, at)
+                entries = np.add.reduceat(run, at, dtype=np.int64)
                 raw = (h & _LOW).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(used, pa.int32()),
                      K.binary_column(keys[owner[head]], classes * 8),
-                     K.binary_column(s.counts[owner[head]].astype(np.int32), classes * 4),
-                     K.binary_column(run, classes * 4),
+                     K.binary_column(run, classes * run.itemsize),
                      K.binary_column(raw, entries * HASH_BYTES)],
-                    names=["part", "nodes", "sizes", "runs", "hashes"])
+                    names=["part", "nodes", "runs", "hashes"])
     return pack
 
 
@@ -116,22 +123,39 @@ def _sets_in_slices(t: K.Texts) -> tuple[K.Shingles, np.ndarray]:
 
 
 def _read_packs(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
-    """Range number, class key, set size and hash of every entry of a partition's packs."""
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    """Range number, class key and hash of every entry of a partition's packs."""
+    out: list[list[np.ndarray]] = [[], [], []]
     for batch in batches:
         for i in range(batch.num_rows):
-            part, node, size, run, raw = (batch.column(j)[i].as_py() for j in range(5))
-            run = np.frombuffer(run, np.int32)
+            part, node, run, raw = (batch.column(j)[i].as_py() for j in range(4))
+            node = np.frombuffer(node, np.uint64)
             wide = np.zeros((len(raw) // HASH_BYTES, 8), dtype=np.uint8)
             wide[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
             for into, x in zip(out, (np.full(len(wide), part, dtype=np.int64),
-                                     np.repeat(np.frombuffer(node, np.uint64), run),
-                                     np.repeat(np.frombuffer(size, np.int32), run),
+                                     np.repeat(node, _runs(run, len(node))),
                                      wide.view(np.uint64).reshape(-1)), strict=True):
                 into.append(x)
     return [np.concatenate(x) for x in out] if out[0] else None
 
 
+def _size_packer(ranges: int):
+    """Class keys and set sizes, packed by class range."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy().view(np.uint64)
+            size = batch.column(1).to_numpy().astype(np.int32)
+            to = _range_of(K.mix(node), ranges)
+            order = np.argsort(to, kind="stable")
+            used, at = np.unique(to[order], return_index=True)
+            classes = np.diff(np.append(at, len(node)))
+            empty = pa.nulls(len(used), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), K.binary_column(node[order], classes * 8),
+                 K.binary_column(size[order], classes * 4), empty, empty],
+                names=["part", "nodes", "runs", "hashes", "dfs"])
+    return pack
+
+
 def _heads(*columns: np.ndarray) -> np.ndarray:
     """Positions at which a run of equal rows begins (columns sorted together)."""
     new = np.zeros(len(columns[0]), dtype=bool)
@@ -147,7 +171,7 @@ def _counter(ranges: int):
         read = _read_packs(batches)
         if read is None:
             return
-        part, node, size, h = read
+        part, node, h = read
         h = h | (part.astype(np.uint64) << _U(8 * HASH_BYTES))
         order = np.argsort(h)
         hs = h[order]
@@ -155,30 +179,30 @@ def _counter(ranges: int):
         same[1:-1] = hs[1:] == hs[:-1]
         order = order[same[1:] | same[:-1]]  # shingles that occur twice at least
         del hs, part
-        h, node, size = h[order], node[order], size[order]
+        h, node = h[order], node[order]
         order = np.lexsort((node, h))
-        h, node, size = h[order], node[order], size[order]
+        h, node = h[order], node[order]
         one = _heads(h, node)  # one entry per class, however many packs
-        h, node, size = h[one], node[one], size[one]
+        h, node = h[one], node[one]
         start = _heads(h)
         df = np.repeat(np.diff(np.append(start, len(h))), np.diff(np.append(start, len(h))))
         keep = df > 1
-        h, node, size, df = h[keep], node[keep], size[keep], df[keep].astype(np.int32)
+        h, node, df = h[keep], node[keep], df[keep].astype(np.int32)
         if not len(h):
             return
         to = _range_of(K.mix(node), ranges)
         order = np.lexsort((node, to))
-        h, node, size, df, to = (x[order] for x in (h, node, size, df, to))
+        h, node, df, to = (x[order] for x in (h, node, df, to))
         head = _heads(to, node)
-        run = np.diff(np.append(head, len(h))).astype(np.int32)
+        run = _narrow(np.diff(np.append(head, len(h))))
         used, at = np.unique(to[head], return_index=True)
         classes = np.diff(np.append(at, len(head)))
-        entries = np.add.reduceat(run, at)
+        entries = np.add.reduceat(run, at, dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int32()), K.binary_column(node[head], classes * 8),
-             K.binary_column(size[head], classes * 4), K.binary_column(run, classes * 4),
+             K.binary_column(run, classes * run.itemsize),
              K.binary_column(h, entries * 8), K.binary_column(df, entries * 4)],
-            names=["part", "nodes", "sizes", "runs", "hashes", "dfs"])
+            names=["part", "nodes", "runs", "hashes", "dfs"])
     return count
 
 
@@ -186,24 +210,31 @@ def _gatherer(sim: Similarity):
     """All packs of one class range: per class with enough shared shingles, these rarest
     first, the number of the unshared ones and the suffix-filter bitmap."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = [[], [], [], []]
+        cols: list[list[np.ndarray]] = [[], [], []]
+        known: list[list[np.ndarray]] = [[], []]
         for batch in batches:
             for i in range(batch.num_rows):
-                node, size, run, h, df = (batch.column(j)[i].as_py() for j in range(1, 6))
-                run = np.frombuffer(run, np.int32)
-                for into, x in zip(cols, (np.repeat(np.frombuffer(node, np.uint64), run),
-                                          np.repeat(np.frombuffer(size, np.int32), run),
+                node, run, h, df = (batch.column(j)[i].as_py() for j in range(1, 5))
+                node = np.frombuffer(node, np.uint64)
+                if h is None:
+                    known[0].append(node)
+                    known[1].append(np.frombuffer(run, np.int32))
+                    continue
+                for into, x in zip(cols, (np.repeat(node, _runs(run, len(node))),
                                           np.frombuffer(h, np.uint64),
                                           np.frombuffer(df, np.int32)), strict=True):
                     into.append(x)
         if not cols[0]:
             return
-        node, size, h, df = (np.concatenate(x) for x in cols)
+        node, h, df = (np.concatenate(x) for x in cols)
+        classes, sizes_of = (np.concatenate(x) for x in known)
+        order = np.argsort(classes)
+        classes, sizes_of = classes[order], sizes_of[order]
         order = np.argsort(node, kind="stable")
-        node, size, h, df = node[order], size[order], h[order], df[order]
+        node, h, df = node[order], h[order], df[order]
         head = _heads(node)
         run = np.diff(np.append(head, len(node)))
-        n = size[head].astype(np.int64)
+        n = sizes_of[np.searchsorted(classes, node[head])].astype(np.int64)
         enough = run >= (n * sim.num + sim.den - 1) // sim.den
         keep = np.repeat(enough, run)
         node, h, df = node[keep], h[keep], df[keep]
@@ -225,30 +256,34 @@ def _gatherer(sim: Similarity):
 _SKETCH = [f"s_{i}" for i in range(SKETCH_LONGS)]
 
 
-def ranked_sets(rows: DataFrame, sim: Similarity) -> DataFrame:
-    """(node, n, u, elements, s_*) of every class that shares enough to have a partner."""
+def ranked_sets(rows: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+    """(node, n, u, elements, s_*) of every class that shares enough to have a partner.
+
+    ``rows`` has the texts, ``classes`` their (node, n).
+    """
     ranges = shuffle_partitions(rows.sparkSession)
     packs = rows.select("text").mapInArrow(
-        _packer(ranges), "part int, nodes binary, sizes binary, runs binary, hashes binary")
-    shared = (packs.repartitionById(ranges, F.col("part"))
-              .mapInArrow(_counter(ranges), "part int, nodes binary, sizes binary, runs binary, "
-                                            "hashes binary, dfs binary"))
-    return shared.repartitionById(ranges, F.col("part")).mapInArrow(
+        _packer(ranges), "part int, nodes binary, runs binary, hashes binary")
+    schema = "part int, nodes binary, runs binary, hashes binary, dfs binary"
+    shared = packs.repartitionById(ranges, F.col("part")).mapInArrow(_counter(ranges), schema)
+    sizes = (classes.where("node is not null").select("node", "n")
+             .mapInArrow(_size_packer(ranges), schema))
+    return (shared.union(sizes).repartitionById(ranges, F.col("part")).mapInArrow(
         _gatherer(sim), "node bigint, n bigint, u bigint, elements array<bigint>, "
-        + ", ".join(f"{c} bigint" for c in _SKETCH))
+        + ", ".join(f"{c} bigint" for c in _SKETCH)))
 
 
-def ngram_links(rows: DataFrame, scratch: Scratch, sim: Similarity) -> tuple[DataFrame, DataFrame]:
+def ngram_links(rows: DataFrame, classes: DataFrame, scratch: Scratch,
+                sim: Similarity) -> tuple[DataFrame, DataFrame]:
     """Links between classes of (text) rows, complete up to components, and the components."""
-    ranked = scratch.store(ranked_sets(rows, sim), "ranked")
+    ranked = scratch.store(ranked_sets(rows, classes, sim), "ranked")
     own = (sim.prefix_length(F.col("n")) - F.col("u")).cast("int")
-    prefix = ranked.where(own > 0).withColumn("prefix", F.slice("elements", 1, own))
-    postings = scratch.store(prefix.select(
-        "node", "n", "u", F.posexplode("prefix").alias("at", "key"), *_SKETCH)
-        .select("key", "node", "n", "u", (F.col("u") + F.col("at")).alias("pos"), *_SKETCH),
-        "postings")
-    links, root = link(postings, lambda nodes: ranked.join(nodes, "node", "left_semi"), sim,
-                       scratch)
+    postings = scratch.store(
+        ranked.where(own > 0).select("node", "n", "u",
+                                     F.posexplode(F.slice("elements", 1, own)).alias("at", "key"))
+        .select("key", "node", "n", "u", (F.col("u") + F.col("at")).alias("pos")), "postings")
+    links, root = link(postings, ranked.select("node", *_SKETCH),
+                       lambda nodes: ranked.join(nodes, "node", "left_semi"), sim, scratch)
     scratch.drop("postings", "ranked")
     return links, root
 
@@ -261,7 +296,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))
     classes = scratch.store(shingle_classes(rows), "classes")
-    _, root = ngram_links(rows.select("text"), scratch, sim)
+    _, root = ngram_links(rows.select("text"), classes, scratch, sim)
     least = (classes.where("node is not null").groupBy("node")
              .agg(F.min("doc_id").alias("least"))
              .join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
