@@ -47,6 +47,9 @@ SAMPLED_STEPS = 2
 AGREEMENT = 0.35
 RECALL = 0.99
 ITEM_BLOCK = 20_000
+#: window starts whose walks are taken together; bytes of text searched together
+STARTS = 1 << 12
+SLICE_BYTES = 4 << 20
 
 _U = np.uint64
 
@@ -57,114 +60,145 @@ def repetitions(agreement: float = AGREEMENT, steps: int = SAMPLED_STEPS,
     return math.ceil(math.log(1 - recall) / math.log(1 - agreement ** steps))
 
 
-def walk_keys(words: np.ndarray, seed: int, steps: int = SAMPLED_STEPS) -> np.ndarray:
-    """Keys of one repetition for windows (rows of word hashes) of equal length."""
-    count, m = words.shape
-    rng = np.random.default_rng((seed, m))
-    sampled = set(np.sort(rng.choice(2 * m, steps, replace=False)).tolist())
-    at = np.zeros(count, dtype=np.int64)
-    key = np.full(count, m * 1000 + seed, dtype=np.uint64)
-    padded = np.concatenate([words, np.zeros((count, 1), np.uint64)], axis=1)
-    rows = np.arange(count)
-    for step in range(max(sampled) + 1):
-        word = padded[rows, at]
-        if step in sampled:
-            key = K.mix(key * _U(31) + word)
-        salt = _U((seed * 1_000_003 + step) * 2_654_435_761 % (1 << 64))
-        at = np.minimum(at + (K.mix(word ^ salt) & _U(1)).astype(np.int64), m)
+def sampled_steps(lengths: np.ndarray, seed: int, steps: int = SAMPLED_STEPS) -> np.ndarray:
+    """(lengths, steps): the steps of a walk that repetition ``seed`` samples per item length."""
+    return np.stack([np.random.default_rng((seed, m)).choice(2 * m, steps, replace=False)
+                     for m in lengths.tolist()])
+
+
+def walk_keys(words: np.ndarray, who: np.ndarray, length: np.ndarray, sampled: np.ndarray,
+              seed: int) -> np.ndarray:
+    """Keys of one repetition for the windows words[who, :length].
+
+    One walk per row of ``words`` (word hashes from a start on, 0 past the text)
+    serves windows of all lengths; what lies past a window counts as 0.
+    ``sampled`` has the steps of each window.
+    """
+    rows, width = words.shape
+    wide = np.concatenate([words, np.zeros((rows, 1), np.uint64)], axis=1)
+    steps = int(sampled.max()) + 1
+    at = np.zeros((steps, rows), dtype=np.int32)
+    copied = np.empty((steps, rows), dtype=np.uint64)
+    place = np.arange(rows)
+    for step in range(steps):
+        copied[step] = word = wide[place, at[step]]
+        if step + 1 < steps:
+            salt = _U((seed * 1_000_003 + step + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+            move = (((word ^ salt) * _U(0xBF58476D1CE4E5B9)) >> _U(63)).astype(np.int32)
+            at[step + 1] = np.minimum(at[step] + move, width)
+    key = length.astype(np.uint64) * _U(1000) + _U(seed)
+    for k in range(sampled.shape[1]):
+        s = sampled[:, k]
+        key = K.mix(key * _U(31) + np.where(at[s, who] < length, copied[s, who], _U(0)))
     return key
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Word edit distance of each row of a to the same row of b (equal shapes)."""
     count, m = a.shape
-    row = np.repeat(np.arange(m + 1)[None, :], count, axis=0)
+    place = np.arange(m + 1)
+    row = np.repeat(place[None, :], count, axis=0)
     for i in range(1, m + 1):
-        new = np.empty_like(row)
-        new[:, 0] = i
-        swap = row[:, :-1] + (a[:, i - 1:i] != b)
-        best = np.minimum(swap, row[:, 1:] + 1)
-        for j in range(1, m + 1):
-            new[:, j] = np.minimum(best[:, j - 1], new[:, j - 1] + 1)
-        row = new
+        best = np.empty_like(row)
+        best[:, 0] = i
+        best[:, 1:] = np.minimum(row[:, :-1] + (a[:, i - 1:i] != b), row[:, 1:] + 1)
+        row = np.minimum.accumulate(best - place, axis=1) + place
     return row[:, -1]
 
 
 class ItemIndex:
-    """One block of items, by length: word hashes and keys of every repetition."""
+    """One block of items: word hashes, word pairs and the keys of every repetition."""
 
     def __init__(self, ids: list[int], texts: list[str | None]) -> None:
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        groups: dict[int, list[tuple[int, np.ndarray]]] = {}
+        found: list[tuple[int, np.ndarray]] = []
         for lo, t in K.slices(pa.array(texts, pa.large_string())):
             words = K.split_words(t, K.SPACES)
             h = K.segment_hash(t.buf, words.starts, words.ends, K.FOLDED)
-            for i in range(t.rows):
-                w = h[words.first[i]:words.first[i + 1]]
-                if len(w) >= MIN_ITEM_WORDS:
-                    groups.setdefault(len(w), []).append((ids[lo + i], w))
-        pairs = [np.zeros(0, np.uint64)]
-        for m, found in sorted(groups.items()):
-            w = np.stack([x for _, x in found])
-            self.by_length[m] = np.array([i for i, _ in found], dtype=np.int64), w
-            pairs += [_pair_hash(w[:, :-1].reshape(-1), w[:, 1:].reshape(-1))]
-        self.pairs = np.unique(np.concatenate(pairs))
-        self.rounds = repetitions()
-        self.keys = {m: [walk_keys(w, r) for r in range(self.rounds)]
-                     for m, (_, w) in self.by_length.items()}
+            found += [(ids[lo + i], h[a:b]) for i, (a, b) in enumerate(
+                zip(words.first[:-1], words.first[1:], strict=True)) if b - a >= MIN_ITEM_WORDS]
+        self.ids = np.array([i for i, _ in found], dtype=np.int64)
+        self.length = np.array([len(w) for _, w in found], dtype=np.int64)
+        self.lengths = np.unique(self.length)
+        self.words = np.zeros((len(found), int(self.length.max(initial=0))), dtype=np.uint64)
+        for i, (_, w) in enumerate(found):
+            self.words[i, :len(w)] = w
+        self.pairs = np.unique(np.concatenate(
+            [np.zeros(0, np.uint64), *(_pair_hash(w[:-1], w[1:]) for _, w in found)]))
+        self.rounds = []  # per repetition: sampled steps by length, sorted keys, their items
+        for r in range(repetitions() if found else 0):
+            steps = sampled_steps(self.lengths, r)
+            mine = steps[np.searchsorted(self.lengths, self.length)]
+            keys = walk_keys(self.words, np.arange(len(found)), self.length, mine, r)
+            order = np.argsort(keys, kind="stable")
+            self.rounds.append((steps, keys[order], order))
 
 
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return K.mix(a * _U(3) + b)
 
 
-def _meetings(index: ItemIndex, m: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _meetings(index: ItemIndex, words: np.ndarray, who: np.ndarray,
+              length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, item) pairs with an equal key in some repetition."""
     out = []
-    for r in range(index.rounds):
-        keys = index.keys[m][r]
-        order = np.argsort(keys, kind="stable")
-        mine = walk_keys(windows, r)
-        lo = np.searchsorted(keys[order], mine, side="left")
-        hi = np.searchsorted(keys[order], mine, side="right")
-        n = hi - lo
-        who = np.repeat(np.arange(len(mine)), n)
-        at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        out.append(who * len(keys) + order[at])
+    row = np.searchsorted(index.lengths, length)
+    for r, (steps, keys, order) in enumerate(index.rounds):
+        mine = walk_keys(words, who, length, steps[row], r)
+        lo = np.searchsorted(keys, mine, side="left")
+        n = np.searchsorted(keys, mine, side="right") - lo
+        window = np.repeat(np.arange(len(mine)), n)
+        at = np.arange(len(window)) + np.repeat(lo - (np.cumsum(n) - n), n)
+        out.append(window * len(keys) + order[at])
     both = np.unique(np.concatenate(out))
-    return both // len(index.keys[m][0]), both % len(index.keys[m][0])
+    window, item = both // len(index.ids), both % len(index.ids)
+    ok = length[window] == index.length[item]
+    return window[ok], item[ok]
+
+
+def _candidates(index: ItemIndex, h: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, length) of the windows that pass the count filter; last: end of a word's text."""
+    pair = _pair_hash(h[:-1], h[1:])
+    near = np.searchsorted(index.pairs, pair)
+    near[near == len(index.pairs)] = 0
+    known = np.concatenate([[0], np.cumsum(index.pairs[near] == pair)])
+    need = index.lengths - 1 - 2 * (index.lengths // EDITS_PER_WORDS)
+    start = np.arange(len(h))
+    reach = np.minimum(start + int(index.lengths[-1]) - 1, last - 1)
+    start = start[known[reach] - known[start] >= need.min()]
+    found = []
+    for m, least in zip(index.lengths.tolist(), need.tolist(), strict=True):
+        at = start[start + m <= last[start]]
+        found.append(at[known[at + m - 1] - known[at] >= least])
+    return np.concatenate(found), np.repeat(index.lengths, [len(x) for x in found])
 
 
 def find_windows(t: K.Texts, index: ItemIndex) -> np.ndarray:
     """(row, item id, first word, distance) of the best window per row and item."""
     words = K.split_words(t, K.SPACES)
     hits = [np.zeros((0, 4), dtype=np.int64)]
-    if not index.by_length or len(words.starts) < min(index.by_length):
+    if not len(index.ids) or len(words.starts) < index.lengths[0]:
         return hits[0]
     h = K.segment_hash(t.buf, words.starts, words.ends, K.FOLDED)
-    row, last = words.rows(), words.first[1:]
-    pair = _pair_hash(h[:-1], h[1:])
-    near = np.searchsorted(index.pairs, pair)
-    near[near == len(index.pairs)] = 0
-    known = np.concatenate([[0], np.cumsum(index.pairs[near] == pair)])
-    need = {m: m - 1 - 2 * (m // EDITS_PER_WORDS) for m in index.by_length}
-    longest = max(need)
-    start = np.arange(len(h))
-    reach = np.minimum(np.minimum(start + longest - 1, last[row] - 1), len(pair))
-    start = start[known[np.maximum(reach, start)] - known[start] >= min(need.values())]
-    for m, (ids, items) in index.by_length.items():
-        at = start[start + m <= last[row[start]]]
-        at = at[known[at + m - 1] - known[at] >= need[m]]
-        for lo in range(0, len(at), 1 << 14):
-            part = at[lo:lo + (1 << 14)]
-            windows = np.lib.stride_tricks.sliding_window_view(h, m)[part]
-            w, i = _meetings(index, m, windows)
-            d = edit_distances(windows[w], items[i])
+    row = words.rows()
+    last = words.first[1:][row]
+    at, length = _candidates(index, h, last)
+    order = np.argsort(at, kind="stable")
+    at, length = at[order], length[order]
+    width = index.words.shape[1]
+    padded = np.concatenate([h, np.zeros(width, np.uint64)])
+    bounds = np.searchsorted(at, np.unique(at)[::STARTS]) if len(at) else []
+    for lo, hi in zip(bounds, [*bounds[1:], len(at)], strict=True):
+        part, size = at[lo:hi], length[lo:hi]
+        starts, who = np.unique(part, return_inverse=True)
+        block = np.lib.stride_tricks.sliding_window_view(padded, width)[starts]
+        w, i = _meetings(index, block, who, size)
+        for m in np.unique(size[w]).tolist():
+            mine = np.flatnonzero(size[w] == m)
+            d = edit_distances(block[who[w[mine]], :m], index.words[i[mine], :m])
             ok = d <= m // EDITS_PER_WORDS
-            if ok.any():
-                w, i, d = w[ok], i[ok], d[ok]
-                r = row[part[w]]
-                hits.append(np.stack([r, ids[i], part[w] - words.first[r], d], axis=1))
+            at_word, item = part[w[mine[ok]]], i[mine[ok]]
+            r = row[at_word]
+            hits.append(np.stack([r, index.ids[item], at_word - words.first[r], d[ok]], axis=1))
     found = np.concatenate(hits)
     order = np.lexsort((found[:, 2], found[:, 3], found[:, 1], found[:, 0]))
     found = found[order]
@@ -177,7 +211,7 @@ def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(*shared.value)
         for batch in batches:
-            for lo, t in K.slices(batch.column(1)):
+            for lo, t in K.slices(batch.column(1), SLICE_BYTES):
                 found = find_windows(t, index)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(lo + found[:, 0])),

@@ -37,7 +37,7 @@ HASH_BYTES = 5
 #: bits of the suffix filter's bitmap, in 64-bit columns
 SKETCH_LONGS = 8
 #: bytes of text whose classes are packed together
-PACK_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
 
 _U = np.uint64
 _LOW = _U((1 << (8 * HASH_BYTES)) - 1)

@@ -26,7 +26,7 @@ from forgecast.llm import textkit as K
 from forgecast.session import ensure_workers_can_import
 
 #: bytes of text whose distinct chunks are solved together
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _encoder(shared):

@@ -54,7 +54,7 @@ def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, ...]
     size = 4 * sum(map(len, keys)) + 1024
     base, check, value = (np.full(size, x, dtype=np.int32) for x in (0, -1, -1))
     check[0] = 0
-    low, todo = 1, [(0, 0, len(keys), 0)]
+    low, crowded, todo = 1, 1, [(0, 0, len(keys), 0)]
     while todo:
         node, lo, hi, depth = todo.pop()
         if len(keys[lo]) == depth:
@@ -73,8 +73,10 @@ def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, ...]
             low += 1
         marks = np.array([c for c, _, _ in runs])
         at = max(low, int(marks[0]) + 1)
-        offset = (at - int(marks[0]) if len(runs) == 1 and check[at] < 0
-                  else _first_fit(check, marks, at))
+        if len(runs) > 1 or check[at] >= 0:
+            at = _first_fit(check, marks, max(at, crowded)) + int(marks[0])
+            crowded = at - 256  # slots well before the last fit are too crowded for branches
+        offset = at - int(marks[0])
         base[node] = offset
         check[offset + marks] = node
         todo += [(offset + c, a, b, depth + 1) for c, a, b in runs]

@@ -26,7 +26,7 @@ from forgecast.llm import pieces as P
 from forgecast.llm import textkit as K
 from forgecast.session import ensure_workers_can_import
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 TRIE_BYTES = 64
 _PAST = 3 * TRIE_BYTES
 
