@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from forgecast.llm.decontaminate import contaminated
 from forgecast.llm.graph import Scratch, join_ids
 from forgecast.llm.ngram_join import ngram_jaccard_join
+from forgecast.llm.paragraphs import cut_paragraphs, repeated_paragraphs
+from forgecast.llm.piece_codec import codec_digest
 from forgecast.llm.quality import quality_rules
 
 #: the result has no SQL form (see the brute-force test)
@@ -28,9 +31,30 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return join_ids(docs, repeated, "doc_id", "left_anti").select(*docs.columns)
 
 
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Paragraphs that repeat an earlier one are cut; texts left without a word go."""
+    return cut_paragraphs(docs, repeated_paragraphs(docs))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    scratch = Scratch(spark, "pipeline-decontamination")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = scratch.store(contaminated(docs, items).select("doc_id").distinct(), "leaks")
+    return join_ids(docs, leaks, "doc_id", "left_anti")
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, as number and hash, with the round trip's result."""
+    return codec_digest(docs)
+
+
 STAGES = [
     ("quality rules", quality_stage),
     ("n-gram Jaccard join", ngram_join_stage),
+    ("substring dedup", substring_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("SentencePiece encoding and decoding", token_stage),
 ]
 
 

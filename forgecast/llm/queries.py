@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from forgecast.llm.decontaminate import contaminated
+from forgecast.llm.licenses import license_scan
 from forgecast.llm.ngram_join import ngram_jaccard_join
 from forgecast.llm.paragraphs import repeated_paragraphs
 from forgecast.llm.piece_codec import codec_digest
 from forgecast.llm.quality import quality_rules
+from forgecast.llm.sharding import shard_rows
 from forgecast.llm.token_counts import token_counts
+from forgecast.llm.toxicity import toxicity_scores
+from forgecast.llm.url_lists import ORACLE as URL_ORACLE
+from forgecast.llm.url_lists import listed, page_captures, page_list_events
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +31,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return listed(page_captures(pages), page_list_events(pages))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +52,14 @@ def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -45,9 +67,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op3_url_filters": op3_url_filters,
+    "op4_sharding": op4_sharding,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sentencepiece_codec": op7_sentencepiece_codec,
+    "op8_license_scan": op8_license_scan,
+    "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_url_filters": URL_ORACLE}
