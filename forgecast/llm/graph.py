@@ -27,6 +27,7 @@ from forgecast.session import ensure_workers_can_import, scratch_path
 
 #: largest id list that is broadcast (16 bytes a row); above it the ids are joined by a shuffle
 BROADCAST_IDS = 2_000_000
+ARROW_ROWS = "1000"
 
 
 class Scratch:
@@ -34,13 +35,15 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, job: str) -> None:
         ensure_workers_can_import(spark)
+        # rows hold whole texts: small Arrow batches bound the memory on both sides
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
         self.spark = spark
         self.base = f"{scratch_path(spark, job)}-{uuid.uuid4().hex}"
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: cuts the lineage, survives lost executors."""
         path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

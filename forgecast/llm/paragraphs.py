@@ -29,7 +29,7 @@ from forgecast.llm.graph import Scratch, Similarity, join_ids, link, longs
 MIN_WORDS = 40
 SHINGLE_WORDS = 5
 RECALL = 0.99
-MAX_BANDS = 12
+MAX_BANDS = 9
 SKETCH_LONGS = 4
 
 _U = np.uint64
