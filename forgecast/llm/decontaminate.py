@@ -183,11 +183,13 @@ def find_windows(t: K.Texts, index: ItemIndex) -> np.ndarray:
     row = words.rows()
     last = words.first[1:][row]
     at, length = _candidates(index, h, last)
+    if not len(at):
+        return hits[0]
     order = np.argsort(at, kind="stable")
     at, length = at[order], length[order]
     width = index.words.shape[1]
     padded = np.concatenate([h, np.zeros(width, np.uint64)])
-    bounds = np.searchsorted(at, np.unique(at)[::STARTS]) if len(at) else []
+    bounds = np.searchsorted(at, np.unique(at)[::STARTS]).tolist()
     for lo, hi in zip(bounds, [*bounds[1:], len(at)], strict=True):
         part, size = at[lo:hi], length[lo:hi]
         starts, who = np.unique(part, return_inverse=True)

@@ -2,8 +2,8 @@
 
 Rows are hashed into ``SLOTS`` virtual slots once and for all. A versioned map
 says which shard holds a slot; rebalancing adds a version that edits the map:
-slots are visited by falling bytes, each stays on its shard while that stays
-under an even share of all bytes, and the others go to the least loaded shard.
+slots are visited by falling bytes; each stays on its shard while that stays
+under an even share of all bytes and else goes to the least loaded shard.
 
 Law ``bytes``: shard sizes differ by about the bytes of a small slot. Defined
 cases: a null text has no bytes (size 16) and the checksum 0; a null id and
@@ -61,19 +61,11 @@ def rebalance(current: DataFrame, load: DataFrame, shards: int = SHARDS) -> Data
     zero = f"cast(named_struct('load', array_repeat(0L, {shards}), 'done', array()) as {state})"
     add = ("transform(acc.load, (v, i) -> if(i = {at}, v + x.bytes, v))")
     put = "concat(acc.done, array(named_struct('slot', x.slot, 'shard', {at}, 'bytes', x.bytes)))"
-    to = "(array_position(acc.load, array_min(acc.load)) - 1)"
-
-    def step(at: str) -> str:
-        return (f"cast(named_struct('load', {add.format(at=at)}, 'done', {put.format(at=at)})"
-                f" as {state})")
-    away = (f"cast(named_struct('load', acc.load, 'done', {put.format(at='-1')}) as {state})")
-    one = one.withColumn("stay", F.expr(
-        f"aggregate(slots, {zero}, (acc, x) -> if(x.shard >= 0 and x.shard < {shards} and "
-        f"acc.load[x.shard] + x.bytes <= share, {step('x.shard')}, {away}))"))
-    start = (f"cast(named_struct('load', stay.load, 'done', filter(stay.done, y -> y.shard >= 0))"
-             f" as {state})")
+    at = (f"if(x.shard >= 0 and x.shard < {shards} and acc.load[x.shard] + x.bytes <= share, "
+          "x.shard, cast(array_position(acc.load, array_min(acc.load)) - 1 as int))")
     one = one.withColumn("last", F.expr(
-        f"aggregate(filter(stay.done, y -> y.shard < 0), {start}, (acc, x) -> {step(to)})"))
+        f"aggregate(slots, {zero}, (acc, x) -> cast(named_struct('load', {add.format(at=at)}, "
+        f"'done', {put.format(at=at)}) as {state}))"))
     return one.select("version", F.explode("last.done").alias("s")).select(
         "version", "s.slot", "s.shard")
 

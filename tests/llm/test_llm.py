@@ -235,7 +235,7 @@ def test_license_scan(spark, empty):
         spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[1].n_base, got[1].first_word, got[1].labels) == (1, 2, "mit")
     assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].labels) == (0, 0, None, "")
-    assert got[4].base_labels == "apache-2,cc-by-nc" and got[4].last_word == 9
+    assert got[4].base_labels == "apache-2,cc-by-nc" and got[4].last_word == 10
     assert (got[5].base_labels, got[5].labels, got[5].score) == ("", "gpl-3", 1.0)
     assert got[3].labels == got[6].labels == ""
 
