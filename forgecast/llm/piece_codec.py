@@ -108,9 +108,30 @@ def decode(encoded: DataFrame, model_path: str = P.DEFAULT_MODEL) -> DataFrame:
             .mapInArrow(_decoder(shared), _ENCODED + ", decoded string"))
 
 
-def codec_digest(docs: DataFrame, model_path: str = P.DEFAULT_MODEL) -> DataFrame:
+def _round_trip(shared):
+    """Encoding and decoding in one Python stage; the texts stay inside it."""
+    encoder, decoder = _encoder(shared), _decoder(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in decoder(encoder(batches)):
+            text, decoded = b.column(1), b.column(4)
+            same = pc.if_else(pc.is_null(text), pc.is_null(decoded),
+                              pc.fill_null(pc.equal(text, decoded.cast(text.type)), False))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), same],
+                                             names=["doc_id", "ids", "score", "round_trip"])
+    return run
+
+
+def codec_digest(docs: DataFrame, model_path: str = P.DEFAULT_MODEL, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
     """Per row: number and hash of the ids, score, and whether decoding gives the text back."""
-    done = decode(encode(docs, model_path), model_path)
+    spark = docs.sparkSession
+    ensure_workers_can_import(spark)
+    shared = spark.sparkContext.broadcast(P.load_vocabulary(model_path))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
+                       F.col(text_col).cast("string").alias("text"))
+    done = rows.mapInArrow(_round_trip(shared),
+                           "doc_id bigint, ids array<int>, score double, round_trip boolean")
     return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.xxhash64("ids").alias("ids_hash"), F.round("score", 6).alias("score"),
-                       F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+                       "round_trip")
