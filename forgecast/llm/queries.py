@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from forgecast.llm.decontaminate import contaminated
 from forgecast.llm.licenses import license_scan
 from forgecast.llm.ngram_join import ngram_jaccard_join
+from forgecast.llm.oracles import license_sql, ngram_join_sql, quality_sql
 from forgecast.llm.paragraphs import repeated_paragraphs
 from forgecast.llm.piece_codec import codec_digest
 from forgecast.llm.quality import quality_rules
@@ -76,4 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLE: dict[str, str] = {"op3_url_filters": URL_ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": quality_sql(),
+    "op3_url_filters": URL_ORACLE,
+    "op8_license_scan": license_sql(),
+    "op10_ngram_jaccard_join": ngram_join_sql(),
+}
