@@ -80,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
             from .sources.ingest import stage_raw_tables
             print(json.dumps(stage_raw_tables(spark, a.data_dir, a.stage_to)))
         summary = TP.run_training(spark, price, ship, a.models_dir, dense_nsn=a.dense_nsn,
-                                  experiment_name=run["experiment_name"],
+                                  experiment_name=run["experiment_name"], experiment=run.get("experiment"),
                                   run_name=run["run_name"],
                                   log_runs=(run["disabled"] or "").lower() not in C.DISABLE_FLAG_VALUES)
         print(json.dumps(summary, default=str))

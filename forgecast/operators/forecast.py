@@ -118,8 +118,7 @@ def _forecast_batches(it: Iterator[pd.DataFrame], n_lags: int) -> Iterator[pd.Da
         last_month = last_date.dt.month.to_numpy()
         horizon = pdf["horizon"].fillna(0).to_numpy(np.int64)
         h_max = int(horizon.max()) if n else 0
-        out_nsn, out_step, out_price, out_date = [], [], [], []
-        last_dates = pdf["last_date"].to_numpy()
+        last_dates, items = pdf["last_date"].to_numpy(), pdf["nsn"].to_numpy()
         for h in range(1, h_max + 1):
             active = horizon >= h
             X = np.column_stack([window, demand, market, _month_after(last_month, h)])
@@ -127,15 +126,9 @@ def _forecast_batches(it: Iterator[pd.DataFrame], n_lags: int) -> Iterator[pd.Da
             if forest is not None:
                 pred[with_trees] = forest.predict(X[with_trees], active[with_trees])
             idx = np.flatnonzero(active)
-            out_nsn.append(pdf["nsn"].to_numpy()[idx])
-            out_step.append(np.full(len(idx), h, dtype=np.int32))
-            out_price.append(pred[idx])
-            out_date.append(last_dates[idx])
+            yield pd.DataFrame({"nsn": items[idx], "step": np.full(len(idx), h, dtype=np.int32),
+                                "forecast_price": pred[idx], "last_date": last_dates[idx]})
             window = np.column_stack([window[:, 1:], pred])
-        if out_nsn:
-            yield pd.DataFrame({"nsn": np.concatenate(out_nsn), "step": np.concatenate(out_step),
-                                "forecast_price": np.concatenate(out_price),
-                                "last_date": np.concatenate(out_date)})
 
 
 def recursive_forecast(state: DataFrame, models: DataFrame, horizon=C.DEFAULT_HORIZON,
@@ -161,6 +154,29 @@ def recursive_forecast(state: DataFrame, models: DataFrame, horizon=C.DEFAULT_HO
                      iso_date(months_after(F.col("last_date"), F.col("step"))).alias("reference_month"))
 
 
+def shared_model_forecast(state: DataFrame, model: dict | None,
+                          horizon: int = C.DEFAULT_HORIZON, n_lags: int = C.N_LAGS) -> DataFrame:
+    """``recursive_forecast`` with one model (a model table row) for every item.
+
+    The model is bounded (trees x nodes) and travels with the task closure, so
+    no join is planned. Without a model there are no rows.
+    """
+    if "horizon" not in state.columns:
+        state = state.withColumn("horizon", F.lit(int(horizon)))
+    j = (state.where(F.col("complete") & F.lit(model is not None))
+         .select("nsn", "lags", "last_date", "last_demand", "last_market", "horizon"))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for c in _MODEL_COLS:
+                pdf[c] = [model[c]] * len(pdf)
+            yield from _forecast_batches(iter([pdf]), n_lags)
+
+    fc = j.mapInPandas(run, FORECAST_SCHEMA)
+    return fc.select("nsn", "step", "forecast_price",
+                     iso_date(months_after(F.col("last_date"), F.col("step"))).alias("reference_month"))
+
+
 # ------------------------------------------------------------------ sparse
 def score_pooled(df: DataFrame, model: Model, features: list[str], out: str = "prediction"
                  ) -> DataFrame:

@@ -29,7 +29,7 @@ from ..operators import features as FE
 from ..operators import splits as SP
 from ..operators import training as TR
 from ..operators.boosting import Model
-from ..operators.forecast import score_pooled
+from ..operators.forecast import score_pooled, shared_model_forecast
 
 
 @dataclass
@@ -74,7 +74,7 @@ def dense_fits(price: DataFrame, params: dict | None = None,
 
 def run_training(spark: SparkSession, price: DataFrame, shipping: DataFrame, models_dir: str,
                  dense_nsn: str | None = None, experiment_name: str | None = None,
-                 run_name: str | None = None, log_runs: bool = True,
+                 run_name: str | None = None, log_runs: bool = True, experiment: str | None = None,
                  max_group_rows: int = 200_000) -> dict:
     """Train and persist both model kinds; return the run summary.
 
@@ -123,16 +123,24 @@ def run_training(spark: SparkSession, price: DataFrame, shipping: DataFrame, mod
         os.path.join(models_dir, "forecasting_metadata"))
     if log_runs:
         try:
-            log_run(spark, summary, models_dir, run_name=run_name)
+            log_run(spark, summary, models_dir, run_name=run_name, experiment=experiment)
         except Exception as e:  # logging never fails a training run
             summary["run_log_error"] = str(e)
     return summary
 
 
+#: summary fields that aren't strings; any may be null
+SUMMARY_TYPES = {"dense_points": "bigint", "dense_items_trained": "bigint",
+                 "dense_gbm_mae_holdout": "double", "sparse_gbm_mae_holdout": "double",
+                 "sparse_rows": "bigint", "models_written": "array<string>"}
+
+
 def summary_df(spark: SparkSession, summary: dict) -> DataFrame:
     row = dict(summary)
     row["models_written"] = list(row.get("models_written", []))
-    return spark.createDataFrame([row])
+    fields = sorted(row)
+    schema = ", ".join(f"{c} {SUMMARY_TYPES.get(c, 'string')}" for c in fields)
+    return spark.createDataFrame([tuple(row[c] for c in fields)], schema)
 
 
 def run_log_rows(spark: SparkSession, summary: dict, experiment: str | None = None,
@@ -167,7 +175,7 @@ def log_run(spark: SparkSession, summary: dict, models_dir: str, run_name: str |
 def compare_runs(history: DataFrame) -> DataFrame:
     """One row per run, one column per metric (runs side by side)."""
     metrics = history.where(F.col("kind") == "metric")
-    return (metrics.groupBy("run_name")
+    return (metrics.groupBy("run_id", "run_name")
             .pivot("key", ["dense_gbm_mae_holdout", "sparse_gbm_mae_holdout"])
             .agg(F.first(F.col("value").cast("double"))))
 
@@ -207,8 +215,7 @@ def single_model_forecast(price: DataFrame, dense_nsn: str, horizon: int = C.DEF
                           ) -> DataFrame:
     """Single-model mode: one dense model, fitted on ``dense_nsn`` only, forecasts
     every item that has a full lag vector (items with fewer rows get none)."""
-    from ..operators.forecast import recursive_forecast
     fits = dense_fits(price.where(F.col("nsn") == dense_nsn))
-    model = TR.model_table(fits)  # one row: bounded
-    state = FE.last_lag_vector(price).withColumn("_model_item", F.lit(dense_nsn))
-    return recursive_forecast(state, model, horizon=horizon, model_on="_model_item")
+    model = TR.model_table(fits).first()  # one model: at most max_iter x leaves nodes
+    return shared_model_forecast(FE.last_lag_vector(price),
+                                 model and model.asDict(), horizon=horizon)

@@ -7,16 +7,17 @@
   ``"auto"``: read ``<database>.<table>`` first and fall back to the CSV when
   the table is missing, unreadable or empty.
 
-Dates are typed by the schema; the readers never sort (ordering belongs to the
-windows and the sinks).
+CSV columns are bound by header name, and a missing column is an error. Dates
+may carry a time or be written with slashes; a cell that is not a date fails
+the read. The readers never sort (ordering belongs to the windows and the sinks).
 """
 
 from __future__ import annotations
 
+import logging
 import os
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,13 @@ from .. import config as C
 from .. import schemas as S
 
 
+log = logging.getLogger(__name__)
+
+#: accepted besides the ISO forms (a date, optionally with a time)
+DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy/M/d", "yyyy/M/d H:mm:ss",
+                "yyyyMMdd")
+
+
 def source_mode(value: str | None) -> str:
     """Normalise a source-mode word (trim + lower) to ``csv`` or ``auto``."""
     mode = (value or "").strip().lower()
@@ -37,16 +45,28 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     """CSV scan with a header row. With ``schema`` no inference pass runs."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if schema is not None:
-        reader = reader.schema(schema).option("dateFormat", "yyyy-MM-dd")
-    else:
-        reader = reader.option("inferSchema", True)
-    df = reader.csv(path)
+        df = reader.csv(path)
+        missing = [f.name for f in schema if f.name not in df.columns]
+        if missing:
+            raise ValueError(f"{path}: missing columns {', '.join(missing)}")
+        return df.select(*(
+            (parsed_date(f.name) if isinstance(f.dataType, T.DateType)
+             else F.col(f.name).try_cast(f.dataType)).alias(f.name) for f in schema))
+    df = reader.option("inferSchema", True).csv(path)
     for c in date_cols:
         if c in df.columns and not isinstance(df.schema[c].dataType, T.DateType):
             df = df.withColumn(c, F.to_date(F.col(c)))
     return df
 
 
+def parsed_date(name: str) -> Column:
+    """Date of a text cell; blank cells are null, other cells that are no date raise."""
+    cell = F.trim(F.col(name))
+    formats = [F.try_to_timestamp(cell, F.lit(f)).cast("date") for f in DATE_FORMATS]
+    bad = F.raise_error(F.format_string(f"{name}: not a date: %s", cell)).cast("date")
+    return F.when(cell != "", F.coalesce(cell.try_cast("date"), *formats, bad))
+
+
 def read_table(spark: SparkSession, table: str, database: str = C.DEFAULT_DATABASE
                ) -> DataFrame | None:
     """``SELECT * FROM db.table``; ``None`` when missing, unreadable or empty."""
@@ -58,7 +78,8 @@ def read_table(spark: SparkSession, table: str, database: str = C.DEFAULT_DATABA
         if df.isEmpty():
             return None
         return df
-    except AnalysisException:
+    except Exception as e:  # any failure means the other source, as for a missing table
+        log.warning("table %s not readable, using the CSV: %s", name, e)
         return None
 
 
