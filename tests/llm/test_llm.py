@@ -16,7 +16,7 @@ from forgecast.llm.decontaminate import contaminated
 from forgecast.llm.licenses import license_scan
 from forgecast.llm.ngram_join import ngram_jaccard_join
 from forgecast.llm.paragraphs import cut_paragraphs, repeated_paragraphs
-from forgecast.llm.piece_codec import decode, encode
+from forgecast.llm.piece_codec import codec_digest, decode, encode
 from forgecast.llm.quality import quality_rules
 from forgecast.llm.sharding import first_map, rebalance, shard_rows
 from forgecast.llm.token_counts import token_counts
@@ -189,6 +189,10 @@ def test_codec_round_trip_and_counts(docs, empty):
     for i, text in enumerate(_texts()):
         assert done[i].decoded == text
         assert len(done[i].ids or []) == counts[i]
+    digest = {r.doc_id: r for r in codec_digest(rows).collect()}
+    assert all(r.round_trip for r in digest.values()) and len(digest) == len(done)
+    assert all(digest[i].n_tokens == len(r.ids)
+               for i, r in done.items() if r.ids is not None)
 
 
 def test_best_paths_equal_one_by_one():
