@@ -136,14 +136,12 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         *(F.any_value(c).alias(c) for c in ("n", "bands", *_SKETCH))), "classes")
 
     # bands in which two classes meet
-    keyed = classes.select(F.explode("bands").alias("key"), "node")
+    keyed = classes.select(F.explode("bands").alias("key"), "node", "n")
     met = (keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
            .where("lo <> hi").select("key"))
     met = scratch.store(met, "met")
     keyed = keyed.join(met, "key", "left_semi")
-    postings = scratch.store(keyed.join(classes.select("node", "n"), "node")
-                             .select("key", "node", "n", F.lit(0).cast("bigint").alias("u")),
-                             "postings")
+    postings = scratch.store(keyed.withColumn("u", F.lit(0).cast("bigint")), "postings")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         ask = (classes.join(nodes, "node").groupBy(F.col("first.doc_id").alias("doc_id"))
