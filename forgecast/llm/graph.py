@@ -28,6 +28,7 @@ from forgecast.session import ensure_workers_can_import, scratch_path
 #: largest id list that is broadcast (16 bytes a row); above it the ids are joined by a shuffle
 BROADCAST_IDS = 2_000_000
 ARROW_ROWS = "1000"
+SCAN_ROWS = "512"
 
 
 class Scratch:
@@ -35,8 +36,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, job: str) -> None:
         ensure_workers_can_import(spark)
-        # rows hold whole texts: small Arrow batches bound the memory on both sides
+        # rows hold whole texts: small Arrow and scan batches bound the memory on both sides
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)
         self.spark = spark
         self.base = f"{scratch_path(spark, job)}-{uuid.uuid4().hex}"
 
