@@ -98,14 +98,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Edges are contracted inside each partition first; then alternating
     large-star and small-star rounds run on the remaining forest until every
     edge points at the least node. Each round's tables are stored, so the joins
-    read plain scans, which adaptive execution can split at a hot root.
+    read plain scans, which adaptive execution can split at a hot root. The
+    rounds end as soon as the edges are stars.
     """
     forest = (edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
               .where("a <> b").mapInArrow(_local_forest, "node bigint, root bigint"))
     e = scratch.store(forest.distinct(), f"{name}-0")
-    seen = _fingerprint(e)
     step = 0
-    while seen[0]:
+    while not _stars(e):
         step += 1
         both = e.union(e.select("root", "node"))
         least = scratch.store(both.groupBy("node").agg(
@@ -119,18 +119,20 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
                  .select(F.col("root").alias("node"), F.col("least").alias("root"))
                  .union(least2).distinct())
         small = scratch.store(small, f"{name}-{step}")
-        now = _fingerprint(small)
         scratch.drop(f"{name}-{step - 1}", *(f"{name}-{step}-{x}" for x in "mln"))
         e = small
-        if now == seen:
-            break
-        seen = now
     return e
 
 
-def _fingerprint(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "root")),
-                       F.sum(F.col("root").cast("decimal(38,0)"))).first())
+def _stars(e: DataFrame) -> bool:
+    """Whether every node of the stored edges has one root, which is no node itself and less.
+
+    Then each root is the least node of its component, and the rounds are done.
+    """
+    roles = (e.select("node", F.lit(1).alias("out"), F.lit(0).alias("into"))
+             .union(e.select("root", F.lit(0), F.lit(1)).distinct())
+             .groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")))
+    return roles.where("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 class Similarity:
@@ -223,8 +225,9 @@ def link(postings: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame]
                                   F.greatest("l.node", "r.node").alias("b")).distinct(),
                      sets_of, sim, scratch, f"{name}-2")
     links = links1.union(links2)
-    root = components(root1.select(F.col("node").alias("a"), F.col("root").alias("b"))
-                      .union(links2), scratch, f"{name}-c2")
+    root = root1 if links2.isEmpty() else components(
+        root1.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links2),
+        scratch, f"{name}-c2")
     scratch.drop(f"{name}-centre", f"{name}-at", f"{name}-main", f"{name}-open")
     return links, root
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from forgecast.llm import decontaminate, paragraphs, pieces
 from forgecast.llm.decontaminate import contaminated
+from forgecast.llm.graph import Scratch, components
 from forgecast.llm.licenses import license_scan
 from forgecast.llm.ngram_join import ngram_jaccard_join
 from forgecast.llm.paragraphs import cut_paragraphs, repeated_paragraphs
@@ -119,6 +120,29 @@ def test_ngram_join_equals_brute_force(docs, empty):
     assert len({find(x) for x in sets}) < len(sets)
 
 
+def test_components_of_chains_stars_and_cycles(spark):
+    rng = random.Random(11)
+    names = rng.sample(range(-10**9, 10**9), 400)
+    edges = [(names[i], names[i + 1]) for i in range(120)]  # a chain in random order
+    edges += [(names[150], names[150 + i]) for i in range(1, 80)]  # a star
+    edges += [(names[240 + i], names[240 + (i + 1) % 50]) for i in range(50)]  # a cycle
+    edges += [(names[300], names[300]), *edges[:30]]  # itself, and repeated edges
+    parent = {x: x for x in names}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)
+    got = components(frame, Scratch(spark, "test"), "rounds").collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in names if find(x) != x)
+    assert components(frame.limit(0), Scratch(spark, "test"), "none").count() == 0
+
+
 def test_repeated_paragraphs(docs, empty):
     assert repeated_paragraphs(empty).count() == 0
     removed = repeated_paragraphs(docs)
