@@ -154,4 +154,4 @@ def store_driver_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
     from .storage import store_table
     price, ship = load_driver_tables(spark, sf_dir)
     return (store_table(price, "price_history", "nsn"),
-            store_table(ship, "supplier_shipping", "supplier_id"))
+            store_table(ship, "supplier_shipping", "supplier_id", rebalance=True))
