@@ -1,16 +1,27 @@
-"""Substring deduplication: repeated paragraphs found by MinHash banding.
+"""Substring deduplication: repeated lines and repeated passages of word sequences.
 
-A paragraph is a line feed-separated line of at least ``MIN_WORDS`` words.
-Equal shingle sets are one class; the bands of each class's MinHash signature
-are joined, colliding classes are verified by the exact Jaccard similarity of
-their 5-word shingle sets (0.8 or more), and components of links are clusters.
-Of each cluster the first occurrence (least document id, then line) stays and
-all others are removed.
+Two kinds of units are compared:
+
+* A line is a line feed-separated line of at least ``MIN_WORDS`` words. Equal
+  shingle sets are one class; the bands of each class's MinHash signature are
+  joined, colliding classes are verified by the exact Jaccard similarity of
+  their 5-word shingle sets (0.8 or more), and components of links are clusters.
+* A window is a run of ``WINDOW_WORDS`` words of the whole text, whatever its line
+  feeds. Winnowing keeps the windows that have the least hash among ``WINNOW``
+  consecutive ones, so two texts with a common passage of ``PASSAGE_WORDS`` words
+  keep a common window of it. Equal windows are clusters, and each one is extended
+  word by word as far as it equals the text around its first occurrence.
+
+Of each cluster the first occurrence (least document id, then position) stays
+and all others are removed. So no passage of ``PASSAGE_WORDS`` words of an earlier
+text is left word by word, however the lines are broken; an edited passage is
+found whole where it is a line, and else in its parts without edits.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Defined cases: null and
-empty texts have no paragraphs; texts of rows without an id are left as they
-are; repeated rows with one id keep the same lines; ties go to the least id;
-an empty table gives an empty result; other columns are not read.
+empty texts have no units; texts of rows without an id are left as they are;
+repeated rows with one id keep the same words; ties go to the least id; a window
+that overlaps its first occurrence loses the words after it only; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +39,12 @@ from forgecast.llm.graph import Scratch, Similarity, join_ids, link, longs
 
 MIN_WORDS = 40
 SHINGLE_WORDS = 5
+#: words of a common passage that is found at any place of two texts
+PASSAGE_WORDS = 50
+WINDOW_WORDS = 26
+WINNOW = PASSAGE_WORDS - WINDOW_WORDS + 1
+#: first occurrences (with the words around them) that are broadcast
+BROADCAST_CONTEXTS = 50_000
 RECALL = 0.99
 MAX_BANDS = 9
 SKETCH_LONGS = 4
@@ -47,8 +64,9 @@ def tune_bands(threshold: float, recall: float = RECALL,
     return max_bands, 1
 
 
-def _lines(t: K.Texts, min_words: int) -> tuple[K.Shingles, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle sets, row, line number and word count of each paragraph of a slice."""
+def _lines(t: K.Texts, min_words: int) -> tuple[K.Shingles, np.ndarray, np.ndarray, np.ndarray,
+                                                     np.ndarray]:
+    """Shingle sets, row, line number, first word and word count of each line of a slice."""
     words = K.split_words(t, K.SPACES)
     feeds = np.flatnonzero(t.buf == 10)
     line_of = np.searchsorted(feeds, words.starts)  # line feeds before the word
@@ -63,7 +81,8 @@ def _lines(t: K.Texts, min_words: int) -> tuple[K.Shingles, np.ndarray, np.ndarr
     inside = np.repeat(keep, count)
     h = K.segment_hash(t.buf, words.starts[inside], words.ends[inside], K.FOLDED)
     s = K.shingle_sets(h, np.concatenate([[0], np.cumsum(count[keep])]), SHINGLE_WORDS)
-    return s, rows[head[keep]], number[head[keep]], count[keep]
+    return (s, rows[head[keep]], number[head[keep]],
+            head[keep] - words.first[rows[head[keep]]], count[keep])
 
 
 def _bands(s: K.Shingles, bands: int, rows: int) -> np.ndarray:
@@ -88,15 +107,15 @@ def _paragraph_batches(min_words: int, bands: int, rows: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, t in K.slices(batch.column(1)):
-                s, row, line, words = _lines(t, min_words)
+                s, row, line, first, words = _lines(t, min_words)
                 keys = _bands(s, bands, rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[lo + row]), pa.array(line, pa.int64()),
-                     pa.array(words, pa.int64()), pa.array(K.signed(K.set_keys(s))),
+                     pa.array(first, pa.int64()), pa.array(words, pa.int64()), pa.array(K.signed(K.set_keys(s))),
                      pa.array(s.counts, pa.int64()),
                      K.list_column(K.signed(keys.reshape(-1)), np.full(len(row), bands)),
                      *longs(K.parity_sketch(s, SKETCH_LONGS))],
-                    names=["doc_id", "line", "n_words", "node", "n", "bands", *_SKETCH])
+                    names=["doc_id", "line", "first_word", "n_words", "node", "n", "bands", *_SKETCH])
     return run
 
 
@@ -106,7 +125,7 @@ def _wanted_sets(min_words: int):
         for batch in batches:
             wanted = batch.column(1)
             for lo, t in K.slices(batch.column(0)):
-                s, row, _, _ = _lines(t, min_words)
+                s, row, _, _, _ = _lines(t, min_words)
                 keys = K.signed(K.set_keys(s))
                 ask = [set(wanted[lo + i].as_py()) for i in range(t.rows)]
                 keep = np.array([k in ask[r] for k, r in zip(keys.tolist(), row, strict=True)],
@@ -118,19 +137,152 @@ def _wanted_sets(min_words: int):
     return run
 
 
+def _sliding(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
+    """Least or greatest value (``pick``) of every n consecutive values."""
+    out, width = x, 1
+    while 2 * width <= n:
+        out, width = pick(out[:-width], out[width:]), 2 * width
+    return pick(out[:len(x) - n + 1], out[n - width:n - width + len(x) - n + 1])
+
+
+def winnowed(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the windows that are kept; ``row``: the text of each word.
+
+    A window is kept if it has the least hash of some ``WINNOW`` consecutive windows
+    of one text. This depends on the words of that run only.
+    """
+    if len(h) < PASSAGE_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    x = K.window_hash(h, WINDOW_WORDS)
+    least = _sliding(x, WINNOW, np.minimum)
+    least[row[:len(least)] != row[PASSAGE_WORDS - 1:]] = 0  # runs that cross texts
+    pad = np.zeros(WINNOW - 1, np.uint64)
+    at = np.flatnonzero((_sliding(np.concatenate([pad, least, pad]), WINNOW, np.maximum) == x)
+                        & (x != 0))
+    return at, x[at]
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for lo, t in K.slices(batch.column(1)):
+            words = K.split_words(t, K.SPACES)
+            row = words.rows()
+            at, x = winnowed(K.segment_hash(t.buf, words.starts, words.ends, K.FOLDED), row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[lo + row[at]]), pa.array(at - words.first[row[at]], pa.int64()),
+                 pa.array(K.signed(x))], names=["doc_id", "first_word", "node"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line and words around each wanted window: WINNOW hashes before (nearest first) and after."""
+    step = np.arange(WINNOW)
+    for batch in batches:
+        ids, wanted = batch.column(0).to_numpy(), batch.column(2)
+        for lo, t in K.slices(batch.column(1)):
+            words = K.split_words(t, K.SPACES)
+            h = K.segment_hash(t.buf, words.starts, words.ends, K.FOLDED)
+            ask = [wanted[lo + i].values.to_numpy() for i in range(t.rows)]
+            row = np.repeat(np.arange(t.rows), [len(x) for x in ask])
+            first = np.concatenate(ask)
+            fits = first + WINDOW_WORDS <= words.counts[row]  # another text with this id
+            row, first = row[fits], first[fits]
+            at = words.first[row] + first
+            feeds = np.flatnonzero(t.buf == 10)
+            line = (np.searchsorted(feeds, words.starts[at])
+                    - np.searchsorted(feeds, t.offs[row]))
+            sides = []
+            for place in (at[:, None] - 1 - step, at[:, None] + WINDOW_WORDS + step):
+                inside = (place >= words.first[row][:, None]) & (
+                    place < words.first[row + 1][:, None])
+                sides.append(K.list_column(K.signed(h[np.where(inside, place, 0)][inside]),
+                                           inside.sum(axis=1)))
+            near = K.window_hash(h, WINDOW_WORDS)[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(K.signed(near)), pa.array(ids[lo + row]), pa.array(first, pa.int64()),
+                 pa.array(line, pa.int64()), *sides],
+                names=["node", "doc_id", "first_word", "line", "before", "after"])
+
+
+def _equal_words(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Number of equal values at the beginning of each two lists."""
+    out = np.zeros(len(a), dtype=np.int64)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = x.values.to_numpy(), y.values.to_numpy()
+        n = min(len(x), len(y))
+        out[i] = np.argmin(np.append(x[:n] == y[:n], False))
+    return out
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word ranges to remove: windows with the equal words before and after them."""
+    for b in batches:
+        doc, first, line, kept_doc, kept, kept_line = (b.column(k).to_numpy() for k in range(6))
+        lo = first - _equal_words(b.column(6), b.column(7))
+        hi = first + WINDOW_WORDS + _equal_words(b.column(8), b.column(9))
+        shift = first - kept
+        lo = np.where(doc == kept_doc, np.maximum(lo, kept + WINDOW_WORDS), lo)
+        ok = hi > lo
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x[ok]) for x in (doc, line, lo, hi - lo, kept_doc, kept_line, lo - shift)],
+            names=_RESULT)
+
+
+_RESULT = ["doc_id", "line", "first_word", "n_words", "kept_doc_id", "kept_line",
+           "kept_first_word"]
+
+
+def repeated_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Removed word ranges of (doc_id, text): repeats of a window, extended where equal."""
+    wins = scratch.store(rows.mapInArrow(
+        _window_batches, "doc_id bigint, first_word bigint, node bigint"), "windows")
+    place = F.struct("doc_id", "first_word")
+    again = scratch.store(wins.groupBy("node").agg(F.min(place).alias("lo"),
+                                                   F.max(place).alias("hi"))
+                          .where("lo <> hi").select("node", "lo.*")
+                          .toDF("node", "kept_doc_id", "kept_first_word"), "again")
+    asked = scratch.store(join_ids(wins, again.select("node"), "node", "left_semi")
+                          .groupBy("doc_id")
+                          .agg(F.collect_set("first_word").alias("wanted")), "asked")
+    scratch.drop("windows")
+    around = scratch.store(
+        join_ids(rows, asked, "doc_id").select("doc_id", "text", "wanted").mapInArrow(
+            _contexts, "node bigint, doc_id bigint, first_word bigint, line bigint, "
+            "before array<bigint>, after array<bigint>"), "around")
+    kept = scratch.store(
+        around.join(again, (around.node == again.node) & (F.col("doc_id") == F.col("kept_doc_id"))
+                    & (F.col("first_word") == F.col("kept_first_word")))
+        .select(around.node, "kept_doc_id", "kept_first_word", F.col("line").alias("kept_line"),
+                F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
+        .dropDuplicates(["node"]), "kept")
+    pairs = join_ids(around, kept, "node", limit=BROADCAST_CONTEXTS).where(
+        "doc_id <> kept_doc_id or first_word <> kept_first_word")
+    return pairs.select("doc_id", "first_word", "line", "kept_doc_id", "kept_first_word",
+                        "kept_line", "before", "kept_before", "after", "kept_after").mapInArrow(
+        _extend, ", ".join(f"{c} bigint" for c in _RESULT))
+
+
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         min_words: int = MIN_WORDS, sim: Similarity | None = None) -> DataFrame:
-    """One row per removed paragraph: doc_id, line, n_words, kept_doc_id, kept_line."""
-    sim = sim or Similarity()
+    """One row per removed word range: doc_id, line (in which the unit begins), first_word,
+    n_words, kept_doc_id, kept_line, kept_first_word."""
     scratch = Scratch(docs.sparkSession, "paragraphs")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    return (repeated_lines(rows, min_words, sim or Similarity(), scratch)
+            .union(repeated_windows(rows, scratch)).distinct())
+
+
+def repeated_lines(rows: DataFrame, min_words: int, sim: Similarity,
+                   scratch: Scratch) -> DataFrame:
+    """Removed lines of (doc_id, text), as word ranges."""
     bands, per_band = tune_bands(sim.num / sim.den)
     paragraphs = scratch.store(rows.mapInArrow(
         _paragraph_batches(min_words, bands, per_band),
-        "doc_id bigint, line bigint, n_words bigint, node bigint, n bigint, bands array<bigint>, "
+        "doc_id bigint, line bigint, first_word bigint, n_words bigint, node bigint, n bigint, "
+        "bands array<bigint>, "
         + ", ".join(f"{c} bigint" for c in _SKETCH)), "paragraphs")
-    first = F.struct("doc_id", "line")
+    first = F.struct("doc_id", "line", "first_word")
     classes = scratch.store(paragraphs.groupBy("node").agg(
         F.count("*").alias("copies"), F.min(first).alias("first"),
         *(F.any_value(c).alias(c) for c in ("n", "bands", *_SKETCH))), "classes")
@@ -159,28 +311,63 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = (member.groupBy("root").agg(F.sum("copies").alias("members"),
                                        F.min("first").alias("kept")).where("members > 1"))
     label = scratch.store(member.join(kept, "root").select(
-        "node", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line")),
-        "label")
+        "node", *(F.col(f"kept.{c}").alias(f"kept_{c}")
+                  for c in ("doc_id", "line", "first_word"))), "label")
     scratch.drop("met", "postings", "ask", "member", "classes")
     return (paragraphs.join(label, "node")
             .where((F.col("doc_id") != F.col("kept_doc_id"))
                    | (F.col("line") != F.col("kept_line")))
-            .select("doc_id", "line", "n_words", "kept_doc_id", "kept_line"))
+            .select(*_RESULT))
+
+
+def _cut(text: str, ranges: list[tuple[int, int]]) -> str:
+    """``text`` without the word ranges (first, number). A line that loses all its words goes
+    with its line feed; words removed from other lines go with the separators after them."""
+    raw = text.encode()
+    (_, t), = K.slices(pa.array([text], pa.large_string()), max(1, len(raw)))
+    words = K.split_words(t, K.SPACES)
+    step = np.zeros(len(words.starts) + 1, dtype=np.int64)
+    for first, n in ranges:
+        step[first] += 1
+        step[first + n] -= 1
+    gone = np.cumsum(step[:-1]) > 0
+    feeds = np.flatnonzero(t.buf == 10)
+    heads = np.concatenate([[0], feeds + 1])
+    tails = np.append(feeds, len(raw))
+    first = np.searchsorted(words.starts, heads)
+    last = np.searchsorted(words.starts, tails)
+    out = []
+    for a, b, i, j in zip(heads.tolist(), tails.tolist(), first.tolist(), last.tolist(),
+                          strict=True):
+        part = gone[i:j]
+        if not part.any():
+            out.append(raw[a:b])
+        elif not part.all():
+            ends = np.append(words.starts[i + 1:j], b)
+            out.append(raw[a:words.starts[i]] + b"".join(
+                raw[words.starts[i + k]:ends[k]] for k in np.flatnonzero(~part)))
+    return b"\n".join(out).decode()
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, gone = batch.column("text"), batch.column("gone")
+        new = [x.as_py() if not g.is_valid or not x.is_valid else
+               _cut(x.as_py(), [(r["first_word"], r["n_words"]) for r in g.as_py()])
+               for x, g in zip(texts, gone, strict=True)]
+        yield batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"),
+                               pa.array(new, batch.schema.field("text").type))
 
 
 def cut_paragraphs(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` without the removed lines; texts left without a word go."""
+    """``docs`` without the removed word ranges; texts left without a word go."""
     scratch = Scratch(docs.sparkSession, "paragraph-cuts")
     gone = scratch.store(removed.groupBy("doc_id").agg(
-        F.collect_set(F.col("line").cast("int")).alias("gone_lines")), "gone")
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone_lines", i)), "\n")
-    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(left)
+        F.collect_set(F.struct("first_word", "n_words")).alias("gone")), "gone")
     whole = join_ids(docs.alias("d"), gone, "doc_id", "left")
-    whole = whole.withColumn("text", text)
-    whole = whole.where(F.col("gone_lines").isNull()
-                        | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    whole = whole.mapInArrow(_cut_batches, whole.schema)
+    whole = whole.where(F.col("gone").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in docs.columns:
-        whole = whole.withColumn("n_chars", F.when(F.col("gone_lines").isNull(), F.col("n_chars"))
+        whole = whole.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars"))
                                  .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return whole.select(*docs.columns)

@@ -298,3 +298,35 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted == y for r, y in held]) > 0.97
     none = toxicity_scores(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in none.collect()} == {0.0}
+
+
+def test_repeated_passages_at_any_line_breaks(spark):
+    rng = random.Random(17)
+
+    def prose(n):
+        return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    def lines_of(w, n):
+        return "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+
+    p = prose(60)
+    head, tail = prose(70), prose(70)
+    rows = [(1, " ".join(prose(70) + p + prose(70))),  # inside a line of 200 words
+            (2, " ".join(head + p + tail)),  # glued into another line
+            (3, "Title\n" + lines_of(p, 12)),  # wrapped into short lines
+            (4, " ".join(prose(5) + p[:49])), (5, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = repeated_paragraphs(frame)
+    got = {(r.doc_id, r.first_word, r.n_words, r.kept_doc_id) for r in removed.collect()}
+    assert {(2, 70, 60, 1), (3, 1, 60, 1)} <= got and not [x for x in got if x[0] in (1, 5)]
+    left = {r.doc_id: r.text for r in cut_paragraphs(frame, removed).collect()}
+    assert left[1] == rows[0][1] and left[2].split() == head + tail and left[3] == "Title"
+    # any common run of PASSAGE_WORDS words keeps a common window
+    n = paragraphs.PASSAGE_WORDS
+    for _ in range(200):
+        run = rng.sample(range(2**40), n)
+        sides = [np.array(rng.sample(range(2**40), rng.randrange(40)) + run
+                          + rng.sample(range(2**40), rng.randrange(40)), np.uint64)
+                 for _ in range(2)]
+        a, b = (set(paragraphs.winnowed(h, np.zeros(len(h), int))[1].tolist()) for h in sides)
+        assert a & b
