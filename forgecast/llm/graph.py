@@ -8,9 +8,10 @@ are needed to know every component, without writing all pairs of a group:
 2. keys whose members still lie in several components pair members across
    components only, again under the filters, and verify those.
 
-Two members of one component need no further pair, so a group of near copies
-costs a number of rows linear in its size, and no link between components is
-lost.
+Two members of one component need no further pair for this, so a group of near
+copies costs a number of rows linear in its size, and no link between components
+is lost. The links inside a component are not all among these; ``ngram_join``
+verifies them where they are asked for.
 """
 
 from __future__ import annotations

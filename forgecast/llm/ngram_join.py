@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: every pair of texts whose 5-word shingle sets reach 0.8.
+"""N-gram Jaccard join: texts whose 5-word shingle sets reach 0.8, their links and components.
 
 1. ``shingle_classes``: texts with equal sets form one class, keyed by a hash
    of the set; copies cost one row each from here on.
@@ -10,10 +10,15 @@
    (frequency, hash), only the prefix of n - ceil(0.8 n) + 1 is indexed. The
    first u places hold no candidates.
 4. ``graph.link`` joins on prefix shingles under the length, positional and
-   suffix (parity bitmap) filters and verifies each pair once.
+   suffix (parity bitmap) filters and verifies the pairs that decide the components.
+5. Every link lies inside one component, so ``ngram_links`` and ``ngram_link_counts``
+   verify all pairs of different classes of each component, block by block. A large
+   component is many blocks of bounded size; copies are counted, never paired.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Defined cases: a null
-or empty text has no shingles, no links and its own id as component; fewer
+or empty text has no shingles, no links and its own id as component; a row's
+links are the other documents it reaches 0.8 with, its copies included, each id
+once per set and each row without an id once; fewer
 than five words make one shingle; repeated rows are one class; an empty table
 gives an empty result; rows with a null id never lend their id to a component,
 and keep a null component if no row of it has an id. Other columns are not read.
@@ -29,7 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgecast.llm import textkit as K
-from forgecast.llm.graph import Scratch, Similarity, components, link, longs, shuffle_partitions
+from forgecast.llm.graph import (
+    Scratch,
+    Similarity,
+    components,
+    join_ids,
+    link,
+    longs,
+    shuffle_partitions,
+)
 
 SHINGLE_WORDS = 5
 #: bytes kept of a shingle's hash besides its hash range's number
@@ -38,6 +51,9 @@ HASH_BYTES = 5
 SKETCH_LONGS = 8
 #: bytes of text whose classes are packed together
 PACK_BYTES = 4 << 20
+#: classes on each side of a block of pairs, and shingles of a block compared together
+BLOCK_CLASSES = 128
+BLOCK_SHINGLES = 1 << 12
 
 _U = np.uint64
 _LOW = _U((1 << (8 * HASH_BYTES)) - 1)
@@ -273,19 +289,167 @@ def ranked_sets(rows: DataFrame, classes: DataFrame, sim: Similarity) -> DataFra
         + ", ".join(f"{c} bigint" for c in _SKETCH)))
 
 
-def ngram_links(rows: DataFrame, classes: DataFrame, scratch: Scratch,
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) numbers of common elements of sets."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    if not len(both):
+        return out
+    sides = []
+    for flat, sets in ((a, left), (b, right)):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        ok = both[at] == flat
+        sides.append((owner[ok], at[ok]))
+    for lo in range(0, len(both), BLOCK_SHINGLES):
+        hi = min(lo + BLOCK_SHINGLES, len(both))
+        m = []
+        for (owner, at), sets in zip(sides, (left, right), strict=True):
+            part = (at >= lo) & (at < hi)
+            x = np.zeros((len(sets), hi - lo), dtype=np.float32)
+            x[owner[part], at[part] - lo] = 1
+            m.append(x)
+        out += (m[0] @ m[1].T).astype(np.int64)  # whole numbers below 2**24
+    return out
+
+
+def _block_links(rows: list[tuple], sim: Similarity) -> tuple[list[list[tuple]], np.ndarray]:
+    """Left and right rows of one block of pairs and which of them are linked."""
+    i, j = rows[0][1:3]
+    sides = [[r for r in rows if r[3] == b] for b in ((i,) if i == j else (i, j))]
+    left, right = sides[0], sides[-1]
+    if not left or not right:
+        return [left, right], np.zeros((len(left), len(right)), dtype=bool)
+    shared = _shared([r[7] for r in left], [r[7] for r in right])
+    n = [np.array([r[5] for r in side]) for side in (left, right)]
+    linked = sim.den * shared >= sim.num * (n[0][:, None] + n[1][None, :] - shared)
+    if i == j:
+        linked &= ~np.eye(len(left), dtype=bool)
+    return [left, right], linked
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of each (comp, i, j), which follow one another."""
+    rows: list[tuple] = []
+    for batch in batches:
+        plain = [batch.column(k).to_pylist() for k in range(7)]
+        for r in zip(*plain, (x.values.to_numpy().copy() for x in batch.column(7)), strict=True):
+            if rows and rows[0][:3] != r[:3]:
+                yield rows
+                rows = []
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _pair_links(sim: Similarity):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            (left, right), linked = _block_links(rows, sim)
+            x, y = (np.array([r[4] for r in side], dtype=np.int64) for side in (left, right))
+            at, to = np.nonzero(linked)
+            a, b = x[at], y[to]
+            once = (a < b) if rows[0][1] == rows[0][2] else np.ones(len(a), dtype=bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b)[once]), pa.array(np.maximum(a, b)[once])],
+                names=["a", "b"])
+    return run
+
+
+def _count_links(sim: Similarity):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            (left, right), linked = _block_links(rows, sim)
+            copies = [np.array([r[6] for r in side], dtype=np.int64) for side in (left, right)]
+            node, links = [r[4] for r in left], linked @ copies[1]
+            if rows[0][1] != rows[0][2]:
+                node += [r[4] for r in right]
+                links = np.concatenate([links, copies[0] @ linked])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node, pa.int64()), pa.array(links, pa.int64())],
+                names=["node", "links"])
+    return run
+
+
+def _blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(comp, i, j, block, node, n, copies, elements), i <= j: every two members of a component
+    meet in exactly one (comp, i, j). ``members`` (stored): comp, node, n, copies, elements."""
+    spark = members.sparkSession
+    large = scratch.store(members.groupBy("comp").agg(
+        F.ceil(F.count("*") / BLOCK_CLASSES).alias("blocks")).where("blocks > 1"), "large")
+    dealt = (join_ids(members, large, "comp", "left")
+             .withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
+             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    return (dealt.withColumn("other", other)
+            .select("comp", F.least("block", "other").alias("i"),
+                    F.greatest("block", "other").alias("j"), "block", "node", "n", "copies",
+                    "elements")
+            .repartition(shuffle_partitions(spark), "comp", "i", "j")
+            .sortWithinPartitions("comp", "i", "j"))
+
+
+def _components(rows: DataFrame, classes: DataFrame, scratch: Scratch,
                 sim: Similarity) -> tuple[DataFrame, DataFrame]:
-    """Links between classes of (text) rows, complete up to components, and the components."""
+    """Stored sets of the classes of (text) rows, and the components they make."""
     ranked = scratch.store(ranked_sets(rows, classes, sim), "ranked")
     own = (sim.prefix_length(F.col("n")) - F.col("u")).cast("int")
     postings = scratch.store(
         ranked.where(own > 0).select("node", "n", "u",
                                      F.posexplode(F.slice("elements", 1, own)).alias("at", "key"))
         .select("key", "node", "n", "u", (F.col("u") + F.col("at")).alias("pos")), "postings")
-    links, root = link(postings, ranked.select("node", *_SKETCH),
-                       lambda nodes: ranked.join(nodes, "node", "left_semi"), sim, scratch)
-    scratch.drop("postings", "ranked")
-    return links, root
+    _, root = link(postings, ranked.select("node", *_SKETCH),
+                   lambda nodes: ranked.join(nodes, "node", "left_semi"), sim, scratch)
+    scratch.drop("postings")
+    return ranked, root
+
+
+def _members(ranked: DataFrame, root: DataFrame, copies: DataFrame,
+             scratch: Scratch) -> DataFrame:
+    """(comp, node, n, copies, elements) of the classes of components of two classes at least."""
+    comp = scratch.store(root.select("node", F.col("root").alias("comp")).union(
+        root.select("root", "root").distinct()).join(copies, "node"), "comp")
+    return scratch.store(ranked.select("node", "n", "elements").join(comp, "node")
+                         .select("comp", "node", "n", "copies", "elements"), "members")
+
+
+def ngram_links(rows: DataFrame, classes: DataFrame, scratch: Scratch,
+                sim: Similarity) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b), a < b, between classes of (text) rows, and the components."""
+    ranked, root = _components(rows, classes, scratch, sim)
+    members = _members(ranked, root, _copies(classes), scratch)
+    scratch.drop("ranked", "comp")
+    return _blocks(members, scratch).mapInArrow(_pair_links(sim), "a bigint, b bigint"), root
+
+
+def _copies(classes: DataFrame) -> DataFrame:
+    """(node, copies): documents of each class, an id once, a row without an id once."""
+    return (classes.where("node is not null").groupBy("node", "doc_id")
+            .agg(F.count("*").alias("rows"))
+            .groupBy("node").agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("rows"))
+                                       .otherwise(F.lit(1))).alias("copies")))
+
+
+def ngram_link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      sim: Similarity | None = None) -> DataFrame:
+    """(doc_id, n_links) for every row: the other documents that reach the threshold with it."""
+    sim = sim or Similarity()
+    scratch = Scratch(docs.sparkSession, "ngram-links")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
+                       F.col(text_col).cast("string").alias("text"))
+    classes = scratch.store(shingle_classes(rows), "classes")
+    copies = scratch.store(_copies(classes), "copies")
+    ranked, root = _components(rows.select("text"), classes, scratch, sim)
+    members = _members(ranked, root, copies, scratch)
+    scratch.drop("ranked", "comp")
+    links = scratch.store(_blocks(members, scratch).mapInArrow(
+        _count_links(sim), "node bigint, links bigint").groupBy("node")
+        .agg(F.sum("links").alias("links")), "links")
+    total = scratch.store(copies.join(links, "node", "left").select(
+        "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "total")
+    return (classes.join(total, "node", "left")
+            .select("doc_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -296,7 +460,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))
     classes = scratch.store(shingle_classes(rows), "classes")
-    _, root = ngram_links(rows.select("text"), classes, scratch, sim)
+    _, root = _components(rows.select("text"), classes, scratch, sim)
+    scratch.drop("ranked")
     least = (classes.where("node is not null").groupBy("node")
              .agg(F.min("doc_id").alias("least"))
              .join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -310,5 +475,5 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     .otherwise(F.col("component_id")).alias("component_id")))
 
 
-__all__ = ["Similarity", "components", "ngram_jaccard_join", "ngram_links", "ranked_sets",
-           "shingle_classes"]
+__all__ = ["Similarity", "components", "ngram_jaccard_join", "ngram_link_counts", "ngram_links",
+           "ranked_sets", "shingle_classes"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from forgecast.llm.decontaminate import contaminated
 from forgecast.llm.licenses import license_scan
-from forgecast.llm.ngram_join import ngram_jaccard_join
+from forgecast.llm.ngram_join import ngram_jaccard_join, ngram_link_counts
 from forgecast.llm.oracles import license_sql, ngram_join_sql, quality_sql
 from forgecast.llm.paragraphs import repeated_paragraphs
 from forgecast.llm.piece_codec import codec_digest
@@ -65,6 +65,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_link_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op10_ngram_link_counts": op10_ngram_link_counts,
 }
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_sql(),

@@ -11,9 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from forgecast.llm import decontaminate, paragraphs, pieces
+from forgecast.llm import decontaminate, ngram_join, paragraphs, pieces
 from forgecast.llm.decontaminate import contaminated
-from forgecast.llm.graph import Scratch, components
+from forgecast.llm.graph import Scratch, Similarity, components
 from forgecast.llm.licenses import license_scan
 from forgecast.llm.ngram_join import ngram_jaccard_join
 from forgecast.llm.paragraphs import cut_paragraphs, repeated_paragraphs
@@ -330,3 +330,23 @@ def test_repeated_passages_at_any_line_breaks(spark):
                  for _ in range(2)]
         a, b = (set(paragraphs.winnowed(h, np.zeros(len(h), int))[1].tolist()) for h in sides)
         assert a & b
+
+
+def test_all_links_equal_brute_force(docs, empty, monkeypatch):
+    assert ngram_join.ngram_link_counts(empty).count() == 0
+    sets = {i: shingles(t) for i, t in enumerate(_texts())}
+    linked = collections.Counter()
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            linked[a] += a != b and both > 0 and 5 * both >= 4 * len(sets[a] | sets[b])
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 7)  # several blocks in a component
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_link_counts(docs).collect()}
+    assert got == {i: linked[i] for i in sets} and max(got.values()) > 7
+    rows = docs.select("doc_id", "text")
+    scratch = Scratch(docs.sparkSession, "test")
+    classes = scratch.store(ngram_join.shingle_classes(rows), "classes")
+    links, _ = ngram_join.ngram_links(rows.select("text"), classes, scratch, Similarity())
+    different = {frozenset(s) for s in sets.values() if s}
+    want = sum(5 * len(a & b) >= 4 * len(a | b) for a in different for b in different if a != b)
+    assert links.count() == links.distinct().count() == want // 2
