@@ -1,20 +1,25 @@
 """Benchmark decontamination by CGK embeddings and bit-sampling LSH.
 
-A document is contaminated by an item of m words if one of its windows of m
-consecutive words has a word edit distance of at most floor(m / 5) to the item.
+A document is contaminated by an item of m words if a run of its words has a
+word edit distance of at most floor(m / 5) to the item.
 
-Per text, every item-sized window at every word is a candidate:
+An item is cut into blocks of at most ``BLOCK_WORDS`` words. Of the blocks of an item
+within m / 5 edits, one at least is within a fifth of its own words (if all had
+more, so had the item), so long items need no more walks than short ones. Per text,
+every block-sized window at every word is a candidate:
 
 1. Count filter, which loses nothing: within k edits a window shares all but
-   2k of the item's m - 1 word pairs, so fewer pairs of the items' vocabulary
+   2k of the block's m - 1 word pairs, so fewer pairs of the items' vocabulary
    rule it out.
 2. CGK: a random walk over the words copies the current word and moves on or
    stays, as a random bit of (step, word) says. Edit distance becomes Hamming
-   distance between walks of 3m steps.
+   distance between walks, of which the first 3m / 2 steps count: later ones lie mostly past
+   the window, where all walks agree.
 3. Bit sampling: each of the repetitions takes its own walk and samples a few
-   of its steps as a key; windows and items meet on equal keys. The number of
+   of its steps as a key; windows and blocks meet on equal keys. The number of
    repetitions follows from the target recall.
-4. Each meeting pair is verified by its exact edit distance.
+4. Each meeting pair is verified by the edit distance of the block to the best run
+   from the window's start on, and then of the whole item to the runs around it.
 
 Items are sent to the tasks in blocks of at most ``ITEM_BLOCK`` items, one pass
 over the documents per block, so what is broadcast is bounded.
@@ -43,13 +48,17 @@ from forgecast.session import ensure_workers_can_import
 MIN_ITEM_WORDS = 5
 EDITS_PER_WORDS = 5  # one edit per so many words of an item
 SAMPLED_STEPS = 2
-#: share of equal steps of a window at the largest distance; 0.45 to 0.67 measured for items of
-#: 60 to 15 words with random edits
-AGREEMENT = 0.42
+BLOCK_WORDS = 20
+#: share of equal steps of a block's window at the largest distance. Its square is below the
+#: share of equal keys that 300 pairs a length and kind of edit gave (5 to 20 words: 0.44 to
+#: 0.73), as pairs differ; with it windows of 20 words that lost 4 meet with 0.992
+AGREEMENT = 0.35
 RECALL = 0.99
 ITEM_BLOCK = 20_000
 #: window starts whose walks are taken together; bytes of text searched together
 STARTS = 1 << 12
+#: cells of a row of edit distances taken together
+CELLS = 1 << 21
 SLICE_BYTES = 4 << 20
 
 _U = np.uint64
@@ -63,7 +72,7 @@ def repetitions(agreement: float = AGREEMENT, steps: int = SAMPLED_STEPS,
 
 def sampled_steps(lengths: np.ndarray, seed: int, steps: int = SAMPLED_STEPS) -> np.ndarray:
     """(lengths, steps): the steps of a walk that repetition ``seed`` samples per item length."""
-    return np.stack([np.random.default_rng((seed, m)).choice(2 * m, steps, replace=False)
+    return np.stack([np.random.default_rng((seed, m)).choice(3 * m // 2, steps, replace=False)
                      for m in lengths.tolist()])
 
 
@@ -107,8 +116,21 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def distances_from(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least word edit distance of each row of a to a run of b from each place on."""
+    count, width = b.shape
+    a, b, place = a[:, ::-1], b[:, ::-1], np.arange(width + 1)
+    row = np.zeros((count, width + 1), dtype=np.int64)  # the run may end anywhere
+    for i in range(1, a.shape[1] + 1):
+        best = np.empty_like(row)
+        best[:, 0] = i
+        best[:, 1:] = np.minimum(row[:, :-1] + (a[:, i - 1:i] != b), row[:, 1:] + 1)
+        row = np.minimum.accumulate(best - place, axis=1) + place
+    return row[:, ::-1]
+
+
 class ItemIndex:
-    """One block of items: word hashes, word pairs and the keys of every repetition."""
+    """One part of the items: words, blocks, word pairs and the keys of every repetition."""
 
     def __init__(self, ids: list[int], texts: list[str | None]) -> None:
         found: list[tuple[int, np.ndarray]] = []
@@ -118,29 +140,40 @@ class ItemIndex:
             found += [(ids[lo + i], h[a:b]) for i, (a, b) in enumerate(
                 zip(words.first[:-1], words.first[1:], strict=True)) if b - a >= MIN_ITEM_WORDS]
         self.ids = np.array([i for i, _ in found], dtype=np.int64)
-        self.length = np.array([len(w) for _, w in found], dtype=np.int64)
+        self.item_length = np.array([len(w) for _, w in found], dtype=np.int64)
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *(w for _, w in found)])
+        self.item_first = np.cumsum(self.item_length) - self.item_length
+        blocks = [(i, a, b - a) for i, (_, w) in enumerate(found) for a, b in block_bounds(len(w))]
+        # per block: its item, its place in it, its number of words
+        self.item, self.offset, self.length = np.array(blocks, dtype=np.int64).reshape(-1, 3).T
         self.lengths = np.unique(self.length)
-        self.words = np.zeros((len(found), int(self.length.max(initial=0))), dtype=np.uint64)
-        for i, (_, w) in enumerate(found):
-            self.words[i, :len(w)] = w
+        self.words = np.zeros((len(blocks), int(self.length.max(initial=0))), dtype=np.uint64)
+        for k, (i, a, n) in enumerate(blocks):
+            self.words[k, :n] = found[i][1][a:a + n]
         self.pairs = np.unique(np.concatenate(
             [np.zeros(0, np.uint64), *(_pair_hash(w[:-1], w[1:]) for _, w in found)]))
-        self.rounds = []  # per repetition: sampled steps by length, sorted keys, their items
+        self.rounds = []  # per repetition: sampled steps by length, sorted keys, their blocks
         for r in range(repetitions() if found else 0):
             steps = sampled_steps(self.lengths, r)
             mine = steps[np.searchsorted(self.lengths, self.length)]
-            keys = walk_keys(self.words, np.arange(len(found)), self.length, mine, r)
+            keys = walk_keys(self.words, np.arange(len(blocks)), self.length, mine, r)
             order = np.argsort(keys, kind="stable")
             self.rounds.append((steps, keys[order], order))
 
 
+def block_bounds(m: int) -> list[tuple[int, int]]:
+    """(first, end) of the blocks of an item of m words, of nearly equal sizes."""
+    n = -(-m // BLOCK_WORDS)
+    return [(i * m // n, (i + 1) * m // n) for i in range(n)]
+
+
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return K.mix(a * _U(3) + b)
 
 
 def _meetings(index: ItemIndex, words: np.ndarray, who: np.ndarray,
               length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, item) pairs with an equal key in some repetition."""
+    """(window, block) pairs with an equal key in some repetition."""
     out = []
     row = np.searchsorted(index.lengths, length)
     for r, (steps, keys, order) in enumerate(index.rounds):
@@ -151,9 +184,9 @@ def _meetings(index: ItemIndex, words: np.ndarray, who: np.ndarray,
         at = np.arange(len(window)) + np.repeat(lo - (np.cumsum(n) - n), n)
         out.append(window * len(keys) + order[at])
     both = np.unique(np.concatenate(out))
-    window, item = both // len(index.ids), both % len(index.ids)
-    ok = length[window] == index.length[item]
-    return window[ok], item[ok]
+    window, block = both // len(index.item), both % len(index.item)
+    ok = length[window] == index.length[block]
+    return window[ok], block[ok]
 
 
 def _candidates(index: ItemIndex, h: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -173,6 +206,49 @@ def _candidates(index: ItemIndex, h: np.ndarray, last: np.ndarray) -> tuple[np.n
     return np.concatenate(found), np.repeat(index.lengths, [len(x) for x in found])
 
 
+def _run(h: np.ndarray, start: np.ndarray, width: int, end: np.ndarray) -> np.ndarray:
+    """Word hashes from each start on, 0 past the text's end."""
+    place = start[:, None] + np.arange(width)
+    inside = place < end[:, None]
+    return np.where(inside, h[np.where(inside, place, 0)], np.uint64(0))
+
+
+def _whole_items(index: ItemIndex, h: np.ndarray, row: np.ndarray, first: np.ndarray,
+                 begin: np.ndarray, item: np.ndarray) -> Iterator[np.ndarray]:
+    """Hits (row, item id, first word, distance) of the items that may begin near ``begin``.
+
+    Places of one item that lie within its length are one stretch of text, in which the
+    edit distance from every word on is taken at once.
+    """
+    order = np.lexsort((begin, item, row))
+    row, begin, item = row[order], begin[order], item[order]
+    m = index.item_length[item]
+    more = m // EDITS_PER_WORDS
+    head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+                                          | (begin[1:] - begin[:-1] > m[1:])])[:len(row)])
+    tail = np.append(head[1:], len(row)) - 1
+    row, item, m, more = row[head], item[head], m[head], more[head]
+    lo = np.maximum(begin[head] - more, first[row])
+    hi = np.minimum(begin[tail] + m + more, first[row + 1])
+    order = np.lexsort((hi - lo, m))
+    at = 0
+    while at < len(order):
+        size = int(m[order[at]])
+        stop = int(np.searchsorted(m[order], size, side="right"))
+        wide = hi[order[at:stop]] - lo[order[at:stop]]
+        fit = int(np.searchsorted(wide * np.arange(1, len(wide) + 1), CELLS, side="right"))
+        mine = order[at:at + max(1, fit)]
+        at += len(mine)
+        text = _run(h, lo[mine], int((hi - lo)[mine].max()), hi[mine])
+        words = index.flat[index.item_first[item[mine]][:, None] + np.arange(size)]
+        d = distances_from(words, text)
+        d[np.arange(d.shape[1]) > (hi - lo)[mine, None]] = np.iinfo(np.int64).max
+        place, least = np.argmin(d, axis=1), d.min(axis=1)
+        ok = least <= size // EDITS_PER_WORDS
+        yield np.stack([row[mine], index.ids[item[mine]],
+                        lo[mine] + place - first[row[mine]], least], axis=1)[ok]
+
+
 def find_windows(t: K.Texts, index: ItemIndex) -> np.ndarray:
     """(row, item id, first word, distance) of the best window per row and item."""
     words = K.split_words(t, K.SPACES)
@@ -187,21 +263,22 @@ def find_windows(t: K.Texts, index: ItemIndex) -> np.ndarray:
         return hits[0]
     order = np.argsort(at, kind="stable")
     at, length = at[order], length[order]
-    width = index.words.shape[1]
-    padded = np.concatenate([h, np.zeros(width, np.uint64)])
+    met = [np.zeros((0, 2), dtype=np.int64)]
     bounds = np.searchsorted(at, np.unique(at)[::STARTS]).tolist()
     for lo, hi in zip(bounds, [*bounds[1:], len(at)], strict=True):
         part, size = at[lo:hi], length[lo:hi]
         starts, who = np.unique(part, return_inverse=True)
-        block = np.lib.stride_tricks.sliding_window_view(padded, width)[starts]
-        w, i = _meetings(index, block, who, size)
+        seen = _run(h, starts, index.words.shape[1], last[starts])
+        w, k = _meetings(index, seen, who, size)
         for m in np.unique(size[w]).tolist():
             mine = np.flatnonzero(size[w] == m)
-            d = edit_distances(block[who[w[mine]], :m], index.words[i[mine], :m])
-            ok = d <= m // EDITS_PER_WORDS
-            at_word, item = part[w[mine[ok]]], i[mine[ok]]
-            r = row[at_word]
-            hits.append(np.stack([r, index.ids[item], at_word - words.first[r], d[ok]], axis=1))
+            start, block = part[w[mine]], k[mine]
+            more = m // EDITS_PER_WORDS
+            d = distances_from(index.words[block, :m], _run(h, start, m + more, last[start]))[:, 0]
+            met.append(np.stack([start, block], axis=1)[d <= more])
+    start, block = np.concatenate(met).T
+    item, offset = index.item[block], index.offset[block]
+    hits += _whole_items(index, h, row[start], words.first, start - offset, item)
     found = np.concatenate(hits)
     order = np.lexsort((found[:, 2], found[:, 3], found[:, 1], found[:, 0]))
     found = found[order]

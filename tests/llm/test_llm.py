@@ -350,3 +350,42 @@ def test_all_links_equal_brute_force(docs, empty, monkeypatch):
     different = {frozenset(s) for s in sets.values() if s}
     want = sum(5 * len(a & b) >= 4 * len(a | b) for a in different for b in different if a != b)
     assert links.count() == links.distinct().count() == want // 2
+
+
+def _edited(rng, item, kind):
+    w = list(item)
+    for _ in range(len(item) // 5):
+        at = rng.randrange(len(w))
+        if kind == "replaced":
+            w[at] = f"e{rng.randrange(10**9)}"
+        elif kind == "deleted":
+            del w[at]
+        else:
+            w.insert(at, f"e{rng.randrange(10**9)}")
+    return w
+
+
+def test_decontamination_recall_at_every_length(spark):
+    rng = random.Random(23)
+
+    def prose(n):
+        return [f"p{rng.randrange(10**6)}" for _ in range(n)]
+
+    rows, items, kinds = [], [], ["replaced", "deleted", "inserted"]
+    for m in (15, 59, 120, 200, 400, 800):
+        for _ in range(40 if m < 100 else 8):
+            items.append((len(items), prose(m)))
+            for kind in kinds:
+                rows.append((len(items) * 3 + kinds.index(kind) - 3, " ".join(
+                    prose(80) + _edited(rng, items[-1][1], kind) + prose(80))))
+    found = contaminated(
+        spark.createDataFrame(rows, "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in items],
+                              "item_id long, text string")).collect()
+    assert all(r.doc_id // 3 == r.item_id and 5 * r.distance <= len(items[r.item_id][1])
+               for r in found)
+    hit = {r.doc_id for r in found}
+    for m in {len(w) for _, w in items}:
+        for k, kind in enumerate(kinds):
+            of = [3 * i + k in hit for i, w in items if len(w) == m]
+            assert sum(of) >= 0.95 * len(of), (m, kind)
