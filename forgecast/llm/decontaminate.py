@@ -26,8 +26,7 @@ over the documents per block, so what is broadcast is bounded.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Defined cases: null and
 empty texts and items never match; items of fewer than ``MIN_ITEM_WORDS`` words
-are too common to be searched; a text shorter than an item has no window of
-its size; the first window of least distance is reported; repeated rows are
+match word by word only; a text may be shorter than an item by its edits; the first window of least distance is reported; repeated rows are
 reported each; an empty table gives an empty result; other columns are not read.
 """
 
@@ -50,8 +49,8 @@ EDITS_PER_WORDS = 5  # one edit per so many words of an item
 SAMPLED_STEPS = 2
 BLOCK_WORDS = 20
 #: share of equal steps of a block's window at the largest distance. Its square is below the
-#: share of equal keys that 300 pairs a length and kind of edit gave (5 to 20 words: 0.44 to
-#: 0.73), as pairs differ; with it windows of 20 words that lost 4 meet with 0.992
+#: share of equal keys that 300 pairs a length and kind of edit gave (5 to 20 words: 0.49 to
+#: 0.77), as pairs differ; with it windows of 20 words that lost 4 meet with 0.995
 AGREEMENT = 0.35
 RECALL = 0.99
 ITEM_BLOCK = 20_000
@@ -134,11 +133,19 @@ class ItemIndex:
 
     def __init__(self, ids: list[int], texts: list[str | None]) -> None:
         found: list[tuple[int, np.ndarray]] = []
+        short: dict[int, list[tuple[int, int]]] = {}  # by length: hash and id
         for lo, t in K.slices(pa.array(texts, pa.large_string())):
             words = K.split_words(t, K.SPACES)
             h = K.segment_hash(t.buf, words.starts, words.ends, K.FOLDED)
             found += [(ids[lo + i], h[a:b]) for i, (a, b) in enumerate(
                 zip(words.first[:-1], words.first[1:], strict=True)) if b - a >= MIN_ITEM_WORDS]
+            for i in np.flatnonzero((words.counts > 0) & (words.counts < MIN_ITEM_WORDS)).tolist():
+                w = h[words.first[i]:words.first[i + 1]]
+                short.setdefault(len(w), []).append((int(K.window_hash(w, len(w))[0]),
+                                                     ids[lo + i]))
+        self.short = {m: (np.array([x for x, _ in sorted(of)], dtype=np.uint64),
+                          np.array([i for _, i in sorted(of)], dtype=np.int64))
+                      for m, of in short.items()}
         self.ids = np.array([i for i, _ in found], dtype=np.int64)
         self.item_length = np.array([len(w) for _, w in found], dtype=np.int64)
         self.flat = np.concatenate([np.zeros(0, np.uint64), *(w for _, w in found)])
@@ -197,12 +204,13 @@ def _candidates(index: ItemIndex, h: np.ndarray, last: np.ndarray) -> tuple[np.n
     known = np.concatenate([[0], np.cumsum(index.pairs[near] == pair)])
     need = index.lengths - 1 - 2 * (index.lengths // EDITS_PER_WORDS)
     start = np.arange(len(h))
-    reach = np.minimum(start + int(index.lengths[-1]) - 1, last - 1)
+    reach = np.minimum(start + int(index.lengths[-1]) - 1, last - 1)  # no pair crosses texts
     start = start[known[reach] - known[start] >= need.min()]
     found = []
     for m, least in zip(index.lengths.tolist(), need.tolist(), strict=True):
-        at = start[start + m <= last[start]]
-        found.append(at[known[at + m - 1] - known[at] >= least])
+        # a text may end up to a fifth of the words early; what lies past it counts as 0
+        at = start[start + m - m // EDITS_PER_WORDS <= last[start]]
+        found.append(at[known[np.minimum(at + m, last[at]) - 1] - known[at] >= least])
     return np.concatenate(found), np.repeat(index.lengths, [len(x) for x in found])
 
 
@@ -220,6 +228,8 @@ def _whole_items(index: ItemIndex, h: np.ndarray, row: np.ndarray, first: np.nda
     Places of one item that lie within its length are one stretch of text, in which the
     edit distance from every word on is taken at once.
     """
+    if not len(row):
+        return
     order = np.lexsort((begin, item, row))
     row, begin, item = row[order], begin[order], item[order]
     m = index.item_length[item]
@@ -249,18 +259,34 @@ def _whole_items(index: ItemIndex, h: np.ndarray, row: np.ndarray, first: np.nda
                         lo[mine] + place - first[row[mine]], least], axis=1)[ok]
 
 
+def _short_items(index: ItemIndex, h: np.ndarray, row: np.ndarray,
+                 first: np.ndarray) -> Iterator[np.ndarray]:
+    """Hits of the items of fewer than ``MIN_ITEM_WORDS`` words, which allow no edit."""
+    for m, (keys, ids) in index.short.items():
+        x = K.window_hash(h, m)
+        lo = np.searchsorted(keys, x, side="left")
+        n = np.searchsorted(keys, x, side="right") - lo
+        n[row[:len(x)] != row[m - 1:]] = 0
+        at = np.repeat(np.arange(len(x)), n)
+        item = ids[np.arange(len(at)) + np.repeat(lo - (np.cumsum(n) - n), n)]
+        yield np.stack([row[at], item, at - first[row[at]], np.zeros(len(at), np.int64)], axis=1)
+
+
 def find_windows(t: K.Texts, index: ItemIndex) -> np.ndarray:
     """(row, item id, first word, distance) of the best window per row and item."""
     words = K.split_words(t, K.SPACES)
     hits = [np.zeros((0, 4), dtype=np.int64)]
-    if not len(index.ids) or len(words.starts) < index.lengths[0]:
+    if not len(words.starts):
         return hits[0]
     h = K.segment_hash(t.buf, words.starts, words.ends, K.FOLDED)
     row = words.rows()
     last = words.first[1:][row]
-    at, length = _candidates(index, h, last)
+    hits += _short_items(index, h, row, words.first)
+    at = np.zeros(0, np.int64)
+    if len(index.ids):
+        at, length = _candidates(index, h, last)
     if not len(at):
-        return hits[0]
+        return _best(np.concatenate(hits))
     order = np.argsort(at, kind="stable")
     at, length = at[order], length[order]
     met = [np.zeros((0, 2), dtype=np.int64)]
@@ -279,7 +305,11 @@ def find_windows(t: K.Texts, index: ItemIndex) -> np.ndarray:
     start, block = np.concatenate(met).T
     item, offset = index.item[block], index.offset[block]
     hits += _whole_items(index, h, row[start], words.first, start - offset, item)
-    found = np.concatenate(hits)
+    return _best(np.concatenate(hits))
+
+
+def _best(found: np.ndarray) -> np.ndarray:
+    """The first hit of least distance per row and item."""
     order = np.lexsort((found[:, 2], found[:, 3], found[:, 1], found[:, 0]))
     found = found[order]
     best = np.ones(len(found), dtype=bool)

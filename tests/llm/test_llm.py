@@ -389,3 +389,22 @@ def test_decontamination_recall_at_every_length(spark):
         for k, kind in enumerate(kinds):
             of = [3 * i + k in hit for i, w in items if len(w) == m]
             assert sum(of) >= 0.95 * len(of), (m, kind)
+
+
+def test_decontamination_at_text_ends_and_of_short_items(spark):
+    rng = random.Random(29)
+    items = [[f"s{i}x{rng.randrange(10**6)}" for _ in range(n)] for i, n in enumerate((30, 12, 3))]
+    rows = [(0, items[0][:9] + items[0][10:]), (1, ["so", *items[1][1:]]), (2, items[1][:-2]),
+            (3, ["a", *items[2], "b"]), (4, [items[2][0], "z", *items[2][1:]]),
+            (5, ["a", "b", *items[0][:12], *items[0][18:], "c", "d"]), (6, items[0][:23])]
+    found = contaminated(
+        spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)],
+                              "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == {
+        (0, 0, 1), (1, 1, 1), (2, 1, 2), (3, 2, 0), (5, 0, 6)}
+    # candidates of which none is verified
+    half = spark.createDataFrame([(1, " ".join(items[0][:22] + rows[5][1][:2] * 9))],
+                                 "doc_id long, text string")
+    assert contaminated(half, spark.createDataFrame([(0, " ".join(items[0]))],
+                                                    "item_id long, text string")).count() == 0
