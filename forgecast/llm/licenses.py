@@ -5,8 +5,8 @@ least ``THRESHOLD`` of the notice's distinct words are in the block; of several
 notices found in a block the ones with the highest containment count. The join
 orders the notices' words by their frequency in the whole corpus, rarest first:
 a block that reaches an overlap of o out of m words has one of the first
-m - o + 1 (prefix filter). It needs o words (length filter), and o known words
-from its first match on (positional filter). What is left is verified.
+m - o + 1 (prefix filter). It needs o words (length filter). A positional
+filter is not used. What is left is verified.
 
 Base phrases are looked for in the words of the whole text. Words are
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Defined cases: a
