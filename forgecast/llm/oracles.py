@@ -1,4 +1,4 @@
-"""DuckDB SQL for the rows of op1, op8 and op10, over whole tables."""
+"""DuckDB SQL for the rows of op1, op8, op10 and op11 to op13, over whole tables."""
 
 from __future__ import annotations
 
@@ -116,3 +116,45 @@ least as (select x, min(y) as y from reach group by x)
 select ws.doc_id, coalesce(n.n, 0)::bigint as n_shingles,
   coalesce(least.y, ws.doc_id)::bigint as component_id
 from ws left join n on n.doc_id = ws.doc_id left join least on least.x = ws.doc_id"""
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text expression."""
+    return f"""xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda y: ascii(y)::bigint),
+  lambda c, y: list_reduce(range(8), lambda b, k: xor(b >> 1, 3988292384 * (b & 1)), xor(c, y)), 4294967295::bigint))"""
+
+
+def merkle_sql() -> str:
+    return f"""
+with recursive d as (select row_number() over () as r, doc_id, source, lang, n_chars, text,
+    case when doc_id is null or {crc32_sql("doc_id::varchar")} % 2 = 1 then text else replace(text, chr(10), '') end as cut
+  from documents),
+fields as (select r, doc_id, source,
+    concat(coalesce(concat(strlen(doc_id::varchar), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'),
+      coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(n_chars::varchar), ':', n_chars), '-')) as head,
+    coalesce(concat(strlen(text), ':', text), '-') as text, coalesce(concat(strlen(cut), ':', cut), '-') as cut from d),
+leaves as (select r, doc_id, source, sha256(head || text) as leaf, sha256(head || cut) as other from fields),
+placed as (select *, dense_rank() over (order by source nulls first) - 1 as s,
+    row_number() over (partition by source order by doc_id nulls first, leaf, r) - 1 as p,
+    count(*) over (partition by source) as m from leaves),
+t as (select s, 0 as l, p, m, leaf as h from placed union all
+    select s, l + 1, p // 3, (max(m) + 2) // 3, sha256(string_agg(h, '' order by p)) from t where m > 1
+    group by s, l, p // 3),
+u as (select -1::bigint as s, 0 as l, s as p, count(*) over () as m, h from t where m = 1 union all
+    select s, l + 1, p // 3, (max(m) + 2) // 3, sha256(string_agg(h, '' order by p)) from u where m > 1
+    group by s, l, p // 3),
+runs as (select s, l, p // 3 as up, list(h order by p) as kids from (select * from t union all select * from u) where m > 1
+    group by s, l, p // 3),
+size as (select count(*) as trees from u where l = 0),
+f as (select r, case when m = 1 then -1 else s end as s, 0 as l, case when m = 1 then s else p end as p,
+      case when m = 1 then trees else m end as m, other as h, '' as proof from placed, size union all
+    select r, case when top then -1 else f.s end, case when top then 0 else f.l + 1 end, case when top then f.s else f.p // 3 end,
+      case when top then trees else (m + 2) // 3 end, sha256(left_ || h || right_), proof || left_ || right_
+    from (select f.*, trees, (m + 2) // 3 = 1 and f.s >= 0 as top, array_to_string(kids[1:(f.p % 3)], '') as left_,
+            array_to_string(kids[(f.p % 3) + 2:], '') as right_
+          from f join runs on runs.s = f.s and runs.l = f.l and runs.up = f.p // 3, size where m > 1) as f),
+done as (select r, h as folded_root, sha256(proof) as proof_sha256 from f where s = -1 and m = 1)
+select doc_id, leaf, subs.h as subroot, root.h as root, proof_sha256, folded_root, folded_root = root.h as verified
+from placed join done using (r) join (select s, h from t where m = 1) as subs on subs.s = placed.s,
+  (select h from u where m = 1) as root
+"""

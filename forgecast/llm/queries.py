@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from forgecast.llm.decontaminate import contaminated
 from forgecast.llm.licenses import license_scan
+from forgecast.llm.merkle import merkle_audit
 from forgecast.llm.ngram_join import ngram_jaccard_join, ngram_link_counts
-from forgecast.llm.oracles import license_sql, ngram_join_sql, quality_sql
+from forgecast.llm.oracles import license_sql, merkle_sql, ngram_join_sql, quality_sql
 from forgecast.llm.paragraphs import repeated_paragraphs
 from forgecast.llm.piece_codec import codec_digest
 from forgecast.llm.quality import quality_rules
@@ -69,6 +70,10 @@ def op10_ngram_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_link_counts(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -81,10 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op10_ngram_link_counts": op10_ngram_link_counts,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
     "op3_url_filters": URL_ORACLE,
     "op8_license_scan": license_sql(),
     "op10_ngram_jaccard_join": ngram_join_sql(),
+    "op13_merkle_manifest": merkle_sql(),
 }
