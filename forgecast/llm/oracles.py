@@ -158,3 +158,33 @@ select doc_id, leaf, subs.h as subroot, root.h as root, proof_sha256, folded_roo
 from placed join done using (r) join (select s, h from t where m = 1) as subs on subs.s = placed.s,
   (select h from u where m = 1) as root
 """
+
+
+def trie_sql() -> str:
+    return f"""
+with t as (select conv_id, turn, length(coalesce(text, '')) as tokens,
+    sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) as turn_key
+  from conversations where conv_id is not null),
+own as (select conv_id, list(turn_key order by turn nulls first, turn_key) as ks,
+    list(tokens order by turn nulls first, turn_key) as ns,
+    {crc32_sql("any_value(conv_id)::varchar")} % 6 as h from t group by conv_id),
+whole as (select o.conv_id, coalesce(b.ks[1:o.h], []) || o.ks[(o.h + 1):] as ks,
+    coalesce(b.ns[1:o.h], []) || o.ns[(o.h + 1):] as ns
+  from own o left join own b on b.conv_id = o.conv_id - o.conv_id % 100),
+p as (select conv_id, d, md5(array_to_string(ks[1:d], '')) as node, coalesce(ns[d], 0) as tokens,
+    len(ks) = d as ends from (select *, unnest(range(0, len(ks) + 1)) as d from whole)),
+nodes as (select d, node, count(*) as n, min(conv_id) as c, any_value(tokens) as tokens,
+    sha256(coalesce(string_agg(case when ends then conv_id end, ',' order by conv_id), '')) as ends
+  from p group by d, node),
+up as (select n.*, o.node as parent, q.c as parent_c from nodes n
+  left join p o on o.conv_id = n.c and o.d = n.d - 1
+  left join nodes q on q.d = o.d and q.node = o.node),
+kids as (select d - 1 as d, parent as node, count(*) as k from up where d > 0 group by 1, 2),
+sub as (select a.d, a.node, sum((n.n - 1) * n.tokens)::bigint as saved,
+    count(*) filter (where k.k is null) as leaves
+  from nodes n left join kids k on k.d = n.d and k.node = n.node
+  join p a on a.conv_id = n.c and a.d <= n.d group by a.d, a.node)
+select c as conv_id, d as depth, parent_c as parent_conv_id, n as n_convs,
+  coalesce(k, 0) as n_children, leaves as n_leaves, saved as saved_tokens, ends as ends_sha256
+from up left join kids using (d, node) join sub using (d, node)
+"""
