@@ -188,3 +188,24 @@ select c as conv_id, d as depth, parent_c as parent_conv_id, n as n_convs,
   coalesce(k, 0) as n_children, leaves as n_leaves, saved as saved_tokens, ends as ends_sha256
 from up left join kids using (d, node) join sub using (d, node)
 """
+
+
+def suffix_sql() -> str:
+    return """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+p as (select r, unnest(range(0, len(x) // 2 - 399)) as p, x from d where len(x) >= 800),
+w as (select r, p, md5_number(substr(x, 2 * p + 1, 800)) as h from p),
+g as (select r, p, p + 400 as e, lag(p + 400) over (partition by r order by p) as before
+  from (select *, count(*) over (partition by h) as n from w) where n > 1),
+s as (select r, p, e, sum((before is null or before < p)::int) over (partition by r order by p) as span
+  from g),
+spans as (select r, span, min(p) as lo, max(e) as hi from s group by r, span),
+kept as (select r, span, hi as lo, lead(lo) over (partition by r order by span) as hi from spans
+  union all select r, 0, 0, min(lo) from spans group by r),
+rest as (select d.r, string_agg(substr(x, 2 * lo + 1, 2 * (coalesce(hi, len(x) // 2) - lo)), ''
+    order by span) as x from kept join d using (r) group by d.r),
+removed as (select r, sum(hi - lo)::bigint as n_removed, count(*) as n_spans from spans group by r)
+select doc_id, len(d.x) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed,
+  coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(rest.x, d.x))) as kept_sha256
+from d left join rest using (r) left join removed using (r)
+"""

@@ -10,12 +10,20 @@ from forgecast.llm.decontaminate import contaminated
 from forgecast.llm.licenses import license_scan
 from forgecast.llm.merkle import merkle_audit
 from forgecast.llm.ngram_join import ngram_jaccard_join, ngram_link_counts
-from forgecast.llm.oracles import license_sql, merkle_sql, ngram_join_sql, quality_sql, trie_sql
+from forgecast.llm.oracles import (
+    license_sql,
+    merkle_sql,
+    ngram_join_sql,
+    quality_sql,
+    suffix_sql,
+    trie_sql,
+)
 from forgecast.llm.paragraphs import repeated_paragraphs
 from forgecast.llm.piece_codec import codec_digest
 from forgecast.llm.prefix_trie import conversation_trie
 from forgecast.llm.quality import quality_rules
 from forgecast.llm.sharding import shard_rows
+from forgecast.llm.suffix_runs import suffix_dedup
 from forgecast.llm.token_counts import token_counts
 from forgecast.llm.toxicity import toxicity_scores
 from forgecast.llm.url_lists import ORACLE as URL_ORACLE
@@ -71,6 +79,10 @@ def op10_ngram_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_link_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -91,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op10_ngram_link_counts": op10_ngram_link_counts,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -99,6 +112,7 @@ ORACLE: dict[str, str] = {
     "op3_url_filters": URL_ORACLE,
     "op8_license_scan": license_sql(),
     "op10_ngram_jaccard_join": ngram_join_sql(),
+    "op11_suffix_dedup": suffix_sql(),
     "op12_conversation_trie": trie_sql(),
     "op13_merkle_manifest": merkle_sql(),
 }
