@@ -55,8 +55,6 @@ RUN_BYTES = 24 << 20
 BATCH_ENTRIES = 20_000
 #: anchors of one core in different texts that are merged in one task
 HOT_ENTRIES = 10_000
-#: bytes of lists that are broadcast to the texts
-BROADCAST_BYTES = 32 << 20
 
 _U = np.uint64
 _INDEX = _U(0xFFFFFFFF)
@@ -383,10 +381,10 @@ def _key() -> Column:
     return F.unhex(F.md5(F.col("text")))
 
 
-def _beside(texts: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
-    """Join texts with stored lists by key; lists are broadcast if their bytes are few."""
-    size = lists.agg(F.sum(64 + 24 * F.size(column))).first()[0] or 0
-    return texts.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "key", how)
+def _beside(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """Join texts with stored lists by key: the same sort-merge join at every size, whose
+    partitions adaptive execution can split where one text has very many copies."""
+    return texts.join(lists.hint("merge"), "key", how)
 
 
 def repeated_ranges(texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -402,11 +400,11 @@ def repeated_ranges(texts: DataFrame, scratch: Scratch) -> DataFrame:
         F.sort_array(F.collect_list(one)).alias("wanted")), "wanted")
     scratch.drop("anchors")
     ranges = shuffle_partitions(texts.sparkSession)
-    cold = _beside(texts, wanted.where("not hot"), "wanted", "inner").select("key", "text", "wanted")
+    cold = _beside(texts, wanted.where("not hot"), "inner").select("key", "text", "wanted")
     packs = cold.mapInArrow(_run_batches(ranges), _PACK)
     out = packs.repartitionById(ranges, F.col("part")).mapInArrow(_merge_batches, _RANGE)
     if not cores.where("hot").isEmpty():
-        hot = _beside(texts, wanted.where("hot"), "wanted", "inner").select("key", "text", "wanted")
+        hot = _beside(texts, wanted.where("hot"), "inner").select("key", "text", "wanted")
         windows = scratch.store(hot.mapInArrow(_hot_batches, _HOT), "windows")
         same = ["core", "apart", "window"]
         again = scratch.store(windows.groupBy(*same).agg(F.sum("copies").alias("n"))
@@ -451,6 +449,6 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     gone = scratch.store(repeated_ranges(long, scratch).groupBy("key").agg(
         F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("gone")), "gone")
     scratch.drop("cores", "wanted", "windows", "again")
-    return (_beside(keyed, gone, "gone", "left").select("doc_id", "text", "gone")
+    return (_beside(keyed, gone, "left").select("doc_id", "text", "gone")
             .mapInArrow(_cut_batches, "doc_id bigint, n_bytes bigint, n_removed bigint, "
                         "n_spans bigint, kept_sha256 string"))
