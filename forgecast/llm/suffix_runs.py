@@ -53,8 +53,9 @@ SEED = 32
 RUN_BYTES = 24 << 20
 #: entries of whole cores that are resolved together
 BATCH_ENTRIES = 20_000
-#: anchors of one core in different texts that are merged in one task
-HOT_ENTRIES = 10_000
+#: bytes of the entries of one core that are merged in one task, and entries that fit
+CORE_BYTES = 64 << 20
+HOT_ENTRIES = CORE_BYTES // (WINDOW + REACH)
 
 _U = np.uint64
 _INDEX = _U(0xFFFFFFFF)
