@@ -4,10 +4,9 @@
   ``groupBy("nsn").applyInPandas``; the same task scores the item's hold-out
   rows, so fit and hold-out MAE cost one pass. A group is one item's series,
   bounded by its number of distinct dates.
-* ``fit_pooled``: one model over many items. Up to ``local_max_rows`` training
-  rows (a checked count) the fit runs in one Arrow task; beyond that the
-  distributed trainer builds every tree level's histograms with a Spark
-  aggregation and keeps per-row predictions in checkpointed tables.
+* ``fit_pooled``: one model over many items, by ``forests.fit_models``: exact cut
+  points and exact gradient sums, so the trees are the same for any number of rows per
+  partition. All rows are fitted; no rows are sampled or withheld at any size.
 """
 
 from __future__ import annotations
@@ -20,8 +19,9 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from .. import schemas as S
-from ..session import cut_lineage
 from . import boosting as B
+from .forests import fit_models
+from .splits import global_positions
 
 DENSE_FIT_SCHEMA = T.StructType(
     [T.StructField("nsn", T.StringType())] + list(S.MODEL_TABLE.fields) + [
@@ -62,7 +62,7 @@ def fit_dense_per_item(split_features: DataFrame, params: dict | None = None,
       mean -- computed JVM-side with a window mean and a grouped MAE;
     * all other items: the boosting kernel per item in ``applyInArrow``,
       except ``large_items`` (too big for one task; see ``oversized_items``),
-      which go through the distributed trainer one by one.
+      which the distributed trainer grows together.
     """
     params = dict(C.DENSE_PARAMS if params is None else params)
     feats = list(C.DENSE_FEATURES)
@@ -105,7 +105,7 @@ def fit_dense_per_item(split_features: DataFrame, params: dict | None = None,
         y = col("target").astype(np.float64)
         train = col("is_train").astype(bool)
         n_usable, n_train = int(col("n_usable")[0]), int(col("n_train")[0])
-        model = B.fit(X[train], y[train], **params)
+        model = B.fit(X[train], y[train], early_stopping=False, **params)
         mae = None
         if (~train).any():
             mae = float(np.mean(np.abs(y[~train] - B.predict(model, X[~train]))))
@@ -119,9 +119,9 @@ def fit_dense_per_item(split_features: DataFrame, params: dict | None = None,
     boosted = (split_features.where(enough & can_split & small).select(*cols).groupBy("nsn")
                .applyInArrow(fit_item, DENSE_FIT_SCHEMA))
     out = simple.select(*DENSE_FIT_SCHEMA.fieldNames()).unionByName(boosted)
-    for nsn in large:
-        out = out.unionByName(_fit_large_item(split_features.where(F.col("nsn") == nsn), nsn,
-                                              params, feats))
+    if large:
+        big = split_features.where(enough & can_split & F.col("nsn").isin(large))
+        out = out.unionByName(_fit_large_items(big, params, feats))
     return out
 
 
@@ -132,17 +132,32 @@ def oversized_items(price: DataFrame, max_rows: int) -> list[str]:
             .where(F.col("n") > max_rows).select("nsn").collect()]
 
 
-def _fit_large_item(rows: DataFrame, nsn: str, params: dict, feats: list[str]) -> DataFrame:
-    """One item too large for a single task: distributed fit, distributed hold-out."""
-    from .forecast import score_pooled
-    stats = rows.agg(F.first("n_usable").alias("n_usable"), F.first("n_train").alias("n_train")).first()
-    model = fit_distributed(rows.where("is_train"), feats, "target", params, order_col="pos")
-    scored = score_pooled(rows.where(~F.col("is_train")), model, feats)
-    mae = scored.agg(F.avg(F.abs(F.col("target") - F.col("prediction")))).first()[0]
-    row = dict(nsn=nsn, n_usable=int(stats["n_usable"]), n_train=int(stats["n_train"]),
-               n_holdout=int(stats["n_usable"]) - int(stats["n_train"]),
-               holdout_mae=None if mae is None else float(mae), status="ok", **model.to_row(nsn))
-    return rows.sparkSession.createDataFrame([row], DENSE_FIT_SCHEMA)
+def _fit_large_items(rows: DataFrame, params: dict, feats: list[str]) -> DataFrame:
+    """Items too large for a single task: fitted together, a tree level of all items at a
+    time (``forests.fit_models``); their hold-out rows are scored in one job."""
+    counts = {r["nsn"]: r for r in rows.groupBy("nsn").agg(
+        F.first("n_usable").alias("n_usable"), F.first("n_train").alias("n_train")).collect()}
+    if not counts:
+        return rows.sparkSession.createDataFrame([], DENSE_FIT_SCHEMA)
+    models = fit_models(rows.where("is_train"), feats, "target", params, key="nsn")
+
+    def errors(batches):
+        for pdf in batches:
+            for nsn, part in pdf.groupby("nsn"):
+                x = part[feats].to_numpy(dtype=np.float64, na_value=np.nan)
+                e = np.abs(part["target"].to_numpy(np.float64) - B.predict(models[nsn], x))
+                yield pd.DataFrame({"nsn": [nsn], "e": [float(e.sum())]})
+
+    mae = {r["nsn"]: r["e"] for r in rows.where(~F.col("is_train")).select("nsn", "target", *feats)
+           .mapInPandas(errors, "nsn string, e double").groupBy("nsn").agg(F.sum("e").alias("e"))
+           .collect()}
+    out = []
+    for nsn, model in models.items():
+        n, n_train = int(counts[nsn]["n_usable"]), int(counts[nsn]["n_train"])
+        out.append(dict(nsn=nsn, n_usable=n, n_train=n_train, n_holdout=n - n_train, status="ok",
+                        holdout_mae=mae[nsn] / (n - n_train) if n > n_train else None,
+                        **model.to_row(nsn)))
+    return rows.sparkSession.createDataFrame(out, DENSE_FIT_SCHEMA)
 
 
 def model_table(fits: DataFrame) -> DataFrame:
@@ -151,315 +166,28 @@ def model_table(fits: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ pooled
-POOLED_SCHEMA = S.MODEL_TABLE
-
-
-def fit_pooled(train: DataFrame, features: list[str], target: str, order_col: str,
-               params: dict | None = None, local_max_rows: int = 200_000,
-               n_rows: int | None = None) -> B.Model:
-    """Fit one model on all rows of ``train`` (ordered by ``order_col``).
-
-    ``n_rows`` (a count the caller already has) selects the path: up to
-    ``local_max_rows`` rows the whole fit runs in one task (the group size is
-    checked, not assumed); above it the distributed trainer runs.
-    """
+def fit_pooled(train: DataFrame, features: list[str], target: str,
+               params: dict | None = None) -> B.Model:
+    """One model over all rows of ``train``, by the same rule at every size."""
     params = dict(C.SPARSE_PARAMS if params is None else params)
-    n = train.count() if n_rows is None else n_rows
-    if n == 0:
-        raise ValueError("no training rows")
-    if n > local_max_rows:
-        return fit_distributed(train, features, target, params, order_col=order_col)
+    return fit_models(train, features, target, params)["pooled"]
 
-    def fit_all(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_col, kind="stable")
-        X = pdf[features].to_numpy(dtype=np.float64, na_value=np.nan)
-        y = pdf[target].to_numpy(dtype=np.float64)
-        m = B.fit(X, y, **params)
-        return pd.DataFrame([m.to_row("pooled")])
 
-    rows = (train.select(F.lit(0).alias("_g"), order_col, target, *features)
-            .groupBy("_g").applyInPandas(fit_all, POOLED_SCHEMA).collect())
-    return B.Model.from_row(rows[0].asDict())
-
-
-# ------------------------------------------------------- distributed trainer
 def fit_distributed(train: DataFrame, features: list[str], target: str, params: dict,
-                    sample_rows: int = 200_000, seed: int = 42, order_col: str | None = None,
-                    early_stopping="auto", validation_fraction: float = 0.1,
-                    n_iter_no_change: int = 10, tol: float = 1e-7) -> B.Model:
-    """Histogram boosting with Spark doing the per-row work.
+                    seed: int = 42, order_col: str | None = None, early_stopping: bool = False,
+                    validation_fraction: float = 0.1, n_iter_no_change: int = 10,
+                    tol: float = 1e-7) -> B.Model:
+    """One model over all rows, with a Spark job per tree level at every size.
 
-    * bin thresholds from at most ``sample_rows`` rows, one grouped task per
-      feature (bounded input);
-    * every tree level: one ``mapInPandas`` pass emits partial
-      (node, feature, bin) -> (sum of gradients, count) histograms, summed by a
-      ``groupBy``; the driver only sees nodes x features x bins numbers;
-    * after each tree, per-row predictions are updated and checkpointed.
-    * early stopping (above 10,000 rows with ``"auto"``): the first
-      ``ceil(validation_fraction * n)`` rows in a seeded hash order validate;
-      their loss is one aggregation per round on the checkpointed state.
-
-    Every tree is grown level by level with all positive-gain splits, then the
-    best-first order of the single-task kernel is replayed on it (same heap,
-    same leaf cap), so the kept splits are exactly the ones best-first growth
-    would make.
+    ``early_stopping`` (off unless asked for) holds out the first
+    ``ceil(validation_fraction * n)`` rows in a seeded hash order of ``order_col``.
     """
-    max_depth = params["max_depth"]
-    max_leaf = params.get("max_leaf_nodes")
-    max_bins = params.get("max_bins", 255)
-    n_bins = max_bins + 1
-    msl, l2, lr = params["min_samples_leaf"], params["l2_regularization"], params["learning_rate"]
-    p = len(features)
-    spark = train.sparkSession
-
-    n_all = train.count()
-    do_es = (n_all > 10_000) if early_stopping == "auto" else bool(early_stopping)
+    if not early_stopping:
+        return fit_models(train, features, target, params, part_rows=1)["pooled"]
     key = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    rows = train.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)],
-                        F.col(target).cast("double").alias("y"), key.alias("_key"))
-    if do_es:
-        from .splits import global_positions
-        n_val = int(np.ceil(validation_fraction * n_all))
-        ranked = global_positions(rows.withColumn("_h", F.xxhash64(F.col("_key"), F.lit(seed))),
-                                  [F.col("_h"), F.col("_key")], name="_vpos")
-        rows = ranked.withColumn("is_val", F.col("_vpos") < n_val).drop("_h", "_vpos", "n_total")
-    else:
-        rows = rows.withColumn("is_val", F.lit(False))
-    rows = rows.drop("_key")
-    base = rows.where(~F.col("is_val"))
-    n = base.count()
-    stats = base.agg(F.avg("y").alias("mean"),
-                     *[F.max(F.isnan(f"x{j}") | F.col(f"x{j}").isNull()).alias(f"m{j}")
-                       for j in range(p)]).first()
-    baseline = float(stats["mean"])
-    has_missing = np.array([bool(stats[f"m{j}"]) for j in range(p)])
-
-    sample = base if n <= sample_rows else base.sample(False, sample_rows / n, seed)
-    long = sample.select(F.explode(F.array(*[
-        F.struct(F.lit(j).alias("f"), F.col(f"x{j}").alias("v")) for j in range(p)])).alias("s")
-    ).select("s.f", "s.v")
-
-    def thr_fn(pdf):
-        t = B.bin_thresholds(pdf["v"].to_numpy(np.float64), max_bins)
-        return pd.DataFrame({"f": [int(pdf["f"].iloc[0])], "t": [t.tolist()]})
-
-    thr_rows = long.groupBy("f").applyInPandas(thr_fn, "f int, t array<double>").collect()
-    thresholds = [np.zeros(0)] * p
-    for r in thr_rows:
-        thresholds[r["f"]] = np.asarray(r["t"], dtype=np.float64)
-    nb_non_missing = np.array([len(t) + 1 for t in thresholds])
-
-    def bin_fn(it):
-        for pdf in it:
-            X = pdf[[f"x{j}" for j in range(p)]].to_numpy(np.float64, na_value=np.nan)
-            Xb = B.map_bins(X, thresholds, max_bins)
-            out = pd.DataFrame({f"b{j}": Xb[:, j] for j in range(p)})
-            out["y"] = pdf["y"].to_numpy(np.float64)
-            out["raw"] = baseline
-            out["is_val"] = pdf["is_val"].to_numpy(bool)
-            yield out
-
-    bin_schema = ", ".join([f"b{j} int" for j in range(p)]
-                           + ["y double", "raw double", "is_val boolean"])
-    state = cut_lineage(rows.mapInPandas(bin_fn, bin_schema))
-    val_loss = (lambda st: st.where("is_val").agg(
-        F.avg(0.5 * (F.col("raw") - F.col("y")) ** 2)).first()[0])
-    scores = [-val_loss(state)] if do_es else []
-    n_iter = 0
-
-    all_trees = []
-    for it_no in range(params["max_iter"]):
-        n_iter = it_no + 1
-        # nodes of the tree being grown: dicts with split info; rows are routed
-        # by walking the splits made so far
-        nodes = [_node(None, None, None, 0.0, 0)]
-        open_ids = [0]
-        deeper = (lambda d: max_depth is None or d < max_depth)
-        while open_ids and deeper(nodes[open_ids[0]]["depth"]):
-            tree_snapshot = _tree_arrays(nodes)
-            want = set(open_ids)
-
-            def hist_fn(it, tree=tree_snapshot, want=want):
-                for pdf in it:
-                    pdf = pdf[~pdf["is_val"].to_numpy(bool)]
-                    if pdf.empty:
-                        continue
-                    Xb = pdf[[f"b{j}" for j in range(p)]].to_numpy(np.int64)
-                    g = (pdf["raw"].to_numpy(np.float64) - pdf["y"].to_numpy(np.float64)
-                         ).astype(B.G_DTYPE).astype(np.float64)
-                    node = _route(Xb, tree, max_bins)
-                    keep = np.isin(node, list(want))
-                    if not keep.any():
-                        continue
-                    nk, gk, Xk = node[keep], g[keep], Xb[keep]
-                    key = (nk[:, None] * p + np.arange(p)[None, :]) * n_bins + Xk
-                    flat = key.ravel()
-                    uniq, inv = np.unique(flat, return_inverse=True)
-                    sg = np.bincount(inv, weights=np.repeat(gk, p))
-                    cnt = np.bincount(inv)
-                    yield pd.DataFrame({"k": uniq, "sg": sg, "cnt": cnt.astype(np.int64)})
-
-            hist = (state.mapInPandas(hist_fn, "k long, sg double, cnt long")
-                    .groupBy("k").agg(F.sum("sg").alias("sg"), F.sum("cnt").alias("cnt"))
-                    .collect())  # bounded: open nodes x features x bins
-            H = {}
-            for r in hist:
-                k = int(r["k"])
-                nid, rest = divmod(k, p * n_bins)
-                f, b = divmod(rest, n_bins)
-                hg, hn = H.setdefault(nid, (np.zeros((p, n_bins)), np.zeros((p, n_bins), np.int64)))
-                hg[f, b] += r["sg"]
-                hn[f, b] += r["cnt"]
-            next_open = []
-            for nid in open_ids:
-                nd = nodes[nid]
-                if nid not in H:
-                    continue
-                hg, hn = H[nid]
-                if nd["g"] is None:  # root: totals from its histogram
-                    nd["g"] = float(hg[0].sum())
-                    nd["n"] = int(hn[0].sum())
-                    nd["h"] = float(nd["n"])
-                if nd["n"] < 2 * msl:
-                    continue
-                s = B.find_split(hg, hn, nd["g"], nd["h"], nd["n"], nd["value"], nb_non_missing,
-                                 has_missing, msl, l2)
-                if s is None or s.gain <= 0:
-                    continue
-                gr, hr = nd["g"] - s.g_left, nd["h"] - s.h_left
-                left = _node(s.g_left, s.h_left, s.n_left, -s.g_left / (s.h_left + l2 + B.EPS),
-                             nd["depth"] + 1)
-                right = _node(gr, hr, nd["n"] - s.n_left, -gr / (hr + l2 + B.EPS), nd["depth"] + 1)
-                ml = s.missing_left if has_missing[s.feature] else (left["n"] > right["n"])
-                nd.update(feature=s.feature, bin=s.bin, missing_left=ml, gain=s.gain,
-                          left=len(nodes), right=len(nodes) + 1)
-                nodes += [left, right]
-                if deeper(left["depth"]):
-                    next_open += [nd["left"], nd["right"]]
-            open_ids = [k for k in next_open if nodes[k]["n"] >= 2 * msl]
-        nodes = _best_first_prune(nodes, max_leaf, max_depth, msl)
-        for nd in nodes:
-            if nd["feature"] < 0:
-                nd["value"] = lr * nd["value"] if nd is not nodes[0] else 0.0
-        all_trees.append(nodes)
-        if len(nodes) == 1:
-            if do_es:
-                scores.append(scores[-1])
-                if B.should_stop(scores, n_iter_no_change, tol):
-                    break
-            continue
-        tree_final = _tree_arrays(nodes)
-
-        def upd_fn(it, tree=tree_final):
-            for pdf in it:
-                Xb = pdf[[f"b{j}" for j in range(p)]].to_numpy(np.int64)
-                node = _route(Xb, tree, max_bins)
-                pdf = pdf.copy()
-                pdf["raw"] = pdf["raw"].to_numpy(np.float64) + tree["value"][node]
-                yield pdf
-
-        state = cut_lineage(state.mapInPandas(upd_fn, state.schema))
-        if do_es:
-            scores.append(-val_loss(state))
-            if B.should_stop(scores, n_iter_no_change, tol):
-                break
-    return _trees_to_model(all_trees, thresholds, baseline, n_iter)
-
-
-def _node(g, h, n, value, depth) -> dict:
-    """A tree node of the distributed trainer (a leaf until it is split)."""
-    return dict(g=g, h=h, n=n, value=value, depth=depth, feature=-1, bin=-1,
-                missing_left=False, left=-1, right=-1)
-
-
-def _best_first_prune(nodes: list[dict], max_leaf: int | None, max_depth: int | None,
-                      msl: int) -> list[dict]:
-    """Replay best-first growth on a level-wise grown tree; drop the splits a
-    leaf cap would not reach and renumber the remaining nodes."""
-    import heapq
-    heap, counter, n_leaves, kept = [], 0, 0, set()
-
-    def push(i):
-        nonlocal counter, n_leaves
-        if nodes[i]["feature"] >= 0:
-            heapq.heappush(heap, (-nodes[i]["gain"], counter, i))
-            counter += 1
-        else:
-            n_leaves += 1
-
-    push(0)
-    while heap:
-        _, _, i = heapq.heappop(heap)
-        kept.add(i)
-        lch, rch = nodes[i]["left"], nodes[i]["right"]
-        if max_leaf is not None and n_leaves + len(heap) + 2 == max_leaf:
-            break  # both children and every queued node stay leaves
-        if max_depth is not None and nodes[lch]["depth"] == max_depth:
-            n_leaves += 2
-            continue
-        for ch in (lch, rch):
-            if nodes[ch]["n"] < 2 * msl:
-                n_leaves += 1
-            else:
-                push(ch)
-    # keep the nodes reachable through kept splits, renumbered in creation order
-    reach, stack = [], [0]
-    while stack:
-        i = stack.pop()
-        reach.append(i)
-        if i in kept:
-            stack += [nodes[i]["left"], nodes[i]["right"]]
-    new_id = {old: k for k, old in enumerate(sorted(reach))}
-    out = []
-    for old in sorted(reach):
-        nd = dict(nodes[old])
-        if old in kept:
-            nd["left"], nd["right"] = new_id[nd["left"]], new_id[nd["right"]]
-        else:
-            nd.update(feature=-1, bin=-1, left=-1, right=-1, missing_left=False)
-        out.append(nd)
-    return out
-
-
-def _tree_arrays(nodes) -> dict:
-    """Node dicts -> numpy arrays, so rows are routed with vectorised lookups."""
-    return {k: np.array([nd[k] for nd in nodes]) for k in
-            ("feature", "bin", "missing_left", "left", "right", "value")}
-
-
-def _route(Xb: np.ndarray, tree: dict, missing_bin: int) -> np.ndarray:
-    """Node id reached by every binned row (walks until a node without a split)."""
-    node = np.zeros(Xb.shape[0], dtype=np.int64)
-    while True:
-        feat = tree["feature"][node]
-        inner = feat >= 0
-        if not inner.any():
-            return node
-        idx = np.flatnonzero(inner)
-        nd = node[idx]
-        b = Xb[idx, feat[idx]]
-        go_left = np.where(b == missing_bin, tree["missing_left"][nd], b <= tree["bin"][nd])
-        node[idx] = np.where(go_left, tree["left"][nd], tree["right"][nd])
-
-
-def _trees_to_model(trees, thresholds, baseline, n_trees) -> B.Model:
-    cols = {k: [] for k in ("tree", "feature", "threshold", "missing_left", "left", "right", "value")}
-    off = 0
-    for t, nodes in enumerate(trees):
-        if len(nodes) == 1:
-            continue
-        for nd in nodes:
-            leaf = nd["feature"] < 0
-            cols["tree"].append(t)
-            cols["feature"].append(-1 if leaf else nd["feature"])
-            cols["threshold"].append(0.0 if leaf else B.split_threshold(thresholds, nd["feature"],
-                                                                        nd["bin"]))
-            cols["missing_left"].append(False if leaf else bool(nd["missing_left"]))
-            cols["left"].append(-1 if leaf else nd["left"] + off)
-            cols["right"].append(-1 if leaf else nd["right"] + off)
-            cols["value"].append(nd["value"] if leaf else 0.0)
-        off += len(nodes)
-    return B.Model(baseline, n_trees, np.asarray(cols["tree"], np.int32),
-                   np.asarray(cols["feature"], np.int32), np.asarray(cols["threshold"], np.float64),
-                   np.asarray(cols["missing_left"], bool), np.asarray(cols["left"], np.int32),
-                   np.asarray(cols["right"], np.int32), np.asarray(cols["value"], np.float64))
+    rows = train.select(*features, target, key.alias("_key"))
+    ranked = global_positions(rows.withColumn("_h", F.xxhash64(F.col("_key"), F.lit(seed))),
+                              [F.col("_h"), F.col("_key")], name="_vpos")
+    held = F.col("_vpos") < F.ceil(F.lit(validation_fraction) * F.col("n_total"))
+    return fit_models(ranked.withColumn("_held", held), features, target, params,
+                      validation="_held", n_iter_no_change=n_iter_no_change, tol=tol)["pooled"]

@@ -43,7 +43,7 @@ class PooledResult:
 
 def sparse_pooled_fit(frame: DataFrame, density: str = C.SPARSE_CLASS,
                       min_rows: int = C.SPARSE_MIN_ROWS, params: dict | None = None,
-                      local_max_rows: int = 200_000, holdout: bool = True) -> PooledResult:
+                      holdout: bool = True) -> PooledResult:
     """Filter one density class, drop incomplete rows, split 75/25 by position
     in (item, date) order, fit on the first part and (``holdout``) score the rest."""
     sub = FE.sparse_filter(frame, density)
@@ -53,7 +53,7 @@ def sparse_pooled_fit(frame: DataFrame, density: str = C.SPARSE_CLASS,
         raise ValueError("Not enough sparse rows for GBM demo.")
     n_train = max(1, n_rows * C.SPARSE_TRAIN_NUM // C.SPARSE_TRAIN_DEN)
     model = TR.fit_pooled(split.where("is_train"), list(C.SPARSE_FEATURES), "target_price",
-                          "gpos", params=params, local_max_rows=local_max_rows, n_rows=n_train)
+                          params=params)
     scored = score_pooled(split.where(~F.col("is_train")), model, list(C.SPARSE_FEATURES))
     if not holdout:
         return PooledResult(model, n_rows, n_train, float("nan"), scored)

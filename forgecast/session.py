@@ -65,6 +65,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "forgecast-tables", name)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, on whatever file system it lies."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 _PKG_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 

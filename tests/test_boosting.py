@@ -163,3 +163,68 @@ def test_distributed_trainer_respects_a_binding_leaf_cap(spark):
     assert len(dist.tree) == len(local.tree)
     Xt = rng.normal(size=(40, 3))
     np.testing.assert_allclose(B.predict(dist, Xt), B.predict(local, Xt), rtol=1e-9, atol=1e-9)
+
+
+def test_equal_trees_for_any_partitioning_and_on_both_sides_of_a_partition(spark):
+    """Exact sums and cut points: the same model bit by bit, in one task or by Spark jobs."""
+    from forgecast.operators.forests import fit_models
+    rng = np.random.default_rng(12)
+    params = dict(max_depth=3, learning_rate=0.2, max_iter=3, min_samples_leaf=20,
+                  l2_regularization=0.5, max_leaf_nodes=31, max_bins=255)
+    for n in (9_990, 10_010):
+        X = rng.normal(size=(n, 2))
+        X[:, 1] = X[:, 1].round(1)
+        X[::9, 0] = np.nan
+        y = np.where(np.isnan(X[:, 0]), 1.0, X[:, 0]) * 3 - X[:, 1] + rng.normal(size=n)
+        df = spark.createDataFrame(pd.DataFrame({"a": X[:, 0], "b": X[:, 1], "y": y}))
+        fits = [fit_models(df.repartition(k), ["a", "b"], "y", params, part_rows=r)["pooled"].to_row("")
+                for k, r in ((1, 50_000), (3, 50_000), (8, 50_000), (3, 4_000))]
+        assert all(f == fits[0] for f in fits[1:])
+        kernel = B.fit(X, y, early_stopping=False, **params)
+        assert len(kernel.tree) == len(fits[0]["tree"]) and kernel.n_trees == 3
+        Xt = rng.normal(size=(200, 2))
+        np.testing.assert_allclose(B.predict(B.Model.from_row(fits[0]), Xt), B.predict(kernel, Xt),
+                                   rtol=1e-9, atol=1e-9)
+
+
+def test_no_row_switch_above_two_hundred_thousand_rows(spark):
+    """Cut points and trees of 200,001 rows come from all of them, in one task and in five."""
+    from forgecast.operators.forests import cut_points, fit_models
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=200_001)
+    y = np.sin(3 * x) + rng.normal(scale=0.1, size=len(x))
+    df = spark.createDataFrame(pd.DataFrame({"a": x, "y": y}))
+    (cuts,) = cut_points(df.selectExpr("0 AS model", "a AS x0"), 1, 255)
+    assert np.array_equal(cuts["cuts"], B.bin_thresholds(x, 255))
+    params = dict(max_depth=2, learning_rate=0.3, max_iter=2, min_samples_leaf=20,
+                  l2_regularization=0.0, max_leaf_nodes=31, max_bins=255)
+    one, five = (fit_models(df, ["a"], "y", params, part_rows=r)["pooled"].to_row("")
+                 for r in (10**6, 50_000))
+    assert one == five
+    kernel = B.fit(x[:, None], y, early_stopping=False, subsample_rows=10**6, **params)
+    np.testing.assert_allclose(B.predict(B.Model.from_row(one), x[:500, None]),
+                               B.predict(kernel, x[:500, None]), rtol=1e-9)
+
+
+def test_many_models_grow_together(spark):
+    """All keys grow a level at a time: the number of jobs doesn't grow with the models."""
+    from forgecast.operators.forests import fit_models
+    rng = np.random.default_rng(14)
+    params = dict(max_depth=2, learning_rate=0.3, max_iter=2, min_samples_leaf=5,
+                  l2_regularization=0.0, max_leaf_nodes=31, max_bins=255)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = {}
+    for k in (2, 12):
+        X, who = rng.normal(size=(k * 60, 2)), np.repeat(np.arange(k), 60)
+        y = X[:, 0] * (1 + who) + rng.normal(scale=0.1, size=len(who))
+        df = spark.createDataFrame(pd.DataFrame({"a": X[:, 0], "b": X[:, 1], "y": y,
+                                                 "nsn": [f"i{w}" for w in who]})).repartition(3)
+        spark.sparkContext.setJobGroup(f"grow-{k}", "fit")
+        models = fit_models(df, ["a", "b"], "y", params, key="nsn", part_rows=1)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs[k] = len(tracker.getJobIdsForGroup(f"grow-{k}"))
+        for w in range(k):
+            mine = who == w
+            want = B.predict(B.fit(X[mine], y[mine], **params), X[mine])
+            np.testing.assert_allclose(B.predict(models[f"i{w}"], X[mine]), want, rtol=1e-9)
+    assert jobs[12] <= jobs[2] + 2
