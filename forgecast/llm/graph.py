@@ -30,6 +30,10 @@ from forgecast.session import ensure_workers_can_import, scratch_path
 BROADCAST_IDS = 2_000_000
 ARROW_ROWS = "1000"
 SCAN_ROWS = "512"
+#: bytes of a row group that a writing task buffers
+ROW_GROUP_BYTES = 16 << 20
+#: edges (two numbers each) whose components one task finds
+TASK_EDGES = 500_000
 
 
 class Scratch:
@@ -43,10 +47,16 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_path(spark, job)}-{uuid.uuid4().hex}"
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: cuts the lineage, survives lost executors."""
+    def store(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+        """Write ``df`` and read it back: cuts the lineage, survives lost executors.
+
+        ``narrow``: for tables far smaller than those they come from, an eighth of the
+        shuffle partitions write them, so that they aren't many tiny files.
+        """
         path = f"{self.base}/{name}"
-        df.write.parquet(path)
+        if narrow:
+            df = df.coalesce(max(1, shuffle_partitions(self.spark) // 8))
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -100,11 +110,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     large-star and small-star rounds run on the remaining forest until every
     edge points at the least node. Each round's tables are stored, so the joins
     read plain scans, which adaptive execution can split at a hot root. The
-    rounds end as soon as the edges are stars.
+    rounds end as soon as the edges are stars. A forest of ``TASK_EDGES`` edges at
+    most is contracted once more, in one task, and needs no rounds.
     """
     forest = (edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
               .where("a <> b").mapInArrow(_local_forest, "node bigint, root bigint"))
-    e = scratch.store(forest.distinct(), f"{name}-0")
+    e = scratch.store(forest.distinct(), f"{name}-0", narrow=True)
+    if e.count() <= TASK_EDGES:
+        return scratch.store(e.coalesce(1).mapInArrow(_local_forest, "node bigint, root bigint"),
+                             f"{name}-all")
     step = 0
     while not _stars(e):
         step += 1
@@ -178,7 +192,8 @@ class Similarity:
 
 
 def link(postings: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
-         sim: Similarity, scratch: Scratch, name: str = "link") -> tuple[DataFrame, DataFrame]:
+         sim: Similarity, scratch: Scratch, name: str = "link",
+         pivots: int = 0) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and the components (node, root) they make.
 
     ``postings`` (stored): key, node, n (set size), u (elements in no other
@@ -190,10 +205,14 @@ def link(postings: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame]
     cols = postings.columns
     marks = [c for c in sketches.columns if c != "node"]
     rest = [c for c in cols if c != "key"]
-    centre = postings.groupBy("key").agg(
-        F.min(F.struct("u", *(c for c in rest if c != "u"))).alias("c"),
-        F.count("*").alias("members")).where("members > 1")
-    centre = scratch.store(centre.select("key", "c.*"), f"{name}-centre")
+    members = postings.groupBy("key").agg(
+        F.count("*").alias("members"), F.min(F.struct("u", *(c for c in rest if c != "u"))).alias("c"),
+        *(F.min_by(F.struct("u", *(c for c in rest if c != "u")), F.xxhash64("node", F.lit(k)))
+          .alias(f"c{k}") for k in range(pivots))).where("members > 1")
+    if pivots:
+        members = members.select("key", F.explode(F.array_distinct(F.array(
+            "c", *(f"c{k}" for k in range(pivots))))).alias("c"))
+    centre = scratch.store(members.select("key", "c.*"), f"{name}-centre", narrow=True)
     near = (postings.alias("l").join(centre.alias("r"), F.col("l.key") == F.col("r.key"))
             .where((F.col("l.node") != F.col("r.node")) & sim.possible("l", "r", cols)))
     ends = [F.struct(f"{side}.node", f"{side}.n", f"{side}.u") for side in "lr"]
@@ -213,8 +232,8 @@ def link(postings: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame]
     main = (at.groupBy("key", "comp").agg(F.count("*").alias("members"))
             .groupBy("key").agg(F.max_by("comp", "members").alias("main"),
                                 F.count("*").alias("comps")).where("comps > 1"))
-    main = scratch.store(main.select("key", "main"), f"{name}-main")
-    open_ = scratch.store(at.join(main, "key").join(sketches, "node"), f"{name}-open")
+    main = scratch.store(main.select("key", "main"), f"{name}-main", narrow=True)
+    open_ = scratch.store(at.join(main, "key").join(sketches, "node"), f"{name}-open", narrow=True)
     # every pair across components has a member outside the key's main component
     left = open_.where("comp <> main").alias("l")
     cross = left.join(open_.alias("r"), (F.col("l.key") == F.col("r.key"))
@@ -236,9 +255,9 @@ def link(postings: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame]
 def _verify(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim: Similarity,
             scratch: Scratch, name: str) -> DataFrame:
     """Each candidate pair (a, b) once against both whole sets."""
-    pairs = scratch.store(pairs, f"{name}-pairs")
+    pairs = scratch.store(pairs, f"{name}-pairs", narrow=True)
     nodes = scratch.store(pairs.select(F.col("a").alias("node"))
-                          .union(pairs.select("b")).distinct(), f"{name}-nodes")
+                          .union(pairs.select("b")).distinct(), f"{name}-nodes", narrow=True)
     sets = scratch.store(sets_of(nodes).select("node", "n", "elements"), f"{name}-sets")
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"),
                       F.col("elements").alias("ea"))
@@ -247,7 +266,7 @@ def _verify(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim: Si
     shared = F.size(F.array_intersect("ea", "eb"))
     links = scratch.store(pairs.join(one, "a").join(two, "b")
                           .where(sim.verified(F.col("na"), F.col("nb"), shared))
-                          .select("a", "b"), f"{name}-links")
+                          .select("a", "b"), f"{name}-links", narrow=True)
     scratch.drop(f"{name}-pairs", f"{name}-nodes", f"{name}-sets")
     return links
 

@@ -48,6 +48,8 @@ BROADCAST_CONTEXTS = 50_000
 RECALL = 0.99
 MAX_BANDS = 9
 SKETCH_LONGS = 4
+#: members of a band, chosen by hash, that are compared with all others first
+PIVOTS = 4
 
 _U = np.uint64
 _SKETCH = [f"s_{i}" for i in range(SKETCH_LONGS)]
@@ -236,15 +238,17 @@ def repeated_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Removed word ranges of (doc_id, text): repeats of a window, extended where equal."""
     wins = scratch.store(rows.mapInArrow(
         _window_batches, "doc_id bigint, first_word bigint, node bigint"), "windows")
-    place = F.struct("doc_id", "first_word")
-    again = scratch.store(wins.groupBy("node").agg(F.min(place).alias("lo"),
-                                                   F.max(place).alias("hi"))
-                          .where("lo <> hi").select("node", "lo.*")
-                          .toDF("node", "kept_doc_id", "kept_first_word"), "again")
-    asked = scratch.store(join_ids(wins, again.select("node"), "node", "left_semi")
-                          .groupBy("doc_id")
-                          .agg(F.collect_set("first_word").alias("wanted")), "asked")
-    scratch.drop("windows")
+    # windows that occur once go before their places are compared
+    often = scratch.store(wins.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+                          .select("node"), "often")
+    wins = scratch.store(join_ids(wins, often, "node", "left_semi"), "common")
+    scratch.drop("windows", "often")
+    again = scratch.store(wins.groupBy("node").agg(
+        F.min(F.struct("doc_id", "first_word")).alias("lo")).select("node", "lo.*")
+        .toDF("node", "kept_doc_id", "kept_first_word"), "again")
+    asked = scratch.store(wins.groupBy("doc_id").agg(
+        F.collect_set("first_word").alias("wanted")), "asked")
+    scratch.drop("common")
     around = scratch.store(
         join_ids(rows, asked, "doc_id").select("doc_id", "text", "wanted").mapInArrow(
             _contexts, "node bigint, doc_id bigint, first_word bigint, line bigint, "
@@ -304,7 +308,8 @@ def repeated_lines(rows: DataFrame, min_words: int, sim: Similarity,
                                  "node bigint, n bigint, elements array<bigint>")
                 .dropDuplicates(["node"]))
 
-    _, root = link(postings, classes.select("node", *_SKETCH), sets_of, sim, scratch)
+    _, root = link(postings, classes.select("node", *_SKETCH), sets_of, sim, scratch,
+                   pivots=PIVOTS)
     member = (classes.select("node", "copies", "first").join(root, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
     member = scratch.store(member, "member")
