@@ -30,6 +30,8 @@ from forgecast.session import ensure_workers_can_import, scratch_path
 BROADCAST_IDS = 2_000_000
 ARROW_ROWS = "1000"
 SCAN_ROWS = "512"
+#: shuffled bytes that a task of a stored table reads and sorts
+TASK_BYTES = "16m"
 #: bytes of a row group that a writing task buffers
 ROW_GROUP_BYTES = 16 << 20
 #: edges (two numbers each) whose components one task finds
@@ -56,7 +58,14 @@ class Scratch:
         path = f"{self.base}/{name}"
         if narrow:
             df = df.coalesce(max(1, shuffle_partitions(self.spark) // 8))
-        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+        size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+        before = self.spark.conf.get(size)
+        if _bytes(before) > _bytes(TASK_BYTES):
+            self.spark.conf.set(size, TASK_BYTES)
+        try:
+            df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+        finally:
+            self.spark.conf.set(size, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -68,6 +77,13 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def _bytes(size: str) -> int:
+    """Bytes of a setting such as 64MB, 16m or 1048576b."""
+    number = size.lower().rstrip("b")
+    return (int(number[:-1]) << {"k": 10, "m": 20, "g": 30, "t": 40}[number[-1]]
+            if number[-1:].isalpha() else int(number))
+
+
 def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "inner",
              limit: int = BROADCAST_IDS) -> DataFrame:
     """Join a wide table with a stored table of unique ids.
