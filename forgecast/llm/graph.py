@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from forgecast.session import ensure_workers_can_import, scratch_path
 
-#: largest id list that is broadcast (16 bytes a row); above it the ids are joined by a shuffle
-BROADCAST_IDS = 2_000_000
+#: largest table of ids that is broadcast; above it the ids are joined by a shuffle
+BROADCAST_BYTES = 16 << 20
 ARROW_ROWS = "1000"
 SCAN_ROWS = "512"
 #: shuffled bytes that a task of a stored table reads and sorts
@@ -85,13 +85,18 @@ def _bytes(size: str) -> int:
 
 
 def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "inner",
-             limit: int = BROADCAST_IDS) -> DataFrame:
-    """Join a wide table with a stored table of unique ids.
+             limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a wide table with a stored table of unique ids (and numbers, or lists of them).
 
-    The ids are broadcast when a count shows at most ``limit`` rows, so the wide
-    table isn't shuffled; beyond that both sides are shuffled. Same rows either way.
+    The ids are broadcast when their rows and list entries make at most ``limit`` bytes, so
+    the wide table isn't shuffled; beyond that both sides are. Same rows either way.
     """
-    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, on, how)
+    lists = [f.name for f in ids.schema.fields if f.dataType.typeName() == "array"]
+    row = F.lit(16 * len(ids.columns))
+    for c in lists:
+        row = row + 16 * F.greatest(F.size(c), F.lit(0))
+    size = (ids.agg(F.sum(row)).first()[0] or 0) if limit else 1
+    return df.join(F.broadcast(ids) if size <= limit else ids.hint("merge"), on, how)
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

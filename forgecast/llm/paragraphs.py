@@ -43,8 +43,6 @@ SHINGLE_WORDS = 5
 PASSAGE_WORDS = 50
 WINDOW_WORDS = 26
 WINNOW = PASSAGE_WORDS - WINDOW_WORDS + 1
-#: first occurrences (with the words around them) that are broadcast
-BROADCAST_CONTEXTS = 50_000
 RECALL = 0.99
 MAX_BANDS = 9
 SKETCH_LONGS = 4
@@ -241,7 +239,7 @@ def repeated_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
     # windows that occur once go before their places are compared
     often = scratch.store(wins.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
                           .select("node"), "often")
-    wins = scratch.store(join_ids(wins, often, "node", "left_semi"), "common")
+    wins = scratch.store(join_ids(wins, often, "node", "left_semi", limit=0), "common")
     scratch.drop("windows", "often")
     again = scratch.store(wins.groupBy("node").agg(
         F.min(F.struct("doc_id", "first_word")).alias("lo")).select("node", "lo.*")
@@ -259,7 +257,7 @@ def repeated_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
         .select(around.node, "kept_doc_id", "kept_first_word", F.col("line").alias("kept_line"),
                 F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
         .dropDuplicates(["node"]), "kept")
-    pairs = join_ids(around, kept, "node", limit=BROADCAST_CONTEXTS).where(
+    pairs = join_ids(around, kept, "node").where(
         "doc_id <> kept_doc_id or first_word <> kept_first_word")
     return pairs.select("doc_id", "first_word", "line", "kept_doc_id", "kept_first_word",
                         "kept_line", "before", "kept_before", "after", "kept_after").mapInArrow(
