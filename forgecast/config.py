@@ -74,6 +74,10 @@ UNWRAP_KEYS = ("prediction", "result", "data", "output")
 HOT_KEY_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
 
+# One tree with one split (ours): a grown model whose every number plain SQL can state.
+STUMP_PARAMS = dict(max_depth=1, learning_rate=0.5, max_iter=1, min_samples_leaf=4,
+                    l2_regularization=0.5, max_leaf_nodes=31, max_bins=255)
+
 # Adapter rule (ours, not the application's): density class by observation count.
 ADAPTER_DENSE_MIN_OBS = 30
 ADAPTER_MODERATE_MIN_OBS = 18

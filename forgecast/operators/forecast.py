@@ -25,63 +25,50 @@ _MODEL_COLS = ("baseline", "n_trees", "tree", "feature", "threshold", "missing_l
 
 
 class PackedForest:
-    """Many models (one per row) concatenated into one set of node arrays."""
+    """Models concatenated into one set of node arrays; rows point to their model."""
 
     def __init__(self, models: list[Model]):
         self.n = len(models)
         self.baseline = np.array([m.baseline for m in models], dtype=np.float64)
-        feats, thr, ml, left, right, val, pair_row, pair_root = [], [], [], [], [], [], [], []
-        off = 0
-        for i, m in enumerate(models):
-            k = len(m.tree)
-            if k:
-                feats.append(m.feature)
-                thr.append(m.threshold)
-                ml.append(m.missing_left)
-                left.append(np.where(m.left >= 0, m.left + off, -1))
-                right.append(np.where(m.right >= 0, m.right + off, -1))
-                val.append(m.value)
-                roots = m.roots() + off
-                pair_root.append(roots)
-                pair_row.append(np.full(len(roots), i, dtype=np.int64))
-            off += k
-        cat = (lambda xs, dt: np.concatenate(xs).astype(dt) if xs else np.zeros(0, dt))
-        self.feature = cat(feats, np.int64)
-        self.threshold = cat(thr, np.float64)
-        self.missing_left = cat(ml, bool)
-        self.left = cat(left, np.int64)
-        self.right = cat(right, np.int64)
-        self.value = cat(val, np.float64)
-        self.pair_row = cat(pair_row, np.int64)
-        self.pair_root = cat(pair_root, np.int64)
-
-    def predict(self, X: np.ndarray, active: np.ndarray | None = None) -> np.ndarray:
-        """Row i of ``X`` is scored by model i. Tree sums accumulate in tree order."""
-        out = self.baseline.copy()
-        if len(self.pair_root) == 0:
-            return out
-        rows, node = self.pair_row, self.pair_root.copy()
+        off = np.cumsum([0, *(len(m.tree) for m in models)])[:-1]
+        cat = (lambda xs, dt: np.concatenate(xs).astype(dt) if len(xs) else np.zeros(0, dt))
+        self.feature = cat([m.feature for m in models], np.int64)
+        self.threshold = cat([m.threshold for m in models], np.float64)
+        self.missing_left = cat([m.missing_left for m in models], bool)
+        self.left = cat([np.where(m.left >= 0, m.left + o, -1)
+                         for m, o in zip(models, off, strict=True)], np.int64)
+        self.right = cat([np.where(m.right >= 0, m.right + o, -1)
+                          for m, o in zip(models, off, strict=True)], np.int64)
+        self.value = cat([m.value for m in models], np.float64)
+        roots = [m.roots() + o for m, o in zip(models, off, strict=True)]
+        self.root = cat(roots, np.int64)
+        self.trees = np.array([len(r) for r in roots], dtype=np.int64)
+        self.first = np.cumsum([0, *self.trees])[:-1].astype(np.int64)
+
+    def predict(self, X: np.ndarray, active: np.ndarray | None = None,
+                which: np.ndarray | None = None) -> np.ndarray:
+        """Row i of ``X`` is scored by model ``which[i]`` (model i without ``which``).
+
+        Tree t of all rows is added at once, t = 0, 1, ...: the order (and rounding) of
+        scoring one model tree by tree, with memory for the rows and the forest only.
+        """
+        which = np.arange(len(X)) if which is None else which
+        out = self.baseline[which]
+        trees = self.trees[which]
         if active is not None:
-            keep = active[rows]
-            rows, node = rows[keep], node[keep]
-        while True:
-            f = self.feature[node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            x = X[rows[inner], f[inner]]
-            n_in = node[inner]
-            go_left = np.where(np.isnan(x), self.missing_left[n_in], x <= self.threshold[n_in])
-            node[inner] = np.where(go_left, self.left[n_in], self.right[n_in])
-        # Add tree t of every row at once, t = 0, 1, ...: the same addition
-        # order (and rounding) as scoring one model tree by tree.
-        vals = self.value[node]
-        if len(rows):
-            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-            for t in range(int(rank.max()) + 1):
-                sel = rank == t
-                out[rows[sel]] += vals[sel]
+            trees = np.where(active, trees, 0)
+        for t in range(int(trees.max()) if len(trees) else 0):
+            rows = np.flatnonzero(trees > t)
+            node = self.root[self.first[which[rows]] + t]
+            while True:
+                inner = np.flatnonzero(self.feature[node] >= 0)
+                if not len(inner):
+                    break
+                at = node[inner]
+                x = X[rows[inner], self.feature[at]]
+                go_left = np.where(np.isnan(x), self.missing_left[at], x <= self.threshold[at])
+                node[inner] = np.where(go_left, self.left[at], self.right[at])
+            out[rows] += self.value[node]
         return out
 
 
@@ -97,19 +84,25 @@ def _month_after(last_month: np.ndarray, h: int) -> np.ndarray:
     return ((last_month.astype(np.int64) - 1 + h) % 12 + 1).astype(np.float64)
 
 
-def _forecast_batches(it: Iterator[pd.DataFrame], n_lags: int) -> Iterator[pd.DataFrame]:
+def _forecast_batches(it: Iterator[pd.DataFrame], n_lags: int, shared: PackedForest | None = None
+                      ) -> Iterator[pd.DataFrame]:
+    """Steps of every row, with the row's own model or the one of ``shared``."""
     for pdf in it:
         if pdf.empty:
             continue
         n = len(pdf)
-        # Models without tree nodes (constant means: most short series) predict
-        # their baseline at every step; only models with trees are unpacked.
-        n_nodes = np.fromiter((0 if t is None else len(t) for t in pdf["tree"]), np.int64, n)
-        with_trees = np.flatnonzero(n_nodes > 0)
-        baseline = pdf["baseline"].to_numpy(np.float64)
-        forest = (PackedForest([model_from_pandas_row(r) for r in
-                                pdf.iloc[with_trees].to_dict("records")])
-                  if len(with_trees) else None)
+        if shared is not None:
+            forest, with_trees = shared, np.arange(n)
+            which, baseline = np.zeros(n, dtype=np.int64), np.full(n, shared.baseline[0])
+        else:
+            # Models without tree nodes (constant means: most short series) predict
+            # their baseline at every step; only models with trees are unpacked.
+            n_nodes = np.fromiter((0 if t is None else len(t) for t in pdf["tree"]), np.int64, n)
+            with_trees = np.flatnonzero(n_nodes > 0)
+            baseline, which = pdf["baseline"].to_numpy(np.float64), None
+            forest = (PackedForest([model_from_pandas_row(r) for r in
+                                    pdf.iloc[with_trees].to_dict("records")])
+                      if len(with_trees) else None)
         window = np.array([np.asarray(v, dtype=np.float64) for v in pdf["lags"]], dtype=np.float64
                           ).reshape(n, n_lags)
         demand = pdf["last_demand"].to_numpy(np.float64)
@@ -124,7 +117,7 @@ def _forecast_batches(it: Iterator[pd.DataFrame], n_lags: int) -> Iterator[pd.Da
             X = np.column_stack([window, demand, market, _month_after(last_month, h)])
             pred = baseline.copy()
             if forest is not None:
-                pred[with_trees] = forest.predict(X[with_trees], active[with_trees])
+                pred[with_trees] = forest.predict(X[with_trees], active[with_trees], which)
             idx = np.flatnonzero(active)
             yield pd.DataFrame({"nsn": items[idx], "step": np.full(len(idx), h, dtype=np.int32),
                                 "forecast_price": pred[idx], "last_date": last_dates[idx]})
@@ -154,23 +147,21 @@ def recursive_forecast(state: DataFrame, models: DataFrame, horizon=C.DEFAULT_HO
                      iso_date(months_after(F.col("last_date"), F.col("step"))).alias("reference_month"))
 
 
-def shared_model_forecast(state: DataFrame, model: dict | None,
+def shared_model_forecast(state: DataFrame, model: Model | dict | None,
                           horizon: int = C.DEFAULT_HORIZON, n_lags: int = C.N_LAGS) -> DataFrame:
-    """``recursive_forecast`` with one model (a model table row) for every item.
+    """``recursive_forecast`` with one model (or its row of the model table) for every item.
 
-    The model is bounded (trees x nodes) and travels with the task closure, so
-    no join is planned. Without a model there are no rows.
+    The model is bounded (trees x nodes); its forest is built once per task and all rows
+    of all batches point to it. Without a model there are no rows.
     """
     if "horizon" not in state.columns:
         state = state.withColumn("horizon", F.lit(int(horizon)))
     j = (state.where(F.col("complete") & F.lit(model is not None))
          .select("nsn", "lags", "last_date", "last_demand", "last_market", "horizon"))
+    model = Model.from_row(model) if isinstance(model, dict) else model
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for c in _MODEL_COLS:
-                pdf[c] = [model[c]] * len(pdf)
-            yield from _forecast_batches(iter([pdf]), n_lags)
+        yield from _forecast_batches(it, n_lags, PackedForest([model]))
 
     fc = j.mapInPandas(run, FORECAST_SCHEMA)
     return fc.select("nsn", "step", "forecast_price",

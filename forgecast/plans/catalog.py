@@ -110,6 +110,30 @@ def dense_models(spark, sf_dir):
     return TR.model_table(_fits(_tables(spark, sf_dir)[0]))
 
 
+def _stump_fits(price):
+    """Per-item fits of one tree with one split: grown trees that plain SQL can state."""
+    return TP.dense_fits(price, C.STUMP_PARAMS, max_group_rows=None)
+
+
+def dense_stump_models(spark, sf_dir):
+    """One-split models of every item, with split and hold-out error."""
+    fits = _stump_fits(_tables(spark, sf_dir)[0]).where(F.col("status") == "ok")
+    split = F.size("tree") > 0
+    return fits.select("nsn", "n_train", "n_holdout", F.round("baseline", 4).alias("baseline"),
+                       F.when(split, F.get("feature", F.lit(0))).alias("feature"),
+                       F.when(split, F.round(F.get("threshold", F.lit(0)), 4)).alias("threshold"),
+                       F.when(split, F.round(F.get("value", F.lit(1)), 4)).alias("left_value"),
+                       F.when(split, F.round(F.get("value", F.lit(2)), 4)).alias("right_value"),
+                       F.round("holdout_mae", 4).alias("holdout_mae"))
+
+
+def dense_stump_forecast(spark, sf_dir):
+    """Six recursive steps of every item's one-split model: prices vary by step."""
+    price, _ = _tables(spark, sf_dir)
+    fc = recursive_forecast(FE.last_lag_vector(price), TR.model_table(_stump_fits(price)))
+    return fc.select("nsn", "step", _r("forecast_price"), "reference_month")
+
+
 def _dense_forecast_long(price):
     models = TR.model_table(_fits(price))
     return recursive_forecast(FE.last_lag_vector(price), models)
@@ -189,6 +213,33 @@ def sparse_fit_score(spark, sf_dir):
                         ).select("nsn", "last_observed_price", "forecast_next_purchase_price")
 
 
+def sparse_stump_fit(spark, sf_dir):
+    """Pooled one-split model of the sparse class: its split and hold-out error."""
+    price, ship = _stored(spark, sf_dir)
+    res = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship, hot="auto"),
+                               params=C.STUMP_PARAMS)
+    m = res.model
+    one = (lambda xs, i: float(xs[i]) if len(xs) else None)
+    row = (res.n_rows, res.n_train, m.baseline, int(m.feature[0]) if len(m.feature) else None,
+           one(m.threshold, 0), one(m.value, 1), one(m.value, 2), res.holdout_mae)
+    out = spark.createDataFrame([row], "n_rows bigint, n_train bigint, baseline double, feature int, "
+                                "threshold double, left_value double, right_value double, "
+                                "holdout_mae double")
+    return out.select("n_rows", "n_train", "feature", *(_r(c) for c in (
+        "baseline", "threshold", "left_value", "right_value", "holdout_mae")))
+
+
+def sparse_stump_score(spark, sf_dir):
+    """The pooled one-split model scoring every item's latest pair."""
+    price, ship = _stored(spark, sf_dir)
+    hot = FE.hot_suppliers(price)
+    res = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship, hot=hot),
+                               params=C.STUMP_PARAMS, holdout=False)
+    feats = FE.sparse_serving_features(price, ship, hot=hot)
+    return score_pooled(feats, res.model, list(C.SPARSE_FEATURES), "forecast_next_purchase_price"
+                        ).select("nsn", "last_observed_price", _r("forecast_next_purchase_price"))
+
+
 def last_observation(spark, sf_dir):
     return FE.last_observation(_tables(spark, sf_dir)[0])
 
@@ -235,6 +286,19 @@ def dense_request_forecast(spark, sf_dir):
                     F.col("s.reference_month").alias("reference_month")))
 
 
+def shared_model_request_forecast(spark, sf_dir):
+    """Dense requests answered by one shared model (a stump of the busiest item), as the
+    modelled service does: any item with six rows gets a forecast."""
+    price, _ = _tables(spark, sf_dir)
+    model = TP.single_model(price, TP.busiest_item(price), C.STUMP_PARAMS)
+    routed = SV.route_requests(_requests(spark, sf_dir), price, model)
+    d = SV.dense_responses(routed, price, model)
+    return (d.select("request_id", "nsn", F.explode("forecast").alias("s"))
+            .select("request_id", "nsn", F.col("s.step").alias("step"),
+                    F.round("s.forecast_price", R).alias("forecast_price"),
+                    F.col("s.reference_month").alias("reference_month")))
+
+
 def response_unwrap(spark, sf_dir):
     price, _ = _tables(spark, sf_dir)
     routed = SV.route_requests(_requests(spark, sf_dir), price)
@@ -307,6 +371,11 @@ QUERIES = {
     "request_routing": request_routing,
     "requests_per_action": requests_per_action,
     "dense_request_forecast": dense_request_forecast,
+    "shared_model_request_forecast": shared_model_request_forecast,
+    "dense_stump_models": dense_stump_models,
+    "dense_stump_forecast": dense_stump_forecast,
+    "sparse_stump_fit": sparse_stump_fit,
+    "sparse_stump_score": sparse_stump_score,
     "response_unwrap": response_unwrap,
     "health": health,
     # rows-only (no SQL equivalent: boosted trees, streaming, run logs)

@@ -18,7 +18,7 @@ from .. import config as C
 from ..functions.columns import clean_key, iso_date, price_display
 from ..operators import features as FE
 from ..operators.boosting import Model
-from ..operators.forecast import recursive_forecast, score_pooled
+from ..operators.forecast import recursive_forecast, score_pooled, shared_model_forecast
 from ..operators.joins import hot_keys
 
 
@@ -126,18 +126,22 @@ def _bcast(df: DataFrame, on: bool) -> DataFrame:
 
 
 def route_requests(requests: DataFrame, price: DataFrame | ServingState,
-                   models: DataFrame | None = None, broadcast_items: bool = False) -> DataFrame:
+                   models: DataFrame | Model | None = None, broadcast_items: bool = False
+                   ) -> DataFrame:
     """Resolve defaults and decide each request's route and error message.
 
-    ``price`` is the price history or a ``ServingState``. ``models`` (dense
-    model table) is optional: when given, a dense request for an item without
-    a model is an error; without it only history length counts.
+    ``price`` is the price history or a ``ServingState``. ``models`` is optional: a
+    dense model table (a dense request for an item without a model is an error) or one
+    shared model (any item with a full lag vector is answered); without it the history
+    must be long enough to train on.
     ``broadcast_items`` (only for a state restricted to a bounded list of
     items) answers the requests in place, without a shuffle on the item key.
     """
     req = request_defaults(requests)
     items = _state(price).stats.select("nsn", "n_obs")
-    if models is not None:
+    if isinstance(models, Model):
+        dense_ok = F.col("n_obs") >= C.N_LAGS
+    elif models is not None:
         # item-side lookups are joined first (unique keys on both sides), so
         # the request table takes a single join
         has_model = models.select(F.col("model_key").alias("nsn"), F.lit(True).alias("has_model"))
@@ -165,10 +169,12 @@ def requests_per_action(requests: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_requests")))
 
 
-def dense_responses(routed: DataFrame, price: DataFrame | ServingState, models: DataFrame,
-                    broadcast_items: bool = False) -> DataFrame:
+def dense_responses(routed: DataFrame, price: DataFrame | ServingState,
+                    models: DataFrame | Model, broadcast_items: bool = False) -> DataFrame:
     """nsn, model, forecast (steps in order), last_history_month per dense request.
 
+    ``models``: the dense model table, or one shared model that answers every item.
+
     The recursion runs once per requested *item*, up to the largest horizon
     asked for it (a pre-aggregation that collapses hot items map-side); each
     request then takes the first ``horizon`` steps, which are identical to a
@@ -178,7 +184,9 @@ def dense_responses(routed: DataFrame, price: DataFrame | ServingState, models:
         "request_id", "nsn", F.col("horizon_months").alias("horizon"))
     need = dense.groupBy("nsn").agg(F.max("horizon").alias("horizon"))
     st = _state(price)
-    fc = recursive_forecast(st.lags.join(need, "nsn", "inner"), models)
+    wanted = st.lags.join(need, "nsn", "inner")
+    fc = (shared_model_forecast(wanted, models) if isinstance(models, Model)
+          else recursive_forecast(wanted, models))
     last = st.stats.select("nsn", "last_history_month")
     # One left join keeps every dense request (no forecast / horizon 0 -> no
     # match); the grouped collect skips the no-match nulls, so a request
@@ -215,7 +223,7 @@ def health(spark, models: DataFrame | None) -> DataFrame:
     return spark.createDataFrame([("ok", loaded)], "status string, models_loaded boolean")
 
 
-def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models: DataFrame,
+def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models: DataFrame | Model,
             sparse_model: Model, models_loaded: bool = True, state: ServingState | None = None,
             hot_rows: int | None = C.HOT_KEY_ROWS, max_hot_items: int = C.MAX_HOT_KEYS,
             hot_suppliers=None) -> DataFrame:
@@ -242,12 +250,12 @@ def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models:
         return _respond(req, st, models, models_loaded)
     is_hot = F.col("nsn").isin(hot)
     cold = _respond(req.where(~is_hot), st, models, models_loaded)
-    warm = _respond(req.where(is_hot), st.restricted(hot),
-                    models.where(F.col("model_key").isin(hot)), models_loaded, broadcast_items=True)
+    own = models if isinstance(models, Model) else models.where(F.col("model_key").isin(hot))
+    warm = _respond(req.where(is_hot), st.restricted(hot), own, models_loaded, broadcast_items=True)
     return cold.unionByName(warm)
 
 
-def _respond(requests: DataFrame, st: ServingState, models: DataFrame, models_loaded: bool,
+def _respond(requests: DataFrame, st: ServingState, models: DataFrame | Model, models_loaded: bool,
              broadcast_items: bool = False) -> DataFrame:
     """Routes are disjoint and every routed request appears in its part, so the
     parts are stacked with ``unionByName`` -- no join on the request id."""

@@ -211,11 +211,15 @@ def busiest_item(price: DataFrame) -> str:
     return row["nsn"]
 
 
+def single_model(price: DataFrame, dense_nsn: str, params: dict | None = None) -> Model | None:
+    """The dense model of one item (at most max_iter x leaves nodes); None if it has none."""
+    row = TR.model_table(dense_fits(price.where(F.col("nsn") == dense_nsn), params)).first()
+    return row and Model.from_row(row.asDict())
+
+
 def single_model_forecast(price: DataFrame, dense_nsn: str, horizon: int = C.DEFAULT_HORIZON
                           ) -> DataFrame:
     """Single-model mode: one dense model, fitted on ``dense_nsn`` only, forecasts
     every item that has a full lag vector (items with fewer rows get none)."""
-    fits = dense_fits(price.where(F.col("nsn") == dense_nsn))
-    model = TR.model_table(fits).first()  # one model: at most max_iter x leaves nodes
-    return shared_model_forecast(FE.last_lag_vector(price),
-                                 model and model.asDict(), horizon=horizon)
+    return shared_model_forecast(FE.last_lag_vector(price), single_model(price, dense_nsn),
+                                 horizon=horizon)

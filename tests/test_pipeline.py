@@ -270,3 +270,57 @@ def test_hot_items_are_answered_like_the_rest(spark, price, ship):
         hot = SV.respond(reqs, price, ship, models, pooled, hot_rows=25, max_hot_items=max_hot)
         assert sorted(map(str, hot.drop(drop).collect())) == plain
     assert len(plain) == len(rows)
+
+
+def _grown_model(nodes=400):
+    """A grown model of many trees on six lags, demand, market and month."""
+    import numpy as np
+
+    from forgecast.operators import boosting as B
+    rng = np.random.default_rng(21)
+    X = rng.normal(size=(600, 9)) * 10 + 30
+    return B.fit(X, X[:, 5] + X[:, 6] + rng.normal(size=600), max_depth=6, learning_rate=0.2,
+                 max_iter=nodes, min_samples_leaf=5, l2_regularization=0.0, max_leaf_nodes=31)
+
+
+def test_one_shared_model_answers_any_item(spark, price, ship):
+    """``respond`` with one model: every item with six rows is answered, as by its own copy."""
+    model = _grown_model(20)
+    pooled = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship)).model
+    items = [r.nsn for r in price.groupBy("nsn").count().orderBy("nsn").collect()]
+    counts = {r.nsn: r["count"] for r in price.groupBy("nsn").count().collect()}
+    reqs = _requests(spark, [(n, "forecast_dense", n, 5) for n in items]
+                     + [("none", "forecast_dense", "0000", 2), ("h", "health", None, None)])
+    out = {r.request_id: r for r in SV.respond(reqs, price, ship, model, pooled).collect()}
+    own = spark.createDataFrame([model.to_row(n) for n in items], S.MODEL_TABLE)
+    from forgecast.operators.forecast import recursive_forecast
+    want = {}
+    for r in recursive_forecast(FE.last_lag_vector(price), own, horizon=5).collect():
+        want.setdefault(r.nsn, []).append((r.step, r.forecast_price))
+    assert any(c < C.N_LAGS for c in counts.values())
+    for n in items:
+        if counts[n] < C.N_LAGS:
+            assert out[n].error == f"insufficient history for NSN {n}"
+        else:
+            got = [(s.step, s.forecast_price) for s in out[n].forecast]
+            assert got == sorted(want[n]) and len({p for _, p in got}) > 1
+    assert out["none"].error == "No series for NSN 0000" and out["h"].status == "ok"
+
+
+def test_a_shared_model_is_held_once_not_per_row():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from forgecast.operators.forecast import PackedForest, _forecast_batches
+    model = _grown_model()
+    assert len(model.tree) > 5_000
+    pdf = pd.DataFrame({"nsn": [str(i) for i in range(10_000)],
+                        "lags": [np.arange(6.0) + 30] * 10_000, "last_demand": 3.0,
+                        "last_market": 1.0, "last_date": pd.Timestamp("2024-01-31"), "horizon": 2})
+    tracemalloc.start()
+    rows = sum(len(x) for x in _forecast_batches(iter([pdf]), 6, PackedForest([model])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 20_000 and peak < 60 << 20
