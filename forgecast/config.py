@@ -65,6 +65,9 @@ MODEL_FILES = ("dense_gbm", "sparse_gbm")
 CSV_MODES = ("csv", "file", "local")
 TABLE_MODES = ("warehouse", "impala", "dw", "hive")
 
+# Words that stand for an empty cell in the CSV files.
+NULL_WORDS = ("#N/A", "N/A", "NA", "NULL", "NaN", "None", "nan", "null")
+
 # Response unwrapping keys, in lookup order.
 UNWRAP_KEYS = ("prediction", "result", "data", "output")
 

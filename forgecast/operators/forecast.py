@@ -168,6 +168,42 @@ def shared_model_forecast(state: DataFrame, model: Model | dict | None,
                      iso_date(months_after(F.col("last_date"), F.col("step"))).alias("reference_month"))
 
 
+STEP_TYPE = "array<struct<step:int,forecast_price:double>>"
+
+
+def forecast_arrays(rows: DataFrame, shared: Model | None = None, n_lags: int = C.N_LAGS
+                    ) -> DataFrame:
+    """``rows`` with ``steps``: the recursive forecast of every row as one array.
+
+    A row-by-row form (no join, no grouping) for streams: ``rows`` has the recursion state
+    (lags, complete, last_date, last_demand, last_market, horizon) and, without a ``shared``
+    model, its own model's columns. Rows without state, model or horizon get an empty array.
+    """
+    import pyarrow as pa
+    kind = pa.list_(pa.struct([("step", pa.int32()), ("forecast_price", pa.float64())]))
+    need = ["lags", "complete", "last_date", "last_demand", "last_market", "horizon",
+            *(() if shared is not None else _MODEL_COLS)]
+    schema = T.StructType.fromDDL(", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", steps {STEP_TYPE}")
+
+    def run(batches):
+        forest = None if shared is None else PackedForest([shared])
+        for b in batches:
+            out: list[list[dict]] = [[] for _ in range(b.num_rows)]
+            pdf = b.select(need).to_pandas()
+            live = pdf["complete"].eq(True) & pdf["horizon"].gt(0)
+            if forest is None:
+                live &= pdf["baseline"].notna()
+            pdf = pdf[live].assign(nsn=np.flatnonzero(live))
+            for steps in _forecast_batches(iter([pdf]), n_lags, forest):
+                for i, h, x in zip(steps["nsn"], steps["step"], steps["forecast_price"], strict=True):
+                    out[i].append({"step": int(h), "forecast_price": float(x)})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)],
+                                             names=[*b.schema.names, "steps"])
+
+    return rows.mapInArrow(run, schema)
+
+
 # ------------------------------------------------------------------ sparse
 def score_pooled(df: DataFrame, model: Model, features: list[str], out: str = "prediction"
                  ) -> DataFrame:

@@ -15,6 +15,11 @@ hot keys are isolated explicitly:
 
 The list only chooses the join strategy: both branches give the exact
 answer, so an approximate list (e.g. counted on a cheaper table) is safe.
+
+Without a list, ``lookup_join`` salts: a row goes to one of ``SALTS`` shares of its key
+by a hash of the row, and every lookup row is repeated for each share. No task gets more
+than about a share of a hot key, rows without a key are spread over the shares too, and
+nothing has to be counted first. A small lookup table is still broadcast at run time.
 """
 
 from __future__ import annotations
@@ -23,6 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: shares of a key in a salted join, and copies of each lookup row
+SALTS = 16
+
+
 def hot_keys(df: DataFrame, key: str, min_rows: int, max_keys: int) -> list:
     n = F.count(F.lit(1))
     rows = (df.where(F.col(key).isNotNull()).groupBy(key).agg(n.alias("_n"))
@@ -34,10 +43,21 @@ def hot_keys(df: DataFrame, key: str, min_rows: int, max_keys: int) -> list:
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
                 hot: list | None = None) -> DataFrame:
     """``left.join(right, key, how)`` with the ``hot`` keys answered by a
-    broadcast of their ``right`` rows (``right`` holds one row per key)."""
+    broadcast of their ``right`` rows (``right`` holds one row per key). Without ``hot``
+    keys the join is salted; columns come in the order of the plain join."""
     if not hot:
-        return left.join(right, key, how)
+        return salted_join(left, right, key, how)
     is_hot = F.col(key).isin(list(hot))
     cold = left.where(F.col(key).isNull() | ~is_hot).join(right, key, how)
     warm = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
     return cold.unionByName(warm)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
+                salts: int = SALTS) -> DataFrame:
+    """``left.join(right, key, how)`` (left or inner) with every key dealt over ``salts`` shares."""
+    rest = [c for c in left.columns if c != key]
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    out = left.withColumn("_salt", salt).join(copies, [key, "_salt"], how)
+    return out.select(key, *rest, *(c for c in right.columns if c != key))

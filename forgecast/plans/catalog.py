@@ -337,15 +337,33 @@ def run_compare(spark, sf_dir):
 
 
 def stream_scoring(spark, sf_dir):
-    from ..streaming.scoring import request_stream_from_orders, score_stream
+    from ..streaming.scoring import append_stream, request_stream_from_orders
     price, ship, models, pooled = _trained(spark, sf_dir)
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    q = score_stream(request_stream_from_orders(spark, sf_dir), price, ship, models, pooled,
+    q = append_stream(request_stream_from_orders(spark, sf_dir), price, ship, models, pooled,
                      os.path.join(base, "sink"), os.path.join(base, "checkpoint"))
     q.awaitTermination()
     return spark.read.parquet(os.path.join(base, "sink"))
 
 
+def stream_stump_answers(spark, sf_dir):
+    """The request stream answered with one-split models: every answer plain SQL can state."""
+    from ..streaming.scoring import append_stream, request_stream_from_orders
+    price, ship = _stored(spark, sf_dir)
+    models = TR.model_table(_stump_fits(price))
+    pooled = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship, hot="auto"),
+                                  params=C.STUMP_PARAMS, holdout=False).model
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    append_stream(request_stream_from_orders(spark, sf_dir), price, ship, models, pooled,
+                  os.path.join(base, "sink"), os.path.join(base, "checkpoint")).awaitTermination()
+    out = spark.read.parquet(os.path.join(base, "sink"))
+    total = F.aggregate("forecast", F.lit(0.0), lambda acc, s: acc + s["forecast_price"])
+    return out.select("request_id", "action", "nsn", F.size("forecast").alias("n_steps"),
+                      F.round(total, 4).alias("forecast_total"), "last_history_month",
+                      "last_observed_price", _r("forecast_next_purchase_price"),
+                      "gap_days_between_last_observations", "status", "models_loaded", "error")
+
+
 QUERIES = {
     "price_history_scan": price_history_scan,
     "supplier_shipping_scan": supplier_shipping_scan,
@@ -377,6 +395,7 @@ QUERIES = {
     "sparse_stump_fit": sparse_stump_fit,
     "sparse_stump_score": sparse_stump_score,
     "response_unwrap": response_unwrap,
+    "stream_stump_answers": stream_stump_answers,
     "health": health,
     # rows-only (no SQL equivalent: boosted trees, streaming, run logs)
     "dense_models": dense_models,

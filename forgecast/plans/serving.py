@@ -15,11 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import clean_key, iso_date, price_display
+from ..functions.columns import clean_key, iso_date, months_after, price_display
 from ..operators import features as FE
 from ..operators.boosting import Model
-from ..operators.forecast import recursive_forecast, score_pooled, shared_model_forecast
-from ..operators.joins import hot_keys
+from ..operators.forecast import (
+    forecast_arrays,
+    recursive_forecast,
+    score_pooled,
+    shared_model_forecast,
+)
+from ..operators.joins import hot_keys, salted_join
 
 
 def requests_from_orders(orders: DataFrame) -> DataFrame:
@@ -149,7 +154,8 @@ def route_requests(requests: DataFrame, price: DataFrame | ServingState,
         dense_ok = F.col("has_model").isNotNull()
     else:
         dense_ok = (F.col("n_obs") - C.N_LAGS) >= C.DENSE_MIN_ROWS
-    j = req.join(_bcast(items, broadcast_items), "nsn", "left")
+    j = (req.join(F.broadcast(items), "nsn", "left") if broadcast_items
+         else salted_join(req, items, "nsn", "left"))
     a = F.col("action")
     err = (F.when(a == "forecast_dense",
                   F.when(F.col("n_obs").isNull(),
@@ -164,6 +170,56 @@ def route_requests(requests: DataFrame, price: DataFrame | ServingState,
                     route.alias("route"), err.alias("error"))
 
 
+def item_table(state: ServingState, models: DataFrame | Model) -> DataFrame:
+    """All that an answer needs of an item, as one row per item (for streams)."""
+    items = state.stats.join(state.lags.drop("n_obs", "last_history_month"), "nsn", "left")
+    if state.sparse is not None:
+        items = items.join(state.sparse, "nsn", "left")
+    if isinstance(models, DataFrame):
+        items = items.join(models.withColumnRenamed("model_key", "nsn"), "nsn", "left")
+    return items
+
+
+def answer_rows(requests: DataFrame, items: DataFrame, shared: Model | None = None,
+                models_loaded: bool = True) -> DataFrame:
+    """The answers of ``respond``, row by row: one join with ``item_table`` and one narrow
+    pass, no grouping, so a stream of requests can be answered in append mode."""
+    j = request_defaults(requests).join(items, "nsn", "left")
+    a, n = F.col("action"), F.col("n_obs")
+    has_model = (n >= C.N_LAGS) if shared is not None else F.col("baseline").isNotNull()
+    error = (F.when(a == "forecast_dense",
+                    F.when(n.isNull(), F.format_string(C.ERR_NO_SERIES.replace("{nsn}", "%s"),
+                                                       F.col("nsn")))
+                    .when(~has_model, F.format_string("insufficient history for NSN %s",
+                                                      F.col("nsn"))))
+             .when(a == "forecast_sparse",
+                   F.when(F.coalesce(n, F.lit(0)) < 2, F.lit(C.ERR_NEED_SPARSE)))
+             .when(a != "health", F.format_string(C.ERR_UNKNOWN_ACTION.replace("{action}", "%s"), a)))
+    fine = error.isNull()
+    j = (j.withColumn("error", error).withColumn("dense", fine & (a == "forecast_dense"))
+         .withColumn("rare", fine & (a == "forecast_sparse"))
+         .withColumn("horizon", F.when(F.col("dense"), F.col("horizon_months"))))
+    out = forecast_arrays(j, shared)
+    dense, rare = F.col("dense"), F.col("rare")
+    health_ = F.col("error").isNull() & (a == "health")
+    month = (lambda s: iso_date(months_after(F.col("last_date"), s["step"])))
+    steps = F.transform("steps", lambda s: F.struct(
+        s["step"].alias("step"), s["forecast_price"].alias("forecast_price"),
+        month(s).alias("reference_month")))
+    fnp = F.when(rare, F.col("forecast_next_purchase_price"))
+    return out.select(
+        "request_id", "action", "nsn", F.when(dense | rare, F.lit(C.MODEL_NAME)).alias("model"),
+        F.when(dense, steps).alias("forecast"),
+        F.when(dense, iso_date(F.col("last_history_month"))).alias("last_history_month"),
+        F.when(rare, F.col("last_observed_price")).alias("last_observed_price"),
+        fnp.alias("forecast_next_purchase_price"),
+        F.when(fnp.isNotNull(), price_display(fnp)).alias("forecast_display"),
+        F.when(rare, F.col("gap_days").cast("int")).alias("gap_days_between_last_observations"),
+        F.when(health_, F.lit("ok")).alias("status"),
+        F.when(health_, F.lit(models_loaded)).alias("models_loaded"), "error",
+        F.current_timestamp().alias("prediction_timestamp"))
+
+
 def requests_per_action(requests: DataFrame) -> DataFrame:
     return (request_defaults(requests).groupBy("action")
             .agg(F.count(F.lit(1)).alias("n_requests")))
@@ -217,21 +273,32 @@ def sparse_responses(routed: DataFrame, price: DataFrame | ServingState,
         F.col("gap_days").cast("int").alias("gap_days_between_last_observations"))
 
 
+def models_present(models: DataFrame | Model | None) -> DataFrame | None:
+    """One row: whether the model table has a row. A plan; nothing runs until it is read."""
+    if not isinstance(models, DataFrame):
+        return None
+    return models.limit(1).agg((F.count(F.lit(1)) > 0).alias("models_loaded"))
+
+
 def health(spark, models: DataFrame | None) -> DataFrame:
-    """One row: status and whether a non-empty model table is present."""
-    loaded = models is not None and not models.isEmpty()
-    return spark.createDataFrame([("ok", loaded)], "status string, models_loaded boolean")
+    """One row: status and whether a non-empty model table is present, as a lazy plan."""
+    present = models_present(models)
+    if present is None:
+        present = spark.range(1).select(F.lit(models is not None).alias("models_loaded"))
+    return present.select(F.lit("ok").alias("status"), "models_loaded")
 
 
 def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models: DataFrame | Model,
-            sparse_model: Model, models_loaded: bool = True, state: ServingState | None = None,
+            sparse_model: Model, models_loaded: bool | None = None,
+            state: ServingState | None = None,
             hot_rows: int | None = C.HOT_KEY_ROWS, max_hot_items: int = C.MAX_HOT_KEYS,
             hot_suppliers=None) -> DataFrame:
     """One response row per request (dense, sparse, health or error).
 
     ``state`` (e.g. a stored ``ServingState``) replaces the per-item work on
     the history; without it the state is built inside this plan
-    (``hot_suppliers`` as in ``features.sparse_serving_features``).
+    (``hot_suppliers`` as in ``features.sparse_serving_features``). Health answers look
+    into the model table unless ``models_loaded`` says it.
 
     Hot items: the item-side tables may be bucketed scans, which AQE cannot
     split, so a hot item is isolated explicitly. Items with at least
@@ -255,7 +322,8 @@ def respond(requests: DataFrame, price: DataFrame, shipping: DataFrame, models:
     return cold.unionByName(warm)
 
 
-def _respond(requests: DataFrame, st: ServingState, models: DataFrame | Model, models_loaded: bool,
+def _respond(requests: DataFrame, st: ServingState, models: DataFrame | Model,
+             models_loaded: bool | None,
              broadcast_items: bool = False) -> DataFrame:
     """Routes are disjoint and every routed request appears in its part, so the
     parts are stacked with ``unionByName`` -- no join on the request id."""
@@ -265,10 +333,13 @@ def _respond(requests: DataFrame, st: ServingState, models: DataFrame | Model, m
     s = sparse_responses(routed, st, broadcast_items=broadcast_items).withColumn(
         "action", F.lit("forecast_sparse"))
     is_health = F.col("route") == "health"
+    present = models_present(models) if models_loaded is None else None
+    loaded = (F.lit(models_loaded is None or bool(models_loaded)) if present is None
+              else present.scalar())
     other = routed.where(~F.col("route").isin("forecast_dense", "forecast_sparse")).select(
         "request_id", "action", "nsn", "error",
         F.when(is_health, F.lit("ok")).alias("status"),
-        F.when(is_health, F.lit(bool(models_loaded))).alias("models_loaded"))
+        F.when(is_health, loaded).alias("models_loaded"))
     out = d.unionByName(s, allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
     fnp = F.col("forecast_next_purchase_price")
     return out.select(

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .. import schemas as S
 from ..functions.columns import abs_error
 from ..operators import features as FE
 from ..operators import splits as SP
@@ -192,14 +193,25 @@ def load_models(spark: SparkSession, models_dir: str) -> tuple[DataFrame, Model]
 
 
 def health_from_dir(spark: SparkSession, models_dir: str) -> DataFrame:
-    """Load the models first; a missing or empty model folder is an error row."""
+    """Whether both stored models are there, as a plan: building it runs no job.
+
+    A folder without a model table is a row with the error; so is an empty table, with
+    ``models_loaded`` false.
+    """
+    schema = "status string, models_loaded boolean, error string"
     try:
-        dense, _ = load_models(spark, models_dir)
-        loaded, err = not dense.isEmpty(), None
+        dense = (spark.read.schema(TR.DENSE_FIT_SCHEMA)
+                 .parquet(os.path.join(models_dir, "dense_gbm")).where(F.col("status") == "ok"))
+        sparse = spark.read.schema(S.MODEL_TABLE).parquet(os.path.join(models_dir, "sparse_gbm"))
     except Exception as e:  # a health check reports, it does not raise
-        loaded, err = False, str(e)
-    return spark.createDataFrame([("ok" if err is None else None, loaded, err)],
-                                 "status string, models_loaded boolean, error string")
+        return spark.createDataFrame([(None, False, str(e))], schema)
+    here = F.count(F.lit(1)) > 0
+    found = (dense.limit(1).agg(here.alias("dense")).select("dense", sparse.limit(1).agg(
+        here).scalar().alias("sparse")))
+    return found.select(F.when(F.col("sparse"), F.lit("ok")).alias("status"),
+                        (F.col("dense") & F.col("sparse")).alias("models_loaded"),
+                        F.when(~F.col("sparse"), F.lit(f"no pooled model under {models_dir}"))
+                        .alias("error"))
 
 
 def busiest_item(price: DataFrame) -> str:

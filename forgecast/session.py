@@ -65,10 +65,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "forgecast-tables", name)
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more, on whatever file system it lies."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    fs, jvm_path = _file_system(spark, path)
+    fs.delete(jvm_path, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, jvm_path = _file_system(spark, path)
+    return fs.exists(jvm_path)
 
 
 _PKG_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

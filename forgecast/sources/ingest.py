@@ -1,13 +1,18 @@
-"""Idempotent raw ingest: CSV folder -> Parquet tables, never overwriting."""
+"""Idempotent raw ingest: CSV folder -> Parquet tables, never overwriting.
 
-from __future__ import annotations
+Folders may lie on any file system that Spark reads; rows are staged as they are (a row
+without an item key stays, the readers of the staged tables decide about it).
+"""
 
-import os
+from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .. import config as C
-from .readers import load_price_history, load_supplier_shipping, load_transactions
+from .. import schemas as S
+from ..session import path_exists
+from .readers import read_csv
 
 
 def stage_raw_tables(spark: SparkSession, csv_dir: str, out_dir: str) -> dict[str, str]:
@@ -15,18 +20,20 @@ def stage_raw_tables(spark: SparkSession, csv_dir: str, out_dir: str) -> dict[st
 
     Returns ``{table: "written" | "exists" | "missing source"}``.
     """
-    loaders = {C.TABLE_SHIP: load_supplier_shipping, C.TABLE_PRICE: load_price_history,
-               C.TABLE_TX: load_transactions}
+    schemas = {C.TABLE_SHIP: S.SUPPLIER_SHIPPING, C.TABLE_PRICE: S.PRICE_HISTORY, C.TABLE_TX: None}
     status = {}
-    for table, loader in loaders.items():
-        src = os.path.join(csv_dir, f"{table}.csv")
-        dst = os.path.join(out_dir, table)
-        if os.path.exists(dst):
+    for table, schema in schemas.items():
+        src, dst = f"{csv_dir}/{table}.csv", f"{out_dir}/{table}"
+        if path_exists(spark, f"{dst}/_SUCCESS"):
             status[table] = "exists"
             continue
-        if not os.path.exists(src):
+        if not path_exists(spark, src):
             status[table] = "missing source"
             continue
-        loader(spark, csv_dir, source="csv").write.mode("ignore").parquet(dst)
+        df = read_csv(spark, src, schema)
+        if "order_date" in df.columns:
+            df = df.withColumn("order_date", F.to_date("order_date"))
+        # a write that broke off left no _SUCCESS and is done again
+        df.write.mode("overwrite").parquet(dst)
         status[table] = "written"
     return status

@@ -8,8 +8,10 @@
   the table is missing, unreadable or empty.
 
 CSV columns are bound by header name, and a missing column is an error. Dates
-may carry a time or be written with slashes; a cell that is not a date fails
-the read. The readers never sort (ordering belongs to the windows and the sinks).
+may carry a time or be written with slashes; numbers may carry thousands separators,
+whole numbers a decimal point with zeros. A cell that is neither empty nor readable is
+never lost: it fails the read, or (``read_csv_rejects``) its row is kept aside with the
+reason. The readers never sort (ordering belongs to the windows and the sinks).
 """
 
 from __future__ import annotations
@@ -40,31 +42,78 @@ def source_mode(value: str | None) -> str:
     return "auto"  # table modes and unset both try the table first
 
 
+def _named_cells(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    missing = [f.name for f in schema if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: missing columns {', '.join(missing)}")
+    return df
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              date_cols: tuple[str, ...] = ()) -> DataFrame:
-    """CSV scan with a header row. With ``schema`` no inference pass runs."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    """CSV scan with a header row. With ``schema`` no inference pass runs, and the first
+    cell that can't be read fails the job, named in the error."""
     if schema is not None:
-        df = reader.csv(path)
-        missing = [f.name for f in schema if f.name not in df.columns]
-        if missing:
-            raise ValueError(f"{path}: missing columns {', '.join(missing)}")
-        return df.select(*(
-            (parsed_date(f.name) if isinstance(f.dataType, T.DateType)
-             else F.col(f.name).try_cast(f.dataType)).alias(f.name) for f in schema))
-    df = reader.option("inferSchema", True).csv(path)
+        out = []
+        for f in schema:
+            value, bad = parsed_cell(f)
+            fail = F.raise_error(F.concat(F.lit(f"{path}: "), bad)).cast(f.dataType)
+            out.append(F.when(bad.isNull(), value).otherwise(fail).alias(f.name))
+        return _named_cells(spark, path, schema).select(*out)
+    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
     for c in date_cols:
         if c in df.columns and not isinstance(df.schema[c].dataType, T.DateType):
             df = df.withColumn(c, F.to_date(F.col(c)))
     return df
 
 
-def parsed_date(name: str) -> Column:
-    """Date of a text cell; blank cells are null, other cells that are no date raise."""
-    cell = F.trim(F.col(name))
+def read_csv_rejects(spark: SparkSession, path: str, schema: T.StructType
+                     ) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): typed rows, and the rows with cells that can't be read.
+
+    Rejected rows have their cells as text and ``reasons``, one text per bad cell; every
+    row of the file is in exactly one of the two.
+    """
+    cells = _named_cells(spark, path, schema)
+    parsed = {f.name: parsed_cell(f) for f in schema}
+    reasons = F.array_compact(F.array(*(bad for _, bad in parsed.values())))
+    good = cells.where(F.size(reasons) == 0).select(
+        *(value.alias(name) for name, (value, _) in parsed.items()))
+    return good, cells.withColumn("reasons", reasons).where(F.size("reasons") > 0)
+
+
+def parsed_cell(f: T.StructField) -> tuple[Column, Column]:
+    """Value of a text cell, and what is wrong with it (null if nothing)."""
+    if isinstance(f.dataType, T.StringType):
+        return F.col(f.name), F.lit(None).cast("string")
+    cell = F.trim(F.col(f.name))
+    cell = F.when((cell != "") & ~cell.isin(*C.NULL_WORDS), cell)
+    if isinstance(f.dataType, T.DateType):
+        value, kind = parsed_date(cell), "date"
+    else:
+        value, kind = parsed_number(cell, f.dataType), "number"
+    bad = F.when(cell.isNotNull() & value.isNull(),
+                 F.format_string(f"{f.name}: not a {kind}: %s", cell))
+    return value, bad
+
+
+def parsed_date(cell: Column) -> Column:
+    """Date of a text; null if it is none."""
     formats = [F.try_to_timestamp(cell, F.lit(f)).cast("date") for f in DATE_FORMATS]
-    bad = F.raise_error(F.format_string(f"{name}: not a date: %s", cell)).cast("date")
-    return F.when(cell != "", F.coalesce(cell.try_cast("date"), *formats, bad))
+    return F.coalesce(cell.try_cast("date"), *formats)
+
+
+def parsed_number(cell: Column, kind: T.DataType) -> Column:
+    """Number of a text; null if it is none, or no whole number where one is wanted."""
+    plain = F.when(cell.rlike(r"^[+-]?\d{1,3}(,\d{3})+(\.\d*)?$"),
+                   F.regexp_replace(cell, ",", "")).otherwise(cell)
+    if not isinstance(kind, T.IntegralType):
+        return plain.try_cast(kind)
+    whole = F.regexp_replace(plain, r"\.0*$", "")
+    # 1.2e3 is a whole number too
+    wide = plain.try_cast("decimal(38,6)")
+    return F.coalesce(whole.try_cast(kind), F.when(wide == F.floor(wide), wide).try_cast(kind))
 
 
 def read_table(spark: SparkSession, table: str, database: str = C.DEFAULT_DATABASE

@@ -324,3 +324,19 @@ def test_a_shared_model_is_held_once_not_per_row():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 20_000 and peak < 60 << 20
+
+
+def test_health_is_a_plan_and_looks_into_the_models(spark, price, ship, tmp_path):
+    tracker = spark.sparkContext.statusTracker()
+    models = TR.model_table(TP.dense_fits(price))
+    pooled = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship)).model
+    reqs = _requests(spark, [("h", "health", None, None)])
+    spark.sparkContext.setJobGroup("health", "built only")
+    plans = [SV.health(spark, models), SV.health(spark, models.limit(0)),
+             TP.health_from_dir(spark, str(tmp_path))]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("health")) == 0
+    assert [r.first().models_loaded for r in plans[:2]] == [True, False]
+    assert plans[2].first().status is None and plans[2].first().error
+    for m, loaded in ((models, True), (models.limit(0), False)):
+        assert SV.respond(reqs, price, ship, m, pooled, hot_rows=None).first().models_loaded is loaded

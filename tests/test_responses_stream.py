@@ -91,3 +91,33 @@ def test_stream_answers_each_request_once_over_several_batches(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "sink"))
     assert out.select("batch_id").distinct().count() == 3
     assert out.count() == orders.count() == out.select("request_id").distinct().count()
+
+
+def test_a_restarted_stream_answers_every_request_once(spark, tmp_path):
+    """Files that arrive between two runs, and the batch form: the same answers, once."""
+    from forgecast.plans import catalog as Q
+    from forgecast.plans import serving as SV
+    from forgecast.streaming.scoring import append_stream
+    price, ship = Q._tables(spark, SF)
+    models = TR.model_table(TP.dense_fits(price))
+    pooled = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship)).model
+    requests = SV.requests_from_orders(spark.read.parquet(f"{SF}/orders.parquet"))
+    first, rest = (requests.where(F.pmod(F.crc32(F.col("request_id").cast("binary")), F.lit(2)) == k)
+                   for k in (0, 1))
+    folder, sink, ckpt = (str(tmp_path / x) for x in ("in", "sink", "ckpt"))
+
+    def run():
+        stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(
+            folder)
+        append_stream(stream, price, ship, models, pooled, sink, ckpt).awaitTermination()
+
+    first.repartition(2).write.mode("append").parquet(folder)
+    run()
+    assert spark.read.parquet(sink).count() == first.count()
+    rest.repartition(2).write.mode("append").parquet(folder)
+    run()
+    run()  # nothing new
+    got = spark.read.parquet(sink).drop("prediction_timestamp")
+    want = SV.respond(requests, price, ship, models, pooled).drop("prediction_timestamp")
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
