@@ -8,9 +8,10 @@ these at most, the first by a hash of the id. The training rows are split by
 hash: the lexicon, the trees and the calibration each learn from rows of their own.
 
 Defined cases: a null or empty text has zero features and a score like others;
-repeated rows are scored each; without labels of both classes every score is
-the share of toxic training rows (0 without any); an empty table gives an empty
-result; other columns are not read.
+repeated rows are scored each; where a part lacks a class, all three steps learn from
+all training rows; without training texts of both classes every score is the share of
+toxic ones (0 without any); an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -124,14 +125,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
              .select("doc_id", "toxic", F.pmod("h", F.lit(10)).alias("part")))
     train = scratch.store(train, "train")
     shown = held_out().alias("held_out")
-    classes = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
-    if len(classes) < 2:
-        share = float(classes.get(1, 0)) / max(1, sum(classes.values()))
+    learn = scratch.store(join_ids(rows, train, "doc_id"), "learn")
+    # three parts of two classes
+    step = F.when(F.col("part") < 4, 0).when(F.col("part") < 8, 1).otherwise(2)
+    found = learn.groupBy(step.alias("step"), "toxic").count().collect()
+    classes = {k: sum(r["count"] for r in found if r["toxic"] == k) for k in (0, 1)}
+    if not classes[0] or not classes[1]:
+        share = float(classes[1]) / max(1, sum(classes.values()))
         return rows.select("doc_id", shown, F.lit(share).alias("score"),
                            F.lit(int(share >= 0.5)).alias("predicted"))
-    learn = scratch.store(join_ids(rows, train, "doc_id"), "learn")
+    first, second, third = (("part < 4", "part >= 4 and part < 8", "part >= 8") if len(found) == 6
+                            else ("true", "true", "true"))
 
-    terms = (learn.where("part < 4").select("text", "toxic")
+    terms = (learn.where(first).select("text", "toxic")
              .mapInArrow(_count_terms, "term bigint, kind int, bad bigint, good bigint")
              .groupBy("term", "kind").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
              .where(f"bad >= {MIN_TOXIC_TEXTS}")
@@ -149,17 +155,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def featured(part: DataFrame) -> DataFrame:
         return vector.transform(part.select("doc_id", "text").mapInArrow(_featurer(shared), schema))
 
-    fit = scratch.store(featured(learn.where("part >= 4")).join(train, "doc_id")
+    rest = learn.where(f"({second}) or ({third})")
+    fit = scratch.store(featured(rest).join(train, "doc_id")
                         .select("doc_id", *FEATURES, "toxic", "part"), "fit")
     fit = vector.transform(fit)
     trees = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH,
-                          seed=5).fit(fit.where("part < 8"))
+                          seed=5).fit(fit.where(second))
 
     def margins(part: DataFrame) -> DataFrame:
         return trees.transform(part).withColumn("margin", vector_to_array("probability")[1])
 
-    curve = IsotonicRegression(featuresCol="margin", labelCol="toxic", predictionCol="score").fit(
-        margins(fit.where("part >= 8")).select("margin", F.col("toxic").cast("double")))
+    # rows of one margin are one weighted point
+    points = margins(fit.where(third)).groupBy("margin").agg(
+        F.avg(F.col("toxic").cast("double")).alias("toxic"),
+        F.count("*").cast("double").alias("weight"))
+    curve = IsotonicRegression(featuresCol="margin", labelCol="toxic", weightCol="weight",
+                               predictionCol="score").fit(points)
     out = curve.transform(margins(featured(rows)).select("doc_id", "margin"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
     # the margin keeps documents of one calibrated step in order

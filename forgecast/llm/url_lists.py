@@ -18,8 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/:?#@]+?)\.*(?:[:/?#]|$)"
+
+
 def host_of(url: str) -> F.Column:
-    host = F.regexp_extract(F.lower(F.col(url)), "^[a-z]+://([^/:?#]+)", 1)
+    """Host of a URL, with or without a scheme before ``//``; no user, port or last dots."""
+    host = F.regexp_extract(F.lower(F.col(url)), HOST, 1)
     return F.when(host != "", host)
 
 
@@ -75,9 +79,9 @@ def page_list_events(pages: DataFrame) -> DataFrame:
         "list", "pattern", "e.day", "e.action")
 
 
-ORACLE = """
+ORACLE = f"""
 with p as (select page_id, page_id * 37 % 365 as day,
-             nullif(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '') as host from pages),
+             nullif(regexp_extract(lower(url), '{HOST}', 1), '') as host from pages),
 k as (select regexp_replace(host, '^(www|m|blog)\\.', '') as pattern, min(page_id) as k
       from p where host is not null group by 1 having min(page_id) % 3 < 2),
 e as (select case when k % 3 = 0 then 'spam' else 'adult' end as list, pattern,

@@ -22,7 +22,7 @@ from forgecast.llm.quality import quality_rules
 from forgecast.llm.sharding import first_map, rebalance, shard_rows
 from forgecast.llm.token_counts import token_counts
 from forgecast.llm.toxicity import toxicity_scores
-from forgecast.llm.url_lists import listed
+from forgecast.llm.url_lists import listed, page_captures, page_list_events
 
 DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -408,3 +408,33 @@ def test_decontamination_at_text_ends_and_of_short_items(spark):
                                  "doc_id long, text string")
     assert contaminated(half, spark.createDataFrame([(0, " ".join(items[0]))],
                                                     "item_id long, text string")).count() == 0
+
+
+def test_toxicity_without_training_texts(spark, empty):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 60)],
+                                   "doc_id bigint, quality int, toxic int")
+    assert toxicity_scores(empty, labels).count() == 0
+    other = spark.createDataFrame([(10**6 + i, f"text {i}", None, "s", None, "k", 1)
+                                   for i in range(7)], DOCS)
+    for got in (toxicity_scores(other, labels), toxicity_scores(other, labels.limit(0))):
+        assert [(r.score, r.predicted) for r in got.collect()] == [(0.0, 0)] * 7
+    # one text of each class only: every step learns from both
+    few = spark.createDataFrame([(i, ("you vile fool " if i % 2 else "a calm day ") * 5, None, "s",
+                                  None, "k", 1) for i in range(1, 4)], DOCS)
+    assert toxicity_scores(few, labels).count() == 3
+
+
+def test_url_hosts_and_odd_captures(spark, empty):
+    urls = {"http://user:pw@bad.com/x": "bad.com", "http://u@bad.com/": "bad.com",
+            "http://bad.com./x": "bad.com", "//bad.com/x": "bad.com", "HTTPS://A.Bad.com:80?q": "a.bad.com",
+            "http://bad.com": "bad.com", "http://a@b@bad.com#f": "bad.com", "mailto:x@bad.com": None,
+            "": None, None: None, "http:///x": None}
+    pages = spark.createDataFrame([(i, u, "h", "clash") for i, u in enumerate(urls)],
+                                  "page_id long, url string, html string, host string")
+    got = {r.page_id: r.host for r in page_captures(pages).collect()}
+    assert got == dict(enumerate(urls.values()))
+    twice = listed(page_captures(pages.union(pages)), page_list_events(pages)).collect()
+    assert len(twice) == 2 * len(urls)
+    none = pages.limit(0)
+    assert listed(page_captures(none), page_list_events(pages)).count() == 0
+    assert not any(r.blocked for r in listed(page_captures(pages), page_list_events(none)).collect())
