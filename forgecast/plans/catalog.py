@@ -116,15 +116,19 @@ def _stump_fits(price):
 
 
 def dense_stump_models(spark, sf_dir):
-    """One-split models of every item, with split and hold-out error."""
+    """One-split models of every item, with split and hold-out error.
+
+    Prices are short decimals, so means often lie half-way between two rounded values;
+    these are taken up (``+ 1e-7``), whatever the last bit of the sum.
+    """
     fits = _stump_fits(_tables(spark, sf_dir)[0]).where(F.col("status") == "ok")
     split = F.size("tree") > 0
-    return fits.select("nsn", "n_train", "n_holdout", F.round("baseline", 4).alias("baseline"),
+    return fits.select("nsn", "n_train", "n_holdout", F.round(F.col("baseline") + 1e-7, 4).alias("baseline"),
                        F.when(split, F.get("feature", F.lit(0))).alias("feature"),
-                       F.when(split, F.round(F.get("threshold", F.lit(0)), 4)).alias("threshold"),
-                       F.when(split, F.round(F.get("value", F.lit(1)), 4)).alias("left_value"),
-                       F.when(split, F.round(F.get("value", F.lit(2)), 4)).alias("right_value"),
-                       F.round("holdout_mae", 4).alias("holdout_mae"))
+                       F.when(split, F.round(F.get("threshold", F.lit(0)) + 1e-7, 4)).alias("threshold"),
+                       F.when(split, F.round(F.get("value", F.lit(1)) + 1e-7, 4)).alias("left_value"),
+                       F.when(split, F.round(F.get("value", F.lit(2)) + 1e-7, 4)).alias("right_value"),
+                       F.round(F.col("holdout_mae") + 1e-7, 4).alias("holdout_mae"))
 
 
 def dense_stump_forecast(spark, sf_dir):
