@@ -66,8 +66,10 @@ def license_sql() -> str:
     base = " union all ".join(
         f"select r, i, '{label}' as label from g where word = '{p[0]}'"
         + "".join(f" and w{k} = '{x}'" for k, x in enumerate(p) if k) for p, label in phrases)
-    notices = ", ".join(f"('{label}', '{word}')" for label, text in L.NOTICES.items()
-                        for word in sorted(set(text.split())))
+    pairs = L.templates(L.NOTICES)
+    notices = ", ".join(
+        f"({t}, '{label}', {L.block_words(len(text.split()), L.THRESHOLD)}, '{word}')"
+        for t, (label, text) in enumerate(pairs) for word in sorted(set(text.split())))
     return rf"""
 with d as (select row_number() over () as r, doc_id, {_folded('text')} as text from documents),
 ws as (select r, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from d),
@@ -76,16 +78,16 @@ g as (select r, i, word, {leads} from w window o as (partition by r order by i))
 p as ({base}),
 b as (select r, count(*) as n_base, min(i)::bigint as first_word, max(i)::bigint as last_word,
         string_agg(distinct label, ',' order by label) as base_labels from p group by r),
-ls as (select r, string_split(text, chr(10)) as ls from d),
-l as (select r, unnest(ls) as line, generate_subscripts(ls, 1) as k from ls),
-lw as (select distinct r, k, unnest(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))
-         as word from l),
-notice(label, word) as (values {notices}),
-m as (select label, count(*) as m from notice group by label),
-o as (select r, k, label, count(*)::double / any_value(m) as share
-      from lw join notice using (word) join m using (label) group by r, k, label
-      having count(*) >= ceil({L.THRESHOLD} * any_value(m) - 1e-9)),
-best as (select r, label, share from o qualify share = max(share) over (partition by r, k)),
+notice(t, label, block, word) as (values {notices}),
+m as (select t, label, count(*) as m from notice group by all),
+o as (select r, t, label, block, word, i from w join notice using (word)),
+x as (select r, t, label, i as s, max(i) over k as e, count(distinct word) over k as c from o
+      window k as (partition by r, t, label order by i range between current row and block - 1 following)),
+h as (select r, label, s, e, c::double / m as share from x join m using (t, label)
+      where c >= ceil({L.THRESHOLD} * m - 1e-9)),
+best as (select r, label, share from h where not exists (select 1 from h b where b.r = h.r
+      and b.label <> h.label and b.share > h.share
+      and 2 * (least(h.e, b.e) - greatest(h.s, b.s) + 1) > h.e - h.s + 1)),
 score as (select r, max(share) as score from best group by r),
 u as (select r, string_agg(distinct label, ',' order by label) as labels
       from (select r, label from best union all select r, label from p) group by r)
