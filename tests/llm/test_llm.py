@@ -14,12 +14,13 @@ from pyspark.sql import types as T
 from forgecast.llm import decontaminate, ngram_join, paragraphs, pieces
 from forgecast.llm.decontaminate import contaminated
 from forgecast.llm.graph import Scratch, Similarity, components
+from forgecast.llm import licenses as L
 from forgecast.llm.licenses import license_scan
 from forgecast.llm.ngram_join import ngram_jaccard_join
 from forgecast.llm.paragraphs import cut_paragraphs, repeated_paragraphs
 from forgecast.llm.piece_codec import codec_digest, decode, encode
 from forgecast.llm.quality import quality_rules
-from forgecast.llm.sharding import first_map, rebalance, shard_rows
+from forgecast.llm.sharding import first_map, rebalance, shard_rows, slotted
 from forgecast.llm.token_counts import token_counts
 from forgecast.llm.toxicity import toxicity_scores
 from forgecast.llm.url_lists import listed, page_captures, page_list_events
@@ -253,6 +254,38 @@ def test_sharding(docs, empty, spark):
     assert v3.where("version = 3").join(v2.select("slot", "shard"), ["slot", "shard"]).count() == 64
 
 
+def test_sharding_of_equal_rows(spark):
+    rows = [(None, "a" * 500)] * 4000 + [(i, "b" * (i % 900)) for i in range(4000)]
+    got = shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 8000 and sum(r.doc_id is None for r in got) == 4000
+    size = collections.Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert len(size) == 40 and max(size.values()) - min(size.values()) < 1000
+    assert len({r.virtual_slot for r in got if r.doc_id is None}) > 2000
+
+
+def test_copies_in_parts(spark):
+    groups = spark.createDataFrame([(1, 20, 7, 25), (2, 30, 8, 3), (None, 16, 0, 10)],
+                                   "doc_id long, size long, text_crc32 long, n long")
+    whole, parts = (sorted(map(str, slotted(groups, 64, n).collect())) for n in (100, 10))
+    assert whole == parts and len(whole) == 38
+
+
+def test_kept_map(spark, tmp_path):
+    path = f"{tmp_path}/map"
+    docs = spark.createDataFrame([(i, "b" * (i % 900)) for i in range(3000)],
+                                 "doc_id long, text string")
+    first = {r.virtual_slot: r.shard for r in shard_rows(docs, map_path=path).collect()}
+    grown = docs.union(spark.createDataFrame([(9999, "c" * 5000)], docs.schema))
+    second = {r.virtual_slot: r.shard for r in shard_rows(grown, map_path=path).collect()}
+    # the later run starts from the kept version, and growth in one slot moves few slots
+    assert sum(second[k] != v for k, v in first.items()) < len(first) // 10
+    kept = spark.read.parquet(path)
+    assert {r[0]: r[1] for r in kept.groupBy("version").count().collect()} == dict.fromkeys(
+        (1, 2, 3), 4096)
+
+
 def test_license_scan(spark, empty):
     assert license_scan(empty).count() == 0
     rows = [(1, "Text.\nReleased UNDER the MIT License."), (2, None), (3, "mit license"),
@@ -265,7 +298,56 @@ def test_license_scan(spark, empty):
     assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].labels) == (0, 0, None, "")
     assert got[4].base_labels == "apache-2,cc-by-nc" and got[4].last_word == 10
     assert (got[5].base_labels, got[5].labels, got[5].score) == ("", "gpl-3", 1.0)
-    assert got[3].labels == got[6].labels == ""
+    assert got[3].labels == "" and got[6].labels == "mit"  # a block may hold line feeds
+
+
+BSD = ("Redistribution and use in source and binary forms, with or without modification, are "
+       "permitted provided that the following conditions are met")
+
+
+def brute_labels(text):
+    """Labels of every run of words with enough of a notice, without lesser variants."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+",
+                   re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    hits = []
+    for label, notice in L.templates(L.NOTICES):
+        words, n = set(notice.split()), L.block_words(len(notice.split()), L.THRESHOLD)
+        for i in range(len(w)):
+            at = [j for j in range(i, min(i + n, len(w))) if w[j] in words]
+            found = len({w[j] for j in at})
+            if w[i] in words and found >= L.needed(len(words), L.THRESHOLD):
+                hits.append((label, found / len(words), i, at[-1]))
+    kept = [a for a in hits if not any(
+        b[0] != a[0] and b[1] > a[1]
+        and 2 * (min(a[3], b[3]) - max(a[2], b[2]) + 1) > a[3] - a[2] + 1 for b in hits)]
+    return ",".join(sorted({a[0] for a in kept})), max((a[1] for a in kept), default=0.0)
+
+
+def test_license_blocks(spark):
+    notices = [text for _, text in L.templates(L.NOTICES)]
+    rng = random.Random(5)
+    texts = [BSD.replace(" binary", "\nbinary"),  # over two lines
+             "Released under the MIT license. " + BSD.replace("source", "any"),  # two on one line
+             " ".join(notices), "\n".join(notices), None, "", "license " * 300,
+             "x " * 5000 + notices[1] + " y" * 5000]
+    for _ in range(60):
+        w = " ".join(rng.sample(notices, 2)).split()
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = rng.choice(["other", "license", "the"])
+        if rng.random() < .4:
+            w.insert(rng.randrange(len(w)), "more words here")
+        texts.append(rng.choice([" ", "\n", ", "]).join(w))
+    schema = "doc_id long, text string, labels string, word long, n long"
+    rows = [(i, t, "clash", None, 1) for i, t in enumerate(texts)]
+    got = license_scan(spark.createDataFrame(rows + rows[:2], schema)).collect()
+    assert len(got) == len(rows) + 2
+    by = {r.doc_id: r for r in got}
+    assert by[0].labels == "bsd" and by[1].labels == "bsd,mit"
+    for i, t in enumerate(texts):
+        labels, score = brute_labels(t)
+        base = set(filter(None, by[i].base_labels.split(",")))
+        assert set(filter(None, by[i].labels.split(","))) == base | set(filter(None, labels.split(",")))
+        assert by[i].score == (1.0 if by[i].n_base else score)
 
 
 def test_url_lists(spark):
