@@ -97,10 +97,10 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base
 from d join ws using (r) left join b using (r) left join u using (r) left join score using (r)"""
 
 
-def ngram_join_sql() -> str:
+def _links_sql() -> str:
+    """Common tables up to ``links``: both directions of every pair at the threshold."""
     leads = ", ".join(f"lead(word, {k}) over o" for k in range(1, 5))
     return rf"""
-with recursive
 ws as (select doc_id, regexp_extract_all({_folded('text')}, {_WORDS}) as ws from documents),
 w as (select doc_id, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as i from ws),
 g as (select doc_id, case when i + 4 <= n then concat_ws(' ', word, {leads}) end as shingle
@@ -111,7 +111,12 @@ n as (select doc_id, count(*) as n from s group by doc_id),
 pair as (select x.doc_id as a, y.doc_id as b, count(*) as shared
          from s x join s y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by all),
 links as (select a, b from pair join n na on na.doc_id = a join n nb on nb.doc_id = b
-          where 100 * shared >= 80 * (na.n + nb.n - shared)),
+          where 100 * shared >= 80 * (na.n + nb.n - shared))"""
+
+
+def ngram_join_sql() -> str:
+    return rf"""
+with recursive {_links_sql()},
 reach as (select a as x, a as y from links
           union select reach.x, links.b from reach join links on links.a = reach.y),
 least as (select x, min(y) as y from reach group by x)
@@ -120,6 +125,14 @@ select ws.doc_id, coalesce(n.n, 0)::bigint as n_shingles,
 from ws left join n on n.doc_id = ws.doc_id left join least on least.x = ws.doc_id"""
 
 
+def ngram_links_sql() -> str:
+    return rf"""
+with {_links_sql()},
+linked as (select a, count(*) as n from links group by a)
+select ws.doc_id, coalesce(linked.n, 0)::bigint as n_links
+from ws left join linked on linked.a = ws.doc_id"""
+
+
 def crc32_sql(text: str) -> str:
     """Unsigned crc32 of an ASCII text expression."""
     return f"""xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda y: ascii(y)::bigint),

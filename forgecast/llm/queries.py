@@ -14,6 +14,7 @@ from forgecast.llm.oracles import (
     license_sql,
     merkle_sql,
     ngram_join_sql,
+    ngram_links_sql,
     quality_sql,
     suffix_sql,
     trie_sql,
@@ -112,6 +113,7 @@ ORACLE: dict[str, str] = {
     "op3_url_filters": URL_ORACLE,
     "op8_license_scan": license_sql(),
     "op10_ngram_jaccard_join": ngram_join_sql(),
+    "op10_ngram_link_counts": ngram_links_sql(),
     "op11_suffix_dedup": suffix_sql(),
     "op12_conversation_trie": trie_sql(),
     "op13_merkle_manifest": merkle_sql(),
