@@ -54,6 +54,9 @@ MODEL_NAME = "hist_gradient_boosting_regressor"
 ERR_NO_SERIES = "No series for NSN {nsn}"
 ERR_NEED_SPARSE = "need sparse history"
 ERR_UNKNOWN_ACTION = "unknown action {action}"
+ERR_FEW_SPARSE = "Not enough sparse rows for GBM demo."
+ERR_NO_DENSE_ROWS = "No rows for dense NSN {nsn}"
+ERR_SHORT_SERIES = "Not enough history for gradient boosting."
 
 # Run log.
 DEFAULT_EXPERIMENT = "price-forecasting"

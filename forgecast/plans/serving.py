@@ -232,9 +232,11 @@ def dense_responses(routed: DataFrame, price: DataFrame | ServingState,
     ``models``: the dense model table, or one shared model that answers every item.
 
     The recursion runs once per requested *item*, up to the largest horizon
-    asked for it (a pre-aggregation that collapses hot items map-side); each
-    request then takes the first ``horizon`` steps, which are identical to a
-    forecast run with that horizon.
+    asked for it (a pre-aggregation that collapses hot items map-side). An item's
+    steps are one row (at most its horizon long), joined to its requests, and each
+    request takes the first ``horizon`` of them, which are identical to a forecast
+    run with that horizon. Requests aren't grouped: a repeated request id is
+    answered row by row.
     """
     dense = routed.where(F.col("route") == "forecast_dense").select(
         "request_id", "nsn", F.col("horizon_months").alias("horizon"))
@@ -243,21 +245,17 @@ def dense_responses(routed: DataFrame, price: DataFrame | ServingState,
     wanted = st.lags.join(need, "nsn", "inner")
     fc = (shared_model_forecast(wanted, models) if isinstance(models, Model)
           else recursive_forecast(wanted, models))
-    last = st.stats.select("nsn", "last_history_month")
-    # One left join keeps every dense request (no forecast / horizon 0 -> no
-    # match); the grouped collect skips the no-match nulls, so a request
-    # needs no second join on its id. Grouping by the request id alone
-    # re-shuffles the join output, which lets AQE split a hot item's join
-    # partition (a group is one request: at most its horizon of steps).
-    f = fc.select(F.col("nsn").alias("_f_nsn"), "step", "forecast_price", "reference_month")
-    hit = (F.col("nsn") == F.col("_f_nsn")) & (F.col("step") <= F.col("horizon"))
-    step = F.when(F.col("step").isNotNull(), F.struct("step", "forecast_price", "reference_month"))
-    answers = (dense.join(_bcast(f, broadcast_items), hit, "left")
-               .groupBy("request_id")
-               .agg(F.min("nsn").alias("nsn"), F.sort_array(F.collect_list(step)).alias("forecast")))
-    return (answers.join(_bcast(last, broadcast_items), "nsn", "left")
-            .select("request_id", "nsn", F.lit(C.MODEL_NAME).alias("model"), "forecast",
-                    iso_date(F.col("last_history_month")).alias("last_history_month")))
+    steps = fc.groupBy("nsn").agg(F.sort_array(F.collect_list(
+        F.struct("step", "forecast_price", "reference_month"))).alias("steps"))
+    items = (need.select("nsn").join(st.stats.select("nsn", "last_history_month"), "nsn", "left")
+             .join(steps, "nsn", "left"))
+    answers = (dense.join(F.broadcast(items), "nsn", "left") if broadcast_items
+               else salted_join(dense, items, "nsn", "left"))
+    # an item without a forecast has no steps
+    own = F.expr("filter(coalesce(steps, array()), s -> s.step <= horizon)")
+    return answers.select("request_id", "nsn", F.lit(C.MODEL_NAME).alias("model"),
+                          own.alias("forecast"),
+                          iso_date(F.col("last_history_month")).alias("last_history_month"))
 
 
 def sparse_responses(routed: DataFrame, price: DataFrame | ServingState,

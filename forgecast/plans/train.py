@@ -51,7 +51,7 @@ def sparse_pooled_fit(frame: DataFrame, density: str = C.SPARSE_CLASS,
     split = SP.pooled_split(sub, SP.sparse_order())
     n_rows = split.count()  # reads the checkpointed split
     if n_rows < min_rows:
-        raise ValueError("Not enough sparse rows for GBM demo.")
+        raise ValueError(C.ERR_FEW_SPARSE)
     n_train = max(1, n_rows * C.SPARSE_TRAIN_NUM // C.SPARSE_TRAIN_DEN)
     model = TR.fit_pooled(split.where("is_train"), list(C.SPARSE_FEATURES), "target_price",
                           params=params)
@@ -85,13 +85,13 @@ def run_training(spark: SparkSession, price: DataFrame, shipping: DataFrame, mod
     dense_price = price if dense_nsn is None else price.where(F.col("nsn") == dense_nsn)
     points = dense_price.count()
     if points == 0:
-        raise ValueError(f"No rows for dense NSN {dense_nsn}")
+        raise ValueError(C.ERR_NO_DENSE_ROWS.format(nsn=dense_nsn))
     fits = dense_fits(dense_price, max_group_rows=max_group_rows)
     fits.write.mode("overwrite").parquet(os.path.join(models_dir, "dense_gbm"))
     fits = spark.read.parquet(os.path.join(models_dir, "dense_gbm"))
     ok = fits.where(F.col("status") == "ok")
     if dense_nsn is not None and ok.isEmpty():
-        raise ValueError("Not enough history for gradient boosting.")
+        raise ValueError(C.ERR_SHORT_SERIES)
     dense_stats = ok.agg(
         F.count(F.lit(1)).alias("items"),
         (F.sum(F.col("holdout_mae") * F.col("n_holdout")) / F.sum("n_holdout")).alias("mae"),

@@ -340,3 +340,22 @@ def test_health_is_a_plan_and_looks_into_the_models(spark, price, ship, tmp_path
     assert plans[2].first().status is None and plans[2].first().error
     for m, loaded in ((models, True), (models.limit(0), False)):
         assert SV.respond(reqs, price, ship, m, pooled, hot_rows=None).first().models_loaded is loaded
+
+
+def test_repeated_request_ids_are_answered_each(spark, price):
+    models = TR.model_table(TP.dense_fits(price))
+    item, other = (C.DENSE_DEMO_NSN, models.where(F.col("model_key") != C.DENSE_DEMO_NSN)
+                   .select("model_key").first())
+    rows = [("a", "forecast_dense", item, 2), ("a", "forecast_dense", item, 2),
+            ("a", "forecast_dense", item, 5), ("b", "forecast_dense", item, 0)]
+    if other:
+        rows.append(("a", "forecast_dense", other[0], 3))
+    reqs = spark.createDataFrame(rows, "request_id string, action string, nsn string, "
+                                       "horizon_months int")
+    for in_place in (False, True):
+        routed = SV.route_requests(reqs, price, models)
+        got = SV.dense_responses(routed, price, models, broadcast_items=in_place).collect()
+        assert sorted((r.request_id, r.nsn, len(r.forecast)) for r in got) == sorted(
+            (i, n, h) for i, _, n, h in rows)
+        for r in got:
+            assert [s.step for s in r.forecast] == list(range(1, len(r.forecast) + 1))
