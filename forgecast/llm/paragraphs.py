@@ -1,11 +1,15 @@
-"""Substring deduplication: repeated lines and repeated passages of word sequences.
-
-Two kinds of units are compared:
-
-* A line is a line feed-separated line of at least ``MIN_WORDS`` words. Equal
-  shingle sets are one class; the bands of each class's MinHash signature are
-  joined, colliding classes are verified by the exact Jaccard similarity of
-  their 5-word shingle sets (0.8 or more), and components of links are clusters.
+"""Substring deduplication: repeated paragraphs and repeated passages of word sequences.
+
+Paragraphs are compared by similarity, windows by equality:
+
+* A paragraph is a line feed-separated line of at least ``MIN_WORDS`` words, or a
+  block of as many words of the whole text, whatever its line feeds. A block begins
+  at a pair of words that has the least hash within ``REACH`` words to both sides, so
+  a passage has the same blocks wherever it stands and however it is wrapped, and an
+  edit changes the blocks near it only. Lines are compared with lines and blocks with
+  blocks. Equal shingle sets are one class; the bands of each class's MinHash signature
+  are joined, colliding classes are verified by the exact Jaccard similarity of their
+  5-word shingle sets (0.8 or more), and components of links are clusters.
 * A window is a run of ``WINDOW_WORDS`` words of the whole text, whatever its line
   feeds. Winnowing keeps the windows that have the least hash among ``WINNOW``
   consecutive ones, so two texts with a common passage of ``PASSAGE_WORDS`` words
@@ -15,7 +19,7 @@ Two kinds of units are compared:
 Of each cluster the first occurrence (least document id, then position) stays
 and all others are removed. So no passage of ``PASSAGE_WORDS`` words of an earlier
 text is left word by word, however the lines are broken; an edited passage is
-found whole where it is a line, and else in its parts without edits.
+found line by line and block by block.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Defined cases: null and
 empty texts have no units; texts of rows without an id are left as they are;
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +42,10 @@ from pyspark.sql import functions as F
 from forgecast.llm import textkit as K
 from forgecast.llm.graph import Scratch, Similarity, join_ids, link, longs
 
-MIN_WORDS = 40
+#: words of the shortest line or block that is compared
+MIN_WORDS = 20
+#: words to both sides among which the first pair of words of a block has the least hash
+REACH = 48
 SHINGLE_WORDS = 5
 #: words of a common passage that is found at any place of two texts
 PASSAGE_WORDS = 50
@@ -50,6 +58,8 @@ SKETCH_LONGS = 4
 PIVOTS = 4
 
 _U = np.uint64
+#: tells the keys of blocks from those of lines
+_BLOCKS = _U(0x94D049BB133111EB)
 _SKETCH = [f"s_{i}" for i in range(SKETCH_LONGS)]
 
 
@@ -64,25 +74,66 @@ def tune_bands(threshold: float, recall: float = RECALL,
     return max_bands, 1
 
 
-def _lines(t: K.Texts, min_words: int) -> tuple[K.Shingles, np.ndarray, np.ndarray, np.ndarray,
-                                                     np.ndarray]:
-    """Shingle sets, row, line number, first word and word count of each line of a slice."""
+def block_starts(h: np.ndarray, row: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Whether a block begins at each word; ``row``: the text of each word (ascending).
+
+    A text's first word begins one, and so does a pair of words whose hash is less than
+    that of the ``reach`` pairs before it and not more than that of those after it.
+    """
+    most = np.uint64(2**64 - 1)
+    x = np.full(len(h), most, dtype=np.uint64)
+    same = row[1:] == row[:-1]
+    x[:-1][same] = K.window_hash(h, 2)[same]
+    # texts lie ``reach`` places apart, so none sees the words of another
+    number = np.concatenate([[0], np.cumsum(~same)]) if len(h) else row
+    at = np.arange(len(h)) + reach * (number + 1)
+    apart = np.full(len(h) + reach * (number[-1] + 2 if len(h) else 1), most, dtype=np.uint64)
+    apart[at] = x
+    least = _sliding(apart, reach, np.minimum)
+    out = (x < least[at - reach]) & (x <= least[at + 1])
+    out[:1] = True
+    out[1:] |= ~same
+    return out
+
+
+class Units(NamedTuple):
+    """Lines and blocks of a slice: shingle sets, place and whether they are blocks."""
+
+    sets: K.Shingles
+    row: np.ndarray
+    line: np.ndarray
+    first: np.ndarray
+    words: np.ndarray
+    block: np.ndarray
+
+    @property
+    def nodes(self) -> np.ndarray:
+        """Key of each unit's class; lines and blocks are never in one class."""
+        return K.signed(K.set_keys(self.sets) ^ np.where(self.block, _BLOCKS, _U(0)))
+
+
+def paragraphs_of(t: K.Texts, min_words: int) -> Units:
+    """The lines, then the blocks, of ``min_words`` words or more."""
     words = K.split_words(t, K.SPACES)
     feeds = np.flatnonzero(t.buf == 10)
     line_of = np.searchsorted(feeds, words.starts)  # line feeds before the word
-    base = np.searchsorted(feeds, t.offs[:-1])
     rows = words.rows()
-    number = line_of - base[rows]
-    head = np.flatnonzero(np.concatenate(
-        [[True], (rows[1:] != rows[:-1]) | (number[1:] != number[:-1])])) if len(rows) else \
-        np.zeros(0, np.int64)
-    count = np.diff(np.append(head, len(rows)))
-    keep = count >= min_words
-    inside = np.repeat(keep, count)
-    h = K.segment_hash(t.buf, words.starts[inside], words.ends[inside], K.FOLDED)
-    s = K.shingle_sets(h, np.concatenate([[0], np.cumsum(count[keep])]), SHINGLE_WORDS)
-    return (s, rows[head[keep]], number[head[keep]],
-            head[keep] - words.first[rows[head[keep]]], count[keep])
+    number = line_of - np.searchsorted(feeds, t.offs[:-1])[rows]
+    h = K.segment_hash(t.buf, words.starts, words.ends, K.FOLDED)
+    new_line = np.ones(len(rows), dtype=bool)
+    new_line[1:] = (rows[1:] != rows[:-1]) | (number[1:] != number[:-1])
+    heads, counts = [], []
+    for starts in (new_line, block_starts(h, rows)):
+        head = np.flatnonzero(starts)
+        count = np.diff(np.append(head, len(rows)))
+        heads.append(head[count >= min_words])
+        counts.append(count[count >= min_words])
+    head, count = np.concatenate(heads), np.concatenate(counts)
+    first = np.concatenate([[0], np.cumsum(count)])
+    inside = np.arange(first[-1]) + np.repeat(head - first[:-1], count)
+    row = rows[head]
+    return Units(K.shingle_sets(h[inside], first, SHINGLE_WORDS), row, number[head],
+                 head - words.first[row], count, np.arange(len(head)) >= len(heads[0]))
 
 
 def _bands(s: K.Shingles, bands: int, rows: int) -> np.ndarray:
@@ -107,32 +158,39 @@ def _paragraph_batches(min_words: int, bands: int, rows: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, t in K.slices(batch.column(1)):
-                s, row, line, first, words = _lines(t, min_words)
-                keys = _bands(s, bands, rows)
+                u = paragraphs_of(t, min_words)
+                keys = _bands(u.sets, bands, rows)
+                keys[u.block] ^= _BLOCKS
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo + row]), pa.array(line, pa.int64()),
-                     pa.array(first, pa.int64()), pa.array(words, pa.int64()), pa.array(K.signed(K.set_keys(s))),
-                     pa.array(s.counts, pa.int64()),
-                     K.list_column(K.signed(keys.reshape(-1)), np.full(len(row), bands)),
-                     *longs(K.parity_sketch(s, SKETCH_LONGS))],
-                    names=["doc_id", "line", "first_word", "n_words", "node", "n", "bands", *_SKETCH])
+                    [pa.array(ids[lo + u.row]), pa.array(u.line, pa.int64()),
+                     pa.array(u.first, pa.int64()), pa.array(u.words, pa.int64()),
+                     pa.array(u.nodes), pa.array(u.sets.counts, pa.int64()),
+                     *longs(K.signed(keys)), *longs(K.parity_sketch(u.sets, SKETCH_LONGS))],
+                    names=["doc_id", "line", "first_word", "n_words", "node", "n",
+                           *(f"b_{i}" for i in range(bands)), *_SKETCH])
     return run
 
 
+def _in_row(node: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One key for a class and the text it is looked for in."""
+    return K.mix(node.view(np.uint64) ^ K.mix(row.astype(np.uint64)))
+
+
 def _wanted_sets(min_words: int):
     """Shingle sets of the wanted classes of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(1)
             for lo, t in K.slices(batch.column(0)):
-                s, row, _, _, _ = _lines(t, min_words)
-                keys = K.signed(K.set_keys(s))
-                ask = [set(wanted[lo + i].as_py()) for i in range(t.rows)]
-                keep = np.array([k in ask[r] for k, r in zip(keys.tolist(), row, strict=True)],
-                                dtype=bool)
+                u = paragraphs_of(t, min_words)
+                ask = wanted.slice(lo, t.rows)
+                keep = np.isin(_in_row(u.nodes, u.row), _in_row(
+                    ask.flatten().to_numpy(), np.repeat(np.arange(t.rows),
+                                                        ask.value_lengths().to_numpy())))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[keep]), pa.array(s.counts[keep], pa.int64()),
-                     K.list_column(K.signed(s.hash[np.repeat(keep, s.counts)]), s.counts[keep])],
+                    [pa.array(u.nodes[keep]), pa.array(u.sets.counts[keep], pa.int64()),
+                     K.list_column(K.signed(u.sets.hash[np.repeat(keep, u.sets.counts)]),
+                                   u.sets.counts[keep])],
                     names=["node", "n", "elements"])
     return run
 
@@ -237,16 +295,15 @@ def repeated_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
     wins = scratch.store(rows.mapInArrow(
         _window_batches, "doc_id bigint, first_word bigint, node bigint"), "windows")
     # windows that occur once go before their places are compared
-    often = scratch.store(wins.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-                          .select("node"), "often")
-    wins = scratch.store(join_ids(wins, often, "node", "left_semi", limit=0), "common")
+    often = scratch.store(wins.groupBy("node").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("kept_doc_id")).where("n > 1")
+        .select("node", "kept_doc_id"), "often")
+    wins = scratch.store(join_ids(wins, often, "node", limit=0), "common")
     scratch.drop("windows", "often")
-    again = scratch.store(wins.groupBy("node").agg(
-        F.min(F.struct("doc_id", "first_word")).alias("lo")).select("node", "lo.*")
-        .toDF("node", "kept_doc_id", "kept_first_word"), "again")
+    again = (wins.where("doc_id = kept_doc_id").groupBy("node", "kept_doc_id")
+             .agg(F.min("first_word").alias("kept_first_word")))
     asked = scratch.store(wins.groupBy("doc_id").agg(
         F.collect_set("first_word").alias("wanted")), "asked")
-    scratch.drop("common")
     around = scratch.store(
         join_ids(rows, asked, "doc_id").select("doc_id", "text", "wanted").mapInArrow(
             _contexts, "node bigint, doc_id bigint, first_word bigint, line bigint, "
@@ -257,6 +314,7 @@ def repeated_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
         .select(around.node, "kept_doc_id", "kept_first_word", F.col("line").alias("kept_line"),
                 F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
         .dropDuplicates(["node"]), "kept")
+    scratch.drop("common", "asked")
     pairs = join_ids(around, kept, "node").where(
         "doc_id <> kept_doc_id or first_word <> kept_first_word")
     return pairs.select("doc_id", "first_word", "line", "kept_doc_id", "kept_first_word",
@@ -271,26 +329,26 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "paragraphs")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    return (repeated_lines(rows, min_words, sim or Similarity(), scratch)
+    return (similar_paragraphs(rows, min_words, sim or Similarity(), scratch)
             .union(repeated_windows(rows, scratch)).distinct())
 
 
-def repeated_lines(rows: DataFrame, min_words: int, sim: Similarity,
-                   scratch: Scratch) -> DataFrame:
-    """Removed lines of (doc_id, text), as word ranges."""
+def similar_paragraphs(rows: DataFrame, min_words: int, sim: Similarity,
+                       scratch: Scratch) -> DataFrame:
+    """Removed lines and blocks of (doc_id, text), as word ranges."""
     bands, per_band = tune_bands(sim.num / sim.den)
+    keys = [f"b_{i}" for i in range(bands)]
     paragraphs = scratch.store(rows.mapInArrow(
         _paragraph_batches(min_words, bands, per_band),
         "doc_id bigint, line bigint, first_word bigint, n_words bigint, node bigint, n bigint, "
-        "bands array<bigint>, "
-        + ", ".join(f"{c} bigint" for c in _SKETCH)), "paragraphs")
-    first = F.struct("doc_id", "line", "first_word")
+        + ", ".join(f"{c} bigint" for c in (*keys, *_SKETCH))), "paragraphs")
+    # plain numbers only, so that a class is one fixed-width row of a hash table
     classes = scratch.store(paragraphs.groupBy("node").agg(
-        F.count("*").alias("copies"), F.min(first).alias("first"),
-        *(F.any_value(c).alias(c) for c in ("n", "bands", *_SKETCH))), "classes")
+        F.count("*").alias("copies"), F.min("doc_id").alias("first_doc_id"),
+        *(F.min(c).alias(c) for c in ("n", *keys, *_SKETCH))), "classes")
 
     # bands in which two classes meet
-    keyed = classes.select(F.explode("bands").alias("key"), "node", "n")
+    keyed = classes.select(F.explode(F.array(*keys)).alias("key"), "node", "n")
     met = (keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
            .where("lo <> hi").select("key"))
     met = scratch.store(met, "met")
@@ -298,7 +356,7 @@ def repeated_lines(rows: DataFrame, min_words: int, sim: Similarity,
     postings = scratch.store(keyed.withColumn("u", F.lit(0).cast("bigint")), "postings")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        ask = (classes.join(nodes, "node").groupBy(F.col("first.doc_id").alias("doc_id"))
+        ask = (classes.join(nodes, "node").groupBy(F.col("first_doc_id").alias("doc_id"))
                .agg(F.collect_list("node").alias("wanted")))
         scratch.drop("ask")
         found = join_ids(rows, scratch.store(ask, "ask"), "doc_id").select("text", "wanted")
@@ -308,19 +366,20 @@ def repeated_lines(rows: DataFrame, min_words: int, sim: Similarity,
 
     _, root = link(postings, classes.select("node", *_SKETCH), sets_of, sim, scratch,
                    pivots=PIVOTS)
-    member = (classes.select("node", "copies", "first").join(root, "node", "left")
-              .withColumn("root", F.coalesce("root", "node")))
-    member = scratch.store(member, "member")
-    kept = (member.groupBy("root").agg(F.sum("copies").alias("members"),
-                                       F.min("first").alias("kept")).where("members > 1"))
-    label = scratch.store(member.join(kept, "root").select(
-        "node", *(F.col(f"kept.{c}").alias(f"kept_{c}")
-                  for c in ("doc_id", "line", "first_word"))), "label")
-    scratch.drop("met", "postings", "ask", "member", "classes")
-    return (paragraphs.join(label, "node")
-            .where((F.col("doc_id") != F.col("kept_doc_id"))
-                   | (F.col("line") != F.col("kept_line")))
-            .select(*_RESULT))
+    member = scratch.store(
+        classes.select("node", "copies", "first_doc_id").join(root, "node", "left")
+        .withColumn("root", F.coalesce("root", "node")), "member")
+    kept = scratch.store(member.groupBy("root").agg(
+        F.sum("copies").alias("members"), F.min("first_doc_id").alias("kept_doc_id"))
+        .where("members > 1").select("root", "kept_doc_id"), "clusters")
+    label = join_ids(member, kept, "root").select("node", "root", "kept_doc_id")
+    hits = scratch.store(paragraphs.select("doc_id", "line", "first_word", "n_words", "node")
+                         .join(label, "node").drop("node"), "hits")
+    scratch.drop("met", "postings", "ask", "member", "classes", "clusters", "paragraphs")
+    place = scratch.store(hits.where("doc_id = kept_doc_id").groupBy("root").agg(
+        F.min("first_word").alias("kept_first_word"), F.min("line").alias("kept_line")), "place")
+    return (join_ids(hits, place, "root")
+            .where("doc_id <> kept_doc_id or first_word <> kept_first_word").select(*_RESULT))
 
 
 def _cut(text: str, ranges: list[tuple[int, int]]) -> str:
