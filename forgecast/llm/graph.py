@@ -66,7 +66,9 @@ class Scratch:
             df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         finally:
             self.spark.conf.set(size, before)
-        return self.spark.read.schema(df.schema).parquet(path)
+        # vectored reads keep native buffers of every thread of the file system's own pool
+        return (self.spark.read.schema(df.schema)
+                .option("parquet.hadoop.vectored.io.enabled", "false").parquet(path))
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
