@@ -49,23 +49,30 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_path(spark, job)}-{uuid.uuid4().hex}"
 
-    def store(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    def store(self, df: DataFrame, name: str, narrow: bool = False,
+              fused: bool = True) -> DataFrame:
         """Write ``df`` and read it back: cuts the lineage, survives lost executors.
 
         ``narrow``: for tables far smaller than those they come from, an eighth of the
         shuffle partitions write them, so that they aren't many tiny files.
+        ``fused``: false for joins with long conditions under an aggregate. As one method of
+        whole-stage code they cost the JVM's compiler up to 1.5 GB while it optimises them.
         """
         path = f"{self.base}/{name}"
         if narrow:
             df = df.coalesce(max(1, shuffle_partitions(self.spark) // 8))
         size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-        before = self.spark.conf.get(size)
-        if _bytes(before) > _bytes(TASK_BYTES):
+        code = "spark.sql.codegen.wholeStage"
+        before = {k: self.spark.conf.get(k) for k in (size, code)}
+        if _bytes(before[size]) > _bytes(TASK_BYTES):
             self.spark.conf.set(size, TASK_BYTES)
+        if not fused:
+            self.spark.conf.set(code, "false")
         try:
             df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         finally:
-            self.spark.conf.set(size, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         # vectored reads keep native buffers of every thread of the file system's own pool
         return (self.spark.read.schema(df.schema)
                 .option("parquet.hadoop.vectored.io.enabled", "false").parquet(path))
@@ -196,18 +203,19 @@ class Similarity:
 
         n1, n2 = both("n")
         u1, u2 = both("u")  # elements in no other set
-        need = self.overlap(n1, n2)
-        ok = F.least(n1 - u1, n2 - u2) >= need
+        # x shared elements are enough if x * whole >= least: whole numbers, no division
+        whole, least = F.lit(self.num + self.den), self.num * (n1 + n2)
+        ok = F.least(n1 - u1, n2 - u2) * whole >= least
         if "pos" in cols:  # position of the shared key, rarest element first
             p1, p2 = both("pos")
-            ok = ok & (F.least(p1 - u1, p2 - u2) + F.least(n1 - p1, n2 - p2) >= need)
+            ok = ok & ((F.least(p1 - u1, p2 - u2) + F.least(n1 - p1, n2 - p2)) * whole >= least)
         sketch = [c for c in cols if c.startswith("s_")]
         if sketch:
             apart = u1 + u2
             for c in sketch:
                 x, y = both(c)
                 apart = apart + F.bit_count(x.bitwiseXOR(y))
-            ok = ok & (apart <= n1 + n2 - 2 * need)
+            ok = ok & (F.shiftright(n1 + n2 - apart, 1) * whole >= least)
         return ok
 
     def verified(self, n1: Column, n2: Column, shared: Column) -> Column:
@@ -278,7 +286,7 @@ def link(postings: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame]
 def _verify(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim: Similarity,
             scratch: Scratch, name: str) -> DataFrame:
     """Each candidate pair (a, b) once against both whole sets."""
-    pairs = scratch.store(pairs, f"{name}-pairs", narrow=True)
+    pairs = scratch.store(pairs, f"{name}-pairs", narrow=True, fused=False)
     nodes = scratch.store(pairs.select(F.col("a").alias("node"))
                           .union(pairs.select("b")).distinct(), f"{name}-nodes", narrow=True)
     sets = scratch.store(sets_of(nodes).select("node", "n", "elements"), f"{name}-sets")
