@@ -73,7 +73,7 @@ class Scratch:
         finally:
             for k, v in before.items():
                 self.spark.conf.set(k, v)
-        # vectored reads keep native buffers of every thread of the file system's own pool
+        # plain reads: a vectored one of a local file system takes threads and buffers of its own
         return (self.spark.read.schema(df.schema)
                 .option("parquet.hadoop.vectored.io.enabled", "false").parquet(path))
 
