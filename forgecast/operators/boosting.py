@@ -1,7 +1,7 @@
 """Histogram gradient boosting for squared error, as a small numpy kernel.
 
-The kernel runs inside Spark tasks (one item per ``applyInPandas`` group, or
-one pooled training set), and its split finder is shared with the
+The kernel runs inside Spark tasks (whole items in
+``mapInArrow``, or one pooled training set), and its split finder is shared with the
 distributed trainer, which builds the same histograms with Spark aggregations.
 
 Semantics follow the usual histogram-boosting recipe:
@@ -400,6 +400,172 @@ def fit(X: np.ndarray, y: np.ndarray, *, max_depth=None, learning_rate=0.1, max_
                  np.asarray(cols["value"], np.float64))
 
 
+# ------------------------------------------------------- many one-split models
+#: series up to this many training rows are fitted together (at most one bin per row)
+TOGETHER_ROWS = 255
+#: histogram cells of the series that are fitted at once
+TOGETHER_CELLS = 1_000_000
+
+
+def fit_many(X: np.ndarray, y: np.ndarray, train: np.ndarray, starts: np.ndarray, **params
+             ) -> tuple[list[Model], list[float | None]]:
+    """Models of many series and the mean absolute errors of their other rows.
+
+    A series is the rows from its start to the next one's; ``train`` marks the rows to
+    fit. Short series whose trees have one split are fitted together, by the same sums
+    in the same order as ``fit``; all others one at a time by ``fit``.
+    """
+    ends = np.r_[starts[1:], len(y)]
+    n_train = np.add.reduceat(train, starts, dtype=np.int64) if len(starts) else starts
+    # a midpoint of larger values may not be a number
+    huge = (np.add.reduceat(np.abs(X).max(axis=1, initial=0.0, where=~np.isnan(X)) > 1e299,
+                            starts, dtype=np.int64) > 0) if len(starts) else starts
+    together = ((n_train >= 2 * params["min_samples_leaf"]) & ~huge.astype(bool)
+                & (n_train <= min(TOGETHER_ROWS, params["max_bins"])))
+    if params["max_depth"] != 1 or (params.get("max_leaf_nodes") or 2) < 2:
+        together[:] = False
+    models: list[Model | None] = [None] * len(starts)
+    for i in np.flatnonzero(~together):
+        mine = slice(starts[i], ends[i])
+        t = train[mine]
+        models[i] = fit(X[mine][t], y[mine][t], early_stopping=False, **params)
+    kind = np.ceil(np.log2(np.maximum(n_train, 2))).astype(int)
+    for k in np.unique(kind[together]):
+        found = np.flatnonzero(together & (kind == k))
+        step = max(1, TOGETHER_CELLS // (X.shape[1] * (2 ** k + 1)))
+        for lo in range(0, len(found), step):
+            part = found[lo:lo + step]
+            rows = np.concatenate([np.arange(starts[i], ends[i]) for i in part])
+            rows = rows[train[rows]]
+            for i, m in zip(part, _fit_stumps(X[rows], y[rows], n_train[part], **params), strict=True):
+                models[i] = m
+    errors: list[float | None] = [None] * len(starts)
+    rest = np.flatnonzero(~train)
+    if len(rest):
+        which = np.searchsorted(starts, rest, side="right") - 1
+        off = np.abs(y[rest] - _predict_many(models, X[rest], which))
+        at = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+        for a, b in zip(at, [*at[1:], len(rest)], strict=True):
+            errors[which[a]] = float(np.mean(off[a:b]))
+    return models, errors
+
+
+def _predict_many(models: list[Model], X: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Row i predicted by model ``which[i]`` (rows of a model are consecutive)."""
+    out = np.array([m.baseline for m in models])[which]
+    grown = np.array([len(m.tree) for m in models])
+    stump = grown == 3
+    at = np.flatnonzero(stump[which])
+    if len(at):
+        pick = (lambda f, dt: np.array([f(m) if s else 0 for m, s in zip(models, stump, strict=True)],
+                                       dtype=dt)[which[at]])
+        x = X[at, pick(lambda m: m.feature[0], np.int64)]
+        left = np.where(np.isnan(x), pick(lambda m: m.missing_left[0], bool),
+                        x <= pick(lambda m: m.threshold[0], np.float64))
+        out[at] += np.where(left, pick(lambda m: m.value[1], np.float64),
+                            pick(lambda m: m.value[2], np.float64))
+    for i in np.flatnonzero(grown > 3):
+        mine = slice(*np.searchsorted(which, [i, i + 1]))
+        out[mine] = predict(models[i], X[mine])
+    return out
+
+
+def _fit_stumps(X: np.ndarray, y: np.ndarray, n: np.ndarray, *, learning_rate, max_iter,
+                min_samples_leaf, l2_regularization, **_) -> list[Model]:
+    """``fit`` with trees of one split for series of ``n`` rows each that lie one after another."""
+    m, p = len(n), X.shape[1]
+    first = np.cumsum(np.r_[0, n[:-1]])
+    item = np.repeat(np.arange(m), n)
+    spans = list(zip(first.tolist(), (first + n).tolist(), strict=True))
+    miss = np.logical_or.reduceat(np.isnan(X), first, axis=0)
+    kinds = np.zeros((m, p), dtype=np.int64)
+    bins, cuts = np.empty(X.shape, dtype=np.int64), []
+    width = int(n.max()) + 1  # the last bin is of missing values
+    for j in range(p):
+        order = np.lexsort((X[:, j], item))  # missing values last
+        x, who = X[order, j], item[order]
+        ok = ~np.isnan(x)
+        same = np.r_[False, (who[1:] == who[:-1]) & (x[1:] == x[:-1])]
+        new = ok & ~same
+        count = np.cumsum(new)
+        rank = count - (count[first] - new[first])[who] - 1  # among the series' values
+        kinds[:, j] = np.add.reduceat(new, first, dtype=np.int64)
+        at = np.flatnonzero(new & (rank > 0))
+        mid = np.clip((x[at - 1] + x[at]) * 0.5, None, ALMOST_INF)
+        cut = np.full((m, width), np.inf)
+        cut[who[at], rank[at] - 1] = mid
+        cuts.append(cut)
+        # a midpoint that rounds up to the value above it isn't below that value
+        rank -= (rank > 0) & (cut[who, rank - 1] >= x)
+        bins[order, j] = np.where(ok, rank, width - 1)
+    kinds = np.maximum(kinds, 1)
+    baseline = np.array([np.mean(y[a:b]) for a, b in spans])
+    raw = baseline[item]
+    cell = ((item[:, None] * p + np.arange(p)) * width + bins).ravel()
+    size = m * p * width
+    hist_n = np.bincount(cell, minlength=size).reshape(m, p, width)
+    n_left = np.cumsum(hist_n, axis=2)
+    h_left = n_left.astype(np.float64)
+    h_right = n[:, None, None] - h_left
+    legal = ((np.arange(width) < (kinds - 1 + miss)[:, :, None]) & (n_left >= min_samples_leaf)
+             & (h_right >= min_samples_leaf) & (h_left >= MIN_HESSIAN_TO_SPLIT)
+             & (h_right >= MIN_HESSIAN_TO_SPLIT))
+    trees: list[list[tuple]] = [[] for _ in range(m)]
+    for it in range(max_iter):
+        g = (raw - y).astype(G_DTYPE)
+        hist_g = np.bincount(cell, weights=np.repeat(g.astype(np.float64), p),
+                             minlength=size).reshape(m, p, width)
+        g_all = np.array([np.sum(g[a:b], dtype=np.float64) for a, b in spans])
+        g_left = np.cumsum(hist_g, axis=2)
+        g_right = g_all[:, None, None] - g_left
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = ((g_all * 0.0)[:, None, None]
+                    - g_left * _node_value(g_left, h_left, l2_regularization)
+                    - g_right * _node_value(g_right, h_right, l2_regularization))
+            gain = np.where(legal & (gain > 0), gain, -np.inf).reshape(m, -1)
+        at = np.argmax(gain, axis=1)  # the first best bin of the first best feature
+        rows = np.arange(m)
+        live, feature, bin_ = gain[rows, at] > 0, at // width, at % width
+        gl, nl = g_left[rows, feature, bin_], n_left[rows, feature, bin_]
+        missing_left = nl > n - nl
+        for i in np.flatnonzero(miss.any(axis=1)):  # missing values may go either way
+            s = find_split(hist_g[i], hist_n[i], g_all[i], float(n[i]), int(n[i]), 0.0, kinds[i],
+                           miss[i], min_samples_leaf, l2_regularization)
+            live[i] = s is not None and s.gain > 0
+            if live[i]:
+                feature[i], bin_[i], gl[i], nl[i] = s.feature, s.bin, s.g_left, s.n_left
+                missing_left[i] = s.missing_left if miss[i, s.feature] else nl[i] > n[i] - nl[i]
+        left = learning_rate * _node_value(gl, nl.astype(np.float64), l2_regularization)
+        right = learning_rate * _node_value(g_all - gl, (n - nl).astype(np.float64),
+                                            l2_regularization)
+        found = np.stack(cuts)[feature, rows, bin_]
+        threshold = np.where(bin_ >= kinds[rows, feature] - 1, np.inf, found)
+        for i in np.flatnonzero(live):
+            trees[i].append((it, int(feature[i]), float(threshold[i]), bool(missing_left[i]),
+                             float(left[i]), float(right[i])))
+        if it + 1 < max_iter:
+            b = bins[np.arange(len(y)), feature[item]]
+            to_left = np.where(b == width - 1, missing_left[item], b <= bin_[item])
+            raw = raw + np.where(live[item], np.where(to_left, left[item], right[item]), 0.0)
+    return [_stump_model(float(b), max_iter, t) for b, t in zip(baseline, trees, strict=True)]
+
+
+def _stump_model(baseline: float, n_trees: int, trees: list[tuple]) -> Model:
+    if not trees:
+        return Model(baseline, n_trees)
+    it, feature, threshold, missing_left, left, right = zip(*trees)
+    k = np.arange(0, 3 * len(it), 3)
+    leaf, zero, no = [-1] * len(it), [0.0] * len(it), [False] * len(it)
+
+    def nodes(*columns, dtype):
+        return np.array(columns, dtype=dtype).T.ravel()
+    return Model(baseline, n_trees, nodes(it, it, it, dtype=np.int32),
+                 nodes(feature, leaf, leaf, dtype=np.int32),
+                 nodes(threshold, zero, zero, dtype=np.float64),
+                 nodes(missing_left, no, no, dtype=bool), nodes(k + 1, leaf, leaf, dtype=np.int32),
+                 nodes(k + 2, leaf, leaf, dtype=np.int32), nodes(zero, left, right, dtype=np.float64))
+
+
 def _single_tree(flat) -> Model:
     """One grown tree as a zero-baseline model (for incremental validation scores)."""
     f, thr, ml, lc, rc, v = (np.asarray(c) for c in zip(*flat))

@@ -1,8 +1,8 @@
 """Model training as Spark jobs.
 
 * ``fit_dense_per_item``: one boosted model per item, fitted inside
-  ``groupBy("nsn").applyInPandas``; the same task scores the item's hold-out
-  rows, so fit and hold-out MAE cost one pass. A group is one item's series,
+  ``mapInArrow`` over items whose rows lie together; the same task scores the items'
+  hold-out rows, so fit and hold-out MAE cost one pass. An item is one series,
   bounded by its number of distinct dates.
 * ``fit_pooled``: one model over many items, by ``forests.fit_models``: exact cut
   points and exact gradient sums, so the trees are the same for any number of rows per
@@ -60,7 +60,7 @@ def fit_dense_per_item(split_features: DataFrame, params: dict | None = None,
     * items whose training part is below ``2 * min_samples_leaf`` rows: no
       split is legal, every tree is a zero leaf, so the model *is* the training
       mean -- computed JVM-side with a window mean and a grouped MAE;
-    * all other items: the boosting kernel per item in ``applyInArrow``,
+    * all other items: the boosting kernel in ``mapInArrow``, many items at a time,
       except ``large_items`` (too big for one task; see ``oversized_items``),
       which the distributed trainer grows together.
     """
@@ -93,31 +93,32 @@ def fit_dense_per_item(split_features: DataFrame, params: dict | None = None,
         F.when(ok, F.col("_mae")).alias("holdout_mae"),
         F.when(ok, F.lit("ok")).otherwise(F.lit("insufficient_history")).alias("status"))
 
-    # --- items with room for splits: the kernel, one Arrow table per item
+    # --- items with room for splits: the kernel, over many whole items at a time
     arrow_schema = _arrow_schema(DENSE_FIT_SCHEMA)
 
-    def fit_item(tbl):
+    def fit_items(batches):
         import pyarrow as pa
-        order = np.argsort(tbl.column("pos").to_numpy(), kind="stable")
-        col = (lambda c: tbl.column(c).to_numpy(zero_copy_only=False)[order])
-        nsn = tbl.column("nsn")[0].as_py()
-        X = np.column_stack([col(c).astype(np.float64) for c in feats])
-        y = col("target").astype(np.float64)
-        train = col("is_train").astype(bool)
-        n_usable, n_train = int(col("n_usable")[0]), int(col("n_train")[0])
-        model = B.fit(X[train], y[train], early_stopping=False, **params)
-        mae = None
-        if (~train).any():
-            mae = float(np.mean(np.abs(y[~train] - B.predict(model, X[~train]))))
-        row = dict(nsn=nsn, n_usable=n_usable, n_train=n_train, n_holdout=n_usable - n_train,
-                   holdout_mae=mae, status="ok", **model.to_row(nsn))
-        return pa.Table.from_pylist([row], schema=arrow_schema)
+        for tbl, starts in _whole_items(batches, FIT_ROWS):
+            size = np.diff(np.r_[starts, tbl.num_rows])
+            order = np.lexsort((tbl.column("pos").to_numpy(), np.repeat(np.arange(len(starts)), size)))
+            col = (lambda c: tbl.column(c).to_numpy(zero_copy_only=False)[order])
+            X = np.column_stack([col(c).astype(np.float64) for c in feats])
+            models, errors = B.fit_many(X, col("target").astype(np.float64),
+                                        col("is_train").astype(bool), starts, **params)
+            n_usable, n_train = (col(c)[starts].tolist() for c in ("n_usable", "n_train"))
+            keys = tbl.column("nsn").take(starts).to_pylist()
+            rows = [dict(nsn=k, n_usable=n, n_train=t, n_holdout=n - t, holdout_mae=e, status="ok",
+                         **m.to_row(k))
+                    for k, n, t, e, m in zip(keys, n_usable, n_train, errors, models, strict=True)]
+            yield from pa.Table.from_pylist(rows, schema=arrow_schema).to_batches()
 
     cols = ["nsn", "pos", "n_usable", "n_train", "is_train", *feats, "target"]
     large = list(large_items or [])
     small = ~F.col("nsn").isin(large) if large else F.lit(True)
-    boosted = (split_features.where(enough & can_split & small).select(*cols).groupBy("nsn")
-               .applyInArrow(fit_item, DENSE_FIT_SCHEMA))
+    # the window gathers an item's rows one after another (where they aren't yet) and counts them
+    boosted = (split_features.where(enough & can_split & small)
+               .select(*cols, F.count(F.lit(1)).over(per_item).alias("_rows"))
+               .mapInArrow(fit_items, DENSE_FIT_SCHEMA))
     out = simple.select(*DENSE_FIT_SCHEMA.fieldNames()).unionByName(boosted)
     if large:
         big = split_features.where(enough & can_split & F.col("nsn").isin(large))
@@ -125,6 +126,38 @@ def fit_dense_per_item(split_features: DataFrame, params: dict | None = None,
     return out
 
 
+#: rows of whole items that are fitted at once
+FIT_ROWS = 50_000
+
+
+def _whole_items(batches, at_once: int):
+    """(table, starts) of consecutive whole items, as many rows each as ``_rows`` says:
+    about ``at_once`` rows or one larger item."""
+    import pyarrow as pa
+    parts, have, need = [], 0, at_once
+    for b in batches:
+        parts.append(b)
+        have += b.num_rows
+        if have < need:
+            continue
+        tbl = pa.Table.from_batches(parts)
+        sizes, starts, at = tbl.column("_rows").to_numpy(), [], 0
+        while at < have and at + sizes[at] <= have:
+            starts.append(at)
+            at += int(sizes[at])
+        need = at_once if at == have else max(at_once, int(sizes[at]))
+        if starts:
+            yield tbl.slice(0, at), np.array(starts)
+        parts, have = tbl.slice(at).to_batches(), have - at
+    if have:
+        tbl = pa.Table.from_batches(parts)
+        sizes, starts, at = tbl.column("_rows").to_numpy(), [], 0
+        while at < have:
+            starts.append(at)
+            at += int(sizes[at])
+        yield tbl, np.array(starts)
+
+
 def oversized_items(price: DataFrame, max_rows: int) -> list[str]:
     """Items with more than ``max_rows`` observations (a partial-aggregate count;
     the list is bounded by total rows / ``max_rows``)."""

@@ -228,3 +228,27 @@ def test_many_models_grow_together(spark):
             want = B.predict(B.fit(X[mine], y[mine], **params), X[mine])
             np.testing.assert_allclose(B.predict(models[f"i{w}"], X[mine]), want, rtol=1e-9)
     assert jobs[12] <= jobs[2] + 2
+
+
+@pytest.mark.parametrize("missing", [0.0, 0.2])
+@pytest.mark.parametrize("depth, rounds", [(1, 1), (1, 5), (3, 3)])
+def test_many_series_at_once_equal_one_at_a_time(depth, rounds, missing):
+    rng = np.random.default_rng(depth + rounds)
+    n = rng.integers(8, 60, 60)
+    n[7] = 400  # more rows than bins
+    starts = np.cumsum(np.r_[0, n[:-1]])
+    X = np.round(rng.normal(size=(n.sum(), 4)), 1)
+    X[:, 3] = 1.0
+    X[rng.random(X.shape) < missing] = np.nan
+    y = rng.normal(size=len(X))
+    if missing:
+        X[starts[3], 0], y[starts[5]] = np.inf, np.nan
+    train = np.arange(len(X)) - np.repeat(starts, n) < np.repeat(n * 4 // 5, n)
+    params = dict(max_depth=depth, learning_rate=0.3, max_iter=rounds, min_samples_leaf=4,
+                  l2_regularization=0.5, max_leaf_nodes=31, max_bins=255)
+    models, errors = B.fit_many(X, y, train, starts, **params)
+    for i, (a, k) in enumerate(zip(starts, n, strict=True)):
+        x, t, m = X[a:a + k], y[a:a + k], train[a:a + k]
+        one = B.fit(x[m], t[m], early_stopping=False, **params)
+        assert repr(models[i].to_row(i)) == repr(one.to_row(i))
+        assert repr(errors[i]) == repr(float(np.mean(np.abs(t[~m] - B.predict(one, x[~m])))))

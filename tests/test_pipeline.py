@@ -195,6 +195,34 @@ def test_arrow_fit_path_equals_kernel_on_same_rows(spark):
     assert list(fit.value) == m.value.tolist()
 
 
+def test_items_are_fitted_together_and_whole_however_batches_are_cut(spark, monkeypatch):
+    import numpy as np
+    from forgecast.operators import boosting as B
+    rng = np.random.default_rng(5)
+    p = make_price(spark, [
+        (f"I{k}", str(dt.date(2020, 1, 1) + dt.timedelta(days=3 * i)), float(rng.integers(1, 40)), i % 7,
+         1.0 + (i % 5) / 10, "S1", C.DENSE_CLASS) for k in range(25) for i in range(20 + 3 * k)])
+    split = FE.dense_split(FE.dense_lag_features(p))
+    rows = split.toPandas().sort_values(["nsn", "pos"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    monkeypatch.setattr(TR, "FIT_ROWS", 50)
+    try:
+        # rows that aren't gathered by item yet
+        out = TR.fit_dense_per_item(split.repartition(5, "date"), C.STUMP_PARAMS)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        fits = {r.nsn: r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(fits) == 25
+    for nsn, g in rows.groupby("nsn"):
+        X, y = g[C.DENSE_FEATURES].to_numpy(np.float64), g["target"].to_numpy(np.float64)
+        t = g["is_train"].to_numpy(bool)
+        m = B.fit(X[t], y[t], early_stopping=False, **C.STUMP_PARAMS)
+        assert (fits[nsn].n_usable, fits[nsn].value, fits[nsn].threshold) == (
+            len(g), m.value.tolist(), m.threshold.tolist())
+        assert fits[nsn].holdout_mae == float(np.mean(np.abs(y[~t] - B.predict(m, X[~t]))))
+
+
 def test_single_model_mode_scores_every_item_with_one_model(spark, price):
     assert TP.busiest_item(price) == C.DENSE_DEMO_NSN
     fc = TP.single_model_forecast(price, C.DENSE_DEMO_NSN).collect()
