@@ -7,12 +7,13 @@ every size:
    counted, counts are ranked by a range sort with running sums, and the quantile
    midpoints are looked up by rank; nothing is sampled.
 2. Rows are binned once and stored (features, target, prediction so far).
-3. Every tree level is one pass: partial sums of gradients per (model, open node,
+3. Every tree level is one pass, a job over rows that the executors keep: partial sums of gradients per (model, open node,
    feature, bin), added by Spark. All models grow a level at a time in the same pass.
    Gradients are rounded to 50-bit whole numbers, so sums are exact and the trees don't
    depend on the number of partitions or the order of rows.
-4. Trees since the last refresh travel in the task closure (bounded by ``REFRESH``
-   trees); every ``REFRESH`` trees the stored predictions are written anew.
+4. The first pass of a tree adds the tree before to the predictions; every ``REFRESH``
+   trees the stored predictions are written anew, so that a lost partition is made from
+   ``REFRESH`` trees at most.
 
 Up to ``PART_ROWS`` rows all rows are one partition, and the passes of step 3 run in
 its task; above, each pass is a Spark job. Both run ``boost`` on the same sums and give
@@ -21,7 +22,9 @@ equal trees.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -30,6 +33,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -385,67 +389,99 @@ def _unpack(data: bytes) -> B.Model:
     return B.Model.from_row(pa.ipc.open_stream(data).read_all().to_pylist()[0])
 
 
+def _add(one: dict, two: dict) -> dict:
+    """Sums of two partitions' histograms, model by model."""
+    return one | {k: tuple(x + z for x, z in zip(one[k], v, strict=True)) if k in one else v
+                  for k, v in two.items()}
+
+
 class _Passes:
-    """Passes over the stored rows as Spark jobs."""
+    """Passes over the stored rows as Spark jobs.
+
+    The rows are stored once per refresh. A pass needs no plan of its own: it reads the rows
+    of a partition from the executors' storage, as one record of arrays, with the
+    predictions of all trees but the last ones; a partition that is lost is read from the
+    stored rows again.
+    """
 
     def __init__(self, binned: DataFrame, parts: int, p: int, max_bins: int) -> None:
         self.spark, self.parts, self.p, self.max_bins = binned.sparkSession, parts, p, max_bins
         self.base, self.version, self.since = scratch_path(
             self.spark, f"boosting-{uuid.uuid4().hex}"), 0, 0
+        self.kept: list = []
         self.store(binned)
 
     def store(self, rows: DataFrame) -> None:
         path = f"{self.base}/{self.version}"
         rows.write.parquet(path)
+        self.release()
         self.rows = self.spark.read.schema(rows.schema).parquet(path)
         if self.version:
             drop_path(self.spark, f"{self.base}/{self.version - 1}")
         self.version += 1
+        p = self.p
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    who, val, y, raw, bins = _columns(b, p)
+                    data = pickle.dumps((who[~val], y[~val], raw[~val], bins[~val].astype("<u2")))
+                    yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
+
+        def joined(records: Iterator) -> Iterator[tuple]:
+            found = [pickle.loads(r["data"]) for r in records]
+            if found:
+                yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+        self.keep(self.rows.mapInArrow(packed, "data binary").rdd.mapPartitions(joined))
+        self.upto = self.since
+
+    def keep(self, records) -> None:
+        """Later passes read ``records``; those that they are made from stay stored as well."""
+        self.kept.append(records.persist(StorageLevel.MEMORY_AND_DISK))
+        for old in self.kept[:-2]:
+            old.unpersist()
+        self.kept = self.kept[-2:]
+
+    def release(self) -> None:
+        for old in self.kept:
+            old.unpersist()
+        self.kept = []
 
     def drop(self) -> None:
+        self.release()
         drop_path(self.spark, self.base)
 
     def histograms(self, growing: dict[int, Growth]) -> dict:
         most = max(len(m.trees) for m in growing.values())
         if most - self.since >= REFRESH:
             self.refresh(growing, most)
-        work = {k: m.work(self.since) for k, m in growing.items()}
         p, max_bins = self.p, self.max_bins
+        if most > self.upto:  # the first pass of a tree: predictions with the trees before
+            grown = {k: m.work(self.upto) for k, m in growing.items()}
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, list[np.ndarray]] = {}
-            for b in batches:
-                who, val, y, raw, bins = _columns(b, p)
-                for k in np.unique(who[~val]):
-                    if int(k) in work:
-                        mine, w = (who == k) & ~val, work[int(k)]
-                        sums = _sums(bins[mine], y[mine], _raw(bins[mine], raw[mine], w, max_bins),
-                                     w, max_bins)
-                        had = total.get(int(k))
-                        total[int(k)] = list(sums) if had is None else [
-                            x + z for x, z in zip(had, sums, strict=True)]
-            for k, (hi, lo, n) in total.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), k), pa.int32()), pa.array(at),
-                     *(pa.array(x[at]) for x in (hi, lo, n))],
-                    names=["model", "cell", "hi", "lo", "n"])
-
-        found = self.rows.mapInArrow(run, "model int, cell bigint, hi bigint, lo bigint, n bigint")
-        if self.parts > ADD_PARTS:
-            found = found.groupBy("model", "cell").agg(*(F.sum(c).alias(c) for c in
-                                                         ("hi", "lo", "n")))
+            def advance(records: Iterator[tuple]) -> Iterator[tuple]:
+                for who, y, raw, bins in records:
+                    raw = raw.copy()
+                    for k, w in grown.items():
+                        mine = who == k
+                        raw[mine] = _raw(bins[mine].astype(np.int64), raw[mine], w, max_bins)
+                    yield who, y, raw, bins
+
+            self.keep(self.kept[-1].mapPartitions(advance))
+            self.upto = most
+        work = {k: m.work(most) for k, m in growing.items()}
+
+        def run(records: Iterator[tuple]) -> Iterator[dict]:
+            for who, y, raw, bins in records:
+                mine = {k: who == k for k in work}
+                yield {k: _sums(bins[at].astype(np.int64), y[at], raw[at], work[k], max_bins)
+                       for k, at in mine.items() if at.any()}
+
+        found = self.kept[-1].mapPartitions(run)
         # bounded: models of the pass x open nodes x features x bins (x ADD_PARTS)
-        found = found.toArrow()
-        who, cell = (found.column(i).to_numpy() for i in range(2))
-        out = {}
-        for k, m in growing.items():
-            size = len(m.open) * p * (max_bins + 1)
-            sums = [np.zeros(size, dtype=np.int64) for _ in range(3)]
-            for into, column in zip(sums, found.columns[2:], strict=True):
-                np.add.at(into, cell[who == k], column.to_numpy()[who == k])
-            out[k] = tuple(sums)
-        return out
+        return (found.treeReduce(_add) if self.parts > ADD_PARTS and not found.isEmpty()
+                else functools.reduce(_add, found.collect(), {}))
 
     def refresh(self, models: dict[int, Growth], upto: int) -> None:
         """Write the predictions with the trees grown so far."""
@@ -462,8 +498,8 @@ class _Passes:
                         raw[mine] = _raw(bins[mine], raw[mine], work[int(k)], max_bins)
                 yield b.set_column(3, "raw", pa.array(raw))
 
-        self.store(self.rows.mapInArrow(run, self.rows.schema))
         self.since = upto
+        self.store(self.rows.mapInArrow(run, self.rows.schema))
 
     def validate(self, n_iter_no_change: int, tol: float) -> Callable[[dict[int, Growth]], None]:
         """Stops models whose loss on the held-out rows doesn't improve any more."""

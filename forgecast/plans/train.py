@@ -31,6 +31,7 @@ from ..operators import splits as SP
 from ..operators import training as TR
 from ..operators.boosting import Model
 from ..operators.forecast import score_pooled, shared_model_forecast
+from ..sources.storage import store_table
 
 
 @dataclass
@@ -47,7 +48,8 @@ def sparse_pooled_fit(frame: DataFrame, density: str = C.SPARSE_CLASS,
                       holdout: bool = True) -> PooledResult:
     """Filter one density class, drop incomplete rows, split 75/25 by position
     in (item, date) order, fit on the first part and (``holdout``) score the rest."""
-    sub = FE.sparse_filter(frame, density)
+    # stored: the order's range bounds are sampled from these rows, not by the windows again
+    sub = store_table(FE.sparse_filter(frame, density), "sparse_rows")
     split = SP.pooled_split(sub, SP.sparse_order())
     n_rows = split.count()  # reads the checkpointed split
     if n_rows < min_rows:

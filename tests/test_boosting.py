@@ -252,3 +252,34 @@ def test_many_series_at_once_equal_one_at_a_time(depth, rounds, missing):
         one = B.fit(x[m], t[m], early_stopping=False, **params)
         assert repr(models[i].to_row(i)) == repr(one.to_row(i))
         assert repr(errors[i]) == repr(float(np.mean(np.abs(t[~m] - B.predict(one, x[~m])))))
+
+
+def test_a_pass_reads_kept_records_and_no_plan(spark):
+    from forgecast.operators import forests as FO
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"a": rng.normal(size=400).round(1), "b": rng.normal(size=400), "y": rng.normal(size=400)})
+    pdf.loc[::9, "a"] = np.nan
+    params = dict(max_depth=2, learning_rate=0.3, max_iter=45, min_samples_leaf=5,
+                  l2_regularization=0.1, max_leaf_nodes=31, max_bins=255)
+    calls, histograms = [], FO._Passes.histograms
+
+    def without_plan(self, growing):
+        refresh = max(len(m.trees) for m in growing.values()) - self.since >= FO.REFRESH
+        rows = self.rows
+        if not refresh:
+            self.rows = None
+        out = histograms(self, growing)
+        calls.append(refresh)
+        if not refresh:
+            self.rows = rows
+        return out
+
+    FO._Passes.histograms = without_plan
+    try:
+        many = FO.fit_models(spark.createDataFrame(pdf).repartition(20), ["a", "b"], "y", params,
+                             part_rows=20)["pooled"]  # more partitions than are added by the driver
+    finally:
+        FO._Passes.histograms = histograms
+    one = FO.fit_models(spark.createDataFrame(pdf), ["a", "b"], "y", params)["pooled"]
+    assert repr(many.to_row(0)) == repr(one.to_row(0))
+    assert calls.count(True) == 2 and len(calls) > 80

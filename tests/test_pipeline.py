@@ -387,3 +387,17 @@ def test_repeated_request_ids_are_answered_each(spark, price):
             (i, n, h) for i, _, n, h in rows)
         for r in got:
             assert [s.step for s in r.forecast] == list(range(1, len(r.forecast) + 1))
+
+
+def test_pooled_fit_derives_the_pair_frame_once(spark, price, ship):
+    frame = FE.sparse_training_frame(price, ship)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    res = TP.sparse_pooled_fit(frame.mapInPandas(count, frame.schema))
+    assert res.holdout_mae == pytest.approx(SPARSE_MAE)
+    assert seen.value == frame.count()
