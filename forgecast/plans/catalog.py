@@ -353,8 +353,9 @@ def stream_scoring(spark, sf_dir):
 def stream_stump_answers(spark, sf_dir):
     """The request stream answered with one-split models: every answer plain SQL can state."""
     from ..streaming.scoring import append_stream, request_stream_from_orders
+    from ..sources.storage import store_table
     price, ship = _stored(spark, sf_dir)
-    models = TR.model_table(_stump_fits(price))
+    models = store_table(TR.model_table(_stump_fits(price)), "dense_models", "model_key")
     pooled = TP.sparse_pooled_fit(FE.sparse_training_frame(price, ship, hot="auto"),
                                   params=C.STUMP_PARAMS, holdout=False).model
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")

@@ -24,7 +24,7 @@ from ..operators.forecast import (
     score_pooled,
     shared_model_forecast,
 )
-from ..operators.joins import hot_keys, salted_join
+from ..operators.joins import hot_keys, lookup_join, salted_join
 
 
 def requests_from_orders(orders: DataFrame) -> DataFrame:
@@ -183,8 +183,12 @@ def item_table(state: ServingState, models: DataFrame | Model) -> DataFrame:
 def answer_rows(requests: DataFrame, items: DataFrame, shared: Model | None = None,
                 models_loaded: bool = True) -> DataFrame:
     """The answers of ``respond``, row by row: one join with ``item_table`` and one narrow
-    pass, no grouping, so a stream of requests can be answered in append mode."""
-    j = request_defaults(requests).join(items, "nsn", "left")
+    pass, no grouping, so a stream of requests can be answered in append mode.
+
+    All requests without an item ask for a default one, so these two keys are joined to a
+    broadcast of their rows, where the requests are, and not gathered in one task."""
+    defaults = [C.DENSE_DEMO_NSN, C.SPARSE_DEMO_NSN]
+    j = lookup_join(request_defaults(requests), items, "nsn", "left", defaults)
     a, n = F.col("action"), F.col("n_obs")
     has_model = (n >= C.N_LAGS) if shared is not None else F.col("baseline").isNotNull()
     error = (F.when(a == "forecast_dense",

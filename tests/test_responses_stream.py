@@ -121,3 +121,26 @@ def test_a_restarted_stream_answers_every_request_once(spark, tmp_path):
     want = SV.respond(requests, price, ship, models, pooled).drop("prediction_timestamp")
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_requests_without_an_item_are_not_gathered_in_one_task(spark, price, ship):
+    from pyspark.sql import functions as F
+
+    from forgecast.operators.boosting import Model
+    from forgecast.plans import serving as SV
+    model = Model(7.0, 1)
+    items = SV.item_table(SV.serving_state(price, ship, model), model)
+    requests = spark.range(400, numPartitions=8).select(
+        F.col("id").cast("string").alias("request_id"), F.lit(None).cast("string").alias("action"),
+        F.when(F.col("id") % 10 == 0, F.lit("no such item")).alias("nsn"), F.lit(2).alias("horizon_months"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = SV.answer_rows(requests, items, model).select(
+            "request_id", "error", F.size("forecast").alias("n"), F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(int(r.request_id) for r in rows) == list(range(400))
+    assert all((r.error is not None) if int(r.request_id) % 10 == 0 else r.n == 2 for r in rows)
+    fine = [r.part for r in rows if r.error is None]
+    assert max(fine.count(x) for x in set(fine)) <= 50
