@@ -51,6 +51,8 @@ SHINGLE_WORDS = 5
 PASSAGE_WORDS = 50
 WINDOW_WORDS = 26
 WINNOW = PASSAGE_WORDS - WINDOW_WORDS + 1
+#: bits of a window's place that hold its line; those above hold its first word
+PLACE_BITS = 32
 RECALL = 0.99
 MAX_BANDS = 9
 SKETCH_LONGS = 4
@@ -220,106 +222,185 @@ def winnowed(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, x[at]
 
 
+def _text_keys(h: np.ndarray, words: K.Words) -> np.ndarray:
+    """Hash of each text's word sequence: tells texts with one id apart."""
+    at = np.arange(len(h)) - np.repeat(words.first[:-1], words.counts)
+    return K.row_sums(K.signed(K.mix(h ^ K.mix(at.astype(np.uint64) + _U(1)))), words.first)
+
+
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for lo, t in K.slices(batch.column(1)):
             words = K.split_words(t, K.SPACES)
             row = words.rows()
-            at, x = winnowed(K.segment_hash(t.buf, words.starts, words.ends, K.FOLDED), row)
+            h = K.segment_hash(t.buf, words.starts, words.ends, K.FOLDED)
+            at, x = winnowed(h, row)
+            row = row[at]
+            feeds = np.flatnonzero(t.buf == 10)
+            line = np.searchsorted(feeds, words.starts[at]) - np.searchsorted(feeds, t.offs[row])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[lo + row[at]]), pa.array(at - words.first[row[at]], pa.int64()),
-                 pa.array(K.signed(x))], names=["doc_id", "first_word", "node"])
+                [pa.array(ids[lo + row]), pa.array(_text_keys(h, words)[row]),
+                 pa.array((at - words.first[row] << PLACE_BITS) + line, pa.int64()),
+                 pa.array(K.signed(x))], names=["doc_id", "text_key", "place", "node"])
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a text's repeated windows that overlap or adjoin each other and, as far apart,
+    their first occurrences: all words from a run's first window to its last one are equal."""
+    for batch in batches:
+        lists = batch.column(2)
+        row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+        place, node, kept_doc, kept = (x.to_numpy() for x in lists.flatten().flatten())
+        first, shift = place >> PLACE_BITS, (place >> PLACE_BITS) - (kept >> PLACE_BITS)
+        order = np.lexsort((first, shift, kept_doc, row))
+        row, place, node, kept_doc, kept, first, shift = (
+            x[order] for x in (row, place, node, kept_doc, kept, first, shift))
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = ((row[1:] != row[:-1]) | (kept_doc[1:] != kept_doc[:-1])
+                   | (shift[1:] != shift[:-1]) | (first[1:] - first[:-1] > WINDOW_WORDS))
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(row)) - 1
+        ids, keys = (batch.column(k).to_numpy()[row[head]] for k in range(2))
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(x) for x in (ids, keys, kept_doc[head], shift[head], first[head],
+                                     first[tail], node[head], node[tail])),
+             *(K.list_column(x, tail - head + 1) for x in (place, kept))], names=_CHAIN)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line and words around each wanted window: WINNOW hashes before (nearest first) and after."""
+    """WINNOW word hashes before (nearest first) or after each wanted window."""
     step = np.arange(WINNOW)
     for batch in batches:
         ids, wanted = batch.column(0).to_numpy(), batch.column(2)
         for lo, t in K.slices(batch.column(1)):
             words = K.split_words(t, K.SPACES)
             h = K.segment_hash(t.buf, words.starts, words.ends, K.FOLDED)
-            ask = [wanted[lo + i].values.to_numpy() for i in range(t.rows)]
-            row = np.repeat(np.arange(t.rows), [len(x) for x in ask])
-            first = np.concatenate(ask)
+            ask = wanted.slice(lo, t.rows)
+            row = np.repeat(np.arange(t.rows), ask.value_lengths().to_numpy())
+            first, side = np.divmod(ask.flatten().to_numpy(), 2)
             fits = first + WINDOW_WORDS <= words.counts[row]  # another text with this id
-            row, first = row[fits], first[fits]
+            row, first, side = row[fits], first[fits], side[fits]
             at = words.first[row] + first
-            feeds = np.flatnonzero(t.buf == 10)
-            line = (np.searchsorted(feeds, words.starts[at])
-                    - np.searchsorted(feeds, t.offs[row]))
-            sides = []
-            for place in (at[:, None] - 1 - step, at[:, None] + WINDOW_WORDS + step):
-                inside = (place >= words.first[row][:, None]) & (
-                    place < words.first[row + 1][:, None])
-                sides.append(K.list_column(K.signed(h[np.where(inside, place, 0)][inside]),
-                                           inside.sum(axis=1)))
-            near = K.window_hash(h, WINDOW_WORDS)[at]
+            place = np.where(side[:, None] == 1, at[:, None] + WINDOW_WORDS + step,
+                             at[:, None] - 1 - step)
+            inside = (place >= words.first[row][:, None]) & (place < words.first[row + 1][:, None])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(K.signed(near)), pa.array(ids[lo + row]), pa.array(first, pa.int64()),
-                 pa.array(line, pa.int64()), *sides],
-                names=["node", "doc_id", "first_word", "line", "before", "after"])
+                [pa.array(ids[lo + row]), pa.array(_text_keys(h, words)[row]), pa.array(first),
+                 pa.array(side), pa.array(K.signed(K.window_hash(h, WINDOW_WORDS)[at])),
+                 K.list_column(K.signed(h[np.where(inside, place, 0)][inside]),
+                               inside.sum(axis=1))],
+                names=["doc_id", "text_key", "first_word", "side", "node", "near"])
+
+
+def _table(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of at most WINNOW numbers as rows of a matrix, and which places they fill."""
+    filled = np.arange(WINNOW) < lists.value_lengths().to_numpy()[:, None]
+    out = np.zeros(filled.shape, dtype=np.int64)
+    out[filled] = lists.flatten().to_numpy()
+    return out, filled
 
 
 def _equal_words(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Number of equal values at the beginning of each two lists."""
-    out = np.zeros(len(a), dtype=np.int64)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        x, y = x.values.to_numpy(), y.values.to_numpy()
-        n = min(len(x), len(y))
-        out[i] = np.argmin(np.append(x[:n] == y[:n], False))
-    return out
+    (x, in_x), (y, in_y) = _table(a), _table(b)
+    return np.logical_and.accumulate((x == y) & in_x & in_y, axis=1).sum(axis=1)
+
+
+def _extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal words beyond each end of a chain."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays(
+            [*(b.column(k) for k in range(4)), pa.array(_equal_words(b.column(4), b.column(5)))],
+            names=["doc_id", "text_key", "start", "side", "more"])
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word ranges to remove: windows with the equal words before and after them."""
+    """Word ranges to remove: a chain's windows with up to WINNOW equal words before and after."""
+    mask = (1 << PLACE_BITS) - 1
     for b in batches:
-        doc, first, line, kept_doc, kept, kept_line = (b.column(k).to_numpy() for k in range(6))
-        lo = first - _equal_words(b.column(6), b.column(7))
-        hi = first + WINDOW_WORDS + _equal_words(b.column(8), b.column(9))
-        shift = first - kept
+        n = b.column(6).value_lengths().to_numpy()
+        doc, kept_doc, start, end, before, after = (
+            np.repeat(b.column(k).to_numpy(), n) for k in range(6))
+        place, kept_place = (b.column(k).flatten().to_numpy() for k in (6, 7))
+        first, kept = place >> PLACE_BITS, kept_place >> PLACE_BITS
+        lo = first - np.minimum(WINNOW, first - start + before)
+        hi = first + WINDOW_WORDS + np.minimum(WINNOW, end - first + after)
         lo = np.where(doc == kept_doc, np.maximum(lo, kept + WINDOW_WORDS), lo)
         ok = hi > lo
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x[ok]) for x in (doc, line, lo, hi - lo, kept_doc, kept_line, lo - shift)],
-            names=_RESULT)
+            [pa.array(x[ok]) for x in (doc, place & mask, lo, hi - lo, kept_doc,
+                                       kept_place & mask, lo - (first - kept))], names=_RESULT)
 
 
+_CHAIN = ["doc_id", "text_key", "kept_doc_id", "shift", "start", "end", "start_node", "end_node",
+          "places", "kept_places"]
 _RESULT = ["doc_id", "line", "first_word", "n_words", "kept_doc_id", "kept_line",
            "kept_first_word"]
 
 
 def repeated_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Removed word ranges of (doc_id, text): repeats of a window, extended where equal."""
+    """Removed word ranges of (doc_id, text): repeats of a window, extended where equal.
+
+    Words around windows are read and compared at the ends of chains of windows only. A
+    place is a window's first word and line in one number.
+    """
     wins = scratch.store(rows.mapInArrow(
-        _window_batches, "doc_id bigint, first_word bigint, node bigint"), "windows")
+        _window_batches, "doc_id bigint, text_key bigint, place bigint, node bigint"), "windows")
     # windows that occur once go before their places are compared
     often = scratch.store(wins.groupBy("node").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("kept_doc_id")).where("n > 1")
         .select("node", "kept_doc_id"), "often")
     wins = scratch.store(join_ids(wins, often, "node", limit=0), "common")
     scratch.drop("windows", "often")
-    again = (wins.where("doc_id = kept_doc_id").groupBy("node", "kept_doc_id")
-             .agg(F.min("first_word").alias("kept_first_word")))
-    asked = scratch.store(wins.groupBy("doc_id").agg(
-        F.collect_set("first_word").alias("wanted")), "asked")
-    around = scratch.store(
-        join_ids(rows, asked, "doc_id").select("doc_id", "text", "wanted").mapInArrow(
-            _contexts, "node bigint, doc_id bigint, first_word bigint, line bigint, "
-            "before array<bigint>, after array<bigint>"), "around")
-    kept = scratch.store(
-        around.join(again, (around.node == again.node) & (F.col("doc_id") == F.col("kept_doc_id"))
-                    & (F.col("first_word") == F.col("kept_first_word")))
-        .select(around.node, "kept_doc_id", "kept_first_word", F.col("line").alias("kept_line"),
-                F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
-        .dropDuplicates(["node"]), "kept")
-    scratch.drop("common", "asked")
-    pairs = join_ids(around, kept, "node").where(
-        "doc_id <> kept_doc_id or first_word <> kept_first_word")
-    return pairs.select("doc_id", "first_word", "line", "kept_doc_id", "kept_first_word",
-                        "kept_line", "before", "kept_before", "after", "kept_after").mapInArrow(
-        _extend, ", ".join(f"{c} bigint" for c in _RESULT))
+    kept = scratch.store(wins.where("doc_id = kept_doc_id").groupBy("node").agg(
+        F.min("place").alias("kept_place")), "kept")
+    again = join_ids(wins, kept, "node", limit=0).where(
+        f"doc_id <> kept_doc_id or shiftright(place, {PLACE_BITS}) <> "
+        f"shiftright(kept_place, {PLACE_BITS})")
+    chains = again.groupBy("doc_id", "text_key").agg(F.collect_set(
+        F.struct("place", "node", "kept_doc_id", "kept_place")).alias("places")).mapInArrow(
+        _chains, ", ".join(f"{c} bigint" for c in _CHAIN[:-2])
+        + ", places array<bigint>, kept_places array<bigint>")
+    chains = scratch.store(chains, "chains")
+    scratch.drop("common", "kept")
+
+    own = ["doc_id", "text_key", "first_word", "side"]
+    first = ["kept_doc_id", "kept_first_word", "side", "node"]
+    start, end = (chains.select(
+        "doc_id", "text_key", "start", F.col(c).alias("first_word"), F.lit(side).alias("side"),
+        F.col(f"{c}_node").alias("node"), "kept_doc_id",
+        (F.col(c) - F.col("shift")).alias("kept_first_word"))
+        for c, side in (("start", 0), ("end", 1)))
+    ends = scratch.store(start.union(end).withColumn("side", F.col("side").cast("bigint")), "ends")
+    asked = ends.select("doc_id", "first_word", "side").union(
+        ends.select("kept_doc_id", "kept_first_word", "side"))
+    asked = scratch.store(asked.groupBy("doc_id").agg(
+        F.collect_set(F.col("first_word") * 2 + F.col("side")).alias("wanted")), "asked")
+    around = scratch.store(join_ids(rows, asked, "doc_id").select("doc_id", "text", "wanted")
+                           .mapInArrow(_contexts, "doc_id bigint, text_key bigint, "
+                                       "first_word bigint, side bigint, node bigint, "
+                                       "near array<bigint>").dropDuplicates(own), "around")
+    scratch.drop("asked")
+    there = (around.join(ends.select(
+        F.col("kept_doc_id").alias("doc_id"), F.col("kept_first_word").alias("first_word"),
+        "side", "node").distinct(), ["doc_id", "first_word", "side", "node"])
+        .groupBy("doc_id", "first_word", "side", "node")
+        .agg(F.min_by("near", "text_key").alias("kept_near"))
+        .toDF("kept_doc_id", "kept_first_word", "side", "node", "kept_near"))
+    there = scratch.store(there, "there")
+    sides = ends.join(around.select(*own, "near"), own).join(there.hint("merge"), first)
+    more = scratch.store(sides.select(
+        "doc_id", "text_key", "start", "side", "near", "kept_near").mapInArrow(
+        _extensions, "doc_id bigint, text_key bigint, start bigint, side bigint, more bigint"),
+        "more")
+    scratch.drop("ends", "around", "there")
+    more = more.groupBy("doc_id", "text_key", "start").agg(
+        F.max(F.expr("if(side = 0, more, 0)")).alias("before"),
+        F.max(F.expr("if(side = 1, more, 0)")).alias("after"))
+    return chains.join(more, ["doc_id", "text_key", "start"]).select(
+        "doc_id", "kept_doc_id", "start", "end", "before", "after", "places",
+        "kept_places").mapInArrow(_extend, ", ".join(f"{c} bigint" for c in _RESULT))
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -347,11 +428,13 @@ def similar_paragraphs(rows: DataFrame, min_words: int, sim: Similarity,
         F.count("*").alias("copies"), F.min("doc_id").alias("first_doc_id"),
         *(F.min(c).alias(c) for c in ("n", *keys, *_SKETCH))), "classes")
 
+    scratch.drop()
     # bands in which two classes meet
     keyed = classes.select(F.explode(F.array(*keys)).alias("key"), "node", "n")
-    met = (keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-           .where("lo <> hi").select("key"))
+    # a class has one row per band here, so that keys alone are shuffled
+    met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = scratch.store(met, "met")
+    scratch.drop()
     keyed = keyed.join(met, "key", "left_semi")
     postings = scratch.store(keyed.withColumn("u", F.lit(0).cast("bigint")), "postings")
 

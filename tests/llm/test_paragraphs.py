@@ -1,12 +1,14 @@
-"""Lines and blocks of the substring dedup against brute force."""
+"""Lines, blocks and windows of the substring dedup against brute force; its scratch files."""
 
 from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from forgecast.llm import paragraphs
 from forgecast.llm import textkit as K
@@ -95,3 +97,109 @@ def test_blocks_do_not_depend_on_what_surrounds_them():
     assert (two[:600] == two[600:]).all()
     assert not len(paragraphs.block_starts(p[:0], np.zeros(0, np.int64)))
     assert paragraphs.block_starts(p[:1], np.zeros(1, np.int64)).tolist() == [True]
+
+
+def _brute_windows(rows):
+    """Brute force: each kept window that isn't its first occurrence, grown word by word."""
+    n, more = paragraphs.WINDOW_WORDS, paragraphs.WINNOW
+    texts, lines, places = {}, {}, {}
+    for i, text in rows:
+        found = [(m.group().lower(), m.start()) for m in re.finditer("[^\x20\x09-\x0d]+", text or "")]
+        texts[i] = [w for w, _ in found]
+        lines[i] = [text[:a].count("\n") for _, a in found]
+        if found:
+            (_, t), = K.slices(pa.array([text], pa.large_string()), max(1, len(text.encode())))
+            w = K.split_words(t, K.SPACES)
+            h = K.segment_hash(t.buf, w.starts, w.ends, K.FOLDED)
+            for a in paragraphs.winnowed(h, w.rows())[0].tolist():
+                places.setdefault(tuple(texts[i][a:a + n]), []).append((i, a))
+    out = set()
+    for where in places.values():
+        k, b = min(where)
+        for i, a in where:
+            if (i, a) == (k, b):
+                continue
+            x, y, lo, hi = texts[i], texts[k], 0, 0
+            while lo < more and min(a, b) > lo and x[a - lo - 1] == y[b - lo - 1]:
+                lo += 1
+            while (hi < more and a + n + hi < len(x) and b + n + hi < len(y)
+                   and x[a + n + hi] == y[b + n + hi]):
+                hi += 1
+            first = max(a - lo, b + n) if i == k else a - lo
+            if first < a + n + hi:
+                out.add((i, lines[i][a], first, a + n + hi - first, k, lines[k][b], first - (a - b)))
+    return out
+
+
+def test_repeated_windows_equal_brute_force(spark):
+    """Chains of windows give the ranges that each window gives by itself: passages with
+    edits, of several sources, at both ends of a text, inside one text, and periodic ones."""
+    rng = random.Random(31)
+
+    def prose(n):
+        return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    def text(w):
+        return "".join(x + rng.choice("   \n") for x in w)
+
+    p, q, short = prose(400), prose(130), prose(50)
+    edited = [f"e{k}" if k % 90 == 45 else x for k, x in enumerate(p)]
+    rows = [(1, text(p)), (2, text(prose(20) + p + prose(3))), (3, text(p[150:] + q)),
+            (4, text(prose(7) + edited + q + short)), (5, text(short + prose(40) + p[:60])),
+            (6, text(q + prose(30) + q + q)), (7, text(["same"] * 300)),
+            (8, text(["same", "again"] * 90)), (9, text(["same"] * 70 + short)),
+            (10, None), (11, ""), (12, text(prose(80)))]
+    frame = spark.createDataFrame(rows + rows[:4], "doc_id long, text string")
+    got = {tuple(r) for r in paragraphs.repeated_windows(frame, Scratch(spark, "test")).collect()}
+    assert len({x[0] for x in got}) == 8 and got == _brute_windows(rows)
+
+
+def test_texts_with_one_id_make_no_chain(spark):
+    """Windows of two texts with one id lie side by side by number, not in one text."""
+    rng = random.Random(37)
+    p = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    own = [[f"o{k}_{i}" for i in range(150)] for k in range(2)]
+    rows = [(1, " ".join(p)), (2, " ".join(p[:150] + own[0])), (2, " ".join(own[1] + p[150:]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = paragraphs.repeated_windows(frame, Scratch(spark, "test")).collect()
+    gone = {w for r in found for w in range(r.first_word, r.first_word + r.n_words)}
+    assert gone == set(range(300)) and all(r.kept_first_word == r.first_word for r in found)
+    assert not [r for r in found if r.first_word < 150 < r.first_word + r.n_words]
+
+
+def test_words_around_windows_are_kept_at_the_ends_of_chains_only(spark, monkeypatch):
+    rng = random.Random(41)
+    p = " ".join(f"v{rng.randrange(10**6)}" for _ in range(3000))
+    frame = spark.createDataFrame([(i, f"w{i} {p} x{i}") for i in range(6)],
+                                  "doc_id long, text string")
+    sizes, store = {}, Scratch.store
+
+    def counted(self, df, name, *args, **kwargs):
+        out = store(self, df, name, *args, **kwargs)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "store", counted)
+    paragraphs.repeated_windows(frame, Scratch(spark, "test"))
+    assert sizes["common"] > 1000 and sizes["chains"] == 5 and sizes["around"] == 12
+
+
+def test_dropped_tables_take_their_shuffle_files_with_them(spark):
+    def shuffled():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+
+    scratch = Scratch(spark, "test")
+    scratch.drop()
+    time.sleep(2)
+    before = shuffled()
+    scratch.store(spark.range(10000).groupBy((F.col("id") % 5000).alias("k")).count(), "sums")
+    made = shuffled() - before
+    assert made
+    scratch.store(spark.range(10), "next")  # Spark itself holds on to the last job
+    scratch.drop("sums")
+    for _ in range(50):
+        if not made & shuffled():
+            break
+        time.sleep(0.2)
+    assert not made & shuffled()
