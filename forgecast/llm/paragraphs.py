@@ -36,6 +36,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,11 +146,14 @@ def _bands(s: K.Shingles, bands: int, rows: int) -> np.ndarray:
     if not len(s.hash):
         return out
     at = np.concatenate([[0], np.cumsum(s.counts)[:-1]])
+    moved = np.empty_like(s.hash)
     for b in range(bands):
         key = np.full(len(s.counts), b + 1, dtype=np.uint64)
         for _ in range(rows):
             add, odd = rng.integers(1, 2**63, 2, dtype=np.uint64)
-            least = np.minimum.reduceat((s.hash ^ add) * (odd | _U(1)), at)
+            np.bitwise_xor(s.hash, add, out=moved)
+            np.multiply(moved, odd | _U(1), out=moved)
+            least = np.minimum.reduceat(moved, at)
             key = K.mix(key * _U(0x9E3779B97F4A7C15) + least)
         out[:, b] = key
     return out
@@ -268,36 +272,60 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              *(K.list_column(x, tail - head + 1) for x in (place, kept))], names=_CHAIN)
 
 
+def _near(h: np.ndarray, words: K.Words, row: np.ndarray, first: np.ndarray,
+          side: np.ndarray) -> pa.Array:
+    """WINNOW word hashes at most before (side 0, nearest first) or after (1) each window."""
+    step, at = np.arange(WINNOW), words.first[row] + first
+    place = np.where(side[:, None] == 1, at[:, None] + WINDOW_WORDS + step,
+                     at[:, None] - 1 - step)
+    inside = (place >= words.first[row][:, None]) & (place < words.first[row + 1][:, None])
+    return K.binary_column(h[place[inside]], 8 * inside.sum(axis=1))
+
+
+def _entries(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row of each entry of a column of lists, and the entries; a null list has none."""
+    counts = pc.fill_null(lists.value_lengths(), 0).to_numpy()
+    return np.repeat(np.arange(len(lists)), counts), lists.flatten()
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """WINNOW word hashes before (nearest first) or after each wanted window."""
-    step = np.arange(WINNOW)
+    """Words around the ends of each text's own chains and around the first occurrences."""
     for batch in batches:
-        ids, wanted = batch.column(0).to_numpy(), batch.column(2)
+        ids = batch.column(0).to_numpy()
         for lo, t in K.slices(batch.column(1)):
             words = K.split_words(t, K.SPACES)
             h = K.segment_hash(t.buf, words.starts, words.ends, K.FOLDED)
-            ask = wanted.slice(lo, t.rows)
-            row = np.repeat(np.arange(t.rows), ask.value_lengths().to_numpy())
-            first, side = np.divmod(ask.flatten().to_numpy(), 2)
+            keys = _text_keys(h, words)
+            row, own = _entries(batch.column(2).slice(lo, t.rows))
+            text_key, start, end, kept_doc, shift, *nodes = (x.to_numpy() for x in own.flatten())
+            here = keys[row] == text_key  # not of another text with this id
+            row, start, end, kept_doc, shift, *nodes = (
+                x[here] for x in (row, start, end, kept_doc, shift, *nodes))
+            for side, (first, node) in enumerate(zip((start, end), nodes, strict=True)):
+                sides = np.full(len(row), side, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x) for x in (ids[lo + row], keys[row], first, sides, node)),
+                     _near(h, words, row, first, sides),
+                     *(pa.array(x) for x in (start, kept_doc, first - shift))], names=_AROUND)
+            row, asked = _entries(batch.column(3).slice(lo, t.rows))
+            first, side = np.divmod(asked.to_numpy(), 2)
             fits = first + WINDOW_WORDS <= words.counts[row]  # another text with this id
             row, first, side = row[fits], first[fits], side[fits]
-            at = words.first[row] + first
-            place = np.where(side[:, None] == 1, at[:, None] + WINDOW_WORDS + step,
-                             at[:, None] - 1 - step)
-            inside = (place >= words.first[row][:, None]) & (place < words.first[row + 1][:, None])
+            node = K.window_hash(h, WINDOW_WORDS)[words.first[row] + first]
+            none = pa.nulls(len(row), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[lo + row]), pa.array(_text_keys(h, words)[row]), pa.array(first),
-                 pa.array(side), pa.array(K.signed(K.window_hash(h, WINDOW_WORDS)[at])),
-                 K.list_column(K.signed(h[np.where(inside, place, 0)][inside]),
-                               inside.sum(axis=1))],
-                names=["doc_id", "text_key", "first_word", "side", "node", "near"])
+                [*(pa.array(x) for x in (ids[lo + row], keys[row], first, side, K.signed(node))),
+                 _near(h, words, row, first, side), none, none, none], names=_AROUND)
 
 
-def _table(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lists of at most WINNOW numbers as rows of a matrix, and which places they fill."""
-    filled = np.arange(WINNOW) < lists.value_lengths().to_numpy()[:, None]
+def _table(near: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """At most WINNOW numbers each as rows of a matrix, and which places they fill."""
+    near = near.cast(pa.large_binary())
+    filled = np.arange(WINNOW) < pc.binary_length(near).to_numpy()[:, None] // 8
     out = np.zeros(filled.shape, dtype=np.int64)
-    out[filled] = lists.flatten().to_numpy()
+    if filled.any():
+        lo, hi = np.frombuffer(near.buffers()[1], np.int64)[[near.offset, near.offset + len(near)]]
+        out[filled] = np.frombuffer(near.buffers()[2], np.uint8)[lo:hi].view(np.int64)
     return out, filled
 
 
@@ -335,6 +363,8 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _CHAIN = ["doc_id", "text_key", "kept_doc_id", "shift", "start", "end", "start_node", "end_node",
           "places", "kept_places"]
+_AROUND = ["doc_id", "text_key", "first_word", "side", "node", "near", "start", "kept_doc_id",
+           "kept_first_word"]
 _RESULT = ["doc_id", "line", "first_word", "n_words", "kept_doc_id", "kept_line",
            "kept_first_word"]
 
@@ -351,7 +381,7 @@ def repeated_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
     often = scratch.store(wins.groupBy("node").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("kept_doc_id")).where("n > 1")
         .select("node", "kept_doc_id"), "often")
-    wins = scratch.store(join_ids(wins, often, "node", limit=0), "common")
+    wins = scratch.store(wins.join(often.hint("shuffle_hash"), "node"), "common")
     scratch.drop("windows", "often")
     kept = scratch.store(wins.where("doc_id = kept_doc_id").groupBy("node").agg(
         F.min("place").alias("kept_place")), "kept")
@@ -365,36 +395,27 @@ def repeated_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
     chains = scratch.store(chains, "chains")
     scratch.drop("common", "kept")
 
-    own = ["doc_id", "text_key", "first_word", "side"]
+    # texts go by a shuffle at every size: the lists beside them grow as they do
+    own = chains.groupBy("doc_id").agg(F.collect_list(F.struct(
+        "text_key", "start", "end", "kept_doc_id", "shift", "start_node", "end_node")).alias("own"))
+    asked = chains.select(F.col("kept_doc_id").alias("doc_id"), F.explode(F.array(
+        (F.col("start") - F.col("shift")) * 2, (F.col("end") - F.col("shift")) * 2 + 1)).alias("at"))
+    asked = asked.groupBy("doc_id").agg(F.collect_set("at").alias("asked"))
+    texts = (rows.join(own.hint("merge"), "doc_id", "left").join(asked.hint("merge"), "doc_id", "left")
+             .where("own is not null or asked is not null").select("doc_id", "text", "own", "asked"))
+    around = scratch.store(texts.mapInArrow(_contexts, ", ".join(
+        f"{c} {'binary' if c == 'near' else 'bigint'}" for c in _AROUND)), "around")
+    scratch.drop()
     first = ["kept_doc_id", "kept_first_word", "side", "node"]
-    start, end = (chains.select(
-        "doc_id", "text_key", "start", F.col(c).alias("first_word"), F.lit(side).alias("side"),
-        F.col(f"{c}_node").alias("node"), "kept_doc_id",
-        (F.col(c) - F.col("shift")).alias("kept_first_word"))
-        for c, side in (("start", 0), ("end", 1)))
-    ends = scratch.store(start.union(end).withColumn("side", F.col("side").cast("bigint")), "ends")
-    asked = ends.select("doc_id", "first_word", "side").union(
-        ends.select("kept_doc_id", "kept_first_word", "side"))
-    asked = scratch.store(asked.groupBy("doc_id").agg(
-        F.collect_set(F.col("first_word") * 2 + F.col("side")).alias("wanted")), "asked")
-    around = scratch.store(join_ids(rows, asked, "doc_id").select("doc_id", "text", "wanted")
-                           .mapInArrow(_contexts, "doc_id bigint, text_key bigint, "
-                                       "first_word bigint, side bigint, node bigint, "
-                                       "near array<bigint>").dropDuplicates(own), "around")
-    scratch.drop("asked")
-    there = (around.join(ends.select(
-        F.col("kept_doc_id").alias("doc_id"), F.col("kept_first_word").alias("first_word"),
-        "side", "node").distinct(), ["doc_id", "first_word", "side", "node"])
-        .groupBy("doc_id", "first_word", "side", "node")
-        .agg(F.min_by("near", "text_key").alias("kept_near"))
-        .toDF("kept_doc_id", "kept_first_word", "side", "node", "kept_near"))
-    there = scratch.store(there, "there")
-    sides = ends.join(around.select(*own, "near"), own).join(there.hint("merge"), first)
+    there = scratch.store(
+        around.where("start is null").groupBy("doc_id", "first_word", "side", "node")
+        .agg(F.min_by("near", "text_key").alias("kept_near")).toDF(*first, "kept_near"), "there")
+    sides = around.where("start is not null").join(there.hint("merge"), first)
     more = scratch.store(sides.select(
         "doc_id", "text_key", "start", "side", "near", "kept_near").mapInArrow(
         _extensions, "doc_id bigint, text_key bigint, start bigint, side bigint, more bigint"),
         "more")
-    scratch.drop("ends", "around", "there")
+    scratch.drop("around", "there")
     more = more.groupBy("doc_id", "text_key", "start").agg(
         F.max(F.expr("if(side = 0, more, 0)")).alias("before"),
         F.max(F.expr("if(side = 1, more, 0)")).alias("after"))
@@ -429,14 +450,21 @@ def similar_paragraphs(rows: DataFrame, min_words: int, sim: Similarity,
         *(F.min(c).alias(c) for c in ("n", *keys, *_SKETCH))), "classes")
 
     scratch.drop()
+    # from here on a unit's place and class are enough, and after the bands a class's sketch
+    units = scratch.store(paragraphs.select("doc_id", "line", "first_word", "n_words", "node"),
+                          "units")
+    scratch.drop("paragraphs")
     # bands in which two classes meet
     keyed = classes.select(F.explode(F.array(*keys)).alias("key"), "node", "n")
     # a class has one row per band here, so that keys alone are shuffled
     met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = scratch.store(met, "met")
     scratch.drop()
-    keyed = keyed.join(met, "key", "left_semi")
+    # the few keys go into a hash table, so that the rows of all bands aren't sorted
+    keyed = keyed.join(met.hint("shuffle_hash"), "key", "left_semi")
     postings = scratch.store(keyed.withColumn("u", F.lit(0).cast("bigint")), "postings")
+    classes = scratch.store(classes.drop("n", *keys), "sketches")
+    scratch.drop("classes", "met")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         ask = (classes.join(nodes, "node").groupBy(F.col("first_doc_id").alias("doc_id"))
@@ -456,9 +484,8 @@ def similar_paragraphs(rows: DataFrame, min_words: int, sim: Similarity,
         F.sum("copies").alias("members"), F.min("first_doc_id").alias("kept_doc_id"))
         .where("members > 1").select("root", "kept_doc_id"), "clusters")
     label = join_ids(member, kept, "root").select("node", "root", "kept_doc_id")
-    hits = scratch.store(paragraphs.select("doc_id", "line", "first_word", "n_words", "node")
-                         .join(label, "node").drop("node"), "hits")
-    scratch.drop("met", "postings", "ask", "member", "classes", "clusters", "paragraphs")
+    hits = scratch.store(units.join(label, "node").drop("node"), "hits")
+    scratch.drop("postings", "ask", "member", "sketches", "clusters", "units")
     place = scratch.store(hits.where("doc_id = kept_doc_id").groupBy("root").agg(
         F.min("first_word").alias("kept_first_word"), F.min("line").alias("kept_line")), "place")
     return (join_ids(hits, place, "root")

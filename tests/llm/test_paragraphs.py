@@ -203,3 +203,31 @@ def test_dropped_tables_take_their_shuffle_files_with_them(spark):
             break
         time.sleep(0.2)
     assert not made & shuffled()
+
+
+def _plans(monkeypatch):
+    """Plans of the tables that are stored from here on, by name."""
+    plans, store = {}, Scratch.store
+
+    def noted(self, df, name, *args, **kwargs):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return store(self, df, name, *args, **kwargs)
+
+    monkeypatch.setattr(Scratch, "store", noted)
+    return plans
+
+
+def _copies(spark):
+    rng = random.Random(43)
+    p = "\n".join(" ".join(f"v{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4))
+    rows = [(i, f"w{i} {p} x{i}") for i in range(6)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_words_around_windows_are_not_sorted_or_joined_with_their_chains(spark, monkeypatch):
+    """A text's own chains lie beside it, so its words around them need no join of their own."""
+    frame, plans = _copies(spark), _plans(monkeypatch)
+    paragraphs.repeated_windows(frame, Scratch(spark, "test"))
+    assert "Aggregate" not in plans["around"].split("MapInArrow")[0]
+    assert plans["more"].count("SortMergeJoin") == 1
+    assert "SortMergeJoin" not in plans["common"]
