@@ -537,7 +537,7 @@ def cut_paragraphs(docs: DataFrame, removed: DataFrame) -> DataFrame:
     gone = scratch.store(removed.groupBy("doc_id").agg(
         F.collect_set(F.struct("first_word", "n_words")).alias("gone")), "gone")
     scratch.drop()
-    whole = join_ids(docs.alias("d"), gone, "doc_id", "left")
+    whole = join_ids(docs.alias("d"), gone, "doc_id", "left", limit=0)
     whole = whole.mapInArrow(_cut_batches, whole.schema)
     whole = whole.where(F.col("gone").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in docs.columns:

@@ -231,3 +231,20 @@ def test_words_around_windows_are_not_sorted_or_joined_with_their_chains(spark,
     assert "Aggregate" not in plans["around"].split("MapInArrow")[0]
     assert plans["more"].count("SortMergeJoin") == 1
     assert "SortMergeJoin" not in plans["common"]
+
+
+def test_bands_are_gone_before_links_and_texts_are_joined_alike_at_every_size(spark, monkeypatch):
+    frame, plans, there, link = _copies(spark), _plans(monkeypatch), [], paragraphs.link
+
+    def noted(postings, sketches, sets_of, sim, scratch, *args, **kwargs):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch.base)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        there.extend(x.getPath().getName() for x in path.getFileSystem(conf).listStatus(path))
+        return link(postings, sketches, sets_of, sim, scratch, *args, **kwargs)
+
+    monkeypatch.setattr(paragraphs, "link", noted)
+    left = cut_paragraphs(frame, repeated_paragraphs(frame))
+    assert sorted(there) == ["postings", "sketches", "units"]
+    for plan in (plans["around"], left._jdf.queryExecution().executedPlan().toString()):
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert [r.doc_id for r in left.collect() if "v" in r.text] == [0]
